@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Symbols that may surround a number written as text, and the accepted number syntax.
 NUMBER_SYMBOLS = r"[$,€£₹¥%\s]"
+PLAIN_SYMBOLS = r"[$,€£¥%]"
 NUMBER_SYNTAX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -15,9 +16,9 @@ def half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value.cast("double") * scale + 0.5).cast("double") / scale
 
 
-def to_number(text: Column) -> Column:
+def to_number(text: Column, symbols: str = NUMBER_SYMBOLS) -> Column:
     """Text such as ``$1,234.50`` or ``12 %`` as a double, else null."""
-    bare = F.regexp_replace(text.cast("string"), NUMBER_SYMBOLS, "")
+    bare = F.trim(F.regexp_replace(text.cast("string"), symbols, ""))
     number = F.when(bare.rlike(NUMBER_SYNTAX), bare).try_cast("double")
     return F.when(F.abs(number) < float("inf"), number)
 

@@ -95,7 +95,7 @@ def exact_quantiles(
             hit = (rank >= F.col("_lo")) & (rank < F.col("_hi"))
             picks.append(F.max(F.when(hit, known)).alias(f"_{part}{i}"))
         spread = (F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))
-        finals.append((F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * spread).alias(name))
+        finals.append((F.col(f"_f{i}") * (1 - spread) + F.col(f"_c{i}") * spread).alias(name))
     grouped = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     return grouped.select(*keys, *finals)
 
