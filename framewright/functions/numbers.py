@@ -60,3 +60,8 @@ def compact(value: Column, prefix: str = "", suffix: str = "") -> Column:
         .otherwise(F.format_string("%.2f", value))
     )
     return F.concat(F.lit(prefix), body, F.lit(suffix))
+
+
+def plain_text(value: Column) -> Column:
+    """A number as text without exponent and trailing zeros, to six decimals."""
+    return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")

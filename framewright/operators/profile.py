@@ -7,14 +7,14 @@ values), never more.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framewright.functions.dates import DATE_SHAPE, parse_date
 from framewright.functions.missing import PROFILE_WORDS, missing_in
 from framewright.functions.numbers import (
-    PLAIN_SYMBOLS, finite, half_up, percent, sample_kurtosis, sample_skewness, to_number,
+    PLAIN_SYMBOLS, finite, half_up, percent, plain_text, sample_kurtosis, sample_skewness, to_number,
 )
 from framewright.functions.text import is_number, is_text, is_time
 from framewright.operators.charts import bin_count
@@ -24,12 +24,14 @@ from framewright.operators.scale import exact_quantiles
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
 EXPLICIT_WORDS = ["true", "false", "yes", "no"]
 ID_NAME = "(?i)id|uuid|key|code|guid|ssn|identifier|token"
+UUID_SHAPE = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+CODE_SHAPE = "^[a-z]{2,4}[-_]?[0-9]{2,8}$"
 
 FACTS = """column string, position int, kind string, total long, missing long, valid long, distinct long, padded long,
  null_pct double, cardinality_pct double, type string, recommended string, confidence double, is_id boolean,
  is_high_cardinality boolean, top_value string, top_count long, dominant_pct double, is_constant boolean,
  is_near_constant boolean, variant_rows long, variant_groups long, sample string, min_day string, max_day string,
- range_days long, invalid_dates long, all_flag_words boolean"""
+ range_days long, invalid_dates long, all_flag_words boolean, has_uuid boolean, all_codes boolean"""
 NUMERIC = """column string, count long, min double, max double, mean double, median double, variance double, stddev double,
  q1 double, q3 double, iqr double, skewness double, kurtosis double, outliers long, outlier_pct double, z_outliers long,
  negatives long, over_100 long, over_130 long"""
@@ -82,7 +84,7 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
     shaped = F.col("at").isNotNull() | (value.rlike(DATE_SHAPE) & (day > F.lit("1970-01-01").cast("timestamp_ntz")))
     dated = F.col("at").isNotNull() | (day.isNotNull() & (F.length(value) >= 6) & ~value.rlike("^[0-9]+$"))
     flag = folded.isin(BOOLEAN_WORDS) | F.col("num").isin([0.0, 1.0])
-    shown = F.coalesce(value, F.col("num").cast("string"), F.col("at").cast("string"))
+    shown = F.coalesce(value, plain_text(F.col("num")), F.col("at").cast("string"))
     ok = ~F.col("gone")
 
     def rows(test: Column) -> Column:
@@ -93,13 +95,15 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
         F.sum("n").alias("n"), F.sum("padded").alias("padded"), F.count("*").alias("spellings"),
         rows(flag).alias("flag_n"), rows(folded.isin(EXPLICIT_WORDS) | (F.col("kind") == "bool")).alias("explicit_n"),
         rows(folded.isin([*BOOLEAN_WORDS, "y", "n"]) | F.col("num").isin([0.0, 1.0])).alias("flag_word_n"),
+        rows(folded.rlike(UUID_SHAPE)).alias("uuid_n"), rows(folded.rlike(CODE_SHAPE)).alias("code_n"),
         rows(plain.isNotNull()).alias("plain_n"), rows(F.col("number").isNotNull()).alias("number_n"),
         rows(shaped).alias("shaped_n"), rows(dated).alias("dated_n"), F.min(F.when(ok, F.col("shown"))).alias("sample"),
         F.max(n).alias("top_n"), F.min(F.when(ok, F.struct(-n, F.col("shown")))).alias("top"),
         F.min(F.when(ok, F.col("day"))).alias("lo"), F.max(F.when(ok, F.col("day"))).alias("hi"),
     )
     live = F.when(ok, F.col("n"))
-    sums = {c: F.sum(c) for c in ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n")}
+    sums = {c: F.sum(c) for c in ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n", "uuid_n",
+                                    "code_n")}
     per = spelled.groupBy("column", "kind").agg(
         F.sum("n").alias("total"), F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.when(ok, F.col("spellings"))), F.lit(0)).alias("distinct"), F.sum("padded").alias("padded"),
@@ -147,14 +151,15 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
                                     - F.unix_micros(F.col("lo").cast("timestamp"))) / 86_400_000_000).cast("long"))
             .alias("range_days"),
             F.when(is_day, valid - F.col("dated_n")).alias("invalid_dates"),
-            (F.col("flag_word_n") == valid).alias("all_flag_words"),
+            (F.col("flag_word_n") == valid).alias("all_flag_words"), (F.col("uuid_n") > 0).alias("has_uuid"),
+            ((F.col("code_n") == valid) & (valid > 0)).alias("all_codes"),
         )
     )
 
 
 def top_values(counts: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` values per column by count, ties by value. The rank limit is applied before the shuffle."""
-    shown = F.coalesce(F.col("value"), F.col("num").cast("string"), F.col("at").cast("string"))
+    shown = F.coalesce(F.col("value"), plain_text(F.col("num")), F.col("at").cast("string"))
     folded = F.lower(F.col("value"))
     live = counts.withColumn("shown", shown).where(
         F.col("shown").isNotNull() & ~F.coalesce(folded.isin(["", *PROFILE_WORDS]), F.lit(False))
@@ -240,16 +245,35 @@ def numeric_histograms(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-@dataclass
 class Profile:
-    """The finished profile of a table: bounded row lists, offered as DataFrames."""
+    """The profile of a table: bounded row lists computed on first use, offered as DataFrames."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.names = profiled_columns(df)
+
+    @cached_property
+    def _counted(self) -> tuple[list, list]:
+        counts = value_counts(self.df, self.names).persist()
+        try:
+            facts = [r.asDict() for r in column_facts(counts, self.names).collect()]
+            tops = [tuple(r) for r in top_values(counts).collect()]
+        finally:
+            counts.unpersist()
+        return sorted(facts, key=lambda r: r["position"]), tops
 
-    df: DataFrame
-    facts_rows: list
-    top_rows: list
-    numeric_rows: list
-    duplicates: int = 0
-    _cache: dict = field(default_factory=dict)
+    @property
+    def facts_rows(self) -> list[dict]:
+        return self._counted[0]
+
+    @cached_property
+    def numeric_rows(self) -> list:
+        columns = self.of_type("numeric")
+        return [tuple(r) for r in numeric_profile(self.df, columns).collect()] if columns else []
+
+    @cached_property
+    def duplicates(self) -> int:
+        return duplicate_count(self.df).first()[0]
 
     @property
     def total(self) -> int:
@@ -262,15 +286,14 @@ class Profile:
         return self.df.sparkSession.createDataFrame(self.numeric_rows, NUMERIC)
 
     def top(self) -> DataFrame:
-        return self.df.sparkSession.createDataFrame(self.top_rows, "column string, rank long, value string, count long")
+        return self.df.sparkSession.createDataFrame(self._counted[1], "column string, rank long, value string, count long")
 
     def columns(self) -> DataFrame:
         """Facts with the numeric part joined on: one row per column."""
-        return self.facts().join(self.numeric(), "column", "left").orderBy("position")
+        return self.facts().join(F.broadcast(self.numeric()), "column", "left")
 
     def of_type(self, *types: str) -> list[str]:
-        ordered = sorted(self.facts_rows, key=lambda r: r["position"])
-        return [r["column"] for r in ordered if r["type"] in types]
+        return [r["column"] for r in self.facts_rows if r["type"] in types]
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -280,21 +303,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     )
 
 
-def profile(df: DataFrame, duplicates: bool = True) -> Profile:
-    """Profile every flat column."""
-    columns = profiled_columns(df)
-    counts = value_counts(df, columns).persist()
-    try:
-        facts = [tuple(r) for r in column_facts(counts, columns).collect()]
-        names = [c.strip().split()[0] for c in FACTS.replace("\n", " ").split(",")]
-        facts = [dict(zip(names, r)) for r in facts]
-        tops = [tuple(r) for r in top_values(counts).collect()]
-    finally:
-        counts.unpersist()
-    numeric_columns = [r["column"] for r in sorted(facts, key=lambda r: r["position"]) if r["type"] == "numeric"]
-    numeric = [tuple(r) for r in numeric_profile(df, numeric_columns).collect()] if numeric_columns else []
-    doubled = duplicate_count(df).first()[0] if duplicates else 0
-    return Profile(df, facts, tops, numeric, doubled)
+def profile(df: DataFrame) -> Profile:
+    """Profile every flat column; each part runs when it is first asked for."""
+    return Profile(df)
 
 
 def missing_counts(df: DataFrame, level: str = "profile") -> DataFrame:

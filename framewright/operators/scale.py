@@ -80,11 +80,9 @@ def exact_quantiles(
     )
     order = Window.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_gap")
     ranked = counted.withColumn("_hi", F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_k"))
-    if keys:
-        ranked = join_keys(ranked, marks.drop("_cuts"), keys)
-    else:
-        ranked = ranked.withColumn("_n", marks.select("_n").scalar())
+    ranked = ranked.withColumns({
+        "_lo": F.col("_hi") - F.col("_k"), "_n": F.sum("_k").over(Window.partitionBy(*keys))
+    })
     known = F.when(F.col("_gap"), F.raise_error(F.lit("quantile rank left its bracket")).cast("double")).otherwise(
         F.col("_at")
     )
