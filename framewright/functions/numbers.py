@@ -64,4 +64,4 @@ def compact(value: Column, prefix: str = "", suffix: str = "") -> Column:
 
 def plain_text(value: Column) -> Column:
     """A number as text without exponent and trailing zeros, to six decimals."""
-    return F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value), "[.]?0+$", ""))

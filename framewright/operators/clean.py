@@ -6,11 +6,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framewright.functions.missing import missing_in
 from framewright.functions.numbers import finite, half_up, to_number
-from framewright.functions.text import cased, is_number, is_text
+from framewright.functions.text import INTEGRAL, cased, is_number, is_text
 from framewright.operators.filters import fences, parsed_dates
 from framewright.operators.profile import duplicate_count, missing_counts, numbers_long, profiled_columns
 from framewright.operators.scale import exact_quantiles, join_keys, one_row, ordered_blocks
@@ -29,6 +29,11 @@ def _num(df: DataFrame, name: str) -> Column:
     return _col(name) if is_number(df.schema[name].dataType) else to_number(_col(name))
 
 
+def _fraction_type(dtype: T.DataType) -> T.DataType:
+    """The type a column needs to take a fractional value: whole-number columns become double."""
+    return T.DoubleType() if isinstance(dtype, INTEGRAL) else dtype
+
+
 def _text_columns(df: DataFrame, name: str | None) -> list[str]:
     return [name] if name else [f.name for f in df.schema.fields if is_text(f.dataType)]
 
@@ -120,7 +125,10 @@ class Impute(Action):
 
     def apply(self, df):
         dtype = df.schema[self.column].dataType
-        filled = F.when(missing_in(df, self.column, "fill"), self.learnt(df).cast(dtype)).otherwise(_col(self.column))
+        if self.strategy in ("mean", "median"):
+            dtype = _fraction_type(dtype)
+        known = _col(self.column).cast(dtype)
+        filled = F.when(missing_in(df, self.column, "fill"), self.learnt(df).cast(dtype)).otherwise(known)
         return df.withColumn(self.column, filled)
 
 
@@ -276,9 +284,9 @@ class Cap(Action):
 
     def apply(self, df):
         low, high = self.limits(df)
-        v, dtype = _num(df, self.column), df.schema[self.column].dataType
+        v, dtype = _num(df, self.column), _fraction_type(df.schema[self.column].dataType)
         capped = F.when(v < low, half_up(low, 2).cast(dtype)).when(v > high, half_up(high, 2).cast(dtype))
-        capped = capped.otherwise(_col(self.column))
+        capped = capped.otherwise(_col(self.column).cast(dtype))
         return df.withColumn(self.column, capped)
 
 
@@ -306,10 +314,10 @@ class OutliersToMedian(Action):
         return (_num(df, self.column) < limits["low"]) | (_num(df, self.column) > limits["high"])
 
     def apply(self, df):
-        dtype = df.schema[self.column].dataType
+        dtype = _fraction_type(df.schema[self.column].dataType)
         middle = exact_quantiles(df, [], _num(df, self.column), {"m": 0.5}).scalar()
         return df.withColumn(
-            self.column, F.when(self.changed(df), half_up(middle, 2).cast(dtype)).otherwise(_col(self.column))
+            self.column, F.when(self.changed(df), half_up(middle, 2).cast(dtype)).otherwise(_col(self.column).cast(dtype))
         )
 
 

@@ -30,7 +30,7 @@ def primary_keys(p: Profile) -> DataFrame:
         + F.when(name.rlike("^id|(id|key|code|sku)$"), 20).otherwise(0)
         + F.when(F.coalesce(shape, F.lit(False)), 10).otherwise(0)
     )
-    confidence = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), points)), F.lit(0)).cast("long")
+    confidence = F.when(points.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), points))).cast("long")
     return rows.select(
         "column", half_up(F.coalesce(unique, F.lit(0.0)), 1).alias("uniqueness"), half_up(filled, 1).alias("non_null_pct"),
         confidence.alias("confidence"), (confidence >= 60).alias("is_candidate"),
