@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 PI = math.pi
 
@@ -124,19 +124,19 @@ def _exact(fn):
     return apply
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_exact(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """Upper tail of F per aggregated row."""
     return _exact(f_tail)(f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_exact(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t per aggregated row, by F(1, df) = t squared."""
     return _exact(lambda v, n: f_tail(v * v, 1.0, n))(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_exact(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of chi-square per aggregated row."""
     return _exact(lambda v, n: upper_gamma(n / 2, v / 2))(x, df)

@@ -13,9 +13,9 @@ for _table in ("dirty_customer", "orders"):
         + case when f = 100 then 25 when f >= 99 then 15 else -20 end
         + case when regexp_matches(nm, '^id|(id|key|code|sku)$') then 20 else 0 end
         + case when (kind = 'number' and distinct_n = valid) or (code_n = valid and valid > 0) then 10 else 0 end as pts from s),
-      z as (select *, coalesce(greatest(0, least(100, pts)), 0)::bigint as confidence from w)
+      z as (select *, coalesce(greatest(0, least(100, pts)), 0)::bigint as conf from w)
       select c as "column", {hu('u', 1)} as uniqueness, {hu('f', 1)} as non_null_pct,
-        case when pts is null then 0 else confidence end::bigint as confidence, pts is not null and confidence >= 60 as is_candidate
+        case when pts is null then 0 else conf end::bigint as confidence, pts is not null and conf >= 60 as is_candidate
       from z""")(lambda t, n=_table: k.primary_keys(p.profile(getattr(t, n))))
 
 
