@@ -55,9 +55,9 @@ def compact(value: Column, prefix: str = "", suffix: str = "") -> Column:
     """1234 -> 1.2k, 2500000 -> 2.50M, with unit marks around."""
     size = F.abs(value)
     body = (
-        F.when(size >= 1_000_000, F.concat(F.format_string("%.2f", value / 1_000_000), F.lit("M")))
-        .when(size >= 1_000, F.concat(F.format_string("%.1f", value / 1_000), F.lit("k")))
-        .otherwise(F.format_string("%.2f", value))
+        F.when(size >= 1_000_000, F.concat(F.format_string("%.2f", half_up(value / 1_000_000, 2)), F.lit("M")))
+        .when(size >= 1_000, F.concat(F.format_string("%.1f", half_up(value / 1_000, 1)), F.lit("k")))
+        .otherwise(F.format_string("%.2f", half_up(value, 2)))
     )
     return F.concat(F.lit(prefix), body, F.lit(suffix))
 

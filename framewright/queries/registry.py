@@ -107,4 +107,5 @@ def load_all() -> None:
         importlib.import_module(f"framewright.queries.{module}")
 
 
-MODULES = ["flagship", "rows", "joining", "groups", "calendar", "profiles", "cleaning", "relations", "statistics"]
+MODULES = ["flagship", "rows", "joining", "groups", "calendar", "profiles", "cleaning", "relations", "statistics", "files",
+           "insighting", "models"]

@@ -46,3 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="framewright-checkpoint-")
     sc.setCheckpointDir(configured)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written results, below the shared checkpoint folder."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
