@@ -383,16 +383,21 @@ def readiness(p: Profile) -> DataFrame:
         F.count_if(leak).alias("leaks"), F.coalesce(F.min_by("dominant_pct", F.when(classes, F.col("position"))), F.lit(0.0)).alias("dominant"),
     )
     c = F.col
+
+    def check(name: str, status: Column, penalty: Column, evidence: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), status.alias("status"), penalty.cast("long").alias("penalty"),
+                        evidence.cast("double").alias("evidence"))
+
+    def mild(test: Column, penalty: int, bad: str = "WARN") -> tuple[Column, Column]:
+        return F.when(test, "PASS").otherwise(bad), F.when(test, 0).otherwise(penalty)
+
+    size = F.when(c("rows") >= 100, "PASS").when(c("rows") >= 30, "WARN").otherwise("FAIL")
     rows = F.array(
-        F.struct(F.lit("dataset_size").alias("check"), F.when(c("rows") >= 100, "PASS").when(c("rows") >= 30, "WARN").otherwise("FAIL").alias("status"),
-                 F.when(c("rows") >= 100, 0).when(c("rows") >= 30, 15).otherwise(40).cast("long").alias("penalty"), c("rows").cast("double").alias("evidence")),
-        F.struct(F.lit("feature_breadth"), F.when(c("cols") >= 3, "PASS").otherwise("FAIL"), F.when(c("cols") >= 3, 0).otherwise(30).cast("long"),
-                 c("cols").cast("double")),
-        F.struct(F.lit("completeness"), F.when(c("holes") == 0, "PASS").otherwise("WARN"), F.when(c("holes") == 0, 0).otherwise(10).cast("long"),
-                 c("holes").cast("double")),
-        F.struct(F.lit("leakage"), F.when(c("leaks") == 0, "PASS").otherwise("WARN"), F.lit(0).cast("long"), c("leaks").cast("double")),
-        F.struct(F.lit("class_balance"), F.when(c("dominant") >= 80, "WARN").otherwise("PASS"), F.when(c("dominant") >= 80, 10).otherwise(0).cast("long"),
-                 c("dominant")),
+        check("dataset_size", size, F.when(c("rows") >= 100, 0).when(c("rows") >= 30, 15).otherwise(40), c("rows")),
+        check("feature_breadth", *mild(c("cols") >= 3, 30, "FAIL"), c("cols")),
+        check("completeness", *mild(c("holes") == 0, 10), c("holes")),
+        check("leakage", *mild(c("leaks") == 0, 0), c("leaks")),
+        check("class_balance", *mild(c("dominant") < 80, 10), c("dominant")),
     )
     return counts.select(F.inline(rows))
 

@@ -70,9 +70,9 @@ def _(t: Tables):
     return ml.confusion(ml.nearest_centroid(texts(t), "quality", FEATURES, "doc_id"))
 
 
-CLASSES = """, k as (select distinct actual as class from p), m as (select class, (select count(*) from p where actual = class) as support,
+CLASSES = """, k as (select distinct actual as class from p), mm as (select class, (select count(*) from p where actual = class) as support,
     (select count(*) from p where predicted = class) as claimed, (select count(*) from p where predicted = class and actual = class) as hits
-    from k), r as (select class, coalesce(hits/nullif(claimed, 0), 0) as pr, coalesce(hits/nullif(support, 0), 0) as re, support from m)"""
+    from k), r as (select class, coalesce(hits/nullif(claimed, 0), 0) as pr, coalesce(hits/nullif(support, 0), 0) as re, support from mm)"""
 
 
 @query("class_metrics", CENTROID + CLASSES + f""" select class, {hu('pr', 4)} as precision, {hu('re', 4)} as recall,
