@@ -49,9 +49,9 @@ def group_summary(df: DataFrame, dimension: str, metric: str) -> DataFrame:
         F.sum("_v").alias("sum"), F.avg("_v").alias("mean"), F.count("_v").alias("count"),
         F.min("_v").alias("min"), F.max("_v").alias("max"),
     )
-    middle = exact_quantiles(src, ["category"], F.col("_v"), {"median": 0.5})
+    base = join_keys(base, exact_quantiles(src, ["category"], F.col("_v"), {"median": 0.5}), ["category"])
     total = src.agg(F.sum("_v").alias("t")).scalar()
-    return join_keys(base, middle, ["category"]).select(
+    return base.select(
         "category",
         half_up(F.col("sum"), 2).alias("sum"),
         half_up(F.col("mean"), 2).alias("mean"),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from framewright.functions.numbers import finite, half_up, percent, ratio
 from framewright.operators.aggregate import grouped, label, top_keys
 from framewright.operators.filters import systematic_sample
-from framewright.operators.scale import exact_quantiles, join_keys, one_row
+from framewright.operators.scale import exact_quantiles, join_keys, one_row, settle
 
 
 def bar(df: DataFrame, dimension: str, metric: str | None = None, agg: str = "sum", sort: str = "desc",
@@ -51,7 +51,9 @@ def box_plot(df: DataFrame, metric: str, group: str | None = None) -> DataFrame:
         "iqr": iqr, "low": F.greatest(F.col("min"), F.col("q1") - 1.5 * iqr),
         "high": F.least(F.col("max"), F.col("q3") + 1.5 * iqr),
     })
-    outside = join_keys(src, box.select("category", "low", "high"), ["category"]).groupBy("category").agg(
+    box, small = settle(box)
+    limits = box.select("category", "low", "high")
+    outside = join_keys(src, F.broadcast(limits) if small else limits, ["category"]).groupBy("category").agg(
         F.count_if((F.col("_v") < F.col("low")) | (F.col("_v") > F.col("high"))).alias("outliers")
     )
     numbers = ["min", "q1", "median", "q3", "max", "mean", "iqr", "low", "high"]

@@ -7,7 +7,7 @@ values), never more.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -46,72 +46,103 @@ def profiled_columns(df: DataFrame) -> list[str]:
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct trimmed values of every column with their count and how many were padded with blanks.
 
-    One unpivot and one shuffle keyed by (column, value): equal values are summed before the shuffle, so neither a
-    frequent value nor a wide table makes a hot task.
+    Columns of one kind (number, time, text) are unpivoted together and shuffled once by (column, value). Equal values
+    are summed before the shuffle, so neither a frequent value nor a wide table makes a hot task; each kind reads only
+    its own columns.
     """
     columns = columns or profiled_columns(df)
-    cells = []
-    for n in columns:
-        column, dtype = F.col(f"`{n}`"), df.schema[n].dataType
-        text, num, when, kind = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz"), "text"
-        if is_number(dtype):
-            num, kind = F.when(~F.isnan(column.cast("double")), column.cast("double")), "number"
-        elif is_time(dtype):
-            when, kind = column.cast("timestamp_ntz"), "time"
+    parts = []
+    for kind, test in (("number", is_number), ("time", is_time), ("text", lambda d: not is_number(d) and not is_time(d))):
+        names = [n for n in columns if test(df.schema[n].dataType)]
+        if not names:
+            continue
+        cast = {"number": "double", "time": "timestamp_ntz", "text": "string"}[kind]
+        long = df.select(*[F.col(f"`{n}`").cast(cast).alias(n) for n in names]).unpivot([], names, "column", "v")
+        flags = [n for n in names if isinstance(df.schema[n].dataType, T.BooleanType)]
+        if kind == "text":
+            trimmed = long.select("column", F.trim("v").alias("value"), (F.col("v") != F.trim("v")).alias("p"))
+            counted = trimmed.groupBy("column", "value").agg(F.count("*").alias("n"), F.count_if("p").alias("padded"))
         else:
-            text, kind = column.cast("string"), "bool" if isinstance(dtype, T.BooleanType) else "text"
-        cells.append(
-            F.struct(
-                F.lit(kind).alias("kind"), F.trim(text).alias("value"), num.alias("num"), when.alias("at"),
-                F.coalesce(text != F.trim(text), F.lit(False)).alias("is_padded"),
-            ).alias(n)
-        )
-    long = df.select(*cells).unpivot([], columns, "column", "cell").select("column", "cell.*")
-    return long.groupBy("column", "kind", "value", "num", "at").agg(
-        F.count("*").alias("n"), F.count_if("is_padded").alias("padded")
-    )
+            v = F.when(~F.isnan("v"), F.col("v")) if kind == "number" else F.col("v")
+            counted = long.select("column", v.alias("v")).groupBy("column", "v").agg(F.count("*").alias("n"))
+            counted = counted.withColumn("padded", F.lit(0).cast("long"))
+        parts.append(counted.select(
+            "column", F.when(F.col("column").isin(flags), "bool").otherwise(kind).alias("kind") if flags else F.lit(kind).alias("kind"),
+            (F.col("value") if kind == "text" else F.lit(None).cast("string")).alias("value"),
+            (F.col("v") if kind == "number" else F.lit(None).cast("double")).alias("num"),
+            (F.col("v") if kind == "time" else F.lit(None).cast("timestamp_ntz")).alias("at"), "n", "padded",
+        ))
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+FACT_SUMS = ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n", "uuid_n", "code_n")
 
 
-def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column from counted values: counts, logical type, flags, dominance, variants, dates."""
+def _text_cells(counts: DataFrame) -> DataFrame:
+    """Text values folded to lower case, one row per (column, folded value) with what its spellings look like."""
     n, value = F.col("n"), F.col("value")
     folded = F.lower(value)
-    is_missing = (value.isNull() & F.col("num").isNull() & F.col("at").isNull()) | folded.isin(["", *PROFILE_WORDS])
-    is_missing = F.coalesce(is_missing, F.lit(False))
-    day = F.coalesce(F.col("at"), parse_date(value))
-    number = F.coalesce(F.col("num"), to_number(value))
-    plain = F.coalesce(F.col("num"), to_number(value, PLAIN_SYMBOLS))
-    shaped = F.col("at").isNotNull() | (value.rlike(DATE_SHAPE) & (day > F.lit("1970-01-01").cast("timestamp_ntz")))
-    dated = F.col("at").isNotNull() | (day.isNotNull() & (F.length(value) >= 6) & ~value.rlike("^[0-9]+$"))
-    flag = folded.isin(BOOLEAN_WORDS) | F.col("num").isin([0.0, 1.0])
-    shown = F.coalesce(value, plain_text(F.col("num")), F.col("at").cast("string"))
+    gone = F.coalesce(value.isNull() | folded.isin(["", *PROFILE_WORDS]), F.lit(False))
+    day = parse_date(value)
     ok = ~F.col("gone")
 
     def rows(test: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.coalesce(test, F.lit(False)) & ok, n)), F.lit(0))
 
-    marked = counts.withColumns({"gone": is_missing, "folded": folded, "shown": shown, "day": day, "number": number})
-    spelled = marked.groupBy("column", "kind", "folded", "num", "at", "gone").agg(
+    shaped = value.rlike(DATE_SHAPE) & (F.col("day") > F.lit("1970-01-01").cast("timestamp_ntz"))
+    dated = F.col("day").isNotNull() & (F.length(value) >= 6) & ~value.rlike("^[0-9]+$")
+    marked = counts.where(F.col("kind").isin("text", "bool")).withColumns({"gone": gone, "folded": folded, "day": day})
+    return marked.groupBy("column", "kind", "folded", "gone").agg(
         F.sum("n").alias("n"), F.sum("padded").alias("padded"), F.count("*").alias("spellings"),
-        rows(flag).alias("flag_n"), rows(folded.isin(EXPLICIT_WORDS) | (F.col("kind") == "bool")).alias("explicit_n"),
-        rows(folded.isin([*BOOLEAN_WORDS, "y", "n"]) | F.col("num").isin([0.0, 1.0])).alias("flag_word_n"),
-        rows(folded.rlike(UUID_SHAPE)).alias("uuid_n"), rows(folded.rlike(CODE_SHAPE)).alias("code_n"),
-        rows(plain.isNotNull()).alias("plain_n"), rows(F.col("number").isNotNull()).alias("number_n"),
-        rows(shaped).alias("shaped_n"), rows(dated).alias("dated_n"), F.min(F.when(ok, F.col("shown"))).alias("sample"),
-        F.max(n).alias("top_n"), F.min(F.when(ok, F.struct(-n, F.col("shown")))).alias("top"),
+        rows(folded.isin(BOOLEAN_WORDS)).alias("flag_n"),
+        rows(folded.isin(EXPLICIT_WORDS) | (F.col("kind") == "bool")).alias("explicit_n"),
+        rows(folded.isin([*BOOLEAN_WORDS, "y", "n"])).alias("flag_word_n"),
+        rows(to_number(value, PLAIN_SYMBOLS).isNotNull()).alias("plain_n"), rows(to_number(value).isNotNull()).alias("number_n"),
+        rows(shaped).alias("shaped_n"), rows(dated).alias("dated_n"), rows(folded.rlike(UUID_SHAPE)).alias("uuid_n"),
+        rows(folded.rlike(CODE_SHAPE)).alias("code_n"), F.min(F.when(ok, value)).alias("sample"),
         F.min(F.when(ok, F.col("day"))).alias("lo"), F.max(F.when(ok, F.col("day"))).alias("hi"),
+    ).drop("folded")
+
+
+def _typed_cells(counts: DataFrame) -> DataFrame:
+    """Numbers and times in the shape of ``_text_cells``; every value is its own group already."""
+    n, num, at = F.col("n"), F.col("num"), F.col("at")
+    number, none = F.col("kind") == "number", F.lit(0).cast("long")
+    ok = num.isNotNull() | at.isNotNull()
+    flag = F.when(num.isin([0.0, 1.0]), n).otherwise(0)
+    return counts.where(F.col("kind").isin("number", "time")).select(
+        "column", "kind", (~ok).alias("gone"), "n", "padded", F.lit(1).cast("long").alias("spellings"), flag.alias("flag_n"),
+        none.alias("explicit_n"), flag.alias("flag_word_n"), F.when(number & ok, n).otherwise(0).alias("plain_n"),
+        F.when(number & ok, n).otherwise(0).alias("number_n"), F.when(~number & ok, n).otherwise(0).alias("shaped_n"),
+        F.when(~number & ok, n).otherwise(0).alias("dated_n"), none.alias("uuid_n"), none.alias("code_n"),
+        at.alias("lo"), at.alias("hi"),
     )
+
+
+def _per_column(cells: DataFrame, sample: Column) -> DataFrame:
+    ok = ~F.col("gone")
     live = F.when(ok, F.col("n"))
-    sums = {c: F.sum(c) for c in ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n", "uuid_n",
-                                    "code_n")}
-    per = spelled.groupBy("column", "kind").agg(
+    return cells.groupBy("column", "kind").agg(
         F.sum("n").alias("total"), F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum(F.when(ok, F.col("spellings"))), F.lit(0)).alias("distinct"), F.sum("padded").alias("padded"),
-        *[F.coalesce(e, F.lit(0)).alias(c) for c, e in sums.items()],
-        F.min("top").alias("top"), F.min("sample").alias("sample"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FACT_SUMS], sample.alias("sample"),
         F.coalesce(F.sum(F.when(F.col("spellings") > 1, live)), F.lit(0)).alias("variant_rows"),
         F.count_if((F.col("spellings") > 1) & ok).alias("variant_groups"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
+
+
+def column_facts(counts: DataFrame, columns: list[str], tops: DataFrame | None = None) -> DataFrame:
+    """One row per column from counted values: counts, logical type, flags, dominance, variants, dates.
+
+    Numbers and times aggregate fixed-width values only; the text part is aggregated apart, so its strings slow nothing
+    else down. ``tops`` are the top values when they are known already.
+    """
+    per = _per_column(_text_cells(counts), F.min("sample")).unionByName(
+        _per_column(_typed_cells(counts), F.max(F.lit(None).cast("string")))
+    )
+    first = (tops if tops is not None else top_values(counts, 1)).where(F.col("rank") == 1)
+    per = per.join(F.broadcast(first.select("column", F.col("value").alias("shown"), F.col("count").alias("top_n"))),
+                   "column", "left")
     valid, distinct, total = F.col("valid"), F.col("distinct"), F.col("total")
     share = distinct / valid
     id_like = F.lower("sample").rlike("id|^[a-z0-9_-]{6,}$")
@@ -127,7 +158,7 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
     looks_text = F.col("type").isin("text", "categorical") & (valid > 0)
     to_num, to_day = F.col("number_n") / valid, F.col("dated_n") / valid
     is_id = (F.col("column").rlike(ID_NAME) & (distinct > total * 0.7)) | ((distinct == total) & (total > 5))
-    top_n = -F.col("top.col1")
+    top_n = F.col("top_n")
     is_day = F.col("type") == "datetime"
     positions = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
     return (
@@ -141,7 +172,7 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
                 looks_text & (to_day >= 0.85), half_up(to_day * 100)).otherwise(100.0).alias("confidence"),
             is_id.alias("is_id"),
             ((distinct > 20) & (percent(distinct, total) > 80) & ~is_id).alias("is_high_cardinality"),
-            F.col("top.shown").alias("top_value"), F.coalesce(top_n, F.lit(0)).cast("long").alias("top_count"),
+            F.col("shown").alias("top_value"), F.coalesce(top_n, F.lit(0)).cast("long").alias("top_count"),
             percent(F.coalesce(top_n, F.lit(0)), valid).alias("dominant_pct"), (distinct == 1).alias("is_constant"),
             ((percent(F.coalesce(top_n, F.lit(0)), valid) >= 95) & (distinct > 1)).alias("is_near_constant"),
             "variant_rows", "variant_groups", "sample",
@@ -157,17 +188,21 @@ def column_facts(counts: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def shown(value: Column, num: Column, at: Column) -> Column:
+    """A cell as display text."""
+    return F.coalesce(value, plain_text(num), at.cast("string"))
+
+
 def top_values(counts: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` values per column by count, ties by value. The rank limit is applied before the shuffle."""
-    shown = F.coalesce(F.col("value"), plain_text(F.col("num")), F.col("at").cast("string"))
     folded = F.lower(F.col("value"))
-    live = counts.withColumn("shown", shown).where(
-        F.col("shown").isNotNull() & ~F.coalesce(folded.isin(["", *PROFILE_WORDS]), F.lit(False))
-    )
-    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("shown"))
-    ranked = live.select("column", "shown", "n", F.row_number().over(order).alias("rank"))
-    return ranked.where(F.col("rank") <= top).select(
-        "column", F.col("rank").cast("long").alias("rank"), F.col("shown").alias("value"), F.col("n").alias("count")
+    filled = F.col("value").isNotNull() | F.col("num").isNotNull() | F.col("at").isNotNull()
+    live = counts.where(filled & ~F.coalesce(folded.isin(["", *PROFILE_WORDS]), F.lit(False)))
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), "num", "at", "value")
+    ranked = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select(
+        "column", F.col("rank").cast("long").alias("rank"), shown(F.col("value"), F.col("num"), F.col("at")).alias("value"),
+        F.col("n").alias("count"),
     )
 
 
@@ -256,8 +291,10 @@ class Profile:
     def _counted(self) -> tuple[list, list]:
         counts = value_counts(self.df, self.names).persist()
         try:
-            facts = [r.asDict() for r in column_facts(counts, self.names).collect()]
-            tops = [tuple(r) for r in top_values(counts).collect()]
+            best = top_values(counts)
+            tops = [tuple(r) for r in best.collect()]
+            known = self.df.sparkSession.createDataFrame(tops, best.schema)
+            facts = [r.asDict() for r in column_facts(counts, self.names, known).collect()]
         finally:
             counts.unpersist()
         return sorted(facts, key=lambda r: r["position"]), tops

@@ -17,6 +17,7 @@ from framewright.functions.numbers import finite
 from framewright.session import ensure_checkpoint_dir
 
 SKETCH_ACCURACY = 20_000
+SMALL_ROWS = 10_000
 
 
 def one_row(row: DataFrame) -> Column:
@@ -38,6 +39,23 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(named, match, how).drop(*["_r_" + k for k in keys])
 
 
+def settle(aggregate: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Run an aggregate that is expected to be small: (local rows, True), or the unchanged plan and False beyond ``limit``.
+
+    This is the size check behind every broadcast of a per-group table: at most ``limit`` rows ever reach the driver.
+    """
+    rows = aggregate.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return aggregate, False
+    return aggregate.sparkSession.createDataFrame(rows, aggregate.schema), True
+
+
+def join_small(left: DataFrame, aggregate: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``join_keys`` that broadcasts the aggregate when it turns out small, and joins by shuffle when not."""
+    rows, small = settle(aggregate)
+    return join_keys(left, F.broadcast(rows) if small else rows, keys, how)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -59,17 +77,21 @@ def exact_quantiles(
     for p in probs.values():
         cuts += [max(0.0, p - margin), min(1.0, p + margin)]
     marks = src.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, accuracy).alias("_cuts"), F.count("*").alias("_n"), F.min("_v").alias("_least"),
-        F.max("_v").alias("_most"),
+        F.percentile_approx("_v", [*cuts, 0.0, 1.0], accuracy).alias("_cuts"), F.count("*").alias("_n")
     )
-    whole = F.array(*[F.col("_least"), F.col("_most")] * len(probs))
-    marks = marks.select(*keys, F.when(F.col("_n") > accuracy, F.col("_cuts")).otherwise(whole).alias("_cuts"), "_n")
-    if keys:
-        joined = join_keys(src, marks.drop("_n"), keys)
+    near = F.col("_n") > accuracy
+    ends = [
+        F.when(near, F.col("_cuts")[i]).otherwise(F.col("_cuts")[len(cuts) + i % 2]).alias(f"_c{i}")
+        for i in range(len(cuts))
+    ]
+    side, small = settle(marks.select(*keys, *ends))
+    edges = [f"_c{i}" for i in range(len(cuts))]
+    if not keys:
+        joined = src.withColumn("_o", one_row(side)).select("_v", *[F.col(f"_o.{e}").alias(e) for e in edges])
     else:
-        joined = src.withColumn("_cuts", marks.select("_cuts").scalar())
-    v, c = F.col("_v"), F.col("_cuts")
-    brackets = [(c[2 * i], c[2 * i + 1]) for i in range(len(probs))]
+        joined = join_keys(src, F.broadcast(side) if small else side, keys)
+    v = F.col("_v")
+    brackets = [(F.col(edges[2 * i]), F.col(edges[2 * i + 1])) for i in range(len(probs))]
     inside = reduce(or_, [(v >= lo) & (v <= hi) for lo, hi in brackets])
     tops = [F.when(v > hi, hi) for _, hi in brackets]
     below = F.greatest(*tops) if len(tops) > 1 else tops[0]
@@ -92,10 +114,9 @@ def exact_quantiles(
         for part, rank in (("f", F.floor(place)), ("c", F.ceil(place))):
             hit = (rank >= F.col("_lo")) & (rank < F.col("_hi"))
             picks.append(F.max(F.when(hit, known)).alias(f"_{part}{i}"))
-        spread = (F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p)))
+        spread = place - F.floor(place)
         finals.append((F.col(f"_f{i}") * (1 - spread) + F.col(f"_c{i}") * spread).alias(name))
-    grouped = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
-    return grouped.select(*keys, *finals)
+    return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks).select(*keys, *finals)
 
 
 def ordered_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
