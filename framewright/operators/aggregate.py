@@ -114,7 +114,8 @@ def dense_grid(cells: DataFrame, amount: str, rows: int, columns: int, by: str |
     xs, ys = top_keys(cells, "row_value", rows, F.col(by)), top_keys(cells, "column_value", columns, F.col(by))
     ys_list = ys.agg(F.collect_list("column_value").alias("ys")).scalar()
     grid = xs.withColumn("column_value", F.explode(ys_list))
-    return F.broadcast(grid).join(cells, ["row_value", "column_value"], "left").na.fill(0, [amount])
+    kept = cells.join(F.broadcast(xs), "row_value", "left_semi").join(F.broadcast(ys), "column_value", "left_semi")
+    return grid.join(kept, ["row_value", "column_value"], "left").na.fill(0, [amount])
 
 
 def heatmap(df: DataFrame, rows: str, columns: str, metric: str | None = None, top: int = 15) -> DataFrame:

@@ -19,6 +19,13 @@ def _number(df: DataFrame, name: str) -> Column:
     return column if is_number(df.schema[name].dataType) else to_number(column)
 
 
+def _as_float(value) -> float | None:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return None
+
+
 def condition(df: DataFrame, name: str, op: str, value) -> Column:
     """One predicate. Numeric columns compare as numbers, so the test reaches the scan; text ignores case."""
     column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
@@ -31,12 +38,13 @@ def condition(df: DataFrame, name: str, op: str, value) -> Column:
     if op == "in":
         wanted = [v.strip() for v in value.split(",")] if isinstance(value, str) else list(value)
         if is_number(dtype):
-            return column.isin([float(v) for v in wanted])
+            return column.isin([n for n in map(_as_float, wanted) if n is not None])
         return F.lower(column.cast("string")).isin([str(v).lower() for v in wanted])
     if op not in ("eq", "neq"):
         raise ValueError(f"unknown operator {op}")
     if is_number(dtype):
-        same = column == F.lit(float(value))
+        number = _as_float(value)
+        same = column == F.lit(number) if number is not None else column.isNull() & F.lit(False)
     elif is_time(dtype):
         same = column == F.lit(value).cast(dtype)
     else:
@@ -85,13 +93,13 @@ def rows_missing(df: DataFrame, level: str = "basic") -> DataFrame:
 
 def repeated_rows(df: DataFrame) -> DataFrame:
     """Each repeated row once with the number of its copies. Counting is map-side, so copies never meet in a task."""
-    return df.groupBy(*df.columns).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies")).where(F.col("_copies") > 1)
 
 
 def rows_duplicate(df: DataFrame) -> DataFrame:
     """All copies of every repeated row. The join key is a hash; all columns are compared null-safely after it."""
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    repeated = repeated_rows(df).drop("copies").withColumn("_mark", mark)
+    repeated = repeated_rows(df).drop("_copies").withColumn("_mark", mark)
     other = repeated.select(F.col("_mark").alias("_m"), *[F.col(f"`{c}`").alias("_r_" + c) for c in df.columns])
     match = [F.col("_mark") == F.col("_m")]
     match += [F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) for c in df.columns]

@@ -335,8 +335,8 @@ class Profile:
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each repeated row; copies are counted map-side."""
-    return df.groupBy(*profiled_columns(df)).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates")
+    return df.groupBy(*[F.col(f"`{c}`") for c in profiled_columns(df)]).agg(F.count("*").alias("_copies")).agg(
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("long").alias("duplicates")
     )
 
 

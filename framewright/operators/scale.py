@@ -163,16 +163,17 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [r[0] for r in rows]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16,
+              hot: list | None = None) -> DataFrame:
     """Equi join on ``key`` (same name on both sides) with hot keys of the preserved side spread over ``salts`` tasks.
 
-    Hot keys are measured first; without any, this is the plain join. ``left`` and ``inner`` salt the left side and
+    Hot keys are measured first unless the caller names them; without any, this is the plain join. ``left`` and ``inner`` salt the left side and
     repeat the right side's few hot rows per salt; ``right`` is the mirror image.
     """
     if how == "right":
-        turned = skew_join(right, left, key, "left", salts)
+        turned = skew_join(right, left, key, "left", salts, hot)
         return turned.select(key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key])
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

@@ -14,7 +14,7 @@ from framewright.functions.numbers import finite, half_up, ratio, sample_kurtosi
 from framewright.functions.text import is_number
 from framewright.operators.aggregate import label
 from framewright.operators.profile import numbers_long
-from framewright.operators.scale import average_ranks, exact_quantiles, join_keys, one_row
+from framewright.operators.scale import average_ranks, exact_quantiles, join_keys, one_row, running_total
 
 PAIR_CHUNK = 400
 
@@ -158,30 +158,47 @@ def anova(df: DataFrame, group: str, metric: str, alpha: float = 0.05, compariso
 
 
 def contingency(df: DataFrame, rows: str, columns: str) -> DataFrame:
-    """Observed and expected counts over the dense grid of two categorical columns, blanks left out.
-
-    The grid is built from the two lists of distinct values, whose product the test needs by definition.
-    """
+    """Observed cells of two categorical columns with their margins, blanks left out; absent cells are zero."""
     src = df.select(label(df, rows).alias("r"), label(df, columns).alias("c")).where("r <> '(Empty)' and c <> '(Empty)'")
     seen = src.groupBy("r", "c").agg(F.count("*").alias("observed"))
     r_sum = seen.groupBy("r").agg(F.sum("observed").alias("row_total"))
     c_sum = seen.groupBy("c").agg(F.sum("observed").alias("column_total"))
-    names = c_sum.agg(F.collect_list(F.struct("c", "column_total")).alias("l")).scalar()
-    grid = r_sum.withColumn("_c", F.explode(names)).select("r", "row_total", "_c.c", "_c.column_total")
-    total = seen.agg(F.sum("observed").alias("t")).scalar()
-    full = grid.join(seen, ["r", "c"], "left").na.fill(0, ["observed"])
-    return full.withColumn("expected", F.col("row_total") * F.col("column_total") / total)
+    return seen.join(r_sum, "r").join(c_sum, "c")
+
+
+def _small_cells(r_sum: DataFrame, c_sum: DataFrame, total: Column) -> Column:
+    """Number of cells of the full grid with an expected count below 5, without building the grid.
+
+    A cell of row total r is small when its column total lies below 5 * n / r. Both margins are laid on one axis and the
+    columns below each limit are a running count.
+    """
+    limits = r_sum.select((5.0 * total / F.col("row_total")).alias("at"), F.lit(0).alias("kind")).groupBy("at", "kind").agg(
+        F.count("*").alias("rows"))
+    totals = c_sum.select(F.col("column_total").cast("double").alias("at"), F.lit(1).alias("kind")).groupBy("at", "kind").agg(
+        F.count("*").alias("columns"))
+    axis = limits.withColumn("columns", F.lit(0).cast("long")).unionByName(totals.withColumn("rows", F.lit(0).cast("long")))
+    below = running_total(axis, [], [F.col("at"), F.col("kind")], F.col("columns"), "below")
+    return below.agg(F.coalesce(F.sum(F.col("rows") * F.col("below")), F.lit(0)).alias("small")).scalar()
 
 
 def chi_square(df: DataFrame, rows: str, columns: str, alpha: float = 0.05, comparisons: int = 1) -> DataFrame:
-    """Pearson's test of independence with Cramer's V and the expected-count check."""
+    """Pearson's test of independence with Cramer's V and the expected-count check.
+
+    Only observed cells are visited: the empty ones add their expected counts, which is what the observed ones leave of n.
+    """
     c = F.col
-    gap = F.pow(c("observed") - c("expected"), F.lit(2)) / c("expected")
-    sums = contingency(df, rows, columns).agg(
-        F.sum(gap).alias("chi2"), F.countDistinct("r").alias("nr"), F.countDistinct("c").alias("nc"),
-        F.sum("observed").alias("n"), F.count_if(c("expected") < 5).alias("small"), F.count("*").alias("cells"),
-    ).where("nr >= 2 and nc >= 2")
-    sums = sums.withColumn("df", ((c("nr") - 1) * (c("nc") - 1)).cast("double"))
+    seen = contingency(df, rows, columns)
+    r_sum = seen.groupBy("r").agg(F.sum("observed").alias("row_total"))
+    c_sum = seen.groupBy("c").agg(F.sum("observed").alias("column_total"))
+    total = seen.agg(F.sum("observed").alias("t")).scalar()
+    expected = c("row_total") * c("column_total") / total
+    gap = F.pow(c("observed") - expected, F.lit(2)) / expected
+    sums = seen.agg(F.sum(gap).alias("seen_part"), F.sum(expected).alias("seen_expected"), F.sum("observed").alias("n"))
+    sums = sums.withColumns({
+        "nr": r_sum.agg(F.count("*").alias("n")).scalar(), "nc": c_sum.agg(F.count("*").alias("n")).scalar(),
+        "chi2": c("seen_part") + c("n") - c("seen_expected"), "small": _small_cells(r_sum, c_sum, total),
+    }).where("nr >= 2 and nc >= 2")
+    sums = sums.withColumns({"df": ((c("nr") - 1) * (c("nc") - 1)).cast("double"), "cells": c("nr") * c("nc")})
     v = F.sqrt(c("chi2") / (c("n") * F.least(c("nr") - 1, c("nc") - 1)))
     exact = sums.withColumn("p", pv.chi2_exact("chi2", "df"))
     return exact.select(

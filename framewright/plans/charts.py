@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from framewright.functions.numbers import half_up
 from framewright.functions.text import is_time
 from framewright.operators import aggregate, charts, temporal
-from framewright.operators.filters import filter_all
+from framewright.operators.filters import filter_all, slice_rows
 from framewright.operators.scale import exact_quantiles
 
 # The chart types and which of them show a plain category aggregate.
@@ -50,6 +50,13 @@ def chart_data(df: DataFrame, spec: ChartSpec) -> DataFrame:
     return reference_line(out, spec) if spec.reference_line != "none" and "value" in out.columns else out
 
 
+def dashboard_rows(df: DataFrame, slicers: dict[str, object], filters: tuple = (), date: str | None = None,
+                   preset: str = "all_time") -> DataFrame:
+    """Rows a dashboard shows: slicers, chart filters and the global date preset together."""
+    kept = slice_rows(df, slicers, [(c, FILTER_OPS[op], v) for c, op, v in filters])
+    return temporal.in_preset(kept, date, preset) if date else kept
+
+
 def _dispatch(df: DataFrame, s: ChartSpec) -> DataFrame:
     kind, metric, top = s.type, s.y or s.x, s.top
     if kind == "kpi_card":

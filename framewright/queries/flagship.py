@@ -15,7 +15,8 @@ def segment_revenue(t: Tables):
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("cust_id"), "o_orderdate"
     )
     customers = t.customer.select(F.col("c_custkey").alias("cust_id"), F.col("c_mktsegment").alias("segment"))
-    joined = safe_join(safe_join(lines, orders, "order_id", "order_id"), customers, "cust_id", "cust_id")
+    bought = safe_join(orders, customers, "cust_id", "cust_id").drop("cust_id")
+    joined = safe_join(lines, bought, "order_id", "order_id")
     points = periods(joined, "o_orderdate", "revenue", "sum", "monthly", ["segment"])
     out = with_running(points, "monthly", 3, ["segment"])
     return out.select("segment", "period", "value", "records", "growth_pct", "cumulative", "moving_avg")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from framewright.functions.numbers import compact
 from framewright.operators import charts as c, drivers as d, insights as i, keys as k, profile as p, temporal as tm
 from framewright.plans.analysis import run_plan
-from framewright.plans.charts import ChartSpec, chart_data
+from framewright.plans.charts import ChartSpec, chart_data, dashboard_rows
 from framewright.queries.calendar import points_sql, running_sql
 from framewright.queries.profile_sql import audit_ctes, facts_ctes
 from framewright.queries.registry import Tables, hu, query
@@ -214,3 +214,11 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", compact(F.col("o_totalprice"), "$").alias("shown"))
 
 
+
+
+@query("dashboard_rows", """select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 100000
+  and o_orderdate >= date_trunc('year', (select max(o_orderdate) from orders where o_orderstatus = 'F' and o_totalprice > 100000))""")
+def _(t: Tables):
+    rows = dashboard_rows(t.orders, {"o_orderstatus": "F", "o_orderpriority": "ALL"}, (("o_totalprice", "greater_than", 100000),),
+                          "o_orderdate", "this_year")
+    return rows.select("o_orderkey", "o_totalprice")

@@ -2,6 +2,8 @@
 
 from framewright.operators import stats as s
 from framewright.queries.registry import Tables, hu, query
+from framewright.session import work_folder
+from framewright.sources.files import read_csv_like, write_csv
 
 PI = "3.141592653589793"
 
@@ -254,3 +256,11 @@ def _(t: Tables):
   select 'anova' as test, f_statistic as statistic, p_approx from anova""")
 def _(t: Tables):
     return s.test_by_groups(t.orders, "o_orderpriority", "o_totalprice").drop("p_value", "is_significant")
+
+
+@query("statistics_export", describe_sql("part", ["p_size", "p_retailprice"]))
+def _(t: Tables):
+    table = s.describe(t.part, ["p_size", "p_retailprice"])
+    path = work_folder(t.spark, "statistics")
+    write_csv(table, path)
+    return read_csv_like(t.spark, path, table)
