@@ -11,9 +11,13 @@ NUMBER_SYNTAX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def half_up(value: Column, digits: int = 0) -> Column:
-    """Round half towards positive infinity at ``digits`` decimals, as a double."""
+    """Round half towards positive infinity at ``digits`` decimals, as a double.
+
+    Four more digits are rounded first: a sum that is a half but for its last bits then rounds the same way in whatever
+    order its rows were added.
+    """
     scale = float(10**digits)
-    return F.floor(value.cast("double") * scale + 0.5).cast("double") / scale
+    return F.floor(F.round(value.cast("double") * scale, 4) + 0.5).cast("double") / scale
 
 
 def to_number(text: Column, symbols: str = NUMBER_SYMBOLS) -> Column:

@@ -177,7 +177,7 @@ def _(t: Tables):
 
 
 @query("clean_impossible", """with c as (select customer_name, case when age between 0 and 130 then age end as age from dirty_customer)
-  select customer_name, coalesce(age, (select floor(median(age)*100+0.5)/100 from c))::double as age from c""")
+  select customer_name, coalesce(age, (select floor(round(median(age)*100, 4)+0.5)/100 from c))::double as age from c""")
 def _(t: Tables):
     h = cl.History(t.dirty_customer).do(cl.ClearCells("age", 0, 130)).do(cl.Impute("age", "median"))
     return h.current().select("customer_name", "age")
@@ -239,9 +239,9 @@ def _(t: Tables):
   k as (select * exclude (r) from (select *, row_number() over (partition by customer_id order by customer_name, age) as r from t)
     where r = 1),
   g as (select *, case when not (age > 130) then age end as age1 from k),
-  i as (select * replace (coalesce(age1, (select floor(median(age1)*100+0.5)/100 from g))::double as age1) from g),
+  i as (select * replace (coalesce(age1, (select floor(round(median(age1)*100, 4)+0.5)/100 from g))::double as age1) from g),
   n as (select *, case when not (age1 < 0) then age1 end as age2 from i)
-  select customer_id, customer_name, coalesce(age2, (select floor(median(age2)*100+0.5)/100 from n))::double as age, segment, country,
+  select customer_id, customer_name, coalesce(age2, (select floor(round(median(age2)*100, 4)+0.5)/100 from n))::double as age, segment, country,
     active from n""")
 def _(t: Tables):
     return clean_by_plan(p.profile(t.dirty_customer), ("customer_name",)).drop("balance_text")

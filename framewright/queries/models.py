@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from framewright.functions.numbers import half_up
 from framewright.operators import ml, profile as p
 from framewright.queries.profile_sql import facts_ctes
 from framewright.queries.registry import Tables, hu, query
@@ -26,7 +27,7 @@ LINEAR = f"""with s as (select p_partkey, p_partkey::double as a, p_size::double
 @query("linear_scorer", f"select p_partkey, {hu('prediction', 3)} as prediction from ({LINEAR})")
 def _(t: Tables):
     out = ml.linear_scorer(t.part, "p_retailprice", ["p_partkey", "p_size"], "p_partkey")
-    return out.select("p_partkey", (F.floor(F.col("prediction") * 1000 + 0.5) / 1000).alias("prediction"))
+    return out.select("p_partkey", half_up(F.col("prediction"), 3).alias("prediction"))
 
 
 @query("regression_metrics", f"""with x as ({LINEAR}), m as (select count(*) as n, avg((y-prediction)*(y-prediction)) as mse,

@@ -53,7 +53,7 @@ def _(t: Tables):
 
 for _table in ("dirty_orders", "dirty_customer", "dirty_events"):
     query(f"profile_numeric_{_table}", f"""with {numeric_ctes(_table, NUMERIC_COLUMNS[_table])}
-      select c as "column", n as count, min, max, mean, median, floor(variance+0.5) as variance, stddev, q1, q3, iqr, skewness, kurtosis, outliers,
+      select c as "column", n as count, min, max, mean, median, floor(round(variance, 4)+0.5) as variance, stddev, q1, q3, iqr, skewness, kurtosis, outliers,
         outlier_pct, z_outliers, negatives, over_100, over_130 from numeric_rows""")(
         lambda t, n=_table: p.numeric_profile(getattr(t, n), NUMERIC_COLUMNS[n]).withColumn(
             "variance", half_up(F.col("variance")))

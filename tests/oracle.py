@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -66,7 +67,7 @@ def compare(spark, con, folder: str, name: str) -> tuple[str, float, int]:
 
 
 if __name__ == "__main__":
-    folder = "/root/testdata/sf0.01"
+    folder = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark = local_session("8")
     con = connect(folder)
