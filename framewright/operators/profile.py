@@ -1,8 +1,8 @@
 """Column profiles: logical type, completeness, distribution, top values, spelling variants and dates.
 
-The data is read three times whatever the number of columns: once for the counted distinct values, once for moments and
-percentile brackets, once for fences and histogram bins. What reaches the driver is one row per column (ten for top
-values), never more.
+The number of passes does not depend on the number of columns: one for the counted distinct values (each kind of column
+reads its own), four over the numeric columns (moments, percentile sketch, bracket counts, fences) and one for repeated
+rows. What reaches the driver is one row per column (ten for top values), never more.
 """
 
 from __future__ import annotations
