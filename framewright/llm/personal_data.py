@@ -81,12 +81,13 @@ def fixed_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def form(token: str) -> str:
-    """The form of a token: runs of digits, of letters, and other signs as they are; lengths of long runs are rounded."""
+    """The form of a token: runs of digits, of letters, and other signs as they are; lengths count only for runs of
+    more than three digits."""
     out, at = [], 0
     for m in re.finditer(r"[0-9]+|[^\W\d_]+|[\W_]", token[:200]):
         x = m[0]
         kind = "9" if x[0].isdigit() else "a" if x[0].isalpha() else x
-        out.append(kind + (str(len(x)) if kind == "9" and len(x) > 1 else ""))
+        out.append(kind + (str(len(x)) if kind == "9" and len(x) > 3 else ""))
         at += 1
         if at == 12:
             break

@@ -50,9 +50,8 @@ def place(rows: DataFrame, key: str, names: list[str], slots: int = SLOTS) -> Da
     """The rows with ``slot`` and ``shard`` (an index into ``names``) in a struct ``placed``."""
     if "placed" in rows.columns:
         raise ValueError("the rows have a column placed already")
-    spark = rows.sparkSession
-    owners = lookup_table(names, slots)
-    seats = spark.createDataFrame(list(enumerate(owners)), "__slot int, __shard int")
-    joined = rows.join(F.broadcast(seats), slot_of(F.col(f"`{key}`"), slots) == F.col("__slot"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns],
-                         F.struct(F.col("__slot").alias("slot"), F.col("__shard").alias("shard")).alias("placed"))
+    seats = rows.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "slot int, shard int")
+    seats = seats.select(F.col("slot").alias("__slot"), F.struct("slot", "shard").alias("placed"))
+    boxed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"),
+                        slot_of(F.col(f"`{key}`"), slots).alias("__at"))
+    return boxed.join(F.broadcast(seats), F.col("__at") == F.col("__slot"), "left").select("__row.*", "placed")

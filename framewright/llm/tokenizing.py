@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -60,6 +61,17 @@ def byte_level_ids(path: str, text: str) -> np.ndarray:
     return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+#: Separators that Python takes for white space and the tokenizers do not.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def _chunks(text: str) -> list[str]:
+    """The chunks between Unicode white space."""
+    if any(c in text for c in SEPARATORS):
+        return [c for c in re.split(rf"[^\S{SEPARATORS}]+", text) if c]
+    return text.split()
+
+
 class WordIds(dict):
     """Ids of white-space separated chunks as little-endian bytes, kept per worker for at most ``limit`` chunks.
 
@@ -92,7 +104,7 @@ class WordIds(dict):
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for lo in range(0, len(texts), 32):
-            cut = [t.split() for t in texts[lo:lo + 32]]
+            cut = [_chunks(t) for t in texts[lo:lo + 32]]
             new = {c for chunks in cut for c in chunks if c not in self}
             if new:
                 self.learn(new)
