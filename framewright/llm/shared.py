@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from framewright.session import prepare, work_folder
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS = 256
+#: Bounds of one Arrow batch, so that a batch of very long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 8192, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """The session with small Arrow batches and a compressed codec for written tables."""
+    """The session with small Arrow batches."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

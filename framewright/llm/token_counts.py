@@ -12,6 +12,10 @@ null and empty texts have no tokens; null ids and repeated rows are counted like
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,85 +26,141 @@ from framewright.llm import tokenizing
 from framewright.llm.shared import written
 
 BLOCK_DOCS = 32_768
-BLOCK_CHARS = 24_000_000
-POSTING = "task int, block int, doc_id long, doc int, n_bytes long, known long, piece string, docs binary, times binary"
+BLOCK_CHARS = 40_000_000
+#: A blank before white space: there pre-tokens may reach over the blank, and the text is not split at blanks first.
+LOOSE = re.compile(r" (?=\s)")
+POSTING = "slot long, doc_id long, doc int, n_bytes long, known long, piece string, list binary"
 
 
+@cache
 def _pattern():
     import regex
 
     return regex.compile(tokenizing.PRE_TOKEN)
 
 
+@cache
+def single_pieces(path: str) -> frozenset[str]:
+    """The vocabulary entries that are text."""
+    out = []
+    for token in tokenizing.byte_level(path)._mergeable_ranks:
+        try:
+            out.append(token.decode("utf-8"))
+        except UnicodeDecodeError:
+            continue
+    return frozenset(out)
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
+class Block:
+    """Documents of a task until they are posted. A document is kept as its distinct chunks (stretches from blank to blank,
+    which begin with the blank as pre-tokens do) and their frequencies; chunks are cut into pre-tokens once per block."""
+
+    def __init__(self, path: str):
+        self.path, self.known, self.special = path, single_pieces(path), tokenizing.special_strings(path)
+        self.find = _pattern().findall
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows, self.chunks, self.chars = [], Numbers(), 0
+        self.which, self.times, self.sizes = [], [], []
+
+    def add(self, doc_id, text: str) -> None:
+        known, seen = 0, Counter()
+        if any(s in text for s in self.special):
+            known = len(tokenizing.library(self.path).encode(text, add_special_tokens=False).ids)
+        elif text:
+            first, *rest = [text] if LOOSE.search(text) else text.split(" ")
+            seen = Counter(rest)
+            seen[(first,)] = 1
+        self.which.append(np.fromiter(map(self.chunks.__getitem__, seen), np.int64, len(seen)))
+        self.times.append(np.fromiter(seen.values(), np.int64, len(seen)))
+        self.sizes.append(len(seen))
+        self.rows.append((doc_id, len(self.rows), len(text.encode()), known))
+        self.chars += len(text)
+
+    def cut(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The pre-tokens that need counting, and per chunk its known pieces, the end of its codes, and all codes."""
+        codes, known, ends, flat = Numbers(), [], [], []
+        for chunk in self.chunks:
+            sure = 0
+            for p in self.find(" " + chunk if isinstance(chunk, str) else chunk[0]):
+                if p in self.known:
+                    sure += 1
+                else:
+                    flat.append(codes[p])
+            known.append(sure)
+            ends.append(len(flat))
+        return list(codes), np.array(known, np.int64), np.array(ends, np.int64), np.array(flat, np.int64)
+
+    def full(self) -> bool:
+        return len(self.rows) >= BLOCK_DOCS or self.chars >= BLOCK_CHARS
+
+    def post(self, slot: int):
+        """Batches of the block's rows: documents, then one row per pre-token with its list of (document, frequency); an
+        entry of a list takes three bytes, and a frequency above 255 several entries."""
+        names = ["slot", "doc_id", "doc", "n_bytes", "known", "piece", "list"]
+        codes, known, ends, flat = self.cut()
+        which, times = np.concatenate(self.which), np.concatenate(self.times)
+        doc = np.repeat(np.arange(len(self.rows)), self.sizes)
+        sure = np.bincount(doc, known[which] * times, len(self.rows)).astype(np.int64)
+        for lo in range(0, len(self.rows), 10_000):
+            part = self.rows[lo:lo + 10_000]
+            n = len(part)
+            ids, at, size, more = zip(*part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, slot), pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()),
+                 pa.array(size, pa.int64()), pa.array(sure[lo:lo + n] + np.array(more)), pa.nulls(n, pa.string()),
+                 pa.nulls(n, pa.binary())], names)
+        if not codes:
+            return
+        n = np.diff(ends, prepend=0)[which]
+        first = (ends - np.diff(ends, prepend=0))[which]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        key, times = flat[place] << 16 | np.repeat(doc, n), np.repeat(times, n)
+        order = np.argsort(key, kind="stable")
+        key, times = key[order], times[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, times = key[start], np.add.reduceat(times, start)
+        more = -(-times // 255)
+        if (more > 1).any():
+            spread = np.repeat(np.arange(len(key)), more)
+            nth = np.arange(len(spread)) - np.repeat(np.cumsum(more) - more, more)
+            key, times = key[spread], np.minimum(times[spread] - 255 * nth, 255)
+        entry = np.empty((len(key), 3), np.uint8)
+        entry[:, 0], entry[:, 1], entry[:, 2] = key & 255, key >> 8 & 255, times
+        ends = 3 * np.cumsum(np.bincount(key >> 16, minlength=len(codes)))
+        pieces = pa.array(codes, pa.string())
+        lists = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(
+            np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(entry.tobytes())])
+        for lo in range(0, len(pieces), 10_000):
+            n = min(10_000, len(pieces) - lo)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, slot), pa.int64()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())],
+                 pieces.slice(lo, n), lists.slice(lo, n)], names)
+
+
 def postings(docs: DataFrame, path: str) -> DataFrame:
     """Rows of two kinds: one per document (bytes and the pieces counted at once), one per pre-token and block."""
 
     def run(batches):
-        task, find = TaskContext.get().partitionId(), _pattern().findall
-        vocabulary = tokenizing.byte_level(path)._mergeable_ranks
-        special = tokenizing.special_strings(path)
-        known = {}
-        for token in vocabulary:
-            try:
-                known[token.decode("utf-8")] = 1
-            except UnicodeDecodeError:
-                continue
-        block = 0
-
-        def emit(rows, codes, which, doc, times):
-            order = np.argsort(which := np.concatenate(which) if which else np.empty(0, np.int32), kind="stable")
-            doc = (np.concatenate(doc) if doc else np.empty(0, np.int32))[order].astype("<u2")
-            times = (np.concatenate(times) if times else np.empty(0, np.int64))[order].astype("<u4")
-            ends = np.cumsum(np.bincount(which, minlength=len(codes))) if len(codes) else np.empty(0, np.int64)
-            names = list(codes)
-            docs_blob, times_blob = doc.tobytes(), times.tobytes()
-            small = times.astype("u1").tobytes() if not len(times) or times.max() < 256 else None
-            n = len(rows)
-            for lo in range(0, n, 10_000):
-                part = rows[lo:lo + 10_000]
-                cols = list(zip(*part))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * len(part), pa.int32()), pa.array([block] * len(part), pa.int32()),
-                     *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-                     pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.binary())],
-                    ["task", "block", "doc_id", "doc", "n_bytes", "known", "piece", "docs", "times"])
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            for lo in range(0, len(names), 10_000):
-                part = names[lo:lo + 10_000]
-                spans = list(zip(starts[lo:lo + 10_000].tolist(), ends[lo:lo + 10_000].tolist()))
-                size = len(part)
-                width, blob = (1, small) if small is not None else (4, times_blob)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * size, pa.int32()), pa.array([block] * size, pa.int32()), pa.nulls(size, pa.int64()),
-                     pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
-                     pa.array(part, pa.string()), pa.array([docs_blob[2 * a:2 * b] for a, b in spans], pa.binary()),
-                     pa.array([blob[width * a:width * b] for a, b in spans], pa.binary())],
-                    ["task", "block", "doc_id", "doc", "n_bytes", "known", "piece", "docs", "times"])
-
-        rows, codes, which, doc, times, chars = [], {}, [], [], [], 0
+        block, slot = Block(path), TaskContext.get().partitionId() << 24
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
-                if any(s in text for s in special):
-                    sure, own = len(tokenizing.library(path).encode(text, add_special_tokens=False).ids), {}
-                else:
-                    sure, own = 0, {}
-                    for p in find(text):
-                        if p in known:
-                            sure += 1
-                        else:
-                            own[p] = own.get(p, 0) + 1
-                if own:
-                    which.append(np.fromiter((codes.setdefault(p, len(codes)) for p in own), np.int32, len(own)))
-                    doc.append(np.full(len(own), len(rows), np.int32))
-                    times.append(np.fromiter(own.values(), np.int64, len(own)))
-                rows.append((doc_id, len(rows), len(text.encode()), sure))
-                chars += len(text)
-                if len(rows) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                    yield from emit(rows, codes, which, doc, times)
-                    rows, codes, which, doc, times, chars, block = [], {}, [], [], [], 0, block + 1
-        if rows:
-            yield from emit(rows, codes, which, doc, times)
+                block.add(doc_id, text or "")
+                if block.full():
+                    yield from block.post(slot)
+                    block.reset()
+                    slot += 1
+        if block.rows:
+            yield from block.post(slot)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, POSTING)
 
@@ -118,42 +178,85 @@ def _encoded(pieces: DataFrame, path: str) -> DataFrame:
     return pieces.mapInArrow(run, "piece string, tokens int")
 
 
-def _summed(joined: DataFrame) -> DataFrame:
-    """(task, block, doc, n): for every task the posting lists of a batch times their token counts, summed per document."""
+def _sums(joined: DataFrame) -> DataFrame:
+    """(slot, docs, sums): posting lists times token counts, added up per block as far as a task sees them."""
 
     def run(batches):
-        sums: dict = {}
+        sums: dict[int, np.ndarray] = {}
+        held, rows = [], 0
+
+        def add():
+            slots = np.concatenate([h[0] for h in held])
+            data = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, 3)
+            n = np.concatenate([h[2] for h in held])
+            docs = data[:, 0].astype(np.int64) | data[:, 1].astype(np.int64) << 8
+            gain = data[:, 2].astype(np.int64) * np.repeat(np.concatenate([h[3] for h in held]), n)
+            names, of = np.unique(slots, return_inverse=True)
+            of = np.repeat(of, n)
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(len(names) + 1))
+            for i, name in enumerate(names.tolist()):
+                pick = order[cuts[i]:cuts[i + 1]]
+                got = np.bincount(docs[pick], gain[pick], BLOCK_DOCS).astype(np.int64)
+                sums[name] = sums[name] + got if name in sums else got
+            held.clear()
 
         def flush():
-            for (task, block), acc in sums.items():
+            for name, acc in sums.items():
                 docs = np.flatnonzero(acc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(docs), task), pa.int32()), pa.array(np.full(len(docs), block), pa.int32()),
-                     pa.array(docs, pa.int32()), pa.array(acc[docs], pa.int64())], ["task", "block", "doc", "n"])
+                    [pa.array([name], pa.int64()), pa.array([docs.astype("<u2").tobytes()], pa.binary()),
+                     pa.array([acc[docs].astype("<u4").tobytes()], pa.binary())], ["slot", "docs", "sums"])
             sums.clear()
 
         for batch in batches:
-            for task, block, docs, times, tokens in zip(*[batch.column(c).to_pylist() for c in
-                                                          ("task", "block", "docs", "times", "tokens")]):
-                d = np.frombuffer(docs, "<u2")
-                t = np.frombuffer(times, "u1" if len(times) == len(d) else "<u4")
-                acc = sums.get((task, block))
-                if acc is None:
-                    if len(sums) >= 256:
-                        yield from flush()
-                    acc = sums[task, block] = np.zeros(BLOCK_DOCS, np.int64)
-                acc[d] += t.astype(np.int64) * tokens
+            lists = batch.column("list")
+            n = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1])
+            held.append((batch.column("slot").to_numpy(), b"".join(lists.to_pylist()), n // 3, batch.column("tokens").to_numpy()))
+            rows += batch.num_rows
+            if rows >= 200_000 or sum(len(h[1]) for h in held[-1:]) > 8_000_000:
+                add()
+                rows = 0
+                if len(sums) >= 256:
+                    yield from flush()
+        if held:
+            add()
         yield from flush()
 
-    return joined.select("task", "block", "docs", "times", "tokens").mapInArrow(run, "task int, block int, doc int, n long")
+    return joined.select("slot", "list", "tokens").mapInArrow(run, "slot long, docs binary, sums binary")
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """(slot, doc, n): the parts of each block added up, one array at a time."""
+
+    def run(batches):
+        name, acc = None, None
+
+        def out():
+            docs = np.flatnonzero(acc)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), name), pa.int64()), pa.array(docs, pa.int32()),
+                                              pa.array(acc[docs], pa.int64())], ["slot", "doc", "n"])
+
+        for batch in batches:
+            for slot, docs, sums in zip(*[batch.column(c).to_pylist() for c in ("slot", "docs", "sums")]):
+                if slot != name:
+                    if name is not None:
+                        yield from out()
+                    name, acc = slot, np.zeros(BLOCK_DOCS, np.int64)
+                acc[np.frombuffer(docs, "<u2")] += np.frombuffer(sums, "<u4")
+        if name is not None:
+            yield from out()
+
+    dealt = parts.repartition("slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "slot long, doc int, n long")
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens."""
     rows = written(postings(docs, path), "postings")
-    posted = rows.where(F.col("piece").isNotNull()).select("task", "block", "piece", "docs", "times")
+    posted = rows.where(F.col("piece").isNotNull()).select("slot", "piece", "list")
     counted = _encoded(posted.select("piece").distinct(), path)
-    sums = _summed(posted.join(counted, "piece")).groupBy("task", "block", "doc").agg(F.sum("n").alias("n"))
-    each = rows.where(F.col("piece").isNull()).select("task", "block", "doc", "doc_id", "n_bytes", "known")
-    return each.join(sums, ["task", "block", "doc"], "left").select(
+    totals = _totals(_sums(posted.join(counted, "piece")))
+    each = rows.where(F.col("piece").isNull()).select("slot", "doc", "doc_id", "n_bytes", "known")
+    return each.join(totals, ["slot", "doc"], "left").select(
         "doc_id", "n_bytes", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_tokens"))
