@@ -2,9 +2,13 @@
 
 The tokenizer never merges across pre-tokens, so a document's count is the sum over its pre-tokens. Tasks count the pre-tokens of
 their documents; a pre-token that is itself a vocabulary entry is one piece and is summed on the spot (the vocabulary is a
-fixed table). Of the others a task emits, per pre-token, one short posting list of (document, frequency), so a word that occurs everywhere
-costs a task one row. Distinct pre-tokens are encoded once in the whole corpus, joined to the postings, and the products summed
-per document. Posting lists are cut at BLOCK_DOCS documents, so every row is small and a hot word's rows can be split.
+fixed table). Of the others a task emits, per pre-token and block of documents, one row with its list of (document, frequency).
+These rows are dealt and sorted by pre-token, so each distinct one is encoded once, where its lists are, and joined to them in
+place: only lists travel, once, and neither counts nor ids do. The products are added up per block, and the blocks' parts
+per document.
+
+Hot words: a block has at most BLOCK_DOCS documents, so a list is at most 96 KB; the rows of long lists are salted by block, which
+costs such a word at most SALTS encodings instead of one. Nothing is broadcast.
 
 Texts with a special string inside are counted by the library directly, as such strings stand outside the pre-tokens. Edge cases:
 null and empty texts have no tokens; null ids and repeated rows are counted like any row; an empty table gives no rows.
@@ -23,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import tokenizing
-from framewright.llm.shared import written
 
 BLOCK_DOCS = 32_768
-BLOCK_CHARS = 40_000_000
+BLOCK_CHARS = 16_000_000
+LONG_LIST, SALTS = 256, 64
 #: A blank before white space: there pre-tokens may reach over the blank, and the text is not split at blanks first.
 LOOSE = re.compile(r" (?=\s)")
-POSTING = "slot long, doc_id long, doc int, n_bytes long, known long, piece string, list binary"
+POSTING = "slot long, piece string, salt int, list binary"
+#: A document inside a row of documents: its id and whether that is null, bytes of text, pieces known at once.
+OWN = np.dtype([("doc_id", "<i8"), ("missing", "u1"), ("n_bytes", "<i8"), ("known", "<i8")])
 
 
 @cache
@@ -83,7 +89,7 @@ class Block:
         self.which.append(np.fromiter(map(self.chunks.__getitem__, seen), np.int64, len(seen)))
         self.times.append(np.fromiter(seen.values(), np.int64, len(seen)))
         self.sizes.append(len(seen))
-        self.rows.append((doc_id, len(self.rows), len(text.encode()), known))
+        self.rows.append((doc_id, len(text.encode()), known))
         self.chars += len(text)
 
     def cut(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -104,21 +110,19 @@ class Block:
         return len(self.rows) >= BLOCK_DOCS or self.chars >= BLOCK_CHARS
 
     def post(self, slot: int):
-        """Batches of the block's rows: documents, then one row per pre-token with its list of (document, frequency); an
-        entry of a list takes three bytes, and a frequency above 255 several entries."""
-        names = ["slot", "doc_id", "doc", "n_bytes", "known", "piece", "list"]
+        """Batches of the block's rows: its documents (no piece), then one row per pre-token with its list of (document,
+        frequency); an entry takes three bytes, and a frequency above 255 several entries."""
+        names = ["slot", "piece", "salt", "list"]
         codes, known, ends, flat = self.cut()
         which, times = np.concatenate(self.which), np.concatenate(self.times)
         doc = np.repeat(np.arange(len(self.rows)), self.sizes)
-        sure = np.bincount(doc, known[which] * times, len(self.rows)).astype(np.int64)
-        for lo in range(0, len(self.rows), 10_000):
-            part = self.rows[lo:lo + 10_000]
-            n = len(part)
-            ids, at, size, more = zip(*part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, slot), pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()),
-                 pa.array(size, pa.int64()), pa.array(sure[lo:lo + n] + np.array(more)), pa.nulls(n, pa.string()),
-                 pa.nulls(n, pa.binary())], names)
+        own = np.zeros(len(self.rows), OWN)
+        own["doc_id"] = [d or 0 for d, _, _ in self.rows]
+        own["missing"] = [d is None for d, _, _ in self.rows]
+        own["n_bytes"] = [n for _, n, _ in self.rows]
+        own["known"] = np.bincount(doc, known[which] * times, len(own)) + [k for _, _, k in self.rows]
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.nulls(1, pa.string()), pa.array([slot % 8191], pa.int32()),
+                                          pa.array([own.tobytes()], pa.binary())], names)
         if not codes:
             return
         n = np.diff(ends, prepend=0)[which]
@@ -136,15 +140,15 @@ class Block:
             key, times = key[spread], np.minimum(times[spread] - 255 * nth, 255)
         entry = np.empty((len(key), 3), np.uint8)
         entry[:, 0], entry[:, 1], entry[:, 2] = key & 255, key >> 8 & 255, times
-        ends = 3 * np.cumsum(np.bincount(key >> 16, minlength=len(codes)))
+        size = np.bincount(key >> 16, minlength=len(codes))
+        salt = np.where(size > LONG_LIST, slot % SALTS, -1).astype(np.int32)
         pieces = pa.array(codes, pa.string())
         lists = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(
-            np.concatenate([[0], ends]).astype("<i4").tobytes()), pa.py_buffer(entry.tobytes())])
+            np.concatenate([[0], 3 * np.cumsum(size)]).astype("<i4").tobytes()), pa.py_buffer(entry.tobytes())])
         for lo in range(0, len(pieces), 10_000):
             n = min(10_000, len(pieces) - lo)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, slot), pa.int64()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())],
-                 pieces.slice(lo, n), lists.slice(lo, n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slot), pa.int64()), pieces.slice(lo, n),
+                                              pa.array(salt[lo:lo + n]), lists.slice(lo, n)], names)
 
 
 def postings(docs: DataFrame, path: str) -> DataFrame:
@@ -165,21 +169,9 @@ def postings(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, POSTING)
 
 
-def _encoded(pieces: DataFrame, path: str) -> DataFrame:
-    """The number of tokens of each distinct pre-token, by the library."""
-
-    def run(batches):
-        tokenizer = tokenizing.library(path)
-        for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column("piece").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array([len(e.ids) for e in found], pa.int32())],
-                                             ["piece", "tokens"])
-
-    return pieces.mapInArrow(run, "piece string, tokens int")
-
-
-def _sums(joined: DataFrame) -> DataFrame:
-    """(slot, docs, sums): posting lists times token counts, added up per block as far as a task sees them."""
+def _parts(dealt: DataFrame, path: str) -> DataFrame:
+    """(slot, docs, sums) from rows sorted by pre-token: each pre-token's count times its lists, added up per block as far as a
+    task sees them. Rows of documents pass through with null docs."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -209,10 +201,25 @@ def _sums(joined: DataFrame) -> DataFrame:
                      pa.array([acc[docs].astype("<u4").tobytes()], pa.binary())], ["slot", "docs", "sums"])
             sums.clear()
 
+        tokenizer, last = tokenizing.library(path), (None, 0)
         for batch in batches:
+            own = batch.filter(batch.column("piece").is_null())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("slot"), pa.nulls(own.num_rows, pa.binary()), own.column("list")],
+                                                 ["slot", "docs", "sums"])
+                batch = batch.filter(batch.column("piece").is_valid())
+                if not batch.num_rows:
+                    continue
+            pieces = batch.column("piece").dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            new = [p for p in distinct if p != last[0]]
+            sizes = dict(zip(new, (len(e.ids) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            sizes.setdefault(*last)
+            tokens = np.array([sizes[p] for p in distinct], np.int64)[pieces.indices.to_numpy()]
+            last = (distinct[-1], sizes[distinct[-1]])  # the rows are sorted, so only this one can come again
             lists = batch.column("list")
             n = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1])
-            held.append((batch.column("slot").to_numpy(), b"".join(lists.to_pylist()), n // 3, batch.column("tokens").to_numpy()))
+            held.append((batch.column("slot").to_numpy(), b"".join(lists.to_pylist()), n // 3, tokens))
             rows += batch.num_rows
             if rows >= 200_000 or sum(len(h[1]) for h in held[-1:]) > 8_000_000:
                 add()
@@ -223,40 +230,39 @@ def _sums(joined: DataFrame) -> DataFrame:
             add()
         yield from flush()
 
-    return joined.select("slot", "list", "tokens").mapInArrow(run, "slot long, docs binary, sums binary")
+    return dealt.select("slot", "piece", "list").mapInArrow(run, "slot long, docs binary, sums binary")
 
 
 def _totals(parts: DataFrame) -> DataFrame:
-    """(slot, doc, n): the parts of each block added up, one array at a time."""
+    """The documents of each block with its parts added up, one block at a time."""
 
     def run(batches):
-        name, acc = None, None
+        name, acc, own = None, None, None
 
         def out():
-            docs = np.flatnonzero(acc)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), name), pa.int64()), pa.array(docs, pa.int32()),
-                                              pa.array(acc[docs], pa.int64())], ["slot", "doc", "n"])
+            docs = np.concatenate(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs["doc_id"], pa.int64(), mask=docs["missing"].astype(bool)), pa.array(docs["n_bytes"], pa.int64()),
+                 pa.array(docs["known"] + acc[:len(docs)], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
         for batch in batches:
             for slot, docs, sums in zip(*[batch.column(c).to_pylist() for c in ("slot", "docs", "sums")]):
                 if slot != name:
                     if name is not None:
                         yield from out()
-                    name, acc = slot, np.zeros(BLOCK_DOCS, np.int64)
-                acc[np.frombuffer(docs, "<u2")] += np.frombuffer(sums, "<u4")
+                    name, acc, own = slot, np.zeros(BLOCK_DOCS, np.int64), []
+                if docs is None:
+                    own.append(np.frombuffer(sums, OWN))
+                else:
+                    acc[np.frombuffer(docs, "<u2")] += np.frombuffer(sums, "<u4")
         if name is not None:
             yield from out()
 
     dealt = parts.repartition("slot").sortWithinPartitions("slot")
-    return dealt.mapInArrow(run, "slot long, doc int, n long")
+    return dealt.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_tokens."""
-    rows = written(postings(docs, path), "postings")
-    posted = rows.where(F.col("piece").isNotNull()).select("slot", "piece", "list")
-    counted = _encoded(posted.select("piece").distinct(), path)
-    totals = _totals(_sums(posted.join(counted, "piece")))
-    each = rows.where(F.col("piece").isNull()).select("slot", "doc", "doc_id", "n_bytes", "known")
-    return each.join(totals, ["slot", "doc"], "left").select(
-        "doc_id", "n_bytes", (F.col("known") + F.coalesce("n", F.lit(0))).alias("n_tokens"))
+    dealt = postings(docs, path).repartition("piece", "salt").sortWithinPartitions("piece")
+    return _totals(_parts(dealt, path))
