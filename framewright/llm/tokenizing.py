@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -36,6 +37,9 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+STAND_IN = [c for c, _ in sorted(_byte_of().items(), key=lambda x: x[1])]
+
+
 @cache
 def byte_level(path: str):
     """A fast encoder with the file's own vocabulary; in such a file the ids are the merge ranks."""
@@ -76,17 +80,15 @@ class WordIds(dict):
     """Ids of white-space separated chunks as little-endian bytes, kept per worker for at most ``limit`` chunks. The first half
     stays for good, as frequent chunks are met early; the rest makes room when the store is full.
 
-    Only for tokenizers that drop white space and never merge across it. Unknown chunks of a batch are encoded by the library in
-    one call.
+    Only for tokenizers that drop white space and never merge across it. Unknown words are encoded by the library's
+    merge model, other unknown chunks of a batch by the whole library in one call.
     """
 
     def __init__(self, path: str, limit: int = 900_000):
         super().__init__()
         self.tokenizer, self.limit = library(path), limit
         self.recent: list[str] = []
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.ends[i] = token.endswith("</w>")
+        self.merges = self.tokenizer.model
 
     def learn(self, chunks: set[str]) -> None:
         if len(self) + len(chunks) > self.limit:
@@ -95,35 +97,23 @@ class WordIds(dict):
             self.recent = []
         room = max(0, self.limit // 2 - len(self))
         self.recent += list(chunks)[room:]
-        plain, parts, rest = [], [], []
+        rest = []
         for c in chunks:
             low = c.lower()
             if low.isalpha():
-                plain.append(c)
-                parts.append(1)
+                self[c] = self._word(low)
             elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                plain.append(c)
-                parts.append(2)
+                self[c] = (self.get(low[:-1]) or self._word(low[:-1])) + self._word(low[-1])
             else:
                 rest.append(c)
-        for lo in range(0, len(plain), 4000):
-            if not self._together(plain[lo:lo + 4000], parts[lo:lo + 4000]):
-                rest += plain[lo:lo + 4000]
         for c, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self[c] = np.array(found.ids, "<u4").tobytes()
-
-    def _together(self, chunks: list[str], parts: list[int]) -> bool:
-        """Encode chunks in one call. Each consists of so many pre-tokens, and each of these ends with a word-end token, which
-        tells the chunks apart; False if the ends do not add up."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != sum(parts) or len(ids) != (ends[-1] if len(ends) else 0):
-            return False
-        cuts = 4 * ends[np.cumsum(parts) - 1]
-        data = ids.tobytes()
-        for c, a, b in zip(chunks, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-            self[c] = data[a:b]
-        return True
+            self[c] = array("I", found.ids).tobytes()
+
+    def _word(self, low: str) -> bytes:
+        """The ids of one pre-token, lower-case letters or one mark, straight from the library's merge model, which wants the
+        printable stand-ins of its bytes."""
+        shown = low if low.isascii() else "".join(map(STAND_IN.__getitem__, low.encode()))
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
