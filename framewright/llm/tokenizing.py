@@ -120,15 +120,15 @@ class WordIds(dict):
         out = []
         for lo in range(0, len(texts), 32):
             cut = [_chunks(t) for t in texts[lo:lo + 32]]
-            new = {c for chunks in cut for c in chunks if c not in self}
+            found = [list(map(self.get, chunks)) for chunks in cut]
+            gaps = [[i for i, v in enumerate(ids) if v is None] if None in ids else [] for ids in found]
+            new = {chunks[i] for chunks, missing in zip(cut, gaps) for i in missing}
             if new:
                 self.learn(new)
-            for chunks in cut:
-                try:
-                    out.append(b"".join(map(self.__getitem__, chunks)))
-                except KeyError:  # the store was emptied for this batch
-                    self.learn({c for c in chunks if c not in self})
-                    out.append(b"".join(map(self.__getitem__, chunks)))
+            for chunks, ids, missing in zip(cut, found, gaps):
+                for i in missing:
+                    ids[i] = self[chunks[i]]
+                out.append(b"".join(ids))
         return out
 
 
