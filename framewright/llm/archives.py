@@ -35,6 +35,8 @@ from framewright.llm.shared import get_file, put_file, work_folder, written
 
 FILE_BYTES = 8_000_000
 LEAST_REVISIT = 100
+#: Tasks that convert files; beyond that a task converts several.
+MOST_TASKS = 20_000
 #: Field lists of the two versions, fixed values of the format.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
           2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -256,7 +258,8 @@ def convert(spark: SparkSession, arcs: str, warcs: str) -> DataFrame:
     # one row per file, which holds a bounded number of records
     rows = known.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "page_id", "first"))).alias("r"))
     decided = rows.select("path", F.transform("r", lambda x: F.when(x["page_id"].isNotNull(), x["first"])).alias("firsts"))
-    return written(_convert(decided, warcs), "warc-files")
+    files = max(1, min(records.select("path").distinct().count(), MOST_TASKS))  # the rows are small, the files behind them not
+    return written(_convert(decided.repartition(files, "path"), warcs), "warc-files")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
