@@ -14,10 +14,11 @@ def half_up(value: Column, digits: int = 0) -> Column:
     """Round half towards positive infinity at ``digits`` decimals, as a double.
 
     Four more digits are rounded first: a sum that is a half but for its last bits then rounds the same way in whatever
-    order its rows were added.
+    order its rows were added. Numbers that have no digits left to round are returned as they are.
     """
-    scale = float(10**digits)
-    return F.floor(F.round(value.cast("double") * scale, 4) + 0.5).cast("double") / scale
+    scale, number = float(10**digits), value.cast("double")
+    rounded = F.floor(F.round(number * scale, 4) + 0.5).cast("double") / scale
+    return F.when(F.abs(number * scale) < float(2**52), rounded).otherwise(number)
 
 
 def to_number(text: Column, symbols: str = NUMBER_SYMBOLS) -> Column:

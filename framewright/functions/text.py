@@ -16,8 +16,8 @@ UNSAFE_PHRASES = [
 ]
 
 
-def sanitize(text: Column, limit: int | None = 2000) -> Column:
-    """The whole text with unsafe phrases replaced; above ``limit`` characters the result ends in ``...``."""
+def sanitize(text: Column, limit: int | None = None) -> Column:
+    """The whole text with unsafe phrases replaced; with a ``limit``, a longer result ends in ``...``."""
     safe = F.coalesce(text, F.lit(""))
     for phrase, mark in UNSAFE_PHRASES:
         safe = F.regexp_replace(safe, "(?i)" + phrase, mark)

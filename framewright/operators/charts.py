@@ -128,9 +128,16 @@ def funnel(df: DataFrame, dimension: str, metric: str | None = None, top: int =
     return out.withColumn("drop_off", half_up(100 - F.col("step_conversion"), 1))
 
 
-def waterfall(df: DataFrame, dimension: str, metric: str | None = None, top: int = 8) -> DataFrame:
-    """The first ``top`` steps by label with base and running total, then the net total row."""
-    steps = _steps(df, dimension, metric, "Other").orderBy("name").limit(top)
+def waterfall(df: DataFrame, dimension: str, metric: str | None = None, top: int | None = None) -> DataFrame:
+    """The steps by label with base and running total, then the net total row, which is the sum over all rows.
+
+    With ``top`` the largest steps stay and the others become one step ``Other``.
+    """
+    steps = _steps(df, dimension, metric, "Other")
+    if top is not None:
+        largest = Window.orderBy(F.abs("value").desc(), "name")
+        name = F.when(F.row_number().over(largest) <= top, F.col("name")).otherwise("Other")
+        steps = steps.withColumn("name", name).groupBy("name").agg(F.sum("value").alias("value"))
     order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
     running = F.sum("value").over(order)
     bridge = steps.select(

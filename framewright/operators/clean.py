@@ -58,7 +58,10 @@ class RemoveDuplicates(Action):
 
 @dataclass(frozen=True)
 class RemoveDuplicateIds(Action):
-    """Keep the first or last row per id in a stated order; only one row per id and task is shuffled."""
+    """Keep the first or last row per id in a stated order; only one row per id and task is shuffled.
+
+    Rows without an id (null or blank) are nobody's duplicates and all stay.
+    """
 
     column: str
     order_by: tuple[str, ...]
@@ -68,8 +71,10 @@ class RemoveDuplicateIds(Action):
         rest = [c for c in profiled_columns(df) if c not in self.order_by]
         names = [*self.order_by, *rest]
         order = [_col(c).asc() if self.keep == "first" else _col(c).desc() for c in names]
-        window = Window.partitionBy(F.coalesce(_col(self.column).cast("string"), F.lit(""))).orderBy(*order)
-        return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") == 1).drop("_rn")
+        key = _col(self.column).cast("string")
+        named = F.coalesce(F.trim(key) != "", F.lit(False))
+        first = df.where(named).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+        return first.where(F.col("_rn") == 1).drop("_rn").unionByName(df.where(~named))
 
 
 @dataclass(frozen=True)

@@ -39,11 +39,11 @@ def driver_totals(df: DataFrame, metric: str, date: str) -> DataFrame:
 
 
 def driver_delta(df: DataFrame, metric: str, date: str, dimensions: list[str], top: int = 10) -> DataFrame:
-    """Change per factor of up to four dimensions with its share of the total change, the ``top`` largest.
+    """Change per factor of every dimension with its share of the total change, the ``top`` largest.
 
     Dimensions are unpivoted, so all factors come from one conditional sum.
     """
-    dims = dimensions[:4]
+    dims = list(dimensions)
     halves = split_halves(df, date, metric)
     src = halves.select("_v", "_current", *[label(df, d).alias(d) for d in dims])
     totals = one_row(src.agg(

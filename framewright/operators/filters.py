@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framewright.functions.dates import parse_date
 from framewright.functions.missing import missing_in
@@ -26,6 +26,15 @@ def _as_float(value) -> float | None:
         return None
 
 
+def _as_whole(value) -> int | None:
+    """The value as a 64-bit whole number, so that long columns are compared digit by digit and the test reaches the scan."""
+    try:
+        number = int(str(value).strip())
+    except ValueError:
+        return None
+    return number if -2**63 <= number < 2**63 else None
+
+
 def condition(df: DataFrame, name: str, op: str, value) -> Column:
     """One predicate. Numeric columns compare as numbers, so the test reaches the scan; text ignores case."""
     column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
@@ -43,7 +52,8 @@ def condition(df: DataFrame, name: str, op: str, value) -> Column:
     if op not in ("eq", "neq"):
         raise ValueError(f"unknown operator {op}")
     if is_number(dtype):
-        number = _as_float(value)
+        exact = _as_whole(value) if isinstance(dtype, T.IntegralType) else None
+        number = exact if exact is not None else _as_float(value)
         same = column == F.lit(number) if number is not None else column.isNull() & F.lit(False)
     elif is_time(dtype):
         same = column == F.lit(value).cast(dtype)

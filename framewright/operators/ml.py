@@ -252,7 +252,8 @@ def kfold(df: DataFrame, target: str, features: list[str], key: str, kind: str =
 
 def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> dict:
     """K-means on standardised features: assignments, sizes, centres in original units, inertia and silhouette."""
-    k = max(2, min(8, k))
+    if k < 2:
+        raise ValueError("k-means wants at least two clusters")
     rows = typed(df, features)
     model = Pipeline(stages=[*feature_stages(rows, features), KMeans(k=k, maxIter=12, seed=seed, featuresCol="_x",
                                                                     predictionCol="cluster")]).fit(rows)

@@ -117,13 +117,15 @@ def dense_periods(points: DataFrame, grain: str) -> DataFrame:
 def compare_periods(points: DataFrame, grain: str, mode: str = "previous") -> DataFrame:
     """Value against the previous period or the same period a year ago, by calendar and not by row distance."""
     back = {"daily": 365, "weekly": 52, "monthly": 12, "quarterly": 4, "yearly": 1}[grain] if mode == "year" else 1
-    if mode == "year" and grain == "daily":
-        moved = F.add_months(F.col("period_start"), 12)
+    if mode == "year" and grain == "daily":  # from the row's own day, as 28 and 29 February lead to one day a year on
+        earlier = points.select(F.col("period_start").alias("_then"), F.col("value").alias("base_value"))
+        seen = points.withColumn("_then", F.add_months("period_start", -12).cast(points.schema["period_start"].dataType))
+        key = "_then"
     else:
-        moved = next_start(F.col("period_start"), grain, back)
-    earlier = points.select(moved.alias("period_start"), F.col("value").alias("base_value"))
-    earlier = earlier.groupBy("period_start").agg(F.max("base_value").alias("base_value"))
-    joined = points.join(earlier, "period_start", "left")
+        moved, seen, key = next_start(F.col("period_start"), grain, back), points, "period_start"
+        earlier = points.select(moved.alias(key), F.col("value").alias("base_value"))
+    earlier = earlier.groupBy(key).agg(F.max("base_value").alias("base_value"))
+    joined = seen.join(earlier, key, "left")
     return joined.select(
         "period_start", "period", "value", "base_value", half_up(F.col("value") - F.col("base_value"), 2).alias("delta"),
         growth(F.col("value"), F.col("base_value")).alias("change_pct"),

@@ -81,7 +81,7 @@ def _dispatch(df: DataFrame, s: ChartSpec) -> DataFrame:
             return temporal.series_by(kept, s.x, s.y, s.group, s.agg, temporal.resolve_grain(kept, s.x, s.grain), top or 10)
         return temporal.temporal(df, s.x, s.y, s.agg, s.grain, s.preset)
     if kind == "waterfall":
-        return charts.waterfall(df, s.x, s.y, top or 8)
+        return charts.waterfall(df, s.x, s.y, top or None)
     if kind == "funnel":
         return charts.funnel(df, s.x, s.y, top or 7)
     if kind == "heatmap":

@@ -139,7 +139,7 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.md5(safe).alias("digest"), F.length(safe).cast("long").alias("n"))
 
 
-@query("sanitize_conversations", f"""select conv_id, turn, case when length(s) > 2000 then concat(s[1:1997], '...') else s end as safe
+@query("sanitize_conversations", f"""select conv_id, turn, s as safe
   from (select conv_id, turn, {safe_sql("concat(role, ': ', text)")} as s from conversations)""")
 def _(t: Tables):
     return t.conversations.select("conv_id", "turn", sanitize(F.concat("role", F.lit(": "), "text")).alias("safe"))

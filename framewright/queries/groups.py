@@ -214,7 +214,7 @@ def _(t: Tables):
 
 
 WATERFALL = f"""with s as (select n_name as name, {hu('sum(c_acctbal)', 2)} as v from customer join nation
-    on c_nationkey = n_nationkey group by 1 order by 1 limit 8),
+    on c_nationkey = n_nationkey group by 1),
   w as (select *, row_number() over (order by name) as step, sum(v) over (order by name) as r from s)
   select step, name, v as delta, {hu('case when v >= 0 then r-v else r end', 2)} as base, {hu('r', 2)} as cumulative,
     false as is_total from w

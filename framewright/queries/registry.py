@@ -44,7 +44,8 @@ def query(name: str, sql: str | None = None):
 
 def hu(x: str, digits: int = 0) -> str:
     """SQL text of half-up rounding, as ``functions.numbers.half_up``."""
-    return f"(floor(round(({x})::double*{10**digits}, 4)+0.5)/{10**digits})"
+    y = f"(({x})::double)"
+    return f"(case when abs({y}*{10**digits}) < 4503599627370496 then floor(round({y}*{10**digits}, 4)+0.5)/{10**digits} else {y} end)"
 
 
 # The same text runs on both engines; {table} is a DataFrame in Spark and a view in SQL.

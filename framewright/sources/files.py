@@ -19,7 +19,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schem
     sep = sep or SEPARATORS.get(path.rsplit(".", 1)[-1].lower(), ",")
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", False)
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
-    kept = [c for c in df.columns if c.strip() and not c.startswith("_c")]
+    kept = [c for i, c in enumerate(df.columns) if c.strip() and c != f"_c{i}"]  # the reader names a blank header by its place
     df = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in kept])
     filled = [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")) != "", F.lit(False)) for c in df.columns]
     return df.where(reduce(or_, filled))
