@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewright.llm.shared import once, settled, words, written
+from framewright.llm.shared import once, settled, slot_filter, words, written
 
 SYMBOLS = "#*$%&|<>"
 #: Fixed ladders, loosest first; a score above the cutoff rejects.
@@ -155,9 +155,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns unchanged. Labelled documents are scored first, then every document in place."""
-    known = labels.where(F.col("quality").isNotNull()).select("doc_id").distinct()
-    cutoffs = written(certified_cutoffs(written(features(docs), "quality-scores").join(known, "doc_id", "left_semi"), labels,
-                                        risk, delta), "quality-cutoffs")
+    """The documents that pass, all columns unchanged. Labelled documents are scored first, then every document in place.
+
+    The cutoffs need the labelled documents only, so the others are left out before they are scored: by hash slots of bounded
+    size, which move no text, then exactly on the scores.
+    """
+    ids = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    known = labels.where(F.col("quality").isNotNull()).select(ids).distinct()
+    scored = written(features(slot_filter(docs.select("doc_id", "text", "lang"), "doc_id", known)), "quality-scores")
+    cutoffs = written(certified_cutoffs(scored.join(known, "doc_id", "left_semi"), labels, risk, delta), "quality-cutoffs")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", "lang")
     return judged(features(boxed, keep=("__row",)), cutoffs).where("kept").select("__row.*")
