@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Symbols that may surround a number written as text, and the accepted number syntax.
 NUMBER_SYMBOLS = r"[$,€£₹¥%\s]"
@@ -29,11 +29,17 @@ def to_number(text: Column, symbols: str = NUMBER_SYMBOLS) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """The value as a double, null for NaN and the infinities."""
-    number = value.cast("double")
+    """The value as a double, null for NaN, the infinities and what cannot be read."""
+    number = value.try_cast("double")
     return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """The numeric reading of a column, also of numbers written as text; null where there is none."""
+    column = F.col(f"`{name}`")
+    return to_number(column) if df.schema[name].dataType.typeName() in ("string", "varchar", "char") else finite(column)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields null for a zero or null divisor."""
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framewright.functions.numbers import finite, half_up, percent, ratio
+from framewright.functions.numbers import finite, half_up, number_of, percent, ratio, to_number
 from framewright.functions.text import is_text
 from framewright.operators.scale import exact_quantiles, join_keys, one_row, running_total
 
@@ -30,7 +30,9 @@ def measure(agg: str, value: Column) -> Column:
 
 
 def grouped(df: DataFrame, keys: list[str], value: Column | None, agg: str, name: str = "value") -> DataFrame:
-    """One measure per group plus its row count; medians go the sketch-and-count way."""
+    """One measure per group plus its row count; medians go the sketch-and-count way. Numbers written as text are read."""
+    if value is not None and not agg.startswith("count") and is_text(df.select(value).schema.fields[0].dataType):
+        value = to_number(value)
     if agg == "median":
         src = df.withColumn("_m", value)
         middle = exact_quantiles(src, keys, F.col("_m"), {name: 0.5})
@@ -43,7 +45,7 @@ def grouped(df: DataFrame, keys: list[str], value: Column | None, agg: str, name
 
 def group_summary(df: DataFrame, dimension: str, metric: str) -> DataFrame:
     """Sum, mean, median, count, min, max and share of the total per group."""
-    src = df.select(label(df, dimension).alias("category"), finite(F.col(f"`{metric}`")).alias("_v"))
+    src = df.select(label(df, dimension).alias("category"), number_of(df, metric).alias("_v"))
     src = src.where(F.col("_v").isNotNull())
     base = src.groupBy("category").agg(
         F.sum("_v").alias("sum"), F.avg("_v").alias("mean"), F.count("_v").alias("count"),
@@ -101,47 +103,56 @@ def keep_top(df: DataFrame, key: str, top: int, weight: Column | None = None) ->
     return df.join(F.broadcast(top_keys(df, key, top, weight)), key, "left_semi")
 
 
-def crosstab(df: DataFrame, rows: str, columns: str, top: int = 8) -> DataFrame:
-    """Counts over the dense grid of the most frequent values of two columns, with margins."""
+def crosstab(df: DataFrame, rows: str, columns: str, top: int | None = None) -> DataFrame:
+    """Counts per cell of two columns with the totals of its row and its column; with ``top`` see ``dense_grid``."""
     src = df.select(label(df, rows).alias("row_value"), label(df, columns).alias("column_value"))
     counts = src.groupBy("row_value", "column_value").agg(F.count("*").alias("records"))
-    return dense_grid(counts, "records", top, top)
+    grid = counts if top is None else dense_grid(counts, "records", top)
+    for key in ("row", "column"):
+        totals = grid.groupBy(f"{key}_value").agg(F.sum("records").alias(f"{key}_total"))
+        grid = join_keys(grid, totals, [f"{key}_value"])
+    return grid
 
 
-def dense_grid(cells: DataFrame, amount: str, rows: int, columns: int, by: str | None = None) -> DataFrame:
-    """Keep the top rows and columns by ``by`` and fill absent cells with 0; the grid is rows * columns at most."""
+def dense_grid(cells: DataFrame, amount: str, top: int, by: str | None = None) -> DataFrame:
+    """The ``top`` rows and columns by ``by``, all others summed as ``Other``; absent cells are 0."""
     by = by or amount
-    xs, ys = top_keys(cells, "row_value", rows, F.col(by)), top_keys(cells, "column_value", columns, F.col(by))
-    ys_list = ys.agg(F.collect_list("column_value").alias("ys")).scalar()
-    grid = xs.withColumn("column_value", F.explode(ys_list))
-    kept = cells.join(F.broadcast(xs), "row_value", "left_semi").join(F.broadcast(ys), "column_value", "left_semi")
-    return grid.join(kept, ["row_value", "column_value"], "left").na.fill(0, [amount])
-
-
-def heatmap(df: DataFrame, rows: str, columns: str, metric: str | None = None, top: int = 15) -> DataFrame:
-    """Count or sum per cell of two dimensions."""
+    for key in ("row_value", "column_value"):
+        best = top_keys(cells, key, top, F.col(by)).withColumnRenamed(key, "_best")
+        named = cells.join(F.broadcast(best), F.col(key) == F.col("_best"), "left")
+        cells = named.withColumn(key, F.coalesce("_best", F.lit("Other"))).drop("_best")
+    sums = cells.groupBy("row_value", "column_value").agg(F.sum(amount).alias(amount))
+    names = sums.agg(F.collect_set("column_value").alias("names")).scalar()  # top + 1 at most
+    grid = sums.select("row_value").distinct().withColumn("column_value", F.explode(names))
+    return grid.join(sums, ["row_value", "column_value"], "left").na.fill(0, [amount])
+
+
+def heatmap(df: DataFrame, rows: str, columns: str, metric: str | None = None, top: int | None = None) -> DataFrame:
+    """Count or sum per cell of two dimensions that has rows; with ``top`` a dense grid with ``Other``."""
     src = df.withColumns({"row_value": label(df, rows), "column_value": label(df, columns)})
-    amount = F.count("*").cast("double") if metric is None else F.sum(finite(F.col(f"`{metric}`")))
+    amount = F.count("*").cast("double") if metric is None else F.sum(number_of(df, metric))
     cells = src.groupBy("row_value", "column_value").agg(amount.alias("value"), F.count("*").alias("records"))
-    return dense_grid(cells, "value", top, top, "records").select(
+    grid = cells if top is None else dense_grid(cells, "value", top, "records")
+    return grid.select(
         "row_value", "column_value", half_up(F.col("value"), 2).alias("value")
     )
 
 
-def combo(df: DataFrame, dimension: str, first: str, second: str, agg: str = "sum", top: int = 15) -> DataFrame:
+def combo(df: DataFrame, dimension: str, first: str, second: str, agg: str = "sum", top: int | None = None) -> DataFrame:
     """Primary sum or mean and secondary mean per category, largest primary first."""
     out = df.groupBy(label(df, dimension).alias("category")).agg(
-        measure(agg, F.col(f"`{first}`")).alias("first_value"), measure("avg", F.col(f"`{second}`")).alias("second_value")
+        measure(agg, number_of(df, first)).alias("first_value"), measure("avg", number_of(df, second)).alias("second_value")
     )
-    return out.select(
+    out = out.select(
         "category", half_up(F.col("first_value"), 2).alias("first_value"),
         half_up(F.col("second_value"), 2).alias("second_value"),
-    ).orderBy(F.col("first_value").desc_nulls_last(), "category").limit(top)
+    ).orderBy(F.col("first_value").desc_nulls_last(), "category")
+    return out if top is None else out.limit(top)
 
 
 def kpi_card(df: DataFrame, metric: str, agg: str = "sum") -> DataFrame:
     """Headline value with min, max and mean of the metric."""
-    value = finite(F.col(f"`{metric}`"))
+    value = number_of(df, metric)
     facts = df.agg(
         F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("avg"), F.count(value).alias("records")
     )
@@ -207,7 +218,7 @@ def segments(df: DataFrame, dimension: str, metric: str) -> DataFrame:
 
 def top_bottom(df: DataFrame, dimension: str, metric: str, top: int = 10) -> DataFrame:
     """The best and worst groups by sum with their share; each side is a top-k, never a full sort in one task."""
-    sums = df.groupBy(label(df, dimension).alias("name")).agg(F.sum(finite(F.col(f"`{metric}`"))).alias("value"))
+    sums = df.groupBy(label(df, dimension).alias("name")).agg(F.sum(number_of(df, metric)).alias("value"))
     sums = sums.where(F.col("value").isNotNull())
     total = sums.agg(F.sum("value").alias("t")).scalar()
     best = sums.orderBy(F.col("value").desc(), F.col("name")).limit(top)
@@ -227,7 +238,7 @@ def top_bottom(df: DataFrame, dimension: str, metric: str, top: int = 10) -> Dat
 def driver_share(df: DataFrame, factor: str, metric: str) -> DataFrame:
     """Sum per factor, share of the total, distance from the mean factor and its weight class."""
     sums = df.groupBy(label(df, factor).alias("factor")).agg(
-        F.sum(finite(F.col(f"`{metric}`"))).alias("value"), F.count("*").alias("records")
+        F.sum(number_of(df, metric)).alias("value"), F.count("*").alias("records")
     )
     facts = one_row(sums.agg(F.sum("value").alias("t"), F.avg("value").alias("m")))
     out = sums.withColumn("_a", facts)
@@ -244,9 +255,9 @@ def business_kpis(df: DataFrame, revenue: str | None, profit: str | None, order_
     """Revenue, profit, margin, distinct orders, average order value, then column means while there is room (six)."""
     aggs = {"orders": F.countDistinct(f"`{order_id}`") if order_id else F.count("*")}
     if revenue:
-        aggs["revenue"] = F.sum(finite(F.col(f"`{revenue}`")))
+        aggs["revenue"] = F.sum(number_of(df, revenue))
     if profit:
-        aggs["profit"] = F.sum(finite(F.col(f"`{profit}`")))
+        aggs["profit"] = F.sum(number_of(df, profit))
     base = [n for n in ("revenue", "profit") if n in aggs]
     rows = [(n, F.col(n).cast("double")) for n in base]
     if revenue and profit:
@@ -256,7 +267,7 @@ def business_kpis(df: DataFrame, revenue: str | None, profit: str | None, order_
         rows.append(("average_order_value", ratio(F.col("revenue"), F.col("orders"))))
     if len(rows) < 4:
         for n in list(others)[: 6 - len(rows)]:
-            aggs[f"avg_{n}"] = F.avg(finite(F.col(f"`{n}`")))
+            aggs[f"avg_{n}"] = F.avg(number_of(df, n))
             rows.append((f"avg_{n}", F.col(f"`avg_{n}`")))
     facts = df.agg(*[e.alias(n) for n, e in aggs.items()])
     pairs = F.array(*[F.struct(F.lit(n).alias("kpi"), half_up(v, 2).alias("value")) for n, v in rows])

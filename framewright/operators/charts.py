@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framewright.functions.numbers import finite, half_up, percent, ratio
+from framewright.functions.numbers import half_up, number_of, percent, ratio
 from framewright.operators.aggregate import grouped, label, top_keys
 from framewright.operators.filters import systematic_sample
 from framewright.operators.scale import exact_quantiles, join_keys, one_row, settle
@@ -23,24 +23,31 @@ def bar(df: DataFrame, dimension: str, metric: str | None = None, agg: str = "su
 
 
 def multi_series(df: DataFrame, dimension: str, series: str, metric: str | None = None, agg: str = "sum",
-                 top: int = 15, max_series: int = 10) -> DataFrame:
-    """Dimension by series in columns with the row total over all series; absent cells are 0."""
+                 top: int | None = None, max_series: int = 10) -> DataFrame:
+    """Dimension by series in columns with the row total over all series; absent cells are 0.
+
+    The ``max_series`` largest series get a column each; the others, if any, share the column ``other_series``.
+    """
     src = df.withColumns({"category": label(df, dimension), "_series": label(df, series)})
     cells = grouped(src, ["category", "_series"], None if metric is None else F.col(f"`{metric}`"), agg)
     weight = F.col("records")
-    names = [r[0] for r in top_keys(cells, "_series", max_series, weight).collect()]
+    names = [r[0] for r in top_keys(cells, "_series", max_series + 1, weight).collect()]
+    names, more = names[:max_series], len(names) > max_series
+    series = [(n, F.col("_series") == n) for n in sorted(names)]
+    if more:
+        series.append(("other_series", ~F.col("_series").isin(names)))
     wide = cells.groupBy("category").agg(
-        *[half_up(F.coalesce(F.sum(F.when(F.col("_series") == n, F.col("value"))), F.lit(0.0)), 2).alias(n)
-          for n in sorted(names)],
+        *[half_up(F.coalesce(F.sum(F.when(test, F.col("value"))), F.lit(0.0)), 2).alias(n) for n, test in series],
         half_up(F.sum("value"), 2).alias("total"),
     )
-    return wide.orderBy(F.col("total").desc(), "category").limit(top)
+    wide = wide.orderBy(F.col("total").desc(), "category")
+    return wide if top is None else wide.limit(top)
 
 
 def box_plot(df: DataFrame, metric: str, group: str | None = None) -> DataFrame:
     """Five-number summary with mean, IQR, clipped fences, outlier count and row count per group."""
     name = F.lit("Overall") if group is None else F.coalesce(F.trim(F.col(f"`{group}`").cast("string")), F.lit("Overall"))
-    src = df.select(name.alias("category"), finite(F.col(f"`{metric}`")).alias("_v")).where(F.col("_v").isNotNull())
+    src = df.select(name.alias("category"), number_of(df, metric).alias("_v")).where(F.col("_v").isNotNull())
     base = src.groupBy("category").agg(
         F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.count("*").alias("count")
     )
@@ -78,7 +85,7 @@ def bin_count(n: Column, rule: str) -> Column:
 
 def histogram(df: DataFrame, metric: str, rule: str = "chart") -> DataFrame:
     """Equal-width bins with a closed last bin; empty bins stay with count 0."""
-    src = df.select(finite(F.col(f"`{metric}`")).alias("_v")).where(F.col("_v").isNotNull())
+    src = df.select(number_of(df, metric).alias("_v")).where(F.col("_v").isNotNull())
     facts = src.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("*").alias("n"))
     facts = facts.withColumn("bins", bin_count(F.col("n"), rule))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
@@ -110,13 +117,15 @@ def modal_bin(df: DataFrame, metric: str) -> DataFrame:
 
 def _steps(df: DataFrame, dimension: str, metric: str | None, blank: str) -> DataFrame:
     name = F.coalesce(F.trim(F.col(f"`{dimension}`").cast("string")), F.lit(blank)).alias("name")
-    amount = F.count("*").cast("double") if metric is None else F.sum(F.coalesce(finite(F.col(f"`{metric}`")), F.lit(0.0)))
+    amount = F.count("*").cast("double") if metric is None else F.sum(F.coalesce(number_of(df, metric), F.lit(0.0)))
     return df.groupBy(name).agg(half_up(amount, 2).alias("value"))
 
 
-def funnel(df: DataFrame, dimension: str, metric: str | None = None, top: int = 7) -> DataFrame:
-    """The ``top`` stages by volume with share of the first stage, step conversion and drop-off."""
-    stages = _steps(df, dimension, metric, "Stage").orderBy(F.col("value").desc(), "name").limit(top)
+def funnel(df: DataFrame, dimension: str, metric: str | None = None, top: int | None = None) -> DataFrame:
+    """The stages by volume (all, or the ``top`` largest) with share of the first stage, step conversion and drop-off."""
+    stages = _steps(df, dimension, metric, "Stage")
+    if top is not None:
+        stages = stages.orderBy(F.col("value").desc(), "name").limit(top)
     order = Window.orderBy(F.col("value").desc(), F.col("name"))
     before = F.lag("value").over(order)
     step = F.when(before.isNull() | (before > 0), ratio(F.col("value"), F.coalesce(before, F.col("value"))) * 100)
@@ -156,7 +165,7 @@ def waterfall(df: DataFrame, dimension: str, metric: str | None = None, top: int
 def scatter(df: DataFrame, x: str, y: str, order: list[str], group: str | None = None, points: int = 500) -> DataFrame:
     """Systematically sampled points; rows without two finite numbers are left out."""
     sample = systematic_sample(df.select(*{*order, x, y, *([group] if group else [])}), order, points)
-    cols = [finite(F.col(f"`{x}`")).alias("x"), finite(F.col(f"`{y}`")).alias("y")]
+    cols = [number_of(df, x).alias("x"), number_of(df, y).alias("y")]
     if group:
         cols.append(label(df, group).alias("series"))
     return sample.select(*[F.col(f"`{o}`") for o in order], *cols).where("x is not null and y is not null")
@@ -166,8 +175,8 @@ def bubble(df: DataFrame, x: str, y: str, size: str, order: list[str], points: i
     """Scatter points with a size clamped to 20..600."""
     sample = systematic_sample(df.select(*{*order, x, y, size}), order, points)
     return sample.select(
-        *[F.col(f"`{o}`") for o in order], finite(F.col(f"`{x}`")).alias("x"), finite(F.col(f"`{y}`")).alias("y"),
-        F.greatest(F.lit(20.0), F.least(F.lit(600.0), finite(F.col(f"`{size}`")))).alias("size"),
+        *[F.col(f"`{o}`") for o in order], number_of(df, x).alias("x"), number_of(df, y).alias("y"),
+        F.greatest(F.lit(20.0), F.least(F.lit(600.0), number_of(df, size))).alias("size"),
     ).where("x is not null and y is not null")
 
 

@@ -405,12 +405,22 @@ def log_entry(df: DataFrame, action: Action, step: int) -> DataFrame:
 
 
 def preview(df: DataFrame, action: Action, key: list[str], limit: int = 5) -> DataFrame:
-    """The first changed rows with the names of the changed fields and the values before and after."""
-    after = action.apply(df)
-    shared = [c for c in df.columns if c in after.columns and c not in key]
-    old = df.select(*[_col(k) for k in key], F.struct(*[_col(c).cast("string").alias(c) for c in shared]).alias("before"))
-    new = after.select(*[_col(k) for k in key], F.struct(*[_col(c).cast("string").alias(c) for c in shared]).alias("after"))
-    both = old.join(new, key)
+    """The first changed rows with the names of the changed fields and the values before and after.
+
+    Of an action that removes rows, the first removed rows: ``changed`` is ``removed``, and ``after`` is null.
+    A changed row carries its old values through the action, so rows of equal keys are not mixed up.
+    """
+    rest = [c for c in df.columns if c not in key]
+    texts = lambda names: F.struct(*[_col(c).cast("string").alias(c) for c in names])
+    if action.changed(df) is None:
+        after = action.apply(df)
+        if set(after.columns) == set(df.columns):
+            gone = df.exceptAll(after.select(*[_col(c) for c in df.columns])).withColumn("before", texts(rest))
+            return gone.withColumns({"changed": F.lit("removed"), "after": F.lit(None).cast(gone.schema["before"].dataType)}).orderBy(
+                *key).limit(limit).select(*key, "changed", "before", "after")
+    after = action.apply(df.withColumn("before", texts(rest)))
+    shared = [c for c in rest if c in after.columns]
+    both = after.withColumn("after", texts(shared))
     names = F.array_compact(F.array(*[
         F.when(~F.col(f"before.`{c}`").eqNullSafe(F.col(f"after.`{c}`")), F.lit(c)) for c in shared
     ]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.functions.numbers import finite, half_up, percent, ratio
+from framewright.functions.numbers import half_up, number_of, percent, ratio
 from framewright.operators.aggregate import label
 from framewright.operators.filters import parsed_dates
 from framewright.operators.scale import number_rows, one_row
@@ -22,7 +22,7 @@ def split_halves(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Rows with ``_v`` and ``_current`` (the later half of the distinct dates)."""
     day = parsed_dates(df, date)
     return df.where(day.isNotNull()).withColumns({
-        "_v": F.coalesce(finite(F.col(f"`{metric}`")), F.lit(0.0)), "_current": day >= middle_date(df, date)
+        "_v": F.coalesce(number_of(df, metric), F.lit(0.0)), "_current": day >= middle_date(df, date)
     })
 
 
@@ -67,7 +67,7 @@ def driver_delta(df: DataFrame, metric: str, date: str, dimensions: list[str], t
 
 def decompose_profit(df: DataFrame, revenue: str, cost: str) -> DataFrame:
     """Profit as revenue minus cost."""
-    facts = df.agg(F.sum(finite(F.col(f"`{revenue}`"))).alias("r"), F.sum(finite(F.col(f"`{cost}`"))).alias("c"))
+    facts = df.agg(F.sum(number_of(df, revenue)).alias("r"), F.sum(number_of(df, cost)).alias("c"))
     rows = F.array(
         F.struct(F.lit("profit").alias("part"), half_up(F.col("r") - F.col("c"), 2).alias("value")),
         F.struct(F.lit(revenue).alias("part"), half_up(F.col("r"), 2).alias("value")),
@@ -81,7 +81,7 @@ def decompose_profit(df: DataFrame, revenue: str, cost: str) -> DataFrame:
 
 def decompose_volume(df: DataFrame, metric: str) -> DataFrame:
     """A total as number of rows times average value."""
-    facts = df.agg(F.count("*").alias("n"), F.sum(finite(F.col(f"`{metric}`"))).alias("s"))
+    facts = df.agg(F.count("*").alias("n"), F.sum(number_of(df, metric)).alias("s"))
     rows = F.array(
         F.struct(F.lit("total").alias("part"), half_up(F.col("s"), 2).alias("value")),
         F.struct(F.lit("volume").alias("part"), F.col("n").cast("double").alias("value")),

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framewright.functions.numbers import half_up, percent, ratio
+from framewright.functions.numbers import half_up, number_of, percent, ratio
 from framewright.operators import aggregate, classify, keys, profile as prof, quality, stats, temporal
 from framewright.operators.profile import Profile
 from framewright.operators.scale import one_row
@@ -32,13 +32,16 @@ def insight(rows: DataFrame, name: str, subject: Column, metric: Column, value:
     )
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
+def union(parts: list[DataFrame], spark: SparkSession | None = None) -> DataFrame:
+    """The rows of all parts; with a session, no parts give an empty table of insights."""
+    if not parts and spark is not None:
+        return spark.createDataFrame([], "insight string, subject string, metric string, value double, impact string, confidence long")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _shares(df: DataFrame, dimension: str, metric: str) -> DataFrame:
     """Group sums with share of the total and number of groups."""
-    sums = df.groupBy(aggregate.label(df, dimension).alias("category")).agg(F.sum(F.col(f"`{metric}`").cast("double")).alias("sum"))
+    sums = df.groupBy(aggregate.label(df, dimension).alias("category")).agg(F.sum(number_of(df, metric)).alias("sum"))
     facts = one_row(sums.agg(F.sum("sum").alias("total"), F.count("*").alias("groups")))
     return sums.withColumn("_f", facts).select("category", "sum", F.col("_f.groups").alias("groups"),
                                                percent(F.col("sum"), F.col("_f.total"), 1).alias("share"))
@@ -69,7 +72,7 @@ def dataset_insights(p: Profile) -> DataFrame:
     if entity and numbers:
         rows = p.facts().where(F.col("column") == entity)
         parts.append(insight(rows, "entity_diversity", F.col("column"), F.lit("distinct"), F.col("distinct"), "POSITIVE", 90))
-    return union(parts)
+    return union(parts, p.df.sparkSession)
 
 
 def recommended_analyses(p: Profile) -> DataFrame:
@@ -79,7 +82,7 @@ def recommended_analyses(p: Profile) -> DataFrame:
     if w and n:
         rows.append(("segment_comparison", "Diagnostic", "bar", ",".join([w[0], n[0]])))
     if len(n) >= 2:
-        rows.append(("correlation_and_regression", "Predictive", "scatter", ",".join(n[:4])))
+        rows.append(("correlation_and_regression", "Predictive", "scatter", ",".join(n)))
     if d and n:
         rows.append(("time_series", "Descriptive", "line", ",".join([d[0], n[0]])))
     if len(w) >= 2:
@@ -113,7 +116,7 @@ def eda_insights(p: Profile) -> DataFrame:
         margin = aggregate.business_kpis(df, **found).where(F.col("kpi") == "margin_pct")
         impact = F.when(F.col("value") >= 15, "POSITIVE").otherwise("WARNING")
         parts.append(insight(margin, "margin", F.lit(found["profit"]), F.lit("margin_pct"), half_up(F.col("value"), 1), impact, 90))
-    return union(parts)
+    return union(parts, p.df.sparkSession)
 
 
 def recommend_charts(p: Profile) -> DataFrame:

@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.functions import pvalues as pv
-from framewright.functions.numbers import finite, half_up, ratio, sample_kurtosis, sample_skewness
+from framewright.functions.numbers import half_up, number_of, ratio, sample_kurtosis, sample_skewness
 from framewright.functions.text import is_number
 from framewright.operators.aggregate import label
 from framewright.operators.profile import numbers_long
@@ -57,7 +57,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def group_moments(df: DataFrame, group: str, metric: str, least: int = 2) -> DataFrame:
     """n, mean, sample variance and shape per group with at least ``least`` values."""
-    src = df.select(label(df, group).alias("grp"), finite(F.col(f"`{metric}`")).alias("v")).where(F.col("v").isNotNull())
+    src = df.select(label(df, group).alias("grp"), number_of(df, metric).alias("v")).where(F.col("v").isNotNull())
     return src.groupBy("grp").agg(
         F.count("*").alias("n"), F.avg("v").alias("mean"), F.coalesce(F.var_samp("v"), F.lit(0.0)).alias("var"),
         F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"),
@@ -214,7 +214,7 @@ def mann_whitney(df: DataFrame, group: str, metric: str, first: str, second: str
                  comparisons: int = 1) -> DataFrame:
     """Rank-sum test with average ranks on ties: U, z, p, rank-biserial correlation, medians and spreads."""
     name = F.trim(F.col(f"`{group}`").cast("string"))
-    src = df.select(name.alias("grp"), finite(F.col(f"`{metric}`")).alias("v")).where(
+    src = df.select(name.alias("grp"), number_of(df, metric).alias("v")).where(
         F.col("grp").isin(first, second) & F.col("v").isNotNull()
     )
     ranks = average_ranks(src.select("v"), "v", "rank").drop("n")
@@ -271,7 +271,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         chunk = pairs[start: start + PAIR_CHUNK]
         aggs = []
         for i, (a, b) in enumerate(chunk):
-            x, y = finite(F.col(f"`{a}`")), finite(F.col(f"`{b}`"))
+            x, y = number_of(df, a), number_of(df, b)
             both = x.isNotNull() & y.isNotNull()
             aggs += [F.corr(F.when(both, x), F.when(both, y)).alias(f"r{i}"), F.count_if(both).alias(f"n{i}")]
         rows = F.array(*[
@@ -296,7 +296,7 @@ def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     out = None
     for a, b in combinations(columns or numeric_columns(df), 2):
-        src = df.select(finite(F.col(f"`{a}`")).alias("x"), finite(F.col(f"`{b}`")).alias("y"))
+        src = df.select(number_of(df, a).alias("x"), number_of(df, b).alias("y"))
         src = src.where("x is not null and y is not null")
         cells = src.groupBy("x", "y").agg(F.count("*").alias("k"))
         rx, ry = average_ranks(src, "x", "rx").drop("n"), average_ranks(src, "y", "ry").drop("n")
@@ -326,7 +326,7 @@ def corr_target(df: DataFrame, target: str, columns: list[str] | None = None) ->
 
 def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation, slope, intercept, fit and rows whose deviations from the means have opposite signs."""
-    src = df.select(finite(F.col(f"`{x}`")).alias("x"), finite(F.col(f"`{y}`")).alias("y")).where("x is not null and y is not null")
+    src = df.select(number_of(df, x).alias("x"), number_of(df, y).alias("y")).where("x is not null and y is not null")
     facts = one_row(src.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")))
     rows = src.withColumn("_m", facts)
     out = rows.agg(
@@ -342,7 +342,7 @@ def bivariate(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def fitted(df: DataFrame, x: str, y: str, keep: list[str]) -> DataFrame:
     """Predicted value and residual of every row by the least-squares line."""
-    src = df.select(*[F.col(f"`{k}`") for k in keep], finite(F.col(f"`{x}`")).alias("x"), finite(F.col(f"`{y}`")).alias("y"))
+    src = df.select(*[F.col(f"`{k}`") for k in keep], number_of(df, x).alias("x"), number_of(df, y).alias("y"))
     src = src.where("x is not null and y is not null")
     line = one_row(src.agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b")))
     rows = src.withColumn("_l", line).withColumn("_p", F.col("_l.a") * F.col("x") + F.col("_l.b"))
@@ -354,7 +354,7 @@ def fitted(df: DataFrame, x: str, y: str, keep: list[str]) -> DataFrame:
 def anomalies(df: DataFrame, key: list[str], columns: list[str] | None = None, top: int | None = 30) -> DataFrame:
     """Values outside the IQR fences with z score, method and extremeness, the ``top`` furthest (None for all)."""
     columns = columns or [c for c in numeric_columns(df) if c not in key]
-    long = df.select(*[F.col(f"`{k}`") for k in key], *[finite(F.col(f"`{c}`")).alias(c) for c in columns]).unpivot(
+    long = df.select(*[F.col(f"`{k}`") for k in key], *[number_of(df, c).alias(c) for c in columns]).unpivot(
         key, columns, "column", "value"
     ).where(F.col("value").isNotNull())
     facts = long.groupBy("column").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framewright.functions.dates import grain_for_days, next_start, period_key, period_label, period_start
-from framewright.functions.numbers import finite, half_up, ratio
+from framewright.functions.numbers import half_up, number_of, ratio
 from framewright.operators.aggregate import grouped, label, top_keys
 from framewright.operators.filters import parsed_dates
 
@@ -133,10 +133,13 @@ def compare_periods(points: DataFrame, grain: str, mode: str = "previous") -> Da
 
 
 def series_by(df: DataFrame, date: str, metric: str, dimension: str, agg: str = "sum", grain: str = "monthly",
-              top: int = 5) -> DataFrame:
-    """Period by series in long form for the ``top`` series by total, 0 where a series has no rows."""
+              top: int | None = None) -> DataFrame:
+    """Period by series in long form: every cell with rows, or, with ``top``, the largest series by total with 0 where
+    one has no rows."""
     src = df.withColumn("series", label(df, dimension))
-    names = top_keys(src, "series", top, finite(F.col(f"`{metric}`")))
+    if top is None:
+        return periods(src, date, metric, agg, grain, ["series"]).select("period", "series", "value", "records")
+    names = top_keys(src, "series", top, number_of(df, metric))
     cells = periods(src.join(F.broadcast(names), "series", "left_semi"), date, metric, agg, grain, ["series"])
     every = names.agg(F.collect_list("series").alias("s")).scalar()
     frame = periods(src, date, None, "count", grain).select("period_start", "period", F.explode(every).alias("series"))
@@ -169,7 +172,7 @@ def eda_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Period sums on the finer automatic grain with change and partial three-period average."""
     grain = resolve_grain(df, date, "auto", (14, 90, 730, 1825))
     day = parsed_dates(df, date)
-    src = df.select(day.alias("_d"), finite(F.col(f"`{metric}`")).alias("_v")).where("_d is not null and _v is not null")
+    src = df.select(day.alias("_d"), number_of(df, metric).alias("_v")).where("_d is not null and _v is not null")
     if grain == "weekly":
         period = F.concat(F.date_format("_d", "yyyy-MM"), F.lit("-W"), F.ceil(F.dayofmonth("_d") / 7).cast("string"))
     else:
@@ -209,7 +212,7 @@ def eda_trend_summary(df: DataFrame, date: str, metric: str) -> DataFrame:
 def daily_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Sum, mean and count per date."""
     day = parsed_dates(df, date).cast("date")
-    value = finite(F.col(f"`{metric}`"))
+    value = number_of(df, metric)
     return df.where(day.isNotNull()).groupBy(F.date_format(day, "yyyy-MM-dd").alias("day")).agg(
         half_up(F.sum(value), 2).alias("sum"), half_up(F.avg(value), 2).alias("avg"), F.count(value).alias("records")
     )

@@ -78,20 +78,20 @@ def _dispatch(df: DataFrame, s: ChartSpec) -> DataFrame:
     if is_time(df.schema[s.x].dataType) and s.y is not None:
         if s.group:
             kept = temporal.in_preset(df, s.x, s.preset)
-            return temporal.series_by(kept, s.x, s.y, s.group, s.agg, temporal.resolve_grain(kept, s.x, s.grain), top or 10)
+            return temporal.series_by(kept, s.x, s.y, s.group, s.agg, temporal.resolve_grain(kept, s.x, s.grain), top or None)
         return temporal.temporal(df, s.x, s.y, s.agg, s.grain, s.preset)
     if kind == "waterfall":
         return charts.waterfall(df, s.x, s.y, top or None)
     if kind == "funnel":
-        return charts.funnel(df, s.x, s.y, top or 7)
+        return charts.funnel(df, s.x, s.y, top or None)
     if kind == "heatmap":
-        return aggregate.heatmap(df, s.x, s.group, s.y, top or 15)
+        return aggregate.heatmap(df, s.x, s.group, s.y, top or None)
     if kind == "composed":
-        return aggregate.combo(df, s.x, s.y, s.group, s.agg, top or 15)
+        return aggregate.combo(df, s.x, s.y, s.group, s.agg, top or None)
     if kind == "table":
         return aggregate.summary_table(df, s.x, s.y, s.agg, s.sort, top or None)
     if s.group and s.group != s.x:
-        return charts.multi_series(df, s.x, s.group, s.y, s.agg, top or 15)
+        return charts.multi_series(df, s.x, s.group, s.y, s.agg, top or None)
     return charts.bar(df, s.x, s.y, s.agg, s.sort, top or None)
 
 

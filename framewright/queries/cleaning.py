@@ -207,6 +207,12 @@ def _(t: Tables):
                       F.col("after.segment").alias("new_value"))
 
 
+@query("clean_preview_removed", """select order_id, 'removed' as changed from dirty_orders where note is null order by 1 limit 5""")
+def _(t: Tables):
+    rows = t.dirty_orders.select("order_id", "note")
+    return cl.preview(rows, cl.DropMissing("note"), ["order_id"]).select("order_id", "changed")
+
+
 @query("clean_log", f"""with d as (select distinct * from dirty_orders),
   z as (select count(*) as r, count(*) filter (where price is null) as mp, sum((price is null)::int + (note is null)::int) as m from dirty_orders),
   y as (select count(*) as r, sum((price is null)::int + (note is null)::int) as m,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framewright.operators import aggregate as a, charts as c
+from framewright.queries.profile_sql import number_sql
 from framewright.queries.registry import Tables, hu, query
 
 REVENUE = "l_extendedprice*(1-l_discount)"
@@ -24,6 +25,12 @@ def _(t: Tables):
     return a.group_summary(t.dirty_orders, "note", "cust_id")
 
 
+@query("group_agg_text_numbers", f"""select active as group_value, {hu('sum(v)', 2)} as value, count(*) as records
+  from (select active, {number_sql('balance_text')} as v from dirty_customer) group by 1""")
+def _(t: Tables):
+    return a.group_agg(t.dirty_customer, "active", "balance_text")
+
+
 for _agg in ("sum", "avg", "count", "min", "max", "median"):
     query(f"group_agg_{_agg}", f"""select o_orderpriority as group_value, {hu(_agg + '(o_totalprice)', 2)} as value,
       count(*) as records from orders group by 1""")(
@@ -47,7 +54,7 @@ def _(t: Tables):
   {hu("coalesce(sum(o_totalprice) filter (where o_orderstatus = 'F'), 0)", 2)} as "F",
   {hu("coalesce(sum(o_totalprice) filter (where o_orderstatus = 'O'), 0)", 2)} as "O",
   {hu("coalesce(sum(o_totalprice) filter (where o_orderstatus = 'P'), 0)", 2)} as "P",
-  {hu('sum(o_totalprice)', 2)} as total from orders group by 1 order by total desc, 1 limit 15""")
+  {hu('sum(o_totalprice)', 2)} as total from orders group by 1""")
 def _(t: Tables):
     return c.multi_series(t.orders, "o_orderpriority", "o_orderstatus", "o_totalprice")
 
@@ -61,28 +68,41 @@ def _(t: Tables):
 
 
 
-@query("crosstab", f"""with x as (select o_orderpriority as row_value, o_orderstatus as column_value, count(*) as n
-    from orders group by 1, 2)
-  select a.v as row_value, b.v as column_value, coalesce(n, 0)::bigint as records
-  from (select o_orderpriority as v from orders group by 1 order by count(*) desc, 1 limit 8) a
-  cross join (select o_orderstatus as v from orders group by 1 order by count(*) desc, 1 limit 8) b
-  left join x on row_value = a.v and column_value = b.v""")
+@query("crosstab", """select o_orderpriority as row_value, o_orderstatus as column_value, count(*) as records,
+  (sum(count(*)) over (partition by o_orderpriority))::bigint as row_total,
+  (sum(count(*)) over (partition by o_orderstatus))::bigint as column_total from orders group by 1, 2""")
 def _(t: Tables):
     return a.crosstab(t.orders, "o_orderpriority", "o_orderstatus")
 
 
-@query("heatmap", f"""with x as (select p_brand as r, p_size::varchar as s, sum(p_retailprice) as v, count(*) as n from part
-    group by 1, 2)
-  select a.v as row_value, b.v as column_value, {hu('coalesce(x.v, 0)', 2)} as value
-  from (select p_brand as v from part group by 1 order by count(*) desc, 1 limit 15) a
-  cross join (select p_size::varchar as v from part group by 1 order by count(*) desc, 1 limit 15) b
-  left join x on r = a.v and s = b.v""")
+@query("heatmap", f"""select p_brand as row_value, p_size::varchar as column_value, {hu('sum(p_retailprice)', 2)} as value
+  from part group by 1, 2""")
 def _(t: Tables):
     return a.heatmap(t.part, "p_brand", "p_size", "p_retailprice")
 
 
+@query("heatmap_top", f"""with a as (select p_brand as v from part group by 1 order by count(*) desc, 1 limit 15),
+  b as (select p_size::varchar as v from part group by 1 order by count(*) desc, 1 limit 15),
+  x as (select case when p_brand in (from a) then p_brand else 'Other' end as r,
+    case when p_size::varchar in (from b) then p_size::varchar else 'Other' end as s, sum(p_retailprice) as v from part group by 1, 2)
+  select p.r as row_value, q.s as column_value, {hu('coalesce(x.v, 0)', 2)} as value
+  from (select distinct r from x) p cross join (select distinct s from x) q left join x on x.r = p.r and x.s = q.s""")
+def _(t: Tables):
+    return a.heatmap(t.part, "p_brand", "p_size", "p_retailprice", 15)
+
+
+@query("chart_multi_series_other", f"""with b as (select p_brand as v from part group by 1 order by count(*) desc, 1 limit 2)
+  select p_type as category, {hu("coalesce(sum(p_retailprice) filter (where p_brand = (select min(v) from b)), 0)", 2)} as first,
+  {hu("coalesce(sum(p_retailprice) filter (where p_brand = (select max(v) from b)), 0)", 2)} as second,
+  {hu("coalesce(sum(p_retailprice) filter (where p_brand not in (from b)), 0)", 2)} as other_series,
+  {hu('sum(p_retailprice)', 2)} as total from part group by 1""")
+def _(t: Tables):
+    return c.multi_series(t.part, "p_type", "p_brand", "p_retailprice", max_series=2).toDF(
+        "category", "first", "second", "other_series", "total")
+
+
 @query("combo", f"""select o_orderpriority as category, {hu('sum(o_totalprice)', 2)} as first_value,
-  {hu('avg(o_custkey)', 2)} as second_value from orders group by 1 order by 2 desc, 1 limit 15""")
+  {hu('avg(o_custkey)', 2)} as second_value from orders group by 1""")
 def _(t: Tables):
     return a.combo(t.orders, "o_orderpriority", "o_totalprice", "o_custkey")
 
@@ -193,7 +213,7 @@ def _(t: Tables):
     return c.modal_bin(t.events, "value")
 
 
-FUNNEL = f"""with s as (select event_type as name, count(*)::double as value from events group by 1 order by 2 desc, 1 limit 7),
+FUNNEL = f"""with s as (select event_type as name, count(*)::double as value from events group by 1),
   w as (select *, row_number() over o as step, lag(value) over o as p, first_value(value) over o as f from s
     window o as (order by value desc, name))
   select step, name, value, {hu('value/f*100', 1)} as pct_of_top, {hu('coalesce(value/p*100, 100)', 1)} as step_conversion,

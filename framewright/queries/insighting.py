@@ -78,6 +78,16 @@ def _(t: Tables):
     return i.dataset_insights(p.profile(sales(t)))
 
 
+@query("dataset_insights_dirty")
+def _(t: Tables):
+    return i.dataset_insights(p.profile(t.dirty_customer))
+
+
+@query("eda_insights_dirty")
+def _(t: Tables):
+    return i.eda_insights(p.profile(t.dirty_customer))
+
+
 @query("recommended_analyses", """select * from (values ('segment_comparison', 'Diagnostic', 'bar', 'state,order_id'),
   ('correlation_and_regression', 'Predictive', 'scatter', 'order_id,revenue,profit'),
   ('time_series', 'Descriptive', 'line', 'order_date,order_id'), ('cross_tabulation', 'Diagnostic', 'bar', 'state,channel'))

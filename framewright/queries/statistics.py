@@ -1,6 +1,7 @@
 """Descriptive statistics, tests, correlation and anomalies."""
 
 from framewright.operators import stats as s
+from framewright.queries.profile_sql import number_sql
 from framewright.queries.registry import Tables, hu, query
 from framewright.session import work_folder
 from framewright.sources.files import read_csv_like, write_csv
@@ -182,6 +183,15 @@ def _(t: Tables):
     return s.corr_pearson(t.lineitem, LINE).drop("p_value")
 
 
+DIRTY = f"(select customer_id, age, {number_sql('balance_text')} as balance_text from dirty_customer)"
+DIRTY_PAIRS = [("customer_id", "age"), ("customer_id", "balance_text"), ("age", "balance_text")]
+
+
+@query("corr_pearson_dirty", corr_sql(DIRTY, DIRTY_PAIRS))
+def _(t: Tables):
+    return s.corr_pearson(t.dirty_customer, ["customer_id", "age", "balance_text"]).drop("p_value")
+
+
 @query("corr_pearson_exact_p")
 def _(t: Tables):
     return s.corr_pearson(t.part, ["p_partkey", "p_size", "p_retailprice"])
