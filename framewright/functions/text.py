@@ -44,6 +44,16 @@ def fold_key(text: Column) -> Column:
     return F.when(folded != "", folded)
 
 
+def key_text(column: Column, dtype: T.DataType) -> Column:
+    """Comparable text of a key of any type: whole numbers without decimals, text folded, blank as null."""
+    if isinstance(dtype, T.DecimalType):
+        return F.regexp_replace(column.cast("string"), r"\.0+$", "")
+    if is_number(dtype) and not isinstance(dtype, INTEGRAL):
+        whole = (column == F.floor(column)) & (F.abs(column) < float(2**63))
+        return F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string"))
+    return fold_key(column)
+
+
 def bare(text: Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")

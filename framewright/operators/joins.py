@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framewright.functions.numbers import half_up
-from framewright.functions.text import INTEGRAL, fold_key, is_number
+from framewright.functions.text import INTEGRAL, key_text
 from framewright.operators.scale import skew_join
 
 
@@ -19,15 +19,7 @@ def key_pair(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -
         return F.col(f"`{left_key}`").cast("long"), F.col(f"`{right_key}`").cast("long")
     if isinstance(lt, (T.DateType, T.TimestampType, T.TimestampNTZType)) and lt == rt:
         return F.col(f"`{left_key}`"), F.col(f"`{right_key}`")
-
-    def as_text(name: str, dtype: T.DataType) -> Column:
-        column = F.col(f"`{name}`")
-        if is_number(dtype) and not isinstance(dtype, INTEGRAL):
-            whole = column == F.floor(column)
-            return F.when(whole, column.cast("long").cast("string")).otherwise(column.cast("string"))
-        return fold_key(column)
-
-    return as_text(left_key, lt), as_text(right_key, rt)
+    return key_text(F.col(f"`{left_key}`"), lt), key_text(F.col(f"`{right_key}`"), rt)
 
 
 def safe_join(

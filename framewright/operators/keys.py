@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framewright.functions.numbers import half_up
-from framewright.functions.text import bare, is_number, is_text
+from framewright.functions.text import bare, is_number, is_text, key_text
 from framewright.operators.joins import key_counts
 from framewright.operators.profile import Profile, profiled_columns
 
@@ -49,28 +49,17 @@ def name_similarity(a: Column, b: Column, table_a: Column, table_b: Column) -> C
     )
 
 
-def key_text(column: Column, dtype: T.DataType) -> Column:
-    """Cell as comparable key text; whole numbers lose their decimals, blank becomes null."""
-    if is_number(dtype) and not isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        text = F.when(column == F.floor(column), column.cast("long").cast("string")).otherwise(column.cast("string"))
-    else:
-        text = column.cast("string")
-    folded = F.lower(F.trim(text))
-    return F.when(folded != "", folded)
-
-
 def distinct_cells(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, column, family, value, n): distinct key text of every column of every table, counted map-side.
 
-    ``family`` keeps numbers, text and times apart so that only comparable columns meet in the overlap join.
+    ``family`` keeps times apart; numbers and text meet, since a key is often a number in one table and text in the other.
     """
     parts = None
     for name, df in tables.items():
         columns = profiled_columns(df)
         cells = [
             F.struct(
-                F.lit("number" if is_number(df.schema[c].dataType) else "text" if is_text(df.schema[c].dataType) else "other")
-                .alias("family"),
+                F.lit("value" if is_number(df.schema[c].dataType) or is_text(df.schema[c].dataType) else "other").alias("family"),
                 key_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value"),
             ).alias(c)
             for c in columns

@@ -163,22 +163,37 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> list:
     return [r[0] for r in rows]
 
 
+def _salted(left: DataFrame, right: DataFrame, key: str, how: str, salts: int, hot: list) -> DataFrame:
+    """Left rows of hot keys, and left rows without a key, spread over ``salts`` tasks; the right rows of hot keys repeated per salt."""
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) + F.spark_partition_id(), F.lit(salts))
+    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)).cast("int"))
+    if not hot:
+        copies = right.withColumn("_salt", F.lit(0))
+    else:
+        every = F.sequence(F.lit(0), F.lit(salts - 1))
+        copies = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16,
               hot: list | None = None) -> DataFrame:
-    """Equi join on ``key`` (same name on both sides) with hot keys of the preserved side spread over ``salts`` tasks.
+    """Equi join on ``key`` (same name on both sides) with hot keys of either side, and rows without a key, spread over tasks.
 
-    Hot keys are measured first unless the caller names them; without any, this is the plain join. ``left`` and ``inner`` salt the left side and
-    repeat the right side's few hot rows per salt; ``right`` is the mirror image.
+    Hot keys of both sides are measured first unless the caller names those of the left side (``[]``: even, the plain join).
+    A key hot on the left salts the left rows and repeats the right ones; if it is hot on both sides, the copies are still fewer
+    than the rows of the result. A key hot on the right only is joined apart with the sides exchanged: it has partners, so that
+    part is an inner join whatever ``how`` is. ``right`` is the mirror image of ``left``.
     """
     if how == "right":
         turned = skew_join(right, left, key, "left", salts, hot)
         return turned.select(key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key])
-    hot = hot_keys(left, key) if hot is None else hot
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.col(key).isin(hot)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]) + F.spark_partition_id(), F.lit(salts))
-    salted = left.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    if hot is not None:
+        return _salted(left, right, key, how, salts, hot) if hot else left.join(right, key, how)
+    hot = hot_keys(left, key)
+    wide = [k for k in hot_keys(right, key) if k not in hot]
+    if not wide:
+        return _salted(left, right, key, how, salts, hot) if hot or how == "left" else left.join(right, key, how)
+    many = F.coalesce(F.col(key).isin(wide), F.lit(False))
+    apart = _salted(right.where(many), left.where(many), key, "inner", salts, wide)
+    return _salted(left.where(~many), right.where(~many), key, how, salts, hot).unionByName(apart)

@@ -23,6 +23,13 @@ for _how, _sql in (("inner", "join"), ("left", "left join"), ("right", "right jo
     )
 
 
+@query("join_inner_whole", """select l_orderkey as order_id, l_linenumber, l_extendedprice, o_custkey, o_totalprice
+  from lineitem join orders on l_orderkey = o_orderkey""")
+def _(t: Tables):
+    lines = t.lineitem.select(F.col("l_orderkey").alias("order_id"), "l_linenumber", "l_extendedprice")
+    return j.safe_join(lines, t.orders.select(F.col("o_orderkey").alias("order_id"), "o_custkey", "o_totalprice"), "order_id", "order_id")
+
+
 @query("join_text_key", """select a.n_name as left_n_name, b.n_name as right_n_name, a.n_nationkey as left_n_nationkey,
   b.n_nationkey as right_n_nationkey from (select concat(' ', lower(n_name)) as k, n_name, n_nationkey from nation) a
   join (select upper(n_name) as k2, n_name, n_nationkey from nation) b on lower(trim(a.k)) = lower(trim(b.k2))""")

@@ -33,6 +33,11 @@ def _(t: Tables):
     return f.filter_rows(t.orders, "o_orderpriority", "in", "1-URGENT, 2-high").select("o_orderkey", "o_orderpriority")
 
 
+@query("filter_contains_hit", "select p_partkey, p_name, p_type from part where contains(lower(p_type), 'promo')")
+def _(t: Tables):
+    return f.filter_rows(t.part, "p_type", "contains", "Promo").select("p_partkey", "p_name", "p_type")
+
+
 @query("filter_contains", "select p_partkey, p_name, p_type from part where contains(lower(p_type), 'brass')")
 def _(t: Tables):
     return f.filter_rows(t.part, "p_type", "contains", "BRASS").select("p_partkey", "p_name", "p_type")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.numbers import half_up
 from framewright.functions.text import sanitize
-from framewright.operators import charts, clean, drivers, filters, ml, temporal
+from framewright.operators import aggregate, charts, clean, drivers, filters, insights, joins, keys, ml, profile, stats, temporal
 from framewright.sources import files
 
 
@@ -72,3 +72,49 @@ def test_leap_day_compares_with_its_own_day(spark):
         select timestamp'2024-02-29', '2024-02-29', 99.0D union all select timestamp'2025-02-28', '2025-02-28', 20.0D""")
     got = temporal.compare_periods(points, "daily", "year").where("period = '2025-02-28'").first()
     assert got.base_value == 10.0
+
+
+def test_text_numbers_are_read_everywhere(spark):
+    rows = spark.createDataFrame([("a", "$1,000.50", 1.0), ("a", "n/a", 2.0), ("b", "3", 3.0), ("b", "12%", 4.0)], "g string, m string, x double")
+    assert {r.group_value: r.value for r in aggregate.group_agg(rows, "g", "m").collect()} == {"a": 1000.5, "b": 15.0}
+    assert stats.corr_pearson(rows, ["m", "x"]).first().n == 3
+    assert insights.dataset_insights(profile.profile(spark.createDataFrame([("u",), ("v",)], "only string"))).count() == 0
+
+
+def test_no_group_vanishes_from_charts(spark):
+    rows = spark.range(400).select((F.col("id") % 20).cast("string").alias("g"), (F.col("id") % 13).cast("string").alias("s"))
+    assert charts.funnel(rows, "g").count() == 20
+    wide = charts.multi_series(rows, "g", "s")
+    assert "other_series" in wide.columns and wide.count() == 20
+    names = [c for c in wide.columns if c not in ("category", "total")]
+    assert wide.select(F.sum(sum((F.col(f"`{c}`") for c in names), F.lit(0.0)))).first()[0] == 400
+    for top in (None, 3):
+        assert aggregate.crosstab(rows, "g", "s", top).agg(F.sum("records")).first()[0] == 400
+    assert aggregate.heatmap(rows, "g", "s", top=3).count() == 16
+
+
+def test_preview_of_equal_keys_and_of_removals(spark):
+    rows = spark.createDataFrame([(1, " a"), (2, "b"), (2, "c "), (3, None)], "k int, v string")
+    got = clean.preview(rows, clean.Trim("v"), ["k"]).collect()
+    assert [(r.k, r.before.v, r.after.v) for r in got] == [(1, " a", "a"), (2, "c ", "c")]
+    gone = clean.preview(rows, clean.DropMissing("v"), ["k"]).collect()
+    assert [(r.k, r.changed, r.after) for r in gone] == [(3, "removed", None)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_joins_with_null_keys_and_a_hot_right_side(spark, how):
+    left = spark.range(300).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("k"), F.col("id").alias("a"))
+    right = spark.range(200).select(F.when(F.col("id") % 4 > 0, F.lit(3)).otherwise(F.col("id")).cast("long").alias("k"), F.col("id").alias("b"))
+    got = joins.safe_join(left, right, "k", "k", how)
+    plain = left.join(right, "k", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_decimal_and_text_keys_meet(spark):
+    big = "12345678901234567890"
+    left = spark.sql(f"select cast('{big}' as decimal(20,0)) as k, 1 as a union all select cast(7 as decimal(20,0)), 2")
+    right = spark.createDataFrame([(big, 1), ("7", 2)], "k string, b int")
+    assert joins.safe_join(left, right, "k", "k").count() == 2
+    numbers = spark.range(50).select(F.col("id").alias("order_id"))
+    texts = spark.range(50).select(F.col("id").cast("string").alias("order_id"))
+    assert keys.discover_relationships({"x": numbers, "y": texts}).first().matches == 50
