@@ -27,6 +27,9 @@ ID_NAME = "(?i)id|uuid|key|code|guid|ssn|identifier|token"
 UUID_SHAPE = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 CODE_SHAPE = "^[a-z]{2,4}[-_]?[0-9]{2,8}$"
 
+# Fixed value: how a cell of an identifier reads. A column is one if more than this share of its cells does.
+ID_VALUE = "id|^[a-z0-9_-]{6,}$"
+ID_SHARE = 0.8
 FACTS = """column string, position int, kind string, total long, missing long, valid long, distinct long, padded long,
  null_pct double, cardinality_pct double, type string, recommended string, confidence double, is_id boolean,
  is_high_cardinality boolean, top_value string, top_count long, dominant_pct double, is_constant boolean,
@@ -75,7 +78,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), parts)
 
 
-FACT_SUMS = ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n", "uuid_n", "code_n")
+FACT_SUMS = ("flag_n", "explicit_n", "flag_word_n", "plain_n", "number_n", "shaped_n", "dated_n", "uuid_n", "code_n", "id_n")
 
 
 def _text_cells(counts: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def _text_cells(counts: DataFrame) -> DataFrame:
         rows(folded.isin([*BOOLEAN_WORDS, "y", "n"])).alias("flag_word_n"),
         rows(to_number(value, PLAIN_SYMBOLS).isNotNull()).alias("plain_n"), rows(to_number(value).isNotNull()).alias("number_n"),
         rows(shaped).alias("shaped_n"), rows(dated).alias("dated_n"), rows(folded.rlike(UUID_SHAPE)).alias("uuid_n"),
-        rows(folded.rlike(CODE_SHAPE)).alias("code_n"), F.min(F.when(ok, value)).alias("sample"),
+        rows(folded.rlike(CODE_SHAPE)).alias("code_n"), rows(folded.rlike(ID_VALUE)).alias("id_n"), F.min(F.when(ok, value)).alias("sample"),
         F.min(F.when(ok, F.col("day"))).alias("lo"), F.max(F.when(ok, F.col("day"))).alias("hi"),
     ).drop("folded")
 
@@ -114,7 +117,7 @@ def _typed_cells(counts: DataFrame) -> DataFrame:
         "column", "kind", (~ok).alias("gone"), "n", "padded", F.lit(1).cast("long").alias("spellings"), flag.alias("flag_n"),
         none.alias("explicit_n"), flag.alias("flag_word_n"), F.when(number & ok, n).otherwise(0).alias("plain_n"),
         F.when(number & ok, n).otherwise(0).alias("number_n"), F.when(~number & ok, n).otherwise(0).alias("shaped_n"),
-        F.when(~number & ok, n).otherwise(0).alias("dated_n"), none.alias("uuid_n"), none.alias("code_n"),
+        F.when(~number & ok, n).otherwise(0).alias("dated_n"), none.alias("uuid_n"), none.alias("code_n"), none.alias("id_n"),
         at.alias("lo"), at.alias("hi"),
     )
 
@@ -145,7 +148,7 @@ def column_facts(counts: DataFrame, columns: list[str], tops: DataFrame | None =
                    "column", "left")
     valid, distinct, total = F.col("valid"), F.col("distinct"), F.col("total")
     share = distinct / valid
-    id_like = F.lower("sample").rlike("id|^[a-z0-9_-]{6,}$")
+    id_like = F.col("id_n") / valid > ID_SHARE
     logical = (
         F.when(valid == 0, "text")
         .when((F.col("flag_n") / valid > 0.95) & (valid > 3) & (F.col("explicit_n") > 0), "boolean")

@@ -118,3 +118,8 @@ def test_decimal_and_text_keys_meet(spark):
     numbers = spark.range(50).select(F.col("id").alias("order_id"))
     texts = spark.range(50).select(F.col("id").cast("string").alias("order_id"))
     assert keys.discover_relationships({"x": numbers, "y": texts}).first().matches == 50
+
+
+def test_one_odd_value_does_not_decide_the_type(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") == 0, "!").otherwise(F.concat(F.lit("abc-"), F.lpad(F.col("id").cast("string"), 6, "0"))).alias("c"))
+    assert profile.profile(rows).facts_rows[0]["type"] == "id"
