@@ -38,8 +38,8 @@ def driver_totals(df: DataFrame, metric: str, date: str) -> DataFrame:
     )
 
 
-def driver_delta(df: DataFrame, metric: str, date: str, dimensions: list[str], top: int = 10) -> DataFrame:
-    """Change per factor of every dimension with its share of the total change, the ``top`` largest.
+def driver_delta(df: DataFrame, metric: str, date: str, dimensions: list[str], top: int | None = None) -> DataFrame:
+    """Change per factor of every dimension with its share of the total change, largest first, or the ``top`` of them.
 
     Dimensions are unpivoted, so all factors come from one conditional sum.
     """
@@ -62,7 +62,8 @@ def driver_delta(df: DataFrame, metric: str, date: str, dimensions: list[str], t
         F.when(F.col("gap") > 0, "favorable").otherwise("unfavorable").alias("direction"),
         F.when(F.abs(share) > 20, "MAJOR").when(F.abs(share) > 8, "MODERATE").otherwise("MINOR").alias("significance"),
     )
-    return out.orderBy(F.abs("delta").desc(), "dimension", "factor").limit(top)
+    out = out.orderBy(F.abs("delta").desc(), "dimension", "factor")
+    return out if top is None else out.limit(top)
 
 
 def decompose_profit(df: DataFrame, revenue: str, cost: str) -> DataFrame:

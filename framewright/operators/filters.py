@@ -151,10 +151,11 @@ def columns_of_kind(df: DataFrame, kind: str) -> DataFrame:
     return df.select(*[f"`{n}`" for n in keep])
 
 
-def slicer_values(df: DataFrame, name: str, limit: int = 40) -> DataFrame:
-    """First ``limit`` distinct non-blank values in order, over all rows."""
+def slicer_values(df: DataFrame, name: str, limit: int | None = None) -> DataFrame:
+    """The distinct non-blank values in order, over all rows; with a ``limit`` the first ones."""
     column = F.col(f"`{name}`")
-    return df.where(~missing_in(df, name)).select(column.alias("value")).distinct().orderBy("value").limit(limit)
+    values = df.where(~missing_in(df, name)).select(column.alias("value")).distinct().orderBy("value")
+    return values if limit is None else values.limit(limit)
 
 
 def systematic_sample(df: DataFrame, order: list[str], points: int = 500) -> DataFrame:

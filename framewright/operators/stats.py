@@ -351,8 +351,8 @@ def fitted(df: DataFrame, x: str, y: str, keep: list[str]) -> DataFrame:
     )
 
 
-def anomalies(df: DataFrame, key: list[str], columns: list[str] | None = None, top: int | None = 30) -> DataFrame:
-    """Values outside the IQR fences with z score, method and extremeness, the ``top`` furthest (None for all)."""
+def anomalies(df: DataFrame, key: list[str], columns: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """All values outside the IQR fences with z score, method and extremeness, or the ``top`` furthest."""
     columns = columns or [c for c in numeric_columns(df) if c not in key]
     long = df.select(*[F.col(f"`{k}`") for k in key], *[number_of(df, c).alias(c) for c in columns]).unpivot(
         key, columns, "column", "value"

@@ -11,12 +11,13 @@ INTENTS = ("AGGREGATION", "RANKING", "SEGMENT", "TREND", "CORRELATION", "ANOMALY
 
 
 def run_plan(df: DataFrame, intent: str, metric: str | None = None, dimension: str | None = None, date: str | None = None,
-             key: list[str] | None = None, agg: str = "sum", top: int = 10, features: list[str] | None = None) -> DataFrame:
-    """The result table of one intent."""
+             key: list[str] | None = None, agg: str = "sum", top: int | None = None, features: list[str] | None = None) -> DataFrame:
+    """The result table of one intent: whole, or its ``top`` rows. A ranking shows ten of either side unless told otherwise."""
     if intent == "AGGREGATION":
-        return aggregate.group_agg(df, dimension, metric, agg).limit(top)
+        groups = aggregate.group_agg(df, dimension, metric, agg)
+        return groups if top is None else groups.limit(top)
     if intent == "RANKING":
-        return aggregate.top_bottom(df, dimension, metric, top)
+        return aggregate.top_bottom(df, dimension, metric, top or 10)
     if intent == "SEGMENT":
         return aggregate.segments(df, dimension, metric)
     if intent == "TREND":

@@ -33,7 +33,7 @@ def _(t: Tables):
     case when abs(share) > 20 then 'MAJOR' when abs(share) > 8 then 'MODERATE' else 'MINOR' end as significance
   from x where abs(c-b) > 0.001 order by abs({hu('c-b', 2)}) desc, dimension, factor limit 10""")
 def _(t: Tables):
-    return d.driver_delta(t.orders, "o_totalprice", "o_orderdate", ["o_orderstatus", "o_orderpriority"])
+    return d.driver_delta(t.orders, "o_totalprice", "o_orderdate", ["o_orderstatus", "o_orderpriority"], top=10)
 
 
 @query("metric_decomposition", f"""with f as (select count(*) as n, sum(o_totalprice) as s from orders)

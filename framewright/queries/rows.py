@@ -96,9 +96,14 @@ def _(t: Tables):
     return kept.drop("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
+@query("slicer_values_all", "select distinct p_name as value from part where trim(p_name) <> ''")
+def _(t: Tables):
+    return f.slicer_values(t.part, "p_name")
+
+
 @query("slicer_values", "select distinct p_brand as value from part where p_brand <> '' order by 1 limit 40")
 def _(t: Tables):
-    return f.slicer_values(t.part, "p_brand")
+    return f.slicer_values(t.part, "p_brand", 40)
 
 
 @query("systematic_sample", """with n as (select *, row_number() over (order by l_orderkey, l_linenumber, l_quantity) as r,

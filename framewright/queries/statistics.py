@@ -244,7 +244,7 @@ ANOMALY = f"""with v as (select order_id, price as value from dirty_orders where
 
 @query("anomalies", ANOMALY + ' select * from a order by score desc, "column", order_id limit 30')
 def _(t: Tables):
-    return s.anomalies(t.dirty_orders.select("order_id", "price"), ["order_id"])
+    return s.anomalies(t.dirty_orders.select("order_id", "price"), ["order_id"], top=30)
 
 
 @query("outlier_table", ANOMALY + " select * from a")
