@@ -216,7 +216,7 @@ def masked(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest"), F.col("text"),
                        F.col("doc_id").cast("long").alias("__doc")).withColumn(
         "__md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = rows.join(marked, (F.col("__doc") == F.col("__id")) & (F.col("__md5") == F.col("__row")), "left")
+    joined = rows.join(marked, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__row")), "left")
     kind = rows.schema["__rest"].dataType.simpleString()
     out = joined.select("__rest", "text", "__spans").mapInArrow(run, f"__rest {kind}, text string")
     return out.select(*[F.col("text") if c == "text" else F.col(f"__rest.`{c}`") for c in docs.columns])

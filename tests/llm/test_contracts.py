@@ -188,7 +188,7 @@ def test_empty_tables(empty, spark):
 
 
 def test_null_ids_and_clashing_columns(spark):
-    rows = [(None, "one two three four five six seven eight nine ten", "x", 1, "y"), (None, None, None, None, None),
+    rows = [(None, "one two three four five six seven eight nine c@d.org", "x", 1, "y"), (None, None, None, None, None),
             (3, "mail a@b.org now and then some more words to reach ten of them", "en", 2, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept int, spans string")
     labels = spark.createDataFrame([(None, 1), (3, None), (4, 0)], "doc_id long, quality int")
@@ -199,6 +199,7 @@ def test_null_ids_and_clashing_columns(spark):
     masked = personal_data.masked(docs)
     assert masked.columns == docs.columns
     assert masked.where("doc_id = 3").first().text.startswith("mail [email] now")
+    assert masked.where("doc_id is null and text like '%nine [email]'").count() == 1
     assert masked.where("doc_id is null").count() == 2
     assert packing.pack(docs, BYTE).count() == 3
     assert token_files.round_trip(docs, WORDS).count() == 3
