@@ -9,6 +9,13 @@ a row instead of all pairs. Rows at the seams of partitions are paired too. A on
 below the wanted similarity. What remains is confirmed on the full sets of the whole texts: first the best pair of every class,
 then every pair whose ends are not yet connected. Confirmed pairs are the links; components are found by contraction.
 
+The forest is only a fast start. What it leaves apart is settled exactly: two sets of the wanted similarity share at least
+``SHARED`` (or all) of their rarest shingles, whatever the order of rarity, as long as the order is one for all. The rarest shingles
+of all classes are joined and only pairs of different components are made: the classes of small components by one join of these
+shingles with themselves, the members of components of ``LARGE`` classes and more against these, and, salted, against each other.
+The likeliest pair of every class is confirmed first, so that a region falls together before its other pairs are looked at. The
+order of rarity comes from a sample and affects the speed alone.
+
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is one shingle;
 a null id is linked with nothing, its component is null and it is kept; repeated rows of one id are one document and share its
 component; an empty table gives no rows; texts may be of any length.
@@ -27,6 +34,9 @@ from framewright.llm.graph import components
 from framewright.llm.shared import slot_filter, written
 
 HASHES, TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 128, 16, 8, 3, 3
+#: Rare shingles two similar sets share at least; documents, and shingles of each, that the order of rarity is taken from; classes
+#: of a large component; rows of one shingle per salt; rounds of likeliest pairs before all others.
+SHARED, SAMPLE, SAMPLE_SHINGLES, LARGE, SALT_ROWS, ROUNDS = 3, 20_000, 1024, 100, 500, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.Generator(np.random.PCG64(20260131))
 MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,11 +69,39 @@ def signature(items: np.ndarray) -> np.ndarray:
     return low
 
 
-SKETCH = "doc_id long, n_shingles long, print binary, prefixes binary, bits binary"
+def rarity(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts holds three times or more, sorted, with their counts; its size is bounded by the sample."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+
+    def run(batches):
+        for batch in batches:
+            held = [shingles(t, size)[:SAMPLE_SHINGLES] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["item"])
+
+    seen = sample.mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).where("n > 2").toArrow()
+    items, counts = (seen.column(c).to_numpy() for c in ("item", "n"))
+    items = items.view(np.uint64)
+    order = np.argsort(items)
+    return items[order], counts[order]
+
+
+def rarest(items: np.ndarray, seen: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set, rarest first, of which every set similar enough shares at least SHARED, or all that they share."""
+    count = np.zeros(len(items), np.int64)
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, items), len(seen) - 1)
+        count = np.where(seen[at] == items, times[at], 0)
+    n = len(items)
+    return items[np.lexsort((items, count))[:n + percent * n // -100 + SHARED]]
+
 
+SKETCH = "doc_id long, n_shingles long, print binary, prefixes binary, bits binary, rare array<long>"
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Per document: size and 128-bit print of its set, 16-bit hash prefixes of the trees, one-bit sketch."""
+
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per document: size and 128-bit print of its set, 16-bit hash prefixes of the trees, one-bit sketch, rarest shingles."""
+    seen, times = rarity(docs, size)
 
     def run(batches):
         for batch in batches:
@@ -71,16 +109,17 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 items = shingles(text, size)
                 if not len(items):
-                    out.append((doc_id, 0, None, None, None))
+                    out.append((doc_id, 0, None, None, None, None))
                     continue
                 low = signature(items)
                 short = ((low >> np.uint64(16)) & np.uint64(0xFFFF)).astype(">u2").tobytes()
                 bits = np.packbits(((low >> np.uint64(36)) & np.uint64(1)).astype(np.uint8)).tobytes()
-                out.append((doc_id, len(items), xxhash.xxh3_128_digest(items.tobytes()), short, bits))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                out.append((doc_id, len(items), xxhash.xxh3_128_digest(items.tobytes()), short, bits,
+                            rarest(items, seen, times, percent).view(np.int64)))
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             ["doc_id", "n_shingles", "print", "prefixes", "bits"])
+                                             ["doc_id", "n_shingles", "print", "prefixes", "bits", "rare"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -189,21 +228,90 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def _posts(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """A row per class and rare shingle: item, rep, comp (null: alone), code (twice the set's size, plus one if the shingle is also
+    among those that a set of this size shares with one of its size or larger) and large."""
+    times = linked.groupBy("component").agg(F.count("*").alias("times"))
+    comp = linked.join(times, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), (F.col("times") >= LARGE).alias("large"))
+    home = reps.select("rep", "print").join(comp, "rep", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    sets = sketched.select(F.col("doc_id").alias("rep"), "print", "n_shingles", "rare").groupBy("rep", "print").agg(
+        F.first("n_shingles").alias("n"), F.first("rare").alias("rare"))
+    rows = sets.join(home, ["rep", "print"]).select("rep", "comp", "large", "n", F.posexplode("rare").alias("pos", "item"))
+    short = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + SHARED
+    return rows.select("item", "rep", "comp", (2 * F.col("n") + short.cast("int")).cast("int").alias("code"), "large")
+
+
+def missed(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a < b) of classes of different components that can have the similarity, with the agreement of their hashes."""
+    posts = _posts(sketched, reps, linked, percent)
+    small, large = posts.where("not large").drop("large"), posts.where("large").drop("large")
+    other = lambda rows: rows.withColumnsRenamed({"rep": "r", "comp": "c", "code": "k"})
+    met = [small.join(other(small), "item").where("rep < r and not coalesce(comp = c, false)"), small.join(other(large), "item")]
+    # between large components: those of a shingle's smaller ones against all, so that the members of the largest are not paired
+    mixed = large.groupBy("item").agg(F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    many = written(large.join(mixed.where("lo < hi").select("item", "times"), "item"), "rare-shingles")
+    major = many.groupBy("item", "comp").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"))
+    many = many.join(major, "item").withColumn("salts", F.ceil(F.col("times") / SALT_ROWS))
+    minor = many.where("comp <> major").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
+    every = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    every = other(every.select("item", "salt", "rep", "comp", "code"))
+    met.append(minor.join(every, ["item", "salt"]).where("comp <> c and (c = major or rep < r)"))
+    n, k = F.expr("code div 2"), F.expr("k div 2")
+    near = (100 * F.least(n, k) >= percent * F.greatest(n, k)) & (F.when(n <= k, F.col("code")).otherwise(F.col("k")) % 2 == 1)
+    need = F.least(F.lit(SHARED), F.ceil(percent * (n + k) / (100 + percent)))
+    pairs = [m.where(near).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), need.cast("byte").alias("need")) for m in met]
+    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("a", "b").agg(F.count("*").alias("m"), F.min("need").alias("need"))
+    pairs = written(pairs.where("m >= need").select("a", "b"), "rare-pairs")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(-1, HASHES) for c in ("x", "y"))
+            score = (x == y).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score)], ["a", "b", "score"])
+
+    hashes = slot_filter(reps, "rep", pairs.select("a").union(pairs.select("b"))).groupBy("rep").agg(F.first("prefixes").alias("p"))
+    both = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b")
+    return written(both.mapInArrow(run, "a long, b long, score int"), "rare-scored")
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    ca, cb = linked.toDF("a", "ca"), linked.toDF("b", "cb")
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select(*pairs.columns)
+
+
+def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return components(linked.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest linked doc_id) and kept."""
-    sketched = written(sketches(docs, size), "sketches")
+    percent = round(100 * similarity)
+    sketched = written(sketches(docs, size, percent), "sketches")
     full = sketched.where("n_shingles > 0 and doc_id is not null")
-    reps = written(full.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("prefixes").alias("prefixes"),
-                                             F.first("bits").alias("bits")), "classes")
+    reps = written(full.groupBy("print").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("prefixes", "bits")]), "classes")
     pairs = candidates(reps, similarity)
     best = pairs.groupBy("b").agg(F.max(F.struct("score", -F.col("a"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     sure = written(confirmed(best, docs, size, similarity), "links")
-    joined = components(sure)
-    ca, cb = joined.toDF("a", "ca"), joined.toDF("b", "cb")
-    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
-    apart = apart.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-    more = written(confirmed(written(apart, "apart"), docs, size, similarity), "links")
-    linked = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    linked = components(sure)
+    apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), linked)
+    linked = _joined(linked, written(confirmed(written(apart, "apart"), docs, size, similarity), "links"))
+    # the forest's pairs that were looked at and are no links need no second look
+    rest = written(_apart(missed(full, reps, linked, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), linked), "apart")
+    for turn in range(ROUNDS + 1):
+        if not rest.take(1):
+            break
+        now = rest.select("a", "b")
+        if turn < ROUNDS:
+            ends = rest.select(F.col("a").alias("end"), F.col("b").alias("other"), "score").unionByName(
+                rest.select(F.col("b").alias("end"), F.col("a").alias("other"), "score"))
+            top = ends.groupBy("end").agg(F.max(F.struct("score", "other"))["other"].alias("other"))
+            now = written(top.select(F.least("end", "other").alias("a"), F.greatest("end", "other").alias("b")).distinct(), "likeliest")
+        linked = _joined(linked, written(confirmed(now, docs, size, similarity), "links"))
+        if turn < ROUNDS:
+            rest = written(_apart(rest.join(now, ["a", "b"], "left_anti"), linked), "apart")
     home = reps.select("print", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(
         "print", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(home, "print", "left")
