@@ -37,9 +37,6 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-STAND_IN = [c for c, _ in sorted(_byte_of().items(), key=lambda x: x[1])]
-
-
 @cache
 def byte_level(path: str):
     """A fast encoder with the file's own vocabulary; in such a file the ids are the merge ranks."""
@@ -80,7 +77,7 @@ class WordIds(dict):
     """Ids of white-space separated chunks as little-endian bytes, kept per worker for at most ``limit`` chunks. The first half
     stays for good, as frequent chunks are met early; the rest makes room when the store is full.
 
-    Only for tokenizers that drop white space and never merge across it. Unknown words are encoded by the library's
+    Only for tokenizers that drop white space and never merge across it. Unknown ASCII words are encoded by the library's
     merge model, other unknown chunks of a batch by the whole library in one call.
     """
 
@@ -100,7 +97,9 @@ class WordIds(dict):
         rest = []
         for c in chunks:
             low = c.lower()
-            if low.isalpha():
+            if not c.isascii():
+                rest.append(c)  # the file's normalizer is not Python's lower()
+            elif low.isalpha():
                 self[c] = self._word(low)
             elif low[-1] in ".,;:!?" and low[:-1].isalpha():
                 self[c] = (self.get(low[:-1]) or self._word(low[:-1])) + self._word(low[-1])
@@ -110,10 +109,8 @@ class WordIds(dict):
             self[c] = array("I", found.ids).tobytes()
 
     def _word(self, low: str) -> bytes:
-        """The ids of one pre-token, lower-case letters or one mark, straight from the library's merge model, which wants the
-        printable stand-ins of its bytes."""
-        shown = low if low.isascii() else "".join(map(STAND_IN.__getitem__, low.encode()))
-        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+        """The ids of one pre-token, ASCII lower-case letters or one mark, straight from the library's merge model."""
+        return array("I", [t.id for t in self.merges.tokenize(low)]).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

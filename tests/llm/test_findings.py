@@ -2,7 +2,11 @@
 
 import random
 
-from framewright.llm import near_dup
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from framewright.llm import near_dup, tokenizing
 
 
 def test_star_of_variants_is_one_component(spark):
@@ -18,3 +22,14 @@ def test_star_of_variants_is_one_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = near_dup.near_duplicates(docs, 2, 0.8).select("component_id").distinct().collect()
     assert [r.component_id for r in got] == [0]
+
+
+def test_word_ids_follow_the_normalizer_of_the_file():
+    """Capital final sigma, decomposed Hangul and letters that NFC changes, alone, in words and before a mark."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = ["\u039f\u0394\u039f\u03a3", "\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165", "\u0958\u0915", "\u09dc", "\uf900\ufa10",
+             "Stra\u00dfe", "\u0130stanbul", "PLAIN", "Word.", "e\u0301t\u00e9"]
+    words += [w + "," for w in words]
+    library = Tokenizer.from_file(path)
+    got = [np.frombuffer(b, "<u4").tolist() for b in tokenizing.WordIds(path).batch([*words, " ".join(words)])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*words, " ".join(words)]]
