@@ -84,3 +84,41 @@ def get_file(path: str) -> bytes:
     store, at = _place(path)
     with store.open_input_stream(at, compression=None) as f:
         return f.read()
+
+
+def folder_of(df: DataFrame) -> str:
+    """The folder of a frame read back by ``written``; empty when it has no files."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else ""
+
+
+def file_batches(folder: str, columns: list[str], rows: int):
+    """Tables of at most ``rows`` rows of the Parquet files of a shared folder, in the order of the files' names, inside a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import Table, fs
+
+    if not folder:
+        return
+    store, at = _place(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(at)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(rows, columns=columns):
+                    yield Table.from_batches([batch])
+
+
+def matrix(vectors):
+    """A column of lists of whole numbers as a matrix of 64-bit numbers; shorter lists are padded with zeros."""
+    import numpy as np
+    import pyarrow as pa
+
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    lengths = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    wide = int(lengths.max()) if len(lengths) else 0
+    if (lengths == wide).all():
+        return flat.reshape(len(lengths), wide)
+    out = np.zeros((len(lengths), wide), dtype=np.int64)
+    out[np.arange(wide) < lengths[:, None]] = flat
+    return out
