@@ -10,6 +10,21 @@ from framewright.sources import files as fl, html_tables as ht, snapshots as sn
 CUSTOMER = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 
 
+def in_small_splits(t: Tables, read, split: str = "64k"):
+    """The rows that ``read`` gives while files are cut into small splits, written so that later settings do not matter."""
+    names = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1k"}
+    before = {n: t.spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            t.spark.conf.set(n, v)
+        path = work_folder(t.spark, "split-rows")
+        read().write.parquet(path)
+    finally:
+        for n, v in before.items():
+            t.spark.conf.set(n, v)
+    return t.spark.read.parquet(path)
+
+
 def customers(t: Tables):
     return t.customer.select(*[c.strip() for c in CUSTOMER.split(",")])
 
@@ -34,6 +49,52 @@ def _(t: Tables):
     return back.withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
+DOCUMENTS = "doc_id, nullif(text, '') as text, lang, source, n_chars"
+
+
+@query("csv_quoted_breaks", f"select {DOCUMENTS} from documents")
+def _(t: Tables):
+    """Texts with line breaks, separators and quotes inside quoted cells, over many splits and without a given separator."""
+    path = work_folder(t.spark, "quoted")
+    t.documents.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    types = "doc_id long, text string, lang string, source string, n_chars long"
+    return in_small_splits(t, lambda: fl.read_delimited(t.spark, path, schema=types))
+
+
+@query("txt_separator_found", """select conv_id, turn::bigint as turn, role, nullif(trim(text), '') as text from conversations
+  where trim(text) <> '' or conv_id is not null""")
+def _(t: Tables):
+    """Tab-separated text whose cells are full of commas; separator and types come from the data."""
+    path = work_folder(t.spark, "tabbed")
+    rows = t.conversations.select("conv_id", "turn", "role", F.trim("text").alias("text"))
+    rows.write.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
+    back = in_small_splits(t, lambda: fl.read_delimited(t.spark, path))
+    return back.withColumns({"conv_id": F.col("conv_id").cast(t.conversations.schema["conv_id"].dataType), "turn": F.col("turn").cast("long")})
+
+
+PAGE = "page_id, url, md5(html) as digest, length(html)::bigint as n"
+
+
+@query("json_array_splits", f"select {PAGE} from pages")
+def _(t: Tables):
+    """Arrays of records whose texts are full of braces and quotes, over many splits."""
+    path = work_folder(t.spark, "arrays")
+    fl.write_json_arrays(t.pages, path)
+    back = in_small_splits(t, lambda: fl.read_json(t.spark, path, schema="page_id long, url string, html string"))
+    return back.select("page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("long").alias("n"))
+
+
+@query("json_wrapped_array", "select event_id, event_type, json_extract_string(props, '$.k')::bigint as k from events")
+def _(t: Tables):
+    """``{"meta": [...], "data": [...]}`` with nested objects; the other array and the nested ones are no rows."""
+    path = work_folder(t.spark, "wrapped")
+    rows = t.events.select("event_id", "event_type", F.from_json("props", "k long").alias("props"))
+    fl.write_json_arrays(rows, path, head='{"meta": [{"event_id": -1}, "]}"],\n "data": [', tail="], \"more\": [{}]}")
+    back = in_small_splits(t, lambda: fl.read_json(t.spark, path))
+    return back.select("event_id", "event_type", F.col("props.k").cast("long").alias("k"))
+
+
 @query("json_data_array", f"select {CUSTOMER} from customer")
 def _(t: Tables):
     path = work_folder(t.spark, "json")
@@ -60,8 +121,9 @@ def _(t: Tables):
 @query("odata_rows", "select n_nationkey::bigint as n_nationkey, n_name from nation")
 def _(t: Tables):
     path = work_folder(t.spark, "odata")
-    t.nation.select(F.array(F.struct("n_nationkey", "n_name")).alias("value")).coalesce(1).write.json(path)
-    return fl.rows_at(t.spark.read.json(path), "value")
+    head = '{"@odata.context": "$metadata#Nations", "value": ['
+    fl.write_json_arrays(t.nation.select("n_nationkey", "n_name"), path, head, '], "@odata.nextLink": null}')
+    return fl.read_odata(t.spark, path)
 
 
 @query("json_path", "select event_id, json_extract_string(props, '$.k')::bigint as k from events")

@@ -7,22 +7,29 @@ from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-SEPARATORS = {"csv": ",", "tsv": "\t", "txt": ","}
+from framewright.sources import delimited, json_records
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, schema: T.StructType | str | None = None,
                    encoding: str = "UTF-8") -> DataFrame:
     """CSV, TSV or TXT with a header: trimmed names, blank-named columns and all-blank rows left out.
 
-    Types are inferred unless a schema is given; on large inputs a schema saves the extra pass.
+    Quoted fields may hold line breaks and separators; files are still read in splits. Types are inferred from all cells unless a
+    schema is given, and the separator is found from the data unless it is given; on large inputs both save a pass. Text in another
+    encoding than UTF-8 goes through the plain reader, one task a file.
     """
-    sep = sep or SEPARATORS.get(path.rsplit(".", 1)[-1].lower(), ",")
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", False)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
-    kept = [c for i, c in enumerate(df.columns) if c.strip() and c != f"_c{i}"]  # the reader names a blank header by its place
-    df = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in kept])
+    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        df = delimited.read_records(spark, path, sep, schema)
+    else:
+        reader = spark.read.option("header", True).option("sep", sep or ",").option("encoding", encoding).option("multiLine", True)
+        df = reader.option("escape", '"').csv(path) if schema is None else reader.option("escape", '"').schema(schema).csv(path)
+        kept = [c for i, c in enumerate(df.columns) if c.strip() and c != f"_c{i}"]  # the reader names a blank header by its place
+        df = df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in kept])
+    if not df.columns:
+        return df
     filled = [F.coalesce(F.trim(F.col(f"`{c}`").cast("string")) != "", F.lit(False)) for c in df.columns]
-    return df.where(reduce(or_, filled))
+    df = df.where(reduce(or_, filled))
+    return df if schema is not None else delimited.inferred(df)
 
 
 def rows_at(df: DataFrame, path: str = "") -> DataFrame:
@@ -41,10 +48,19 @@ def rows_at(df: DataFrame, path: str = "") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, rows: str | None = None, schema: T.StructType | str | None = None,
               lines: bool = False) -> DataFrame:
-    """A JSON array, ``{"data": [...]}``, one object, or one object per line (``lines``, the splittable form for big inputs).
+    """A JSON array, ``{"data": [...]}``, one object, or one object per line (``lines`` saves the search for records).
 
-    All keys of all records become columns. ``rows`` names the dotted path of the records, ``data`` is found by itself.
+    All keys of all records become columns. ``rows`` names the path of the records, ``data`` is found by itself. Arrays are read in
+    splits, however they are laid out; only a path of several keys needs a file to be read by one task.
     """
+    if not lines and "." not in (rows or ""):
+        found = json_records.records(spark, path, rows or "data")
+        if schema is not None:
+            return found.select(F.from_json("text", T.StructType.fromDDL(schema).toDDL() if isinstance(schema, str) else
+                                            schema.toDDL()).alias("r")).select("r.*")
+        records = spark.read.json(json_records.as_lines(found))
+        if records.columns:
+            return records  # without any object in it, the array holds plain values
     reader = spark.read.option("multiLine", not lines)
     df = reader.schema(schema).json(path) if schema is not None else reader.json(path)
     if rows is None and "data" in df.columns and isinstance(df.schema["data"].dataType, T.ArrayType):
@@ -106,6 +122,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
+    """Rows as JSON, every part file one array (or what ``head`` and ``tail`` wrap it in)."""
+    def wrap(batches):
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([head if last is None else last + ","])], names=["value"])
+                last = text
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last, tail])], names=["value"])
+
+    df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(wrap, "value string").write.text(path)
+
+
 def read_csv_like(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Read a written CSV back with the schema it was written from."""
     return spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").schema(like.schema).csv(path)

@@ -152,8 +152,8 @@ def test_history(spark):
 
 def test_keep_first_and_last(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "k string, o int")
-    assert sorted(r["o"] for r in clean.RemoveDuplicateIds("k", ("o",)).apply(df).collect()) == [1, 3]
-    assert sorted(r["o"] for r in clean.RemoveDuplicateIds("k", ("o",), "last").apply(df).collect()) == [2, 4]
+    assert sorted(r["o"] for r in clean.RemoveDuplicateIds("k", ("o",)).apply(df).collect()) == [1, 2, 3]
+    assert sorted(r["o"] for r in clean.RemoveDuplicateIds("k", ("o",), "last").apply(df).collect()) == [1, 2, 4]
 
 
 def test_group_labels_and_shares(spark):
