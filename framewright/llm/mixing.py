@@ -4,14 +4,14 @@
   again among the others until none is above (a few one-row aggregates over the table of sources).
 * Blocks: the words of a source, in order of the documents' ids, are cut into blocks of ``block`` words. A block is only an index: a
   document covers a range of blocks, found from its running offset.
-* Draws: the slots that fill a source's target are drawn over the output shards by a seeded multinomial, one row per source. Given
-  the sizes of the shards this is a multinomial draw of sources in each shard under fixed source totals, so that every source meets
-  its target to the word (the last slot takes a part of its block) and never more than ``most`` times a document.
+* Draws: every slot that fills a source's target draws its output shard by a seeded hash, so the counts of a source over the shards
+  are one multinomial draw, and a shard's counts of sources are multinomial given the totals of the sources. The totals stay
+  fixed: every source meets its target to the word (the last slot takes a part of its block), no document comes more than ``most`` times.
 * Permutation: slot i of pass e over a source reads block ``permuted(i)``. The permutation is a swap-or-not network keyed by seed,
   source and pass: one rule for any number of blocks, nothing stored, and its own inverse when the rounds run backwards.
 * Slots and pieces of documents meet by (source, block index), which is unique among blocks, so a hot source spreads evenly.
 
-Bounds: a table of one row per source, drawn by one row of ``shards`` counts per source; slots are made in runs of ``RUN``.
+Bounds: a table of one row per source; slots are made by runs of ``RUN``, as many tasks as the slots need.
 
 Edge cases: null text is empty; documents without words are taken 0 times; a null source is a source of its own, the last one. Null
 and repeated ids and repeated rows are documents of their own. An empty table, or one without words, takes nothing. Reruns agree: order, draws
@@ -21,8 +21,6 @@ columns travel in a struct.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +29,7 @@ from framewright.operators.scale import join_keys, join_small, number_rows, runn
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, SHARDS, SEED = 256, 64, 20_240
-ROUNDS, RUN = 24, 4096
+ROUNDS, RUN, TASK_SLOTS, MOST_TASKS = 24, 4096, 1 << 17, 100_000
 WORD = "[^" + WORD_GAP[1:]
 
 
@@ -85,32 +83,21 @@ def _schedule(sources: DataFrame, block: int, seed: int) -> DataFrame:
 
 def slots(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row per slot of the mix: shard, source_no, slot, block_no and ``take``, the words that it takes of the block."""
-    plan = _schedule(sources, block, seed)
-
-    def draw(frames):
-        for f in frames:
-            made = {"source_no": [], "shard": [], "first": [], "many": []}
-            for no, n in zip(f["source_no"], f["slots"]):
-                counts = np.random.default_rng([seed, int(no)]).multinomial(int(n), [1 / shards] * shards)
-                made["source_no"].append(np.full(shards, no))
-                made["shard"].append(np.arange(shards))
-                made["first"].append(np.cumsum(counts) - counts)
-                made["many"].append(counts)
-            if made["many"]:
-                yield pd.DataFrame({k: np.concatenate(v) for k, v in made.items()})
-
-    drawn = plan.select("source_no", "slots").mapInPandas(draw, "source_no long, shard int, first long, many long")
-    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / RUN)))
-    runs = drawn.where("many > 0").select("*", run.alias("run")).repartition("source_no", "shard", "run")
-    start = F.col("first") + F.col("run") * RUN
-    end = F.least(F.col("first") + F.col("many"), start + RUN) - 1
-    numbered = runs.select("source_no", "shard", F.explode(F.sequence(start, end)).alias("slot"))
-    s = numbered.join(plan.select("source_no", "blocks", "tail", "slots", "part"), "source_no")
+    plan = written(_schedule(sources, block, seed), "mix-plan")
+    many = plan.agg(F.sum("slots").alias("n")).first()["n"] or 0
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN)))
+    facts = ["source_no", "blocks", "tail", "slots", "part"]
+    runs = plan.where("slots > 0").select(*facts, run.alias("run"))
+    runs = runs.repartition(min(1 + many // TASK_SLOTS, MOST_TASKS), "source_no", "run")
+    start = F.col("run") * RUN
+    end = F.least(F.col("slots"), start + RUN) - 1
+    s = runs.select(*facts, F.explode(F.sequence(start, end)).alias("slot"))
     turn, index = F.floor(F.col("slot") / F.col("blocks")), F.pmod("slot", "blocks")
     s = s.withColumn("block_no", permuted(index, F.col("blocks"), F.lit(seed), F.col("source_no"), turn))
     full = F.when(F.col("block_no") == F.col("blocks") - 1, F.col("tail")).otherwise(F.lit(block).cast("long"))
     last = (F.col("slot") == F.col("slots") - 1) & (F.col("part") > 0)
-    return s.select("shard", "source_no", "slot", "block_no", F.when(last, F.col("part")).otherwise(full).alias("take"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("source_no"), F.col("slot")), F.lit(shards)).cast("int")
+    return s.select(shard.alias("shard"), "source_no", "slot", "block_no", F.when(last, F.col("part")).otherwise(full).alias("take"))
 
 
 def laid_out(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -119,7 +106,7 @@ def laid_out(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = docs.select("source", F.struct(*[F.col(f"`{c}`").alias(c) for c in keep]).alias("doc"), F.col("doc_id").alias("id"),
                        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("digest"))
     order = [F.col("id").asc_nulls_last(), F.col("digest"), F.col("size")]
-    laid = running_total(rows, ["source"], order, F.col("size"), "end")
+    laid = running_total(written(rows, "mix-sizes"), ["source"], order, F.col("size"), "end")
     return laid.select("source", "doc", "size", (F.col("end") - F.col("size")).alias("start"))
 
 
