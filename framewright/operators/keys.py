@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from framewright.functions.numbers import half_up
 from framewright.functions.text import bare, is_number, is_text, key_text
 from framewright.operators.joins import key_counts
-from framewright.operators.profile import Profile, profiled_columns
+from framewright.operators.overlap import containments, family
+from framewright.operators.profile import Profile
 
 # The columns that name entities.
 ENTITY_NAME = "(?i)name|customer|client|company|title|product"
@@ -49,35 +50,54 @@ def name_similarity(a: Column, b: Column, table_a: Column, table_b: Column) -> C
     )
 
 
-def distinct_cells(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, family, value, n): distinct key text of every column of every table, counted map-side.
-
-    ``family`` keeps times apart; numbers and text meet, since a key is often a number in one table and text in the other.
-    """
+def distinct_cells(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """(table, column, family, value, n): distinct key text of the named columns of every table, counted map-side."""
     parts = None
     for name, df in tables.items():
-        columns = profiled_columns(df)
-        cells = [
-            F.struct(
-                F.lit("value" if is_number(df.schema[c].dataType) or is_text(df.schema[c].dataType) else "other").alias("family"),
-                key_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value"),
-            ).alias(c)
-            for c in columns
-        ]
-        long = df.select(*cells).unpivot([], columns, "column", "cell")
+        if not columns.get(name):
+            continue
+        cells = [F.struct(F.lit(family(df.schema[c].dataType)).alias("family"),
+                          key_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value")).alias(c) for c in columns[name]]
+        long = df.select(*cells).unpivot([], columns[name], "column", "cell")
         part = long.select(F.lit(name).alias("table"), "column", "cell.*").where(F.col("value").isNotNull())
         part = part.groupBy("table", "column", "family", "value").agg(F.count("*").alias("n"))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def promising_columns(tables: dict[str, DataFrame], minimum: float) -> dict[str, list[str]]:
+    """The columns of pairs that can reach ``minimum`` by what their samples, names and a unique side allow at most."""
+    spark = next(iter(tables.values())).sparkSession
+    found, share = containments(tables)
+    ends = {(min(p), max(p)) for p in share}
+    rows = [(a, b, found[a].table, found[a].column, found[b].table, found[b].column,
+             100 * max(share.get((a, b), 0.0), share.get((b, a), 0.0))) for a, b in sorted(ends)]
+    pairs = spark.createDataFrame(rows, "a int, b int, ta string, ca string, tb string, cb string, most double")
+    similar = F.greatest(name_similarity(F.col("ca"), F.col("cb"), F.col("ta"), F.col("tb")),
+                         name_similarity(F.col("cb"), F.col("ca"), F.col("tb"), F.col("ta")))
+    able = (F.col("most") >= 30) & (half_up(F.col("most") * 0.6 + similar * 0.25 + 15) >= minimum)
+    numbers = {n for r in pairs.where(able).select("a", "b").collect() for n in r}
+    out: dict[str, list[str]] = {}
+    for n in sorted(numbers):
+        out.setdefault(found[n].table, []).append(found[n].column)
+    return out
+
+
+FOUND = """source_table string, source_column string, target_table string, target_column string, matches long, overlap_pct double,
+ target_overlap_pct double, name_similarity double, cardinality string, confidence double"""
+
+
 def discover_relationships(tables: dict[str, DataFrame], minimum: float = 55.0) -> DataFrame:
-    """Foreign key candidates between all ordered table pairs, the stronger of two inverted ones kept.
+    """Foreign key candidates between all ordered table pairs over all flat columns, the stronger of two inverted ones kept.
 
-    Each distinct value carries the list of columns it occurs in, which is at most the number of columns of the
-    workspace; column pairs are counted from those lists. No pair of values is ever formed.
+    Samples of the distinct values first drop the columns that no pair can be made of (see ``overlap``); only the cells of
+    the others are shuffled. There each distinct value carries the list of columns it occurs in, which is at most the number of columns of
+    the workspace; column pairs are counted from those lists. No pair of values is ever formed.
     """
-    cells = distinct_cells(tables)
+    columns = promising_columns(tables, minimum)
+    if not columns:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], FOUND)
+    cells = distinct_cells(tables, columns)
     sizes = cells.groupBy("table", "column", "family").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
     place = F.concat_ws("\u0001", "table", "column")
     held = cells.groupBy("family", "value").agg(F.collect_list(place).alias("places"))

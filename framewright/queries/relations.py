@@ -19,20 +19,36 @@ for _table in ("dirty_customer", "orders"):
       from z""")(lambda t, n=_table: k.primary_keys(p.profile(getattr(t, n))))
 
 
+# Every flat column of the given tables with its kind: i whole number, d double, s text, t time.
+COLUMNS = {
+    "region": "r_regionkey i, r_name s", "nation": "n_nationkey i, n_name s, n_regionkey i",
+    "customer": "c_custkey i, c_name s, c_nationkey i, c_acctbal d, c_mktsegment s",
+    "supplier": "s_suppkey i, s_name s, s_nationkey i, s_acctbal d",
+    "part": "p_partkey i, p_name s, p_brand s, p_type s, p_size i, p_retailprice d",
+    "orders": "o_orderkey i, o_custkey i, o_orderstatus s, o_totalprice d, o_orderdate t, o_orderpriority s",
+    "lineitem": "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, "
+                "l_returnflag s, l_linestatus s, l_shipdate t",
+    "events": "event_id i, ts t, user_id i, event_type s, value d, props s",
+    "documents": "doc_id i, text s, lang s, source s, n_chars i", "embeddings": "vec_id i, label i", "pages": "page_id i, url s, html s",
+    "benchmark": "item_id i, text s", "labels": "doc_id i, quality i, toxic i", "conversations": "conv_id i, turn i, role s, text s",
+}
+
+
 def key_tables(t: Tables) -> dict:
-    return {
-        "customer": t.customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
-        "nation": t.nation, "region": t.region, "supplier": t.supplier.select("s_suppkey", "s_nationkey", "s_name"),
-        "orders": t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"),
-    }
+    """All tables with all their columns."""
+    return {name: getattr(t, name) for name in COLUMNS}
+
+
+def cell_sql(column: str, kind: str) -> str:
+    """The key text of a cell: whole numbers without decimals, text folded, blank as null."""
+    if kind == "d":
+        return f"case when {column} = floor({column}) and abs({column}) < 9.2e18 then {column}::bigint::varchar else {column}::varchar end"
+    return f"nullif(lower(trim({column}::varchar, ' ')), '')"
 
 
-COLUMNS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
-           "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_nationkey", "s_name"],
-           "orders": ["o_orderkey", "o_custkey", "o_orderstatus"]}
 CELLS = " union all ".join(
-    f"select '{t}' as t, '{c}' as c, {'0' if c.endswith('key') else '1'} as fam, lower(trim({c}::varchar)) as v from {t} "
-    f"where {c} is not null and trim({c}::varchar) <> ''" for t, cs in COLUMNS.items() for c in cs
+    f"select '{t}' as t, '{c}' as c, {int(k == 't')} as fam, {cell_sql(c, k)} as v from {t} where {cell_sql(c, k)} is not null"
+    for t, cs in COLUMNS.items() for c, k in (x.split() for x in cs.split(", "))
 )
 SIMILAR = """case when x = y then 100 when x in (concat(tt, 'id'), concat(tt, 'key')) or y in (concat(st, 'id'), concat(st, 'key'))
   then 95 when contains(x, y) or contains(y, x) then 80 else 20 end"""
@@ -41,7 +57,7 @@ DISCOVER = f"""with cells as ({CELLS}), d as (select t, c, fam, v, count(*) as n
   m as (select a.t as st, a.c as sc, b.t as tt, b.c as tc, count(*) as matches from d a join d b on a.v = b.v and a.fam = b.fam
     and a.t <> b.t group by all),
   w as (select m.*, 100.0*matches/x.dn as sp, 100.0*matches/y.dn as tp, x.uq as su, y.uq as tu,
-    replace(sc, '_', '') as x, replace(tc, '_', '') as y from m join s x on x.t = st and x.c = sc join s y on y.t = tt and y.c = tc),
+    regexp_replace(sc, '[^a-z0-9]', '', 'g') as x, regexp_replace(tc, '[^a-z0-9]', '', 'g') as y from m join s x on x.t = st and x.c = sc join s y on y.t = tt and y.c = tc),
   z as (select *, ({SIMILAR})::double as sim, case when su and tu then 'ONE_TO_ONE' when su then 'ONE_TO_MANY' when tu
     then 'MANY_TO_ONE' else 'MANY_TO_MANY' end as cardinality from w where greatest(sp, tp) >= 30),
   c as (select *, least(99.0, {hu(f'greatest(sp, tp)*0.6 + ({SIMILAR})*0.25 + case when su or tu then 15 else 0 end')}) as confidence
