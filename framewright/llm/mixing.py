@@ -133,7 +133,8 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     ready(docs.sparkSession)
     placed, drawn, pieces = mixture(docs, ("doc_id",), **how)
     used = F.when(F.col("take") > F.col("at"), F.least(F.col("n"), F.col("take") - F.col("at"))).otherwise(F.lit(0))
-    counted = pieces.join(drawn.select("source_no", "block_no", "take"), ["source_no", "block_no"], "left")
+    # the plan's estimate of the slots is that of the few rows they are made from: without the hint they would be broadcast
+    counted = pieces.join(drawn.select("source_no", "block_no", "take").hint("merge"), ["source_no", "block_no"], "left")
     facts = [F.max(c).alias(c) for c in ("doc", "size", "source_size", "target")]
     sums = counted.groupBy("source_no", "start").agg(*facts, F.coalesce(F.sum(used), F.lit(0)).cast("long").alias("taken"))
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
                                                                         F.col("n").cast("int")).alias("words"))
     blocks = cut.groupBy("source_no", "block_no").agg(
         F.first("source").alias("source"), F.flatten(F.array_sort(F.collect_list(F.struct("at", "words")))["words"]).alias("words"))
-    joined = drawn.join(blocks, ["source_no", "block_no"])
+    joined = drawn.hint("merge").join(blocks, ["source_no", "block_no"])
     part = F.slice("words", 1, F.col("take").cast("int"))
     return joined.select("shard", F.xxhash64("shard", "source_no", "slot").alias("place"), "source", "block_no",
                          F.size(part).cast("long").alias("n_words"), F.array_join(part, " ").alias("text"))
