@@ -11,24 +11,26 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framewright.functions.numbers import finite, half_up, percent, ratio
 from framewright.functions.text import is_number
+from framewright.operators.encoding import FOLD, FOLDS, feature_stages, layout, summed
+from framewright.operators.nearest import nearest
 from framewright.operators.profile import Profile
-from framewright.operators.scale import one_row, running_total
+from framewright.operators.scale import number_rows, one_row, running_total
+from framewright.session import work_folder
 
 REGRESSORS = ("ols", "ridge", "lasso", "random_forest", "gradient_boosting")
+KEY = "_key"
 CLASSIFIERS = ("logistic", "decision_tree", "random_forest", "gradient_boosting")
-MAX_CATEGORIES = 1000
 
 
 def bucket(key: str, buckets: int = 100, seed: int = 42) -> Column:
     """A stable bucket of a row key: the same on every run, cluster and engine with md5."""
-    text = F.concat(F.lit(f"{seed}:"), F.col(f"`{key}`").cast("string"))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
@@ -37,26 +39,6 @@ def split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42) -> DataFr
     return df.withColumn("is_test", bucket(key, 100, seed) < test_pct)
 
 
-def feature_stages(df: DataFrame, features: list[str]) -> list:
-    """Encoders, imputers, assembler and scaler; fitted on the training part only, as pipeline stages."""
-    words = [f for f in features if not is_number(df.schema[f].dataType)]
-    numbers = [f for f in features if f not in words]
-    if words:
-        sizes = df.agg(*[F.approx_count_distinct(F.col(f"`{w}`")).alias(w) for w in words]).first()
-        large = [w for w in words if sizes[w] > MAX_CATEGORIES]
-        if large:
-            raise ValueError(f"too many categories for a feature: {large}")
-    stages = []
-    if words:
-        stages.append(StringIndexer(inputCols=words, outputCols=[f"{w}__ix" for w in words], handleInvalid="keep"))
-    if numbers:
-        stages.append(Imputer(inputCols=numbers, outputCols=[f"{n}__im" for n in numbers], strategy="median"))
-    inputs = [f"{n}__im" for n in numbers] + [f"{w}__ix" for w in words]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="keep"))
-    stages.append(StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True))
-    return stages
-
-
 def typed(df: DataFrame, features: list[str]) -> DataFrame:
     """Numeric features as doubles, others as text."""
     casts = {f: F.col(f"`{f}`").cast("double" if is_number(df.schema[f].dataType) else "string") for f in features}
@@ -71,12 +53,11 @@ class Trained:
     predictions: DataFrame
     metrics: DataFrame
     features: list[str]
+    places: list[str]
 
     def importances(self) -> DataFrame:
         """Weight of each feature: tree importance, or absolute coefficient of standardised features."""
         final = self.model.stages[-1]
-        assembler = next(s for s in self.model.stages if isinstance(s, VectorAssembler))
-        names = [c.rsplit("__", 1)[0] for c in assembler.getInputCols()]
         if hasattr(final, "featureImportances"):
             values = final.featureImportances.toArray()
         elif hasattr(final, "coefficientMatrix"):
@@ -84,8 +65,8 @@ class Trained:
         elif hasattr(final, "coefficients"):
             values = abs(final.coefficients.toArray())
         else:
-            values = [0.0] * len(names)
-        rows = [(n, float(v)) for n, v in zip(names, values)]
+            values = [0.0] * len(self.places)
+        rows = summed(self.places, values)
         spark = self.predictions.sparkSession
         return spark.createDataFrame(rows, "feature string, importance double").select(
             "feature", half_up(F.col("importance"), 4).alias("importance")
@@ -101,9 +82,9 @@ def regressor(kind: str, seed: int):
     if kind == "lasso":
         return LinearRegression(regParam=0.1, elasticNetParam=1.0, **shared)
     if kind == "random_forest":
-        return RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed, maxBins=MAX_CATEGORIES + 24, **shared)
+        return RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed, **shared)
     if kind == "gradient_boosting":
-        return GBTRegressor(maxIter=20, maxDepth=3, seed=seed, maxBins=MAX_CATEGORIES + 24, **shared)
+        return GBTRegressor(maxIter=20, maxDepth=3, seed=seed, **shared)
     raise ValueError(f"unknown regressor {kind}")
 
 
@@ -112,11 +93,11 @@ def classifier(kind: str, seed: int, classes: int):
     if kind == "logistic":
         return LogisticRegression(maxIter=50, **shared)
     if kind == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=5, seed=seed, maxBins=MAX_CATEGORIES + 24, **shared)
+        return DecisionTreeClassifier(maxDepth=5, seed=seed, **shared)
     if kind == "random_forest":
-        return RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, maxBins=MAX_CATEGORIES + 24, **shared)
+        return RandomForestClassifier(numTrees=20, maxDepth=5, seed=seed, **shared)
     if kind == "gradient_boosting":
-        boosted = GBTClassifier(maxIter=20, maxDepth=3, seed=seed, maxBins=MAX_CATEGORIES + 24, **shared)
+        boosted = GBTClassifier(maxIter=20, maxDepth=3, seed=seed, **shared)
         return boosted if classes == 2 else OneVsRest(classifier=boosted, **shared)
     raise ValueError(f"unknown classifier {kind}")
 
@@ -135,15 +116,28 @@ def regression_metrics(predictions: DataFrame, features: int) -> DataFrame:
     )
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once and read again, so that the passes of a fit do not repeat what made it."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def prepared(df: DataFrame, target: Column, features: list[str], key: str, name: str, test_pct: int = 20, seed: int = 42) -> DataFrame:
+    """Key (as ``KEY``, since it may be a feature too), typed features, the target as ``name``, ``is_test`` and the fold of a row; rows without a target are left out."""
+    rows = df.select(F.col(f"`{key}`").alias(KEY), *[F.col(f"`{c}`") for c in features], target.alias(name)).where(F.col(name).isNotNull())
+    rows = split(rows, KEY, test_pct, seed).withColumn(FOLD, bucket(KEY, FOLDS, seed + 1))
+    return _stored(typed(rows, features), "model-rows")
+
+
 def train_regression(df: DataFrame, target: str, features: list[str], key: str, kind: str = "ols", test_pct: int = 20,
-                     seed: int = 42) -> Trained:
+                     seed: int = 42, parts: DataFrame | None = None) -> Trained:
     """Fit on the training part, judge on the rest. Rows without a numeric target are left out."""
-    rows = typed(df, features).withColumn("_y", finite(F.col(f"`{target}`"))).where(F.col("_y").isNotNull())
-    parts = split(rows, key, test_pct, seed)
-    train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
-    model = Pipeline(stages=[*feature_stages(rows, features), regressor(kind, seed)]).fit(train)
-    predictions = model.transform(test).select(key, "_y", "prediction")
-    return Trained(model, predictions, regression_metrics(predictions, len(features)), features)
+    parts = prepared(df, finite(F.col(f"`{target}`")), features, key, "_y", test_pct, seed) if parts is None else parts
+    train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test")).drop(FOLD)
+    model = Pipeline(stages=[*feature_stages(parts, features), regressor(kind, seed)]).fit(train)
+    predictions = model.transform(test).select(F.col(KEY).alias(key), "_y", "prediction")
+    return Trained(model, predictions, regression_metrics(predictions, len(features)), features, layout(parts, features))
 
 
 def confusion(predictions: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -178,23 +172,31 @@ def accuracy(counts: DataFrame) -> DataFrame:
     return weighted.select("test_rows", half_up(hits, 4).alias("accuracy"), "precision", "recall", "f1")
 
 
+def class_numbers(train: DataFrame) -> DataFrame:
+    """(_label, _y): the classes of a training part numbered in order of their names; a table of any length."""
+    names = train.select("_label").distinct()
+    return _stored(number_rows(names, [F.col("_label")], "_no").select("_label", (F.col("_no") - 1).cast("double").alias("_y")), "classes")
+
+
 def train_classification(df: DataFrame, target: str, features: list[str], key: str, kind: str = "logistic", test_pct: int = 20,
-                         seed: int = 42) -> Trained:
-    """Fit a classifier on the training part; predictions carry the class names and the score of the last class."""
-    rows = typed(df, features).withColumn("_label", F.col(f"`{target}`").cast("string")).where(F.col("_label").isNotNull())
-    parts = split(rows, key, test_pct, seed)
-    train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
-    names = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
-    labels = list(names.labels)
-    indexed = names.transform(train)
-    model = Pipeline(stages=[*feature_stages(rows, features), classifier(kind, seed, len(labels))]).fit(indexed)
+                         seed: int = 42, parts: DataFrame | None = None) -> Trained:
+    """Fit a classifier on the training part; predictions carry the class names and the score of the last class.
+
+    Class names are joined to their numbers and back; only how many there are is known to the driver.
+    """
+    parts = prepared(df, F.col(f"`{target}`").cast("string"), features, key, "_label", test_pct, seed) if parts is None else parts
+    train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test")).drop(FOLD)
+    names = class_numbers(train)
+    many = names.count()
+    model = Pipeline(stages=[*feature_stages(parts, features, many), classifier(kind, seed, many)]).fit(train.join(names, "_label"))
     scored = model.transform(test)
-    named = F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col("prediction") + 1).cast("int"))
-    cols = [F.col(f"`{key}`"), F.col("_label").alias("actual"), named.alias("predicted")]
+    cols = [F.col(KEY).alias(key), F.col("_label").alias("actual"), "prediction"]
     if "probability" in scored.columns:
-        cols.append(vector_to_array("probability")[len(labels) - 1].alias("score"))
-    predictions = scored.select(*cols)
-    return Trained(model, predictions, accuracy(confusion(predictions)), features)
+        cols.append(vector_to_array("probability")[many - 1].alias("score"))
+    named = scored.select(*cols).join(names.select(F.col("_y").alias("prediction"), F.col("_label").alias("predicted")), "prediction", "left")
+    kept = [c for c in (key, "actual", "predicted", "score") if c in named.columns]
+    predictions = named.select(*[F.col(f"`{c}`") for c in kept])
+    return Trained(model, predictions, accuracy(confusion(predictions)), features, layout(parts, features, many))
 
 
 def roc_points(predictions: DataFrame, positive: Column, score: str = "score") -> DataFrame:
@@ -228,22 +230,21 @@ def auc(points: DataFrame) -> DataFrame:
 
 def kfold(df: DataFrame, target: str, features: list[str], key: str, kind: str = "ols", folds: int = 5, seed: int = 42) -> DataFrame:
     """Test score of every fold of a hash split: R2 for regressors, accuracy for classifiers."""
-    rows = typed(df, features).withColumn("_fold", bucket(key, folds, seed))
+    regression = kind in REGRESSORS
+    wanted = finite(F.col(f"`{target}`")) if regression else F.col(f"`{target}`").cast("string")
+    name = "_y" if regression else "_label"
+    rows = prepared(df, wanted, features, key, name, 0, seed).withColumn("_part", bucket(KEY, folds, seed))
     out = None
     for i in range(folds):
-        train, test = rows.where(F.col("_fold") != i), rows.where(F.col("_fold") == i)
-        if kind in REGRESSORS:
-            part_train = train.withColumn("_y", finite(F.col(f"`{target}`"))).where("_y is not null")
-            part_test = test.withColumn("_y", finite(F.col(f"`{target}`"))).where("_y is not null")
-            model = Pipeline(stages=[*feature_stages(rows, features), regressor(kind, seed)]).fit(part_train)
-            score = regression_metrics(model.transform(part_test), len(features)).select(F.col("r2").alias("score"))
+        train, test = rows.where(F.col("_part") != i), rows.where(F.col("_part") == i).drop(FOLD)
+        if regression:
+            model = Pipeline(stages=[*feature_stages(rows, features), regressor(kind, seed)]).fit(train)
+            score = regression_metrics(model.transform(test), len(features)).select(F.col("r2").alias("score"))
         else:
-            names = StringIndexer(inputCol=target, outputCol="_y", handleInvalid="skip", stringOrderType="alphabetAsc").fit(
-                train.withColumn(target, F.col(f"`{target}`").cast("string")))
-            to_text = F.col(f"`{target}`").cast("string")
-            labelled = names.transform(train.withColumn(target, to_text))
-            model = Pipeline(stages=[*feature_stages(rows, features), classifier(kind, seed, len(names.labels))]).fit(labelled)
-            done = model.transform(names.transform(test.withColumn(target, to_text)))
+            names = class_numbers(train)
+            many = names.count()
+            model = Pipeline(stages=[*feature_stages(rows, features, many), classifier(kind, seed, many)]).fit(train.join(names, "_label"))
+            done = model.transform(test).join(names, "_label")
             score = done.agg(half_up(F.avg((F.col("prediction") == F.col("_y")).cast("double")), 4).alias("score"))
         part = score.select(F.lit(i).cast("long").alias("fold"), "score")
         out = part if out is None else out.unionByName(part)
@@ -254,8 +255,8 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> di
     """K-means on standardised features: assignments, sizes, centres in original units, inertia and silhouette."""
     if k < 2:
         raise ValueError("k-means wants at least two clusters")
-    rows = typed(df, features)
-    model = Pipeline(stages=[*feature_stages(rows, features), KMeans(k=k, maxIter=12, seed=seed, featuresCol="_x",
+    rows = _stored(typed(df, features), "cluster-rows")
+    model = Pipeline(stages=[*feature_stages(rows, features, 0), KMeans(k=k, maxIter=12, seed=seed, featuresCol="_x",
                                                                     predictionCol="cluster")]).fit(rows)
     assigned = model.transform(rows)
     total = rows.agg(F.count("*").alias("n")).scalar()
@@ -282,13 +283,15 @@ def compare_models(df: DataFrame, target: str, features: list[str], key: str, ta
                    seed: int = 42) -> DataFrame:
     """All model kinds on the same split, ranked by their test score; the best is recommended."""
     kinds = kinds or (REGRESSORS if task == "regression" else CLASSIFIERS)
+    wanted = finite(F.col(f"`{target}`")) if task == "regression" else F.col(f"`{target}`").cast("string")
+    data = prepared(df, wanted, features, key, "_y" if task == "regression" else "_label", seed=seed)
     parts = []
     for kind in kinds:
         if task == "regression":
-            metrics = train_regression(df, target, features, key, kind, seed=seed).metrics
+            metrics = train_regression(df, target, features, key, kind, seed=seed, parts=data).metrics
             parts.append(metrics.select(F.lit(kind).alias("model"), F.col("r2").alias("score"), F.col("rmse").alias("error"), "test_rows"))
         else:
-            metrics = train_classification(df, target, features, key, kind, seed=seed).metrics
+            metrics = train_classification(df, target, features, key, kind, seed=seed, parts=data).metrics
             parts.append(metrics.select(F.lit(kind).alias("model"), F.col("accuracy").alias("score"),
                                         (1 - F.col("accuracy")).alias("error"), "test_rows"))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
@@ -298,7 +301,8 @@ def compare_models(df: DataFrame, target: str, features: list[str], key: str, ta
 
 def score_rows(model: PipelineModel, rows: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """Predictions of a fitted pipeline for new rows."""
-    return model.transform(typed(rows, features)).select(*[F.col(f"`{k}`") for k in keep], "prediction")
+    kept = rows.withColumn(KEY, F.struct(*[F.col(f"`{k}`") for k in keep]))
+    return model.transform(typed(kept, features)).select(f"{KEY}.*", "prediction")
 
 
 def _moments(train: DataFrame, features: list[str]) -> Column:
@@ -345,22 +349,17 @@ def centroids(train: DataFrame, label: str, count: int) -> DataFrame:
 def nearest_centroid(df: DataFrame, target: str, features: list[str], key: str, test_pct: int = 20, seed: int = 42) -> DataFrame:
     """Test predictions by the nearest class mean of standardised features; ties go to the first class name.
 
-    The class means are attached as one scalar array. Their number is the number of classes, which is checked.
+    The class means are a table of any length, searched in groups that the triangle inequality leaves (see ``nearest``).
     """
-    parts = split(df, key, test_pct, seed).where(F.col(f"`{target}`").isNotNull())
-    classes = parts.agg(F.approx_count_distinct(F.col(f"`{target}`")).alias("n")).first()["n"]
-    if classes > MAX_CATEGORIES:
-        raise ValueError(f"{target} has about {classes} classes")
+    rows = df.where(F.col(f"`{target}`").isNotNull()).select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, target, *features])])
+    parts = _stored(split(rows, key, test_pct, seed), "centroid-rows")
     train = parts.where(~F.col("is_test"))
     standard = lambda rows: rows.withColumn("_m", _moments(train, features)).withColumns(_standard(features))
-    means = centroids(standard(train), target, len(features)).agg(F.collect_list(F.struct("class", "centre")).alias("c")).scalar()
-    rows = standard(parts.where(F.col("is_test"))).withColumn("_c", means)
-
-    def distance(c: Column) -> Column:
-        return reduce(lambda a, b: a + b, [F.pow(F.col(f"_z{i}") - c["centre"][i], F.lit(2)) for i in range(len(features))])
-
-    best = F.array_min(F.transform("_c", lambda c: F.struct(distance(c).alias("d"), c["class"].alias("class"))))
-    return rows.select(F.col(f"`{key}`"), F.col(f"`{target}`").cast("string").alias("actual"), best["class"].alias("predicted"))
+    means = centroids(standard(train), target, len(features)).select("class", F.col("centre").alias("z"))
+    means = _stored(means, "centroids")
+    z = F.array(*[F.col(f"_z{i}") for i in range(len(features))])
+    tested = standard(parts.where(F.col("is_test"))).select(F.col(f"`{key}`"), F.col(f"`{target}`").cast("string").alias("actual"), z.alias("z"))
+    return nearest(tested, means).select(F.col(f"`{key}`"), "actual", F.col("class").alias("predicted"))
 
 
 def centroid_importance(df: DataFrame, target: str, features: list[str]) -> DataFrame:

@@ -153,7 +153,7 @@ def _(t: Tables):
 
 @query("ml_compare")
 def _(t: Tables):
-    return ml.compare_models(t.part, "p_retailprice", ["p_partkey", "p_size"], "p_partkey", kinds=("ols", "random_forest"))
+    return ml.compare_models(t.part, "p_retailprice", ["p_partkey", "p_size"], "p_partkey")
 
 
 @query("ml_kfold")
@@ -173,13 +173,80 @@ def _(t: Tables):
 
 @query("ml_elbow")
 def _(t: Tables):
-    return ml.elbow(t.part, ["p_size", "p_retailprice"], range(2, 6))
+    return ml.elbow(t.part, ["p_size", "p_retailprice"])
 
 
-@query("ml_score")
+# Two-feature least squares by its normal equations, fitted on the training part.
+LEAST_SQUARES = f"""with s as (select p_partkey, p_partkey::double as a, p_size::double as b, p_retailprice as y,
+    {hash_sql('p_partkey')} < 20 as is_test from part),
+  f as (select covar_pop(a, a) as aa, covar_pop(b, b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as cay, covar_pop(b, y) as cby,
+    avg(a) as ma, avg(b) as mb, avg(y) as my from s where not is_test),
+  g as (select *, (cay*bb-cby*ab)/(aa*bb-ab*ab) as wa, (cby*aa-cay*ab)/(aa*bb-ab*ab) as wb from f),
+  p as (select p_partkey, is_test, y, my+wa*(a-ma)+wb*(b-mb) as prediction from s, g)"""
+
+
+@query("ml_score", LEAST_SQUARES + f" select p_partkey, {hu('prediction', 4)} as prediction from p")
 def _(t: Tables):
     trained = ml.train_regression(t.part, "p_retailprice", ["p_partkey", "p_size"], "p_partkey", "ols")
-    return ml.score_rows(trained.model, t.part, ["p_partkey", "p_size"], ["p_partkey"])
+    scored = ml.score_rows(trained.model, t.part, ["p_partkey", "p_size"], ["p_partkey"])
+    return scored.select("p_partkey", half_up(F.col("prediction"), 4).alias("prediction"))
+
+
+@query("ml_least_squares", LEAST_SQUARES + f""", m as (select count(*) as n, avg((y-prediction)*(y-prediction)) as mse,
+    avg(abs(y-prediction)) as mae, var_pop(y) as v from p where is_test)
+  select n as test_rows, {hu('1-mse/v', 4)} as r2, {hu('1-(mse/v)*(n-1)/(n-3)', 4)} as adjusted_r2, {hu('sqrt(mse)', 4)} as rmse,
+    {hu('mae', 4)} as mae, {hu('mse', 4)} as mse from m""")
+def _(t: Tables):
+    return ml.train_regression(t.part, "p_retailprice", ["p_partkey", "p_size"], "p_partkey", "ols").metrics
+
+
+def planted(t: Tables):
+    """A class that one feature of few values decides, beside a feature of noise."""
+    return t.customer.select("c_custkey", "c_nationkey", "c_acctbal", F.when(F.col("c_nationkey") >= 12, "high").otherwise("low").alias("side"))
+
+
+for _kind in ("decision_tree", "gradient_boosting"):
+    query(f"ml_planted_{_kind}", f"""select case when c_nationkey >= 12 then 'high' else 'low' end as actual,
+      case when c_nationkey >= 12 then 'high' else 'low' end as predicted, count(*) as records from customer
+      where {hash_sql('c_custkey')} < 20 group by all""")(lambda t, kind=_kind: ml.confusion(ml.train_classification(
+        planted(t), "side", ["c_nationkey", "c_acctbal"], "c_custkey", kind).predictions))
+
+
+@query("ml_planted_clusters", """select (c_nationkey % 3)::bigint as planted, count(*) as records, count(*) as in_cluster
+  from customer group by 1""")
+def _(t: Tables):
+    """Three clusters far apart: every one is found whole."""
+    rows = t.customer.select("c_custkey", (F.col("c_nationkey") % 3).cast("long").alias("planted"),
+                             (F.col("c_nationkey") % 3 * 1e6 + F.col("c_acctbal")).alias("x"),
+                             F.when(F.col("c_nationkey") % 3 == 1, 1e6).otherwise(0.0).alias("y"))
+    cells = ml.kmeans(rows, ["x", "y"], 3)["assigned"].groupBy("planted", "cluster").agg(F.count("*").alias("n"))
+    return cells.groupBy("planted").agg(F.sum("n").alias("records"), F.max("n").alias("in_cluster"))
+
+
+# One class per product of brand and size: thousands of classes, each with its own mean.
+MANY = f"""with s as (select p_partkey, concat(p_brand, '/', p_size) as actual, p_retailprice as a, p_size::double as b,
+    {hash_sql('p_partkey')} < 20 as is_test from part),
+  f as (select avg(a) as ma, stddev_pop(a) as sa, avg(b) as mb, stddev_pop(b) as sb from s where not is_test),
+  z as (select p_partkey, actual, is_test, (a-ma)/sa as a, (b-mb)/sb as b from s, f),
+  m as (select actual as k, avg(a) as a, avg(b) as b from z where not is_test group by 1)
+  select z.p_partkey, z.actual, arg_min(k, (pow(z.a-m.a, 2)+pow(z.b-m.b, 2), k)) as predicted from z, m where is_test group by 1, 2"""
+
+
+@query("nearest_of_many_classes", MANY)
+def _(t: Tables):
+    rows = t.part.withColumn("kind", F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")))
+    return ml.nearest_centroid(rows, "kind", ["p_retailprice", "p_size"], "p_partkey")
+
+
+@query("ml_readiness_score", f"""with {facts_ctes('dirty_orders')}, a as (select max(total) as r, count(*) as c,
+    count(*) filter (where null_pct > 30) as h, coalesce(arg_min(dominant_pct, position)
+      filter (where type in ('categorical', 'boolean') and distinct_n between 2 and 10), 0) as d from facts),
+  s as (select greatest(20, least(100, 100 - case when r >= 100 then 0 when r >= 30 then 15 else 40 end
+    - case when c >= 3 then 0 else 30 end - case when h = 0 then 0 else 10 end - case when d >= 80 then 10 else 0 end))::bigint as score
+    from a)
+  select score, case when score >= 75 then 'READY' when score >= 50 then 'NEEDS_CLEANING' else 'INSUFFICIENT_DATA' end as status from s""")
+def _(t: Tables):
+    return ml.readiness_score(p.profile(t.dirty_orders))
 
 
 @query("ml_classification_multiclass")
