@@ -15,7 +15,9 @@ file by file; Spark reads the WARC files back. Files hold at most FILE_BYTES of
 
 Edge cases: a null or empty html is an empty payload and a response; a null address becomes "dns:unknown"; control characters and blanks
 in addresses are percent-encoded; a null page number is a response of its own and stays null; rows that repeat a page number with
-equal payload are all kept, each as what its number says; an empty table gives no rows.
+equal payload are all kept, each as what its number says; an empty table gives no rows. In archives from elsewhere a block that is no
+HTTP response becomes a resource, header lines may be Latin-1 and end in bare line feeds, dates may be short, a record cut off by
+the end of the file is kept as far as it goes and marked, and a record without a page number gets a negative one from file and place.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -35,12 +38,14 @@ from framewright.llm.shared import get_file, put_file, work_folder, written
 
 FILE_BYTES = 8_000_000
 LEAST_REVISIT = 100
+SLICE = 1 << 14
 #: Tasks that convert files; beyond that a task converts several.
 MOST_TASKS = 20_000
 #: Field lists of the two versions, fixed values of the format.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length",
           2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 DATE = "20240131120000"
+HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 def member(data: bytes) -> bytes:
@@ -60,51 +65,82 @@ def arc_record(version: int, url: str, name: str, at: int, http: bytes) -> bytes
     return f"{url} 127.0.0.1 {DATE} text/html {middle}{len(http)}\n".encode() + http + b"\n"
 
 
-def arc_records(data: bytes):
-    """(url, date, type, block) of each record of an uncompressed ARC file, by declared lengths."""
+def arc_entries(data: bytes):
+    """(url, date, type, block, whether it is cut off) of each record of an uncompressed ARC file, by declared lengths."""
     at, version = 0, None
     while at < len(data):
         if data[at] == 0x0A:  # the separator behind a record
             at += 1
             continue
         stop = data.index(b"\n", at)
-        line = data[at:stop].decode("utf-8")
+        line = text_of(data[at:stop]).rstrip("\r")
         fields = line.rsplit(" ", 4 if version in (None, 1) else 9)
         length = int(fields[-1])
         block = data[stop + 1:stop + 1 + length]
-        if len(block) < length:
-            raise ValueError("an ARC record is cut off")
         at = stop + 1 + length
         if version is None:
             version = int(block.split(b" ", 1)[0])
             if version not in FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
             continue
-        yield fields[0], fields[2], fields[3], block
+        yield fields[0], fields[2], fields[3], block, len(block) < length
+
+
+def arc_records(data: bytes):
+    """(url, date, type, block) of each record; an error if the last one is cut off."""
+    for *record, is_cut in arc_entries(data):
+        if is_cut:
+            raise ValueError("an ARC record is cut off")
+        yield tuple(record)
+
+
+def text_of(line: bytes) -> str:
+    """A header line, which old archives hold in any encoding."""
+    try:
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
 
 
 def unpacked(data: bytes) -> bytes:
     """All gzip members of a file, one after another; zero bytes and empty tails are allowed."""
-    parts = []
-    while data:
+    parts, view, at = [], memoryview(data), 0
+    while at < len(view):
         d = zlib.decompressobj(31)
-        parts.append(d.decompress(data) + d.flush())
-        data = d.unused_data
+        while not d.eof and at < len(view):
+            parts.append(d.decompress(view[at:at + SLICE]))
+            at += SLICE
+        # what follows the member within the last slice; slices keep the copy small however long the file is
+        at = min(at, len(view)) - len(d.unused_data)
+        parts.append(d.flush())
     return b"".join(parts)
 
 
 def http_block(page_id, payload: bytes) -> bytes:
-    number = "" if page_id is None else f"X-Page-Number: {page_id}\r\n"
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{number}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
+    number = "-" if page_id is None else page_id
+    return (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Number: {number}\r\n"
+            f"Content-Length: {len(payload)}\r\n\r\n").encode() + payload
 
 
 def http_parts(block: bytes) -> tuple[bytes, dict, bytes]:
-    """(head with its empty line, headers, payload) of an HTTP response."""
-    stop = block.index(b"\r\n\r\n") + 4
-    lines = block[:stop].decode("latin-1").split("\r\n")[1:]
+    """(head with its empty line, headers, payload) of an HTTP response; lines may end in bare line feeds. A block that is no HTTP
+    response is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
+    found = HEAD_END.search(block)
+    stop = found.end() if found else len(block)
+    lines = block[:stop].decode("latin-1").replace("\r", "").split("\n")[1:]
     return block[:stop], dict(x.split(": ", 1) for x in lines if ": " in x), block[stop:]
 
 
+def number_of(headers: dict, name: str, place: int) -> int | None:
+    """The page number a record carries; of archives from elsewhere a negative one made from file and place."""
+    number = headers.get("X-Page-Number")
+    if number is None:
+        return -1 - (int.from_bytes(hashlib.sha256(f"{name}/{place}".encode()).digest()[:8]) >> 2)
+    return None if number == "-" else int(number)
+
+
 def record_id(page_id, salt: str) -> str:
     """A version 8 UUID: for a numbered page 12 + 52 bits of its number, else a hash."""
     if page_id is None:
@@ -142,15 +178,17 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
     """Write the pages as ARC files of either version in turn; a row (path) per file."""
 
     def run(batches):
-        task, file, parts, size = TaskContext.get().partitionId(), 0, [], 0
+        task, file, parts, size, at = TaskContext.get().partitionId(), 0, [], 0, 0
         for batch in batches:
             for page_id, url, html in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html")]):
                 version, name = file % 2 + 1, f"pages-{task:06d}-{file:05d}.arc"
                 if not parts:
                     parts, size = [member(version_block(version, name))], 0
+                    at = len(parts[0])
                 where = "".join(c if 33 <= ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "dns:unknown")
                 http = http_block(page_id, (html or "").encode())
-                parts.append(member(arc_record(version, where, name, sum(map(len, parts)) if version == 2 else 0, http)))
+                parts.append(member(arc_record(version, where, name, at, http)))
+                at += len(parts[-1])
                 size += len(http)
                 if size >= FILE_BYTES:
                     put_file(f"{folder}/{name}.gz", b"".join(parts))
@@ -170,51 +208,50 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, place, page_id, digest, n) of every ARC record."""
+    """(path, place, page_id, digest, n, http) of every ARC record."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                out = []
-                for place, (_, _, _, block) in enumerate(arc_records(unpacked(content.as_py()))):
-                    _, headers, payload = http_parts(block)
-                    number = headers.get("X-Page-Number")
-                    out.append((path, place, None if number is None else int(number), hashlib.sha256(payload).hexdigest(), len(payload)))
-                cols = list(zip(*out)) or [[]] * 5
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64())
+                out, name = [], path.rsplit("/", 1)[1]
+                for place, (_, _, _, block, _) in enumerate(arc_entries(unpacked(content.as_buffer()))):
+                    head, headers, payload = http_parts(block)
+                    out.append((path, place, number_of(headers, name, place), hashlib.sha256(payload).hexdigest(), len(payload), bool(head)))
+                cols = list(zip(*out)) or [[]] * 6
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                                 ["path", "place", "page_id", "digest", "n"])
+                                                 ["path", "place", "page_id", "digest", "n", "http"])
 
-    return _files(spark, folder).mapInArrow(run, "path string, place int, page_id long, digest string, n long")
+    return _files(spark, folder).mapInArrow(run, "path string, place int, page_id long, digest string, n long, http boolean")
 
 
 def _convert(decided: DataFrame, folder: str) -> DataFrame:
-    """Convert each ARC file by its decisions: (path, firsts) where firsts has the response's number of each record."""
+    """Convert each ARC file by its decisions: (path, records) where a record has its number, digest and the response's number."""
 
     def run(batches):
         for batch in batches:
-            for path, firsts in zip(batch.column("path").to_pylist(), batch.column("firsts").to_pylist()):
-                name = path.rsplit("/", 1)[1].removesuffix(".arc.gz") + ".warc.gz"
+            for path, known in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                name = path.rsplit("/", 1)[1].removesuffix(".gz").removesuffix(".arc") + ".warc.gz"
                 info = b"software: framewright\r\nformat: WARC File Format 1.1\r\n"
-                iso = f"{DATE[:4]}-{DATE[4:6]}-{DATE[6:8]}T{DATE[8:10]}:{DATE[10:12]}:{DATE[12:]}Z"
                 parts = [member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id(None, name)}>"),
-                                             ("WARC-Date", iso), ("WARC-Filename", name),
+                                             ("WARC-Date", iso_date(DATE)), ("WARC-Filename", name),
                                              ("Content-Type", "application/warc-fields")], info))]
-                for place, (url, date, _, block) in enumerate(arc_records(unpacked(get_file(path)))):
-                    head, headers, payload = http_parts(block)
-                    number = headers.get("X-Page-Number")
-                    number = None if number is None else int(number)
-                    first = firsts[place]
+                for place, (url, date, kind, block, is_cut) in enumerate(arc_entries(unpacked(get_file(path)))):
+                    number, first, digest = known[place]["page_id"], known[place]["first"], known[place]["digest"]
                     again = first is not None and first != number
-                    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-                    kept = head if again else block
-                    fields = [("WARC-Type", "revisit" if again else "response"),
-                              ("WARC-Record-ID", f"<{record_id(number, f'{name}/{place}')}>"), ("WARC-Date", iso),
-                              ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"),
-                              ("WARC-Block-Digest", f"sha256:{hashlib.sha256(kept).hexdigest()}"),
-                              ("Content-Type", "application/http; msgtype=response")]
+                    kept = http_parts(block)[0] if again else block
+                    is_http = known[place]["http"]
+                    fields = [("WARC-Type", "revisit" if again else "response" if is_http else "resource"),
+                              ("WARC-Record-ID", f"<{record_id(number, f'{name}/{place}')}>"), ("WARC-Date", iso_date(date)),
+                              ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"),
+                              ("Content-Type", "application/http; msgtype=response" if is_http else kind)]
+                    if not is_http:  # the block is the payload
+                        fields.append(("WARC-Block-Digest", f"sha256:{digest}"))
+                    if is_cut:
+                        fields.append(("WARC-Truncated", "unspecified"))
                     if again:
-                        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                        fields += [("WARC-Block-Digest", f"sha256:{hashlib.sha256(kept).hexdigest()}"),
+                                   ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                                    ("WARC-Refers-To", f"<{record_id(first, '')}>")]
                     parts.append(member(warc_record(fields, kept)))
                 put_file(f"{folder}/{name}", b"".join(parts))
@@ -223,6 +260,12 @@ def _convert(decided: DataFrame, folder: str) -> DataFrame:
     return decided.mapInArrow(run, "path string")
 
 
+def iso_date(digits: str) -> str:
+    """The date of an ARC record (YYYYMMDDhhmmss, shorter ones from the front) in ISO form."""
+    d = digits + "00000101000000"[len(digits):]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -233,11 +276,11 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out = []
-                for headers, block in warc_records(unpacked(content.as_py())):
+                for headers, block in warc_records(unpacked(content.as_buffer())):
                     if headers["WARC-Type"] == "warcinfo":
                         continue
                     _, http, payload = http_parts(block)
-                    size = len(payload) if headers["WARC-Type"] == "response" else int(http["Content-Length"])
+                    size = int(http["Content-Length"]) if headers["WARC-Type"] == "revisit" else len(payload)
                     out.append((page_of(headers["WARC-Record-ID"].strip("<>")), size,
                                 headers["WARC-Payload-Digest"].removeprefix("sha256:"), headers["WARC-Type"],
                                 page_of(headers.get("WARC-Refers-To", "").strip("<>"))))
@@ -252,12 +295,12 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
 def convert(spark: SparkSession, arcs: str, warcs: str) -> DataFrame:
     """Convert all ARC files of a folder; a row (path) per WARC file."""
     records = written(_digests(spark, arcs), "arc-records")
-    equal = records.where((F.col("n") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+    equal = records.where((F.col("n") >= LEAST_REVISIT) & F.col("page_id").isNotNull() & F.col("http"))
     firsts = equal.groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("times"))
     known = records.join(firsts.where("times > 1").drop("times"), ["digest", "n"], "left")
     # one row per file, which holds a bounded number of records
-    rows = known.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "page_id", "first"))).alias("r"))
-    decided = rows.select("path", F.transform("r", lambda x: F.when(x["page_id"].isNotNull(), x["first"])).alias("firsts"))
+    first = F.when(F.col("page_id").isNotNull() & F.col("http"), F.col("first")).alias("first")
+    decided = known.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "page_id", first, "digest", "http"))).alias("records"))
     files = max(1, min(records.select("path").distinct().count(), MOST_TASKS))  # the rows are small, the files behind them not
     return written(_convert(decided.repartition(files, "path"), warcs), "warc-files")
 

@@ -33,3 +33,46 @@ def test_word_ids_follow_the_normalizer_of_the_file():
     library = Tokenizer.from_file(path)
     got = [np.frombuffer(b, "<u4").tolist() for b in tokenizing.WordIds(path).batch([*words, " ".join(words)])]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in [*words, " ".join(words)]]
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    """Hand-written ARC 1 and 2 files: dns, bare line feeds, Latin-1, a blank in an address, short dates, equal payloads, a cut-off record."""
+    import gzip
+
+    from framewright.llm import archives
+
+    page = b"<html>" + b"x" * 200 + b"</html>"
+    crlf = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(page) + page
+    bare = b"HTTP/1.0 200 OK\nServer: a\nContent-Length: %d\n\n" % len(page) + page
+    dns = b"20010102030405\nexample.org. 10 IN A 1.2.3.4\n"
+    body = b"1 0 old\nURL IP-address Archive-date Content-type Archive-length\n"
+    one = b"filedesc://old.arc 0.0.0.0 20010102030405 text/plain %d\n" % len(body) + body + b"\n"
+    one += b"dns:example.org 1.2.3.4 20010102030405 text/dns %d\n" % len(dns) + dns + b"\n"
+    one += b"http://example.org/a b\xe9 1.2.3.4 20010102 text/html %d\n" % len(crlf) + crlf + b"\n"
+    one += b"http://example.org/lf 1.2.3.4 20010102030405 text/html %d\n" % len(bare) + bare + b"\n"
+    body2 = b"2 0 old\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = b"filedesc://new.arc 0.0.0.0 20010102030405 text/plain 200 - - 0 new.arc %d\n" % len(body2) + body2 + b"\n"
+    two += b"http://example.org/cut 1.2.3.4 20010102030405 text/html 200 - - 99 new.arc 5000\n" + crlf
+    (tmp_path / "arcs").mkdir()
+    (tmp_path / "arcs" / "old.arc.gz").write_bytes(gzip.compress(one[:400]) + gzip.compress(one[400:]))
+    (tmp_path / "arcs" / "new.arc.gz").write_bytes(gzip.compress(two))
+    assert archives.convert(spark, str(tmp_path / "arcs"), str(tmp_path / "warcs")).count() == 2
+    got = archives.read_warcs(spark, str(tmp_path / "warcs")).collect()
+    assert sorted(r.record_type for r in got) == ["resource", "response", "revisit", "revisit"]
+    same = [r for r in got if r.record_type != "resource"]
+    assert {r.payload_bytes for r in same} == {len(page)} and len({r.payload_digest for r in same}) == 1
+    least = min(r.page_id for r in same)
+    assert {r.refers_to for r in same if r.record_type == "revisit"} == {least} and least < 0
+    data = archives.unpacked((tmp_path / "warcs" / "old.warc.gz").read_bytes())
+    heads = [h for h, _ in archives.warc_records(data)]
+    assert [h["WARC-Date"] for h in heads][1:3] == ["2001-01-02T03:04:05Z", "2001-01-02T00:00:00Z"]
+    assert heads[2]["WARC-Target-URI"] == "http://example.org/a b\xe9" and heads[1]["Content-Type"] == "text/dns"
+    assert b"WARC-Truncated" in archives.unpacked((tmp_path / "warcs" / "new.warc.gz").read_bytes())
+
+
+def test_members_are_unpacked_in_slices():
+    from framewright.llm import archives
+
+    rows = [bytes([i % 251]) * (i * 37 % 50_000) for i in range(200)]
+    assert archives.unpacked(b"".join(map(archives.member, rows))) == b"".join(rows)
+    assert archives.unpacked(b"") == b""
