@@ -252,7 +252,7 @@ def driver_share(df: DataFrame, factor: str, metric: str) -> DataFrame:
 
 def business_kpis(df: DataFrame, revenue: str | None, profit: str | None, order_id: str | None,
                   others: list[str] = ()) -> DataFrame:
-    """Revenue, profit, margin, distinct orders, average order value, then column means while there is room (six)."""
+    """Revenue, profit, margin, distinct orders, average order value; with fewer than four of them, the means of all other columns."""
     aggs = {"orders": F.countDistinct(f"`{order_id}`") if order_id else F.count("*")}
     if revenue:
         aggs["revenue"] = F.sum(number_of(df, revenue))
@@ -266,7 +266,7 @@ def business_kpis(df: DataFrame, revenue: str | None, profit: str | None, order_
     if revenue:
         rows.append(("average_order_value", ratio(F.col("revenue"), F.col("orders"))))
     if len(rows) < 4:
-        for n in list(others)[: 6 - len(rows)]:
+        for n in others:
             aggs[f"avg_{n}"] = F.avg(number_of(df, n))
             rows.append((f"avg_{n}", F.col(f"`avg_{n}`")))
     facts = df.agg(*[e.alias(n) for n, e in aggs.items()])

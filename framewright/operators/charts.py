@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framewright.functions.numbers import half_up, number_of, percent, ratio
-from framewright.operators.aggregate import grouped, label, top_keys
+from framewright.operators.aggregate import grouped, label
 from framewright.operators.filters import systematic_sample
 from framewright.operators.scale import exact_quantiles, join_keys, one_row, settle
 
@@ -23,23 +23,30 @@ def bar(df: DataFrame, dimension: str, metric: str | None = None, agg: str = "su
 
 
 def multi_series(df: DataFrame, dimension: str, series: str, metric: str | None = None, agg: str = "sum",
-                 top: int | None = None, max_series: int = 10) -> DataFrame:
-    """Dimension by series in columns with the row total over all series; absent cells are 0.
+                 top: int | None = None, max_series: int | None = None) -> DataFrame:
+    """Dimension by series in columns with the total over all series; absent cells are 0.
 
-    The ``max_series`` largest series get a column each; the others, if any, share the column ``other_series``.
+    Every series gets a column; with ``max_series`` the largest ones do and the others share the column ``other_series``.
+    Totals and ``other_series`` are measured on the rows, as means, medians and distinct counts cannot be added up.
     """
     src = df.withColumns({"category": label(df, dimension), "_series": label(df, series)})
-    cells = grouped(src, ["category", "_series"], None if metric is None else F.col(f"`{metric}`"), agg)
-    weight = F.col("records")
-    names = [r[0] for r in top_keys(cells, "_series", max_series + 1, weight).collect()]
-    names, more = names[:max_series], len(names) > max_series
-    series = [(n, F.col("_series") == n) for n in sorted(names)]
+    value = None if metric is None else F.col(f"`{metric}`")
+    found = src.groupBy("_series").agg(F.count("*").alias("records"))
+    ranked = found.orderBy(F.col("records").desc(), "_series").select("_series")
+    names = [r[0] for r in (ranked if max_series is None else ranked.limit(max_series + 1)).collect()]
+    more = max_series is not None and len(names) > max_series
+    names = names[:max_series] if more else names
+    slot = F.when(F.col("_series").isin(names), F.col("_series")) if more else F.col("_series")
+    cells = grouped(src.withColumn("_slot", slot), ["category", "_slot"], value, agg)
+    columns = [(n, F.col("_slot") == n) for n in sorted(names)]
     if more:
-        series.append(("other_series", ~F.col("_series").isin(names)))
-    wide = cells.groupBy("category").agg(
-        *[half_up(F.coalesce(F.sum(F.when(test, F.col("value"))), F.lit(0.0)), 2).alias(n) for n, test in series],
-        half_up(F.sum("value"), 2).alias("total"),
-    )
+        columns.append(("other_series", F.col("_slot").isNull()))
+    sums = [half_up(F.coalesce(F.sum(F.when(test, F.col("value"))), F.lit(0.0)), 2).alias(n) for n, test in columns]
+    if value is None or agg in ("sum", "count"):
+        wide = cells.groupBy("category").agg(*sums, half_up(F.sum("value"), 2).alias("total"))
+    else:
+        total = grouped(src, ["category"], value, agg, "total").select("category", half_up(F.col("total"), 2).alias("total"))
+        wide = join_keys(cells.groupBy("category").agg(*sums), total, ["category"])
     wide = wide.orderBy(F.col("total").desc(), "category")
     return wide if top is None else wide.limit(top)
 
@@ -69,9 +76,10 @@ def box_plot(df: DataFrame, metric: str, group: str | None = None) -> DataFrame:
     )
 
 
-def box_top_groups(df: DataFrame, metric: str, group: str, top: int = 8) -> DataFrame:
-    """Box plots of the groups with at least two values and the highest medians."""
-    return box_plot(df, metric, group).where(F.col("count") >= 2).orderBy(F.col("median").desc(), "category").limit(top)
+def box_top_groups(df: DataFrame, metric: str, group: str, top: int | None = None) -> DataFrame:
+    """Box plots of the groups with at least two values, highest medians first; with ``top`` only the first ones."""
+    found = box_plot(df, metric, group).where(F.col("count") >= 2).orderBy(F.col("median").desc(), "category")
+    return found if top is None else found.limit(top)
 
 
 def bin_count(n: Column, rule: str) -> Column:

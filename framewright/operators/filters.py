@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 from functools import reduce
 from operator import and_, or_
 
@@ -26,35 +27,69 @@ def _as_float(value) -> float | None:
         return None
 
 
-def _as_whole(value) -> int | None:
-    """The value as a 64-bit whole number, so that long columns are compared digit by digit and the test reaches the scan."""
+def _as_decimal(value) -> Decimal | None:
+    """The number a literal stands for, digit by digit; None for what is no finite number."""
     try:
-        number = int(str(value).strip())
-    except ValueError:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
         return None
-    return number if -2**63 <= number < 2**63 else None
+    return number if number.is_finite() else None
+
+
+#: Limits of 64-bit columns and the digits a decimal column can hold.
+LEAST, MOST, DIGITS = -2**63, 2**63 - 1, 38
+
+
+def _compared(column: Column, dtype: T.DataType, op: str, value) -> Column:
+    """A comparison in the column's own type, so that it is exact and reaches the scan."""
+    sides = {"gt": column.__gt__, "gte": column.__ge__, "lt": column.__lt__, "lte": column.__le__, "eq": column.__eq__}
+    number = _as_decimal(value)
+    if number is None or not isinstance(dtype, (T.IntegralType, T.DecimalType)):
+        plain = _as_float(value)
+        if plain is None:
+            if op != "eq":
+                raise ValueError(f"{value!r} is no number")
+            return F.when(column.isNotNull(), F.lit(False))
+        return sides[op](F.lit(plain))
+    always, never = (F.when(column.isNotNull(), F.lit(x)) for x in (True, False))
+    if isinstance(dtype, T.DecimalType):
+        if len(number.as_tuple().digits) + max(0, number.as_tuple().exponent) <= DIGITS and -number.as_tuple().exponent <= DIGITS:
+            return sides[op](F.lit(number))
+        return sides[op](F.lit(float(number)))
+    whole = number == number.to_integral_value()
+    low, high = (int(number.to_integral_value(r)) for r in (ROUND_FLOOR, ROUND_CEILING))
+    if op == "eq":
+        return sides[op](F.lit(low)) if whole and LEAST <= low <= MOST else never
+    if op in ("gt", "lte"):  # between whole numbers the limit is the one below
+        return (never if op == "gt" else always) if low > MOST else (always if op == "gt" else never) if low < LEAST else sides[op](F.lit(low))
+    return (never if op == "gte" else always) if high > MOST else (always if op == "gte" else never) if high < LEAST else sides[op](F.lit(high))
 
 
 def condition(df: DataFrame, name: str, op: str, value) -> Column:
-    """One predicate. Numeric columns compare as numbers, so the test reaches the scan; text ignores case."""
+    """One predicate. Numbers compare digit by digit in the column's type, so the test reaches the scan; text ignores case."""
     column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
     if op in ("gt", "gte", "lt", "lte"):
-        side = column if is_time(dtype) else _number(df, name)
-        limit = F.lit(value).cast(dtype) if is_time(dtype) else F.lit(float(value))
-        return {"gt": side > limit, "gte": side >= limit, "lt": side < limit, "lte": side <= limit}[op]
+        if is_time(dtype):
+            limit = F.lit(value).cast(dtype)
+            return {"gt": column > limit, "gte": column >= limit, "lt": column < limit, "lte": column <= limit}[op]
+        return _compared(_number(df, name), dtype if is_number(dtype) else T.DoubleType(), op, value)
     if op == "contains":
         return F.contains(F.lower(column.cast("string")), F.lit(str(value).lower()))
     if op == "in":
         wanted = [v.strip() for v in value.split(",")] if isinstance(value, str) else list(value)
         if is_number(dtype):
+            if isinstance(dtype, T.DecimalType):
+                tests = [_compared(column, dtype, "eq", v) for v in wanted if _as_decimal(v) is not None]
+                return reduce(or_, tests) if tests else F.when(column.isNotNull(), F.lit(False))
+            if isinstance(dtype, T.IntegralType):
+                whole = [n for n in map(_as_decimal, wanted) if n is not None and n == n.to_integral_value()]
+                return column.isin([int(n) for n in whole if LEAST <= n <= MOST])
             return column.isin([n for n in map(_as_float, wanted) if n is not None])
         return F.lower(column.cast("string")).isin([str(v).lower() for v in wanted])
     if op not in ("eq", "neq"):
         raise ValueError(f"unknown operator {op}")
     if is_number(dtype):
-        exact = _as_whole(value) if isinstance(dtype, T.IntegralType) else None
-        number = exact if exact is not None else _as_float(value)
-        same = column == F.lit(number) if number is not None else column.isNull() & F.lit(False)
+        same = _compared(column, dtype, "eq", value)
     elif is_time(dtype):
         same = column == F.lit(value).cast(dtype)
     else:

@@ -189,16 +189,16 @@ def schema_conflicts(profiles: dict[str, Profile]) -> DataFrame:
     )
 
 
-def duplicate_entities(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def duplicate_entities(df: DataFrame, columns: list[str] | None = None, min_length: int = 0) -> DataFrame:
     """Spellings of name-like columns that differ only in case, blanks or punctuation, all groups.
 
-    Equal spellings are counted first, so a group holds each spelling once however often it occurs.
+    Equal spellings are counted first, so a group holds each spelling once however often it occurs. ``min_length`` leaves short ones out.
     """
     import re
 
     columns = columns or [f.name for f in df.schema.fields if is_text(f.dataType) and re.search(ENTITY_NAME, f.name)]
     long = df.select(*[F.col(f"`{c}`") for c in columns]).unpivot([], columns, "column", "value")
-    counts = long.where(F.length("value") > 2).groupBy("column", "value").agg(F.count("*").alias("rows"))
+    counts = long.where(F.length("value") >= min_length).groupBy("column", "value").agg(F.count("*").alias("rows"))
     plain = counts.withColumn("plain", bare(F.col("value"))).where(F.col("plain") != "")
     groups = plain.groupBy("column", "plain").agg(
         F.count("*").alias("spellings"), F.sum("rows").alias("rows"),

@@ -30,6 +30,8 @@ CODE_SHAPE = "^[a-z]{2,4}[-_]?[0-9]{2,8}$"
 # Fixed value: how a cell of an identifier reads. A column is one if more than this share of its cells does.
 ID_VALUE = "id|^[a-z0-9_-]{6,}$"
 ID_SHARE = 0.8
+#: From here on a double cannot tell whole numbers apart.
+EXACT = 2**53
 FACTS = """column string, position int, kind string, total long, missing long, valid long, distinct long, padded long,
  null_pct double, cardinality_pct double, type string, recommended string, confidence double, is_id boolean,
  is_high_cardinality boolean, top_value string, top_count long, dominant_pct double, is_constant boolean,
@@ -49,30 +51,43 @@ def profiled_columns(df: DataFrame) -> list[str]:
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct trimmed values of every column with their count and how many were padded with blanks.
 
+    Numbers are distinct in their own type; ``num`` reads them as doubles, and ``value`` shows those that a double would round.
+
     Columns of one kind (number, time, text) are unpivoted together and shuffled once by (column, value). Equal values
     are summed before the shuffle, so neither a frequent value nor a wide table makes a hot task; each kind reads only
     its own columns.
     """
     columns = columns or profiled_columns(df)
     parts = []
-    for kind, test in (("number", is_number), ("time", is_time), ("text", lambda d: not is_number(d) and not is_time(d))):
+    is_whole = lambda d: isinstance(d, T.IntegralType)
+    is_decimal = lambda d: isinstance(d, T.DecimalType)
+    is_float = lambda d: is_number(d) and not is_whole(d) and not is_decimal(d)
+    is_word = lambda d: not is_number(d) and not is_time(d)
+    # numbers are told apart in their own type: a double would merge whole numbers from 2**53 on
+    for kind, cast, test in (("number", "bigint", is_whole), ("number", "decimal", is_decimal), ("number", "double", is_float),
+                             ("time", "timestamp_ntz", is_time), ("text", "string", is_word)):
         names = [n for n in columns if test(df.schema[n].dataType)]
         if not names:
             continue
-        cast = {"number": "double", "time": "timestamp_ntz", "text": "string"}[kind]
-        long = df.select(*[F.col(f"`{n}`").cast(cast).alias(n) for n in names]).unpivot([], names, "column", "v")
+        if cast == "decimal":
+            cells = [F.regexp_replace(F.col(f"`{n}`").cast("string"), r"(\.\d*?)0+$|^$", "$1").alias(n) for n in names]
+        else:
+            cells = [F.col(f"`{n}`").cast(cast).alias(n) for n in names]
+        long = df.select(*cells).unpivot([], names, "column", "v")
         flags = [n for n in names if isinstance(df.schema[n].dataType, T.BooleanType)]
         if kind == "text":
             trimmed = long.select("column", F.trim("v").alias("value"), (F.col("v") != F.trim("v")).alias("p"))
             counted = trimmed.groupBy("column", "value").agg(F.count("*").alias("n"), F.count_if("p").alias("padded"))
         else:
-            v = F.when(~F.isnan("v"), F.col("v")) if kind == "number" else F.col("v")
+            v = F.when(~F.isnan("v"), F.col("v")) if cast == "double" else F.col("v")
             counted = long.select("column", v.alias("v")).groupBy("column", "v").agg(F.count("*").alias("n"))
             counted = counted.withColumn("padded", F.lit(0).cast("long"))
+        text = {"string": F.col("value") if kind == "text" else None, "decimal": F.regexp_replace("v", r"\.$", "") if cast == "decimal" else None,
+                "bigint": F.when(F.abs("v") >= EXACT, F.col("v").cast("string")) if cast == "bigint" else None}.get(cast)
         parts.append(counted.select(
             "column", F.when(F.col("column").isin(flags), "bool").otherwise(kind).alias("kind") if flags else F.lit(kind).alias("kind"),
-            (F.col("value") if kind == "text" else F.lit(None).cast("string")).alias("value"),
-            (F.col("v") if kind == "number" else F.lit(None).cast("double")).alias("num"),
+            (text if text is not None else F.lit(None).cast("string")).alias("value"),
+            (F.col("v").cast("double") if kind == "number" else F.lit(None).cast("double")).alias("num"),
             (F.col("v") if kind == "time" else F.lit(None).cast("timestamp_ntz")).alias("at"), "n", "padded",
         ))
     return reduce(lambda x, y: x.unionByName(y), parts)

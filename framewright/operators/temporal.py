@@ -8,6 +8,7 @@ from framewright.functions.dates import grain_for_days, next_start, period_key,
 from framewright.functions.numbers import half_up, number_of, ratio
 from framewright.operators.aggregate import grouped, label, top_keys
 from framewright.operators.filters import parsed_dates
+from framewright.operators.scale import join_keys
 
 # Default moving-average windows per grain.
 DEFAULT_WINDOW = {"daily": 7, "weekly": 2, "monthly": 3, "quarterly": 2, "yearly": 2}
@@ -114,20 +115,24 @@ def dense_periods(points: DataFrame, grain: str) -> DataFrame:
     )
 
 
-def compare_periods(points: DataFrame, grain: str, mode: str = "previous") -> DataFrame:
-    """Value against the previous period or the same period a year ago, by calendar and not by row distance."""
+def compare_periods(points: DataFrame, grain: str, mode: str = "previous", keys: list[str] | None = None) -> DataFrame:
+    """Value against the previous period or the same period a year ago, by calendar and not by row distance.
+
+    Points of several series name their ``keys``; each is compared with itself.
+    """
+    keys = keys or []
     back = {"daily": 365, "weekly": 52, "monthly": 12, "quarterly": 4, "yearly": 1}[grain] if mode == "year" else 1
     if mode == "year" and grain == "daily":  # from the row's own day, as 28 and 29 February lead to one day a year on
-        earlier = points.select(F.col("period_start").alias("_then"), F.col("value").alias("base_value"))
+        earlier = points.select(*keys, F.col("period_start").alias("_then"), F.col("value").alias("base_value"))
         seen = points.withColumn("_then", F.add_months("period_start", -12).cast(points.schema["period_start"].dataType))
         key = "_then"
     else:
         moved, seen, key = next_start(F.col("period_start"), grain, back), points, "period_start"
-        earlier = points.select(moved.alias(key), F.col("value").alias("base_value"))
-    earlier = earlier.groupBy(key).agg(F.max("base_value").alias("base_value"))
-    joined = seen.join(earlier, key, "left")
+        earlier = points.select(*keys, moved.alias(key), F.col("value").alias("base_value"))
+    earlier = earlier.groupBy(*keys, key).agg(F.max("base_value").alias("base_value"))
+    joined = join_keys(seen, earlier, [*keys, key], "left")
     return joined.select(
-        "period_start", "period", "value", "base_value", half_up(F.col("value") - F.col("base_value"), 2).alias("delta"),
+        *keys, "period_start", "period", "value", "base_value", half_up(F.col("value") - F.col("base_value"), 2).alias("delta"),
         growth(F.col("value"), F.col("base_value")).alias("change_pct"),
     )
 

@@ -177,15 +177,14 @@ def _(t: Tables):
     return rows.select("page_id", "table_ix", "row_ix", F.col("cells")["status"].alias("status"), F.col("cells")["Col_1"].alias("col_1"))
 
 
-@query("html_tables_pages", """select page_id, 0 as table_ix, 0 as row_ix, url, length(html)::varchar as size from pages
-  where not contains(lower(html), '<table')""")
+@query("html_tables_pages", "select page_id, 0 as row_ix, url, length(html)::varchar as size from pages")
 def _(t: Tables):
-    """Whole pages with one table of their own facts appended; pages with other tables are left to ``html_tables``."""
-    facts = F.concat("html", F.lit("</script></style><table><tr><th>url</th><th>size</th></tr><tr><td>"), "url",
+    """All pages with one table of their own facts appended; of each page's tables the one with those heads."""
+    facts = F.concat("html", F.lit("</script></style><table><tr><th>page address</th><th>page size</th></tr><tr><td>"), "url",
                      F.lit("</td><td>"), F.length("html").cast("string"), F.lit("</td></tr></table>"))
-    src = t.pages.where("not contains(lower(html), '<table')").select("page_id", facts.alias("html"))
-    rows = ht.html_tables(src)
-    return rows.select("page_id", "table_ix", "row_ix", F.col("cells")["url"].alias("url"), F.col("cells")["size"].alias("size"))
+    rows = ht.html_tables(t.pages.select("page_id", facts.alias("html")))
+    own = rows.where(F.col("cells")["page address"].isNotNull())
+    return own.select("page_id", "row_ix", F.col("cells")["page address"].alias("url"), F.col("cells")["page size"].alias("size"))
 
 
 def safe_sql(column: str) -> str:

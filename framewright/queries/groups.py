@@ -101,6 +101,22 @@ def _(t: Tables):
         "category", "first", "second", "other_series", "total")
 
 
+@query("chart_multi_series_means", f"""with b as (select p_brand as v from part group by 1 order by count(*) desc, 1 limit 2)
+  select p_type as category, {hu("coalesce(avg(p_size) filter (where p_brand = (select min(v) from b)), 0)", 2)} as first,
+  {hu("coalesce(avg(p_size) filter (where p_brand = (select max(v) from b)), 0)", 2)} as second,
+  {hu("coalesce(avg(p_size) filter (where p_brand not in (from b)), 0)", 2)} as other_series,
+  {hu('avg(p_size)', 2)} as total from part group by 1""")
+def _(t: Tables):
+    return c.multi_series(t.part, "p_type", "p_brand", "p_size", "avg", max_series=2).toDF("category", "first", "second", "other_series", "total")
+
+
+@query("chart_multi_series_distinct", """select o_orderpriority as category,
+  count(distinct o_custkey) filter (where o_orderstatus = 'F')::double as "F", count(distinct o_custkey) filter (where o_orderstatus = 'O')::double as "O",
+  count(distinct o_custkey) filter (where o_orderstatus = 'P')::double as "P", count(distinct o_custkey)::double as total from orders group by 1""")
+def _(t: Tables):
+    return c.multi_series(t.orders, "o_orderpriority", "o_orderstatus", "o_custkey", "count_distinct")
+
+
 @query("combo", f"""select o_orderpriority as category, {hu('sum(o_totalprice)', 2)} as first_value,
   {hu('avg(o_custkey)', 2)} as second_value from orders group by 1""")
 def _(t: Tables):
@@ -187,7 +203,7 @@ def _(t: Tables):
 @query("box_top_groups", BOX.format(src="select p_brand as category, p_retailprice as x from part",
                                     tail=f"where n >= 2 order by {hu('q2', 2)} desc, category limit 8", **_ROUND))
 def _(t: Tables):
-    return c.box_top_groups(t.part, "p_retailprice", "p_brand")
+    return c.box_top_groups(t.part, "p_retailprice", "p_brand", 8)
 
 
 def histogram_sql(source: str, x: str, bins: str) -> str:

@@ -193,3 +193,12 @@ def _(t: Tables):
     return p.numeric_profile(t.orders, ["o_totalprice"]).select("column", "count", "min", "max", "mean", "median", "stddev")
 
 
+@query("profile_exact_numbers", """with b as (select o_orderkey + 9007199254740992 as big, (o_orderkey + 9007199254740992)::decimal(20,0) as exact from orders)
+  select 'big' as "column", count(*) as valid, count(distinct big) as distinct, min(big)::varchar as top_value from b
+  union all select 'exact', count(*), count(distinct exact), min(exact)::varchar from b""")
+def _(t: Tables):
+    """Long and decimal keys above 2**53 are counted apart and shown whole."""
+    big = F.col("o_orderkey") + F.lit(2**53)
+    rows = t.orders.select(big.alias("big"), big.cast("decimal(20,0)").alias("exact"))
+    facts = p.profile(rows).facts()
+    return facts.select("column", "valid", "distinct", "top_value")

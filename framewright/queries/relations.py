@@ -126,7 +126,7 @@ def _(t: Tables):
     return k.schema_conflicts({n: p.profile(df) for n, df in conflict_frames(t).items()})
 
 
-@query("duplicate_entities", """with d as (select segment as v, count(*) as n from dirty_customer where length(segment) > 2 group by 1),
+@query("duplicate_entities", """with d as (select segment as v, count(*) as n from dirty_customer group by 1),
   g as (select *, regexp_replace(lower(v), '[^a-z0-9]', '', 'g') as p from d),
   b as (select p, arg_min(v, (-n, v)) as main_value from g group by 1 having count(*) > 1)
   select 'segment' as "column", main_value, v as similar_value, n as rows, 0.95::double as similarity from g join b using (p)
@@ -135,7 +135,7 @@ def _(t: Tables):
     return k.duplicate_entities(t.dirty_customer, ["segment"])
 
 
-@query("duplicate_entities_text", """with d as (select text as v, count(*) as n from documents where length(text) > 2 group by 1),
+@query("duplicate_entities_text", """with d as (select text as v, count(*) as n from documents group by 1),
   g as (select *, regexp_replace(lower(v), '[^a-z0-9]', '', 'g') as p from d),
   b as (select p, arg_min(v, (-n, v)) as main_value from g where p <> '' group by 1 having count(*) > 1)
   select 'text' as "column", md5(main_value) as main_value, md5(v) as similar_value, n as rows, 0.95::double as similarity

@@ -1,6 +1,10 @@
 """Filters, searches, samples and pages."""
 
 
+from functools import reduce
+
+from pyspark.sql import functions as F
+
 from framewright.operators import filters as f
 from framewright.queries.registry import Tables, query
 
@@ -22,6 +26,26 @@ def _(t: Tables):
     return line_columns(f.filter_all(t.lineitem, [("l_quantity", "gte", 45), ("l_extendedprice", "lt", 60000)]))
 
 
+# Keys that doubles cannot tell apart, and decimals of 20 digits.
+BIG = "o_orderkey + 9007199254740992 as big, (o_orderkey + 9007199254740992)::decimal(20,0) as exact, o_orderkey"
+
+
+@query("filter_exact_numbers", f"""with b as (select {BIG} from orders)
+  select 'gt' as test, o_orderkey from b where big > 9007199254740995 union all select 'lte', o_orderkey from b where big <= 9007199254740999
+  union all select 'lt', o_orderkey from b where big < 9007199254741003 union all select 'gte', o_orderkey from b where exact >= 9007199254741001
+  union all select 'in', o_orderkey from b where big in (9007199254740993, 9007199254740994)
+  union all select 'eq', o_orderkey from b where exact = 9007199254740997 union all select 'half', o_orderkey from b where big > 9007199254740994""")
+def _(t: Tables):
+    """Limits next to each other above 2**53, on long and decimal keys."""
+    big = F.col("o_orderkey") + F.lit(2**53)
+    rows = t.orders.select(big.alias("big"), big.cast("decimal(20,0)").alias("exact"), "o_orderkey")
+    tests = [("gt", "big", "gt", "9007199254740995"), ("lte", "big", "lte", 9007199254740999), ("lt", "big", "lt", "9007199254741003"),
+             ("gte", "exact", "gte", "9007199254741001"), ("in", "big", "in", "9007199254740993, 9007199254740994"),
+             ("eq", "exact", "eq", 9007199254740997), ("half", "big", "gt", "9007199254740994.5")]
+    parts = [f.filter_rows(rows, c, op, v).select(F.lit(n).alias("test"), "o_orderkey") for n, c, op, v in tests]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("filter_date", "select o_orderkey, o_orderpriority from orders where o_orderdate > timestamp '1998-01-01'")
 def _(t: Tables):
     return f.filter_rows(t.orders, "o_orderdate", "gt", "1998-01-01").select("o_orderkey", "o_orderpriority")

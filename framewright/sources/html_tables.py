@@ -84,10 +84,7 @@ def tables_of(html: str) -> list[list[dict[str, str]]]:
 
 
 def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per table row of every page. Pages are independent, so nothing is shuffled.
-
-    Only an input with fewer splits than there are cores is spread first, since parsing costs far more than moving it.
-    """
+    """One row per table row of every page. Pages are independent, so nothing is shuffled: a split of the input is a task."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,7 +95,4 @@ def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             yield pd.DataFrame(rows, columns=["page_id", "table_ix", "row_ix", "cells"])
 
     src = pages.selectExpr(f"cast(`{key}` as long) as page_id", f"`{html}` as html").where("lower(html) like '%<table%'")
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if src.rdd.getNumPartitions() < cores:
-        src = src.repartition(cores, "page_id")
     return src.mapInPandas(extract, SCHEMA)
