@@ -119,10 +119,17 @@ def binomial_tail(k: Column, n: Column, share: float) -> Column:
 
 def certified_cutoffs(scored: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, strata=STRATA,
                       ladders=LADDERS) -> DataFrame:
-    """One row per stratum with labels: the cutoff of every rule, or null. At most len(strata) + 1 rows."""
+    """One row per stratum with labels: the cutoff of every rule, or null. At most len(strata) + 1 rows.
+
+    A draw is a labelled text: a repeated id counts once (its text of the smallest digest), equal texts count once, good only if all
+    their labels say so. Otherwise copies would pass as independent draws and certify too early. Only ``quality`` decides.
+    """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         (F.min("quality") > 0).alias("good"))
-    held = scored.where(~F.col("base_failed")).join(good, "doc_id")
+    facts = F.struct("stratum", *ladders)
+    drawn = scored.where(~F.col("base_failed")).join(good, "doc_id")
+    drawn = drawn.groupBy("doc_id").agg(F.min("good").alias("good"), F.min(F.struct("digest", facts.alias("f"))).alias("d"))
+    held = drawn.groupBy("d.digest").agg(F.min("good").alias("good"), F.min("d.f").alias("f")).select("good", "f.*")
     hits = [F.sum((F.col(r) > c).cast("long") * (F.col("good") == g).cast("long")).alias(f"{r}_{i}_{int(g)}")
             for r, ladder in ladders.items() for i, c in enumerate(ladder) for g in (True, False)]
     sums = held.groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), *hits)
@@ -150,10 +157,15 @@ def judged(scored: DataFrame, cutoffs: DataFrame, ladders=LADDERS) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Facts, scores and verdict of every document; the scores are written once and serve calibration and verdict."""
-    scored = written(features(docs), "quality-scores")
+    scored = written(features(docs.withColumn("digest", digest(F.col("text"))), keep=("doc_id", "digest")), "quality-scores")
     return judged(scored, written(certified_cutoffs(scored, labels, risk, delta), "quality-cutoffs"))
 
 
+def digest(text: Column) -> Column:
+    """A digest of a text; equal texts are one draw."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that pass, all columns unchanged. Labelled documents are scored first, then every document in place.
 
@@ -162,7 +174,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, delta: flo
     """
     ids = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
     known = labels.where(F.col("quality").isNotNull()).select(ids).distinct()
-    scored = written(features(slot_filter(docs.select("doc_id", "text", "lang"), "doc_id", known)), "quality-scores")
+    texts = slot_filter(docs.select("doc_id", "text", "lang"), "doc_id", known).withColumn("digest", digest(F.col("text")))
+    scored = written(features(texts, keep=("doc_id", "digest")), "quality-scores")
     cutoffs = written(certified_cutoffs(scored.join(known, "doc_id", "left_semi"), labels, risk, delta), "quality-cutoffs")
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", "lang")
     return judged(features(boxed, keep=("__row",)), cutoffs).where("kept").select("__row.*")

@@ -7,10 +7,12 @@ These rows are dealt and sorted by pre-token, so each distinct one is encoded on
 place: only lists travel, once, and neither counts nor ids do. The products are added up per block, and the blocks' parts
 per document.
 
-Hot words: a block has at most BLOCK_DOCS documents, so a list is at most 96 KB; the rows of long lists are salted by block, which
-costs such a word at most SALTS encodings instead of one. Nothing is broadcast.
+Hot words: a block has at most BLOCK_DOCS documents, so a list is at most 96 KB; all rows are dealt by 1,024 input partitions at a
+time, and within those the rows of long lists are salted by block, which costs such a word up to SALTS encodings there instead of
+one. So a word's rows in a task are bounded by the blocks of 1,024 partitions. Nothing is broadcast.
 
-Texts with a special string inside are counted by the library directly, as such strings stand outside the pre-tokens. Edge cases:
+Texts with a special string inside are counted by the library directly, as such strings stand outside the pre-tokens; so are texts
+with a character that the pattern engine, which follows a newer Unicode version, classes differently. Edge cases:
 null and empty texts have no tokens; null ids and repeated rows are counted like any row; an empty table gives no rows.
 """
 
@@ -31,6 +33,8 @@ from framewright.llm import tokenizing
 BLOCK_DOCS = 32_768
 BLOCK_CHARS = 16_000_000
 LONG_LIST, SALTS = 256, 64
+#: What a task adding up lists holds at most: sums of so many blocks (256 KB each), rows and bytes of lists.
+MOST_SUMS, HELD_ROWS, HELD_BYTES = 128, 200_000, 16_000_000
 #: A blank before white space: there pre-tokens may reach over the blank, and the text is not split at blanks first.
 LOOSE = re.compile(r" (?=\s)")
 POSTING = "slot long, piece string, salt int, list binary"
@@ -69,7 +73,8 @@ class Block:
     """Documents of a task until they are posted. A document is kept as its distinct chunks (stretches from blank to blank,
     which begin with the blank as pre-tokens do) and their frequencies; chunks are cut into pre-tokens once per block."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unlike: str = ""):
+        self.odd = re.compile(f"[{re.escape(unlike)}]").search if unlike else None
         self.path, self.known, self.special = path, single_pieces(path), tokenizing.special_strings(path)
         self.find = _pattern().findall
         self.reset()
@@ -80,7 +85,8 @@ class Block:
 
     def add(self, doc_id, text: str) -> None:
         known, seen = 0, Counter()
-        if any(s in text for s in self.special):
+        strange = self.odd is not None and not text.isascii() and self.odd(text)
+        if strange or any(s in text for s in self.special):
             known = len(tokenizing.library(self.path).encode(text, add_special_tokens=False).ids)
         elif text:
             first, *rest = [text] if LOOSE.search(text) else text.split(" ")
@@ -141,7 +147,7 @@ class Block:
         entry = np.empty((len(key), 3), np.uint8)
         entry[:, 0], entry[:, 1], entry[:, 2] = key & 255, key >> 8 & 255, times
         size = np.bincount(key >> 16, minlength=len(codes))
-        salt = np.where(size > LONG_LIST, slot % SALTS, -1).astype(np.int32)
+        salt = ((slot >> 34) * (SALTS + 1) + np.where(size > LONG_LIST, slot % SALTS, SALTS)).astype(np.int32)
         pieces = pa.array(codes, pa.string())
         lists = pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(
             np.concatenate([[0], 3 * np.cumsum(size)]).astype("<i4").tobytes()), pa.py_buffer(entry.tobytes())])
@@ -154,8 +160,10 @@ class Block:
 def postings(docs: DataFrame, path: str) -> DataFrame:
     """Rows of two kinds: one per document (bytes and the pieces counted at once), one per pre-token and block."""
 
+    unlike = tokenizing.unlike(path)
+
     def run(batches):
-        block, slot = Block(path), TaskContext.get().partitionId() << 24
+        block, slot = Block(path, unlike), TaskContext.get().partitionId() << 24
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 block.add(doc_id, text or "")
@@ -175,7 +183,7 @@ def _parts(dealt: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
-        held, rows = [], 0
+        held, rows, size = [], 0, 0
 
         def add():
             slots = np.concatenate([h[0] for h in held])
@@ -191,6 +199,8 @@ def _parts(dealt: DataFrame, path: str) -> DataFrame:
                 pick = order[cuts[i]:cuts[i + 1]]
                 got = np.bincount(docs[pick], gain[pick], BLOCK_DOCS).astype(np.int64)
                 sums[name] = sums[name] + got if name in sums else got
+                if len(sums) >= MOST_SUMS:
+                    yield from flush()
             held.clear()
 
         def flush():
@@ -220,14 +230,12 @@ def _parts(dealt: DataFrame, path: str) -> DataFrame:
             lists = batch.column("list")
             n = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1])
             held.append((batch.column("slot").to_numpy(), b"".join(lists.to_pylist()), n // 3, tokens))
-            rows += batch.num_rows
-            if rows >= 200_000 or sum(len(h[1]) for h in held[-1:]) > 8_000_000:
-                add()
-                rows = 0
-                if len(sums) >= 256:
-                    yield from flush()
+            rows, size = rows + batch.num_rows, size + len(held[-1][1])
+            if rows >= HELD_ROWS or size > HELD_BYTES:
+                yield from add()
+                rows = size = 0
         if held:
-            add()
+            yield from add()
         yield from flush()
 
     return dealt.select("slot", "piece", "list").mapInArrow(run, "slot long, docs binary, sums binary")

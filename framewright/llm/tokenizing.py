@@ -30,6 +30,28 @@ def special_strings(path: str) -> tuple[str, ...]:
         return tuple(t["content"] for t in json.load(f)["added_tokens"])
 
 
+#: Planes whose letters may come with a newer Unicode version; the others hold no letters, or private ones.
+PLANES = (0, 1, 2, 3, 14)
+
+
+@cache
+def unlike(path: str) -> str:
+    """The characters that the pattern engine and the tokenizers library class differently (letter, number, space or other), as they
+    follow different Unicode versions. Those assigned in Python's own version are in both; the others are tried, a few bulk calls."""
+    import unicodedata
+
+    import regex
+
+    cut, library_cut, out = regex.compile(PRE_TOKEN), library(path).pre_tokenizer.pre_tokenize_str, []
+    new = [chr(i) for p in PLANES for i in range(p << 16, (p + 1) << 16) if unicodedata.category(chr(i)) == "Cn"]
+    for lo in range(0, len(new), 20_000):
+        part = new[lo:lo + 20_000]
+        text = "".join(f"a{x}1{x}!{x}\n" for x in part)  # seven characters each
+        ends = {m.end() for m in cut.finditer(text)} ^ {end for _, (_, end) in library_cut(text)}
+        out += sorted({part[min((e - 1) // 7, len(part) - 1)] for e in ends})
+    return "".join(out)
+
+
 def _byte_of() -> dict[str, int]:
     """The printable stand-in of each byte: printable ones are themselves, the others follow from code point 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

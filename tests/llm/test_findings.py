@@ -76,3 +76,66 @@ def test_members_are_unpacked_in_slices():
     rows = [bytes([i % 251]) * (i * 37 % 50_000) for i in range(200)]
     assert archives.unpacked(b"".join(map(archives.member, rows))) == b"".join(rows)
     assert archives.unpacked(b"") == b""
+
+
+def test_every_character_is_cut_as_the_library_cuts(spark):
+    """All code points in the contexts aXb and X's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from framewright.llm import token_counts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (i < 0x40000 or 0xE0000 <= i < 0xE0200 or i % 997 == 0)]
+    rows = [(lo + k, "".join(f"a{x}b" if k else f"{x}'s" for x in points[lo:lo + 64])) for lo in range(0, len(points), 64) for k in (0, 1)]
+    rows += [(10**7 + i, f"{x}'s a{x}1") for i, x in enumerate("\U0001e6c0ͰԱऄ")]
+    tk = Tokenizer.from_file(path)
+    want = {i: len(e.ids) for (i, _), e in zip(rows, tk.encode_batch([t for _, t in rows], add_special_tokens=False))}
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), path)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == want
+
+
+def test_sums_of_many_blocks_are_bounded():
+    """One word in 5,000 blocks: the task's memory stays far below the 1.3 GB that a sum per block would take."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from framewright.llm import token_counts
+
+    class Rows:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, task, schema: task
+
+    entry = pa.array([bytes([7, 0, 3])] * 1000, pa.binary())
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + 1000)), pa.array(["zzqx"] * 1000), entry], ["slot", "piece", "list"])
+               for lo in range(0, 5000, 1000)]
+    tracemalloc.start()
+    out = [(b.column("slot")[0].as_py(), np.frombuffer(b.column("sums")[0].as_py(), "<u4").tolist())
+           for b in token_counts._parts(Rows(), public_tokenizers.path("byte_bpe_50k.json"))(iter(batches))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(s for s, _ in out) == list(range(5000)) and len({tuple(v) for _, v in out}) == 1
+    assert peak < 100 << 20
+
+
+def test_copies_are_one_draw(spark):
+    """60 good and 20 bad documents certify nothing, however often their rows or texts are repeated."""
+    from pyspark.sql import functions as F
+
+    from framewright.llm import quality_rules
+
+    good = [(i, " ".join(f"word{i}x{k}" for k in range(30)), "en") for i in range(60)]
+    bad = [(100 + i, " ".join(f"bad{i}x{k}!!!!" for k in range(30)), "en") for i in range(20)]
+    labels = spark.createDataFrame([(d, int(d < 100)) for d, *_ in good + bad], "doc_id long, quality int")
+    once = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    many = spark.createDataFrame([r for r in good + bad for _ in range(40)], once.schema)
+    copies = [(1000 * (k + 1) + d, t, x) for d, t, x in good + bad for k in range(40)]
+    more = labels.unionByName(spark.createDataFrame([(d, int(d % 1000 < 100)) for d, *_ in copies], labels.schema))
+    renamed = once.unionByName(spark.createDataFrame(copies, once.schema))
+    for docs, marks in ((once, labels), (many, labels), (renamed, more)):
+        out = quality_rules.quality_rules(docs, marks)
+        assert out.where(~F.col("kept") & ~F.col("base_failed")).count() == 0
+        assert quality_rules.keep_good(docs, marks).count() == out.where("kept").count()
