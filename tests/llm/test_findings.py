@@ -139,3 +139,18 @@ def test_copies_are_one_draw(spark):
         out = quality_rules.quality_rules(docs, marks)
         assert out.where(~F.col("kept") & ~F.col("base_failed")).count() == 0
         assert quality_rules.keep_good(docs, marks).count() == out.where("kept").count()
+
+
+def test_one_row_of_each_text_stays(spark, tmp_path):
+    """Repeated rows, one id with two texts, copies without an id, and texts without words."""
+    from framewright.llm import near_dup
+
+    t, u, v = (" ".join(f"{w}{i}" for i in range(60)) for w in "tuv")
+    near = t + " and one more"
+    rows = [(1, t), (1, t), (2, t), (2, u), (None, t), (None, v), (None, v), (3, near), (4, ""), (4, ""), (5, None), (None, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as component", "'x' as hash", "2 as first").write.parquet(str(tmp_path / "d"))
+    kept = near_dup.keep_one(spark.read.parquet(str(tmp_path / "d")))
+    assert kept.columns == ["doc_id", "text", "component", "hash", "first"]
+    got = sorted(((r.doc_id or -1, r.text or "") for r in kept.collect()))
+    assert got == sorted([(1, t), (2, u), (-1, v), (4, ""), (4, ""), (5, ""), (-1, " ")])
+    assert near_dup.keep_one(spark.read.parquet(str(tmp_path / "d")).limit(0)).count() == 0
