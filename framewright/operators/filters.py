@@ -12,7 +12,7 @@ from framewright.functions.dates import parse_date
 from framewright.functions.missing import missing_in
 from framewright.functions.numbers import to_number
 from framewright.functions.text import is_number, is_text, is_time
-from framewright.operators.scale import exact_quantiles, number_rows
+from framewright.operators.scale import TASK_SHARE, _parts, exact_quantiles, heavy_keys, number_rows
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -142,13 +142,21 @@ def repeated_rows(df: DataFrame) -> DataFrame:
 
 
 def rows_duplicate(df: DataFrame) -> DataFrame:
-    """All copies of every repeated row. The join key is a hash; all columns are compared null-safely after it."""
+    """All copies of every repeated row. The join key is a hash; all columns are compared null-safely after it.
+
+    Rows with many copies are spread: of each repeated row a task gets one share of the copies beside one copy to compare with.
+    """
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    cuts = _parts(heavy_keys(df.select(mark.alias("_mark")), "_mark"), TASK_SHARE)
+    hot = F.col("_mark").isin(list(cuts)) if cuts else F.lit(False)
+    most = max(cuts.values(), default=1)
+    salt = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(most))).otherwise(0)
     repeated = repeated_rows(df).drop("_copies").withColumn("_mark", mark)
-    other = repeated.select(F.col("_mark").alias("_m"), *[F.col(f"`{c}`").alias("_r_" + c) for c in df.columns])
-    match = [F.col("_mark") == F.col("_m")]
+    every = F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    other = repeated.select(F.col("_mark").alias("_m"), F.explode(every).alias("_s"), *[F.col(f"`{c}`").alias("_r_" + c) for c in df.columns])
+    match = [F.col("_mark") == F.col("_m"), F.col("_salt") == F.col("_s")]
     match += [F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) for c in df.columns]
-    return df.withColumn("_mark", mark).join(other, match, "left_semi").drop("_mark")
+    return df.withColumn("_mark", mark).withColumn("_salt", salt).join(other, match, "left_semi").drop("_mark", "_salt")
 
 
 def fences(df: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -176,24 +177,74 @@ def _salted(left: DataFrame, right: DataFrame, key: str, how: str, salts: int, h
     return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
+#: Most rows of one key that a task gets from one side of a join, as a share of that side; what the summary of frequent keys tracks.
+TASK_SHARE, TRACKED = 0.002, 40
+#: Tasks that rows without a key are spread over; they match nothing.
+NULL_TASKS = 64
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = TASK_SHARE) -> dict:
+    """Keys of more than ``share`` of all rows with their count, from one mergeable summary: one pass, nothing shuffled, at most
+    1/share keys. A key that holds more is never missed; counts may be too high by a small part of the share."""
+    many = int(1 / share)
+    row = df.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {many}, {many * TRACKED})").alias("top")).first()
+    return {r["item"]: (r["count"], row["n"]) for r in row["top"] or [] if r["item"] is not None and r["count"] > share * row["n"]}
+
+
+def _parts(heavy: dict, share: float) -> dict:
+    """Parts a heavy key is cut into, so that each holds at most ``share`` of its side."""
+    return {k: math.ceil(count / (share * total)) for k, (count, total) in heavy.items()}
+
+
+def _grid(left: DataFrame, right: DataFrame, key: str, cuts: dict, other: dict) -> tuple[DataFrame, DataFrame]:
+    """Both sides with every heavy key laid out as a grid: left rows in one of ``cuts[key]`` rows of it, copied to its columns, right rows
+    in one of ``other[key]`` columns, copied to its rows. A pair of rows meets in one cell, and there are never more copies
+    than pairs. Rows of other keys have one cell."""
+    dtype = left.schema[key].dataType
+
+    def parts(known: dict) -> Column:
+        if not known:
+            return F.lit(1)
+        names = [F.lit(k).cast(dtype) for k in known]
+        table = F.map_from_arrays(F.array(*names), F.array(*[F.lit(n) for n in known.values()]))
+        return F.when(F.coalesce(F.col(key).isin(list(known)), F.lit(False)), F.element_at(table, F.col(key))).otherwise(1)
+
+    def place(df: DataFrame, own: Column, across: Column, names: tuple[str, str], known: dict, copied: dict) -> DataFrame:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.spark_partition_id()
+        spread = F.pmod(row, F.when(F.col(key).isNull(), NULL_TASKS).otherwise(own)).cast("int")
+        placed = df.withColumn(names[0], spread)
+        if not copied:
+            return placed.withColumn(names[1], F.lit(0))
+        cells = F.when(across > 1, F.sequence(F.lit(0), across - 1)).otherwise(F.array(F.lit(0)))
+        return placed.withColumn(names[1], F.explode(cells))
+
+    left = place(left, parts(cuts), parts(other), ("_salt", "_across"), cuts, other)
+    return left, place(right.where(F.col(key).isNotNull()), parts(other), parts(cuts), ("_across", "_salt"), other, cuts)
+
+
+def _gridded(left: DataFrame, right: DataFrame, key: str, how: str, cuts: dict, other: dict) -> DataFrame:
+    """The join of the two sides over their grids."""
+    left, right = _grid(left, right, key, cuts, other)
+    return left.join(right, [key, "_salt", "_across"], how).drop("_salt", "_across")
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16,
-              hot: list | None = None) -> DataFrame:
+              hot: list | None = None, share: float = TASK_SHARE) -> DataFrame:
     """Equi join on ``key`` (same name on both sides) with hot keys of either side, and rows without a key, spread over tasks.
 
-    Hot keys of both sides are measured first unless the caller names those of the left side (``[]``: even, the plain join).
-    A key hot on the left salts the left rows and repeats the right ones; if it is hot on both sides, the copies are still fewer
-    than the rows of the result. A key hot on the right only is joined apart with the sides exchanged: it has partners, so that
-    part is an inner join whatever ``how`` is. ``right`` is the mirror image of ``left``.
+    One pass over either side's keys finds those that hold more than ``share`` of it; each is cut into as many parts as leave no task
+    more than that share, in proportion on both sides (see ``_gridded``). Keys that are cut on the right have partners there, so in
+    a left join their part is an inner join, made apart. A caller that knows the hot keys of the left side names them (``[]``: even, the
+    plain join; they get ``salts`` parts). ``right`` is the mirror image of ``left``.
     """
     if how == "right":
-        turned = skew_join(right, left, key, "left", salts, hot)
+        turned = skew_join(right, left, key, "left", salts, hot, share)
         return turned.select(key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key])
     if hot is not None:
         return _salted(left, right, key, how, salts, hot) if hot else left.join(right, key, how)
-    hot = hot_keys(left, key)
-    wide = [k for k in hot_keys(right, key) if k not in hot]
-    if not wide:
-        return _salted(left, right, key, how, salts, hot) if hot or how == "left" else left.join(right, key, how)
-    many = F.coalesce(F.col(key).isin(wide), F.lit(False))
-    apart = _salted(right.where(many), left.where(many), key, "inner", salts, wide)
-    return _salted(left.where(~many), right.where(~many), key, how, salts, hot).unionByName(apart)
+    cuts, other = (_parts(heavy_keys(df, key, share), share) for df in (left, right))
+    if how == "inner":
+        return _gridded(left.where(F.col(key).isNotNull()), right, key, how, cuts, other) if cuts or other else left.join(right, key, how)
+    wide = F.coalesce(F.col(key).isin(list(other)), F.lit(False)) if other else F.lit(False)
+    rest = _gridded(left.where(~wide), right.where(~wide), key, how, {k: n for k, n in cuts.items() if k not in other}, {})
+    return rest.unionByName(_gridded(left.where(wide), right.where(wide), key, "inner", cuts, other)) if other else rest

@@ -15,6 +15,7 @@ from framewright.functions.text import is_number
 from framewright.operators.aggregate import label
 from framewright.operators.profile import numbers_long
 from framewright.operators.scale import average_ranks, exact_quantiles, join_keys, one_row, running_total
+from framewright.session import ensure_checkpoint_dir
 
 PAIR_CHUNK = 400
 
@@ -291,25 +292,33 @@ def corr_pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def corr_spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Spearman correlation of every pair: the Pearson correlation of average ranks over pairwise-complete rows.
 
-    Value pairs are counted first; ranks come from running totals over distinct values in range-split blocks, and the
-    correlation from weighted sums.
+    All pairs go through the same passes: value pairs are counted in long form, one range-split running total ranks the
+    values of every pair and side (a pair's own rows only, so missing cells of other columns change nothing), and the
+    correlations come from weighted sums. The number of passes does not grow with the number of columns.
     """
-    out = None
-    for a, b in combinations(columns or numeric_columns(df), 2):
-        src = df.select(number_of(df, a).alias("x"), number_of(df, b).alias("y"))
-        src = src.where("x is not null and y is not null")
-        cells = src.groupBy("x", "y").agg(F.count("*").alias("k"))
-        rx, ry = average_ranks(src, "x", "rx").drop("n"), average_ranks(src, "y", "ry").drop("n")
-        ranked = cells.join(rx, "x").join(ry, "y")
-        middle = (src.agg((F.count("*") + 1) / F.lit(2.0)).scalar())
-        dx, dy, k = F.col("rx") - middle, F.col("ry") - middle, F.col("k")
-        part = ranked.agg(
-            F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-            (F.sum(dx * dy * k) / F.sqrt(F.nullif(F.sum(dx * dx * k) * F.sum(dy * dy * k), F.lit(0.0)))).alias("r"),
-            F.coalesce(F.sum("k"), F.lit(0)).alias("n"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return _labelled(out)
+    names = columns or numeric_columns(df)
+    pairs = list(combinations(names, 2))
+    if not pairs:
+        return _labelled(df.sparkSession.createDataFrame([], "column_a string, column_b string, r double, n long"))
+    src = df.select(*[number_of(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    at = {c: F.col(f"v{i}") for i, c in enumerate(names)}
+    long = F.array(*[F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y")) for i, (a, b) in enumerate(pairs)])
+    met = src.select(F.inline(F.filter(long, lambda p: p["x"].isNotNull() & p["y"].isNotNull())))
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = met.groupBy("pair", "x", "y").agg(F.count("*").alias("k")).checkpoint()
+    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))
+    counts = cells.select("pair", "k", F.inline(sides)).groupBy("pair", "side", "v").agg(F.sum("k").alias("n"))
+    up_to = running_total(counts, ["pair", "side"], [F.col("v").asc()], F.col("n"), "upto")
+    ranks = up_to.select("pair", "side", "v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    rank = lambda side: ranks.where(F.col("side") == side).select("pair", F.col("v").alias(side), F.col("rank").alias(f"r{side}"))
+    size = cells.groupBy("pair").agg(F.sum("k").alias("rows"))
+    ranked = cells.join(rank("x"), ["pair", "x"]).join(rank("y"), ["pair", "y"]).join(F.broadcast(size), "pair")
+    middle = (F.col("rows") + 1) / 2.0
+    dx, dy, k = F.col("rx") - middle, F.col("ry") - middle, F.col("k")
+    sums = ranked.groupBy("pair").agg(
+        (F.sum(dx * dy * k) / F.sqrt(F.nullif(F.sum(dx * dx * k) * F.sum(dy * dy * k), F.lit(0.0)))).alias("r"), F.sum("k").alias("n"))
+    table = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, column_a string, column_b string")
+    return _labelled(table.join(sums, "pair").select("column_a", "column_b", "r", "n"))
 
 
 def corr_strong(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.4) -> DataFrame:
