@@ -15,49 +15,47 @@ PERCENT_NAME = "(?i)^(percentage|pct|rate|ratio|margin|discount|tax_rate|interes
 TARGET_NAME = "(?i)^(target|label|churn|churned|converted|status|outcome|fraud|default|is_churn|is_default|revenue|sales|profit|rating|score|class|category)$"
 ORDINAL_NAME = "(?i)^(rating|grade|level|tier|priority|stage|satisfaction|rank|ranking|size|education|experience_level|severity)$"
 TIME_NAME = "(?i)date|time|timestamp|created_at|updated_at|year|month|quarter|day"
-GEO_VALUE = "(?i)^(usa|united states|uk|canada|germany|france|india|china|japan|brazil|california|texas|new york|london|tokyo|paris|north america|europe|asia)$"
-ORDINAL_VALUE = "(?i)^(low|medium|high|critical|tier [1-5]|grade [a-f]|[1-5] stars?)$"
 MONEY_WORD = "(?i)sales|revenue|profit|cost|spend|price|amount"
 RATE_WORD = "(?i)rate|ratio|margin|pct|pct_"
 BOUNDED_WORD = "(?i)rate|ratio|margin|discount"
+#: Share of a column's cells from which a kind of value tells something about the column.
+SOME = 0.2
 
 
-def sample_columns(p: Profile) -> DataFrame:
-    """One row per column with its profile and, as ``samples``, the five most frequent values."""
-    tops = p.top().where(F.col("rank") <= 5).groupBy("column").agg(F.collect_list("value").alias("samples"))
-    empty = F.array().cast("array<string>")
-    return p.columns().join(tops, "column", "left").withColumn("samples", F.coalesce("samples", empty))
+def with_shares(p: Profile) -> DataFrame:
+    """One row per column with its profile and the share of its cells that read as each kind of value."""
+    return p.columns().join(F.broadcast(p.shares()), "column", "left")
 
 
-def some(pattern: str) -> Column:
-    """True when any sample value matches."""
-    return F.exists("samples", lambda s: F.trim(s).rlike(pattern))
+def some(kind: str) -> Column:
+    """Whether at least one cell in five reads as that kind, judged on all cells."""
+    return F.coalesce(F.col(f"share_{kind}") >= SOME, F.lit(False))
 
 
 def classify(p: Profile) -> DataFrame:
     """Semantic type, role, confidence and target flag of every column; the first rule that fits wins."""
-    rows = sample_columns(p)
+    rows = with_shares(p)
     name = F.regexp_replace(F.lower("column"), r"[\s_-]+", "_")
     kind, total = F.col("type"), F.col("total")
     is_target = name.rlike(TARGET_NAME)
     in_unit = (F.col("min") >= 0) & (F.col("max") <= 1) & name.rlike(RATE_WORD)
     in_hundred = (F.col("min") >= 0) & (F.col("max") <= 100) & name.rlike(BOUNDED_WORD)
-    money = name.rlike(CURRENCY_NAME) | some("[$€£¥₹]") | (
+    money = name.rlike(CURRENCY_NAME) | some("money") | (
         (F.col("mean") > 10) & ~name.rlike(PERCENT_NAME) & name.rlike(MONEY_WORD)
     )
-    rate = name.rlike(PERCENT_NAME) | some("%") | in_unit | in_hundred
+    rate = name.rlike(PERCENT_NAME) | some("percent") | in_unit | in_hundred
     whole = (F.col("min") == F.floor("min")) & (F.col("max") == F.floor("max"))
     rules = [
         ("datetime", 95, (kind == "datetime") | name.rlike(TIME_NAME)),
         ("boolean", 95, (kind == "boolean") | ((F.col("distinct") == 2) & F.col("all_flag_words"))),
         ("identifier", 90, name.rlike(ID_NAME) | (kind == "id") | (
             (F.col("cardinality_pct") > 95) & (total >= 20) & kind.isin("categorical", "text"))),
-        ("geographic", 92, name.rlike(GEO_NAME) | some(GEO_VALUE)),
+        ("geographic", 92, name.rlike(GEO_NAME) | some("geo")),
         ("currency", 92, (kind == "numeric") & F.coalesce(money, F.lit(False))),
         ("percentage", 90, (kind == "numeric") & F.coalesce(rate, F.lit(False))),
         ("numeric_discrete", 88, (kind == "numeric") & (F.col("distinct") < 20) & F.coalesce(whole, F.lit(False))),
         ("numeric_continuous", 85, kind == "numeric"),
-        ("categorical_ordinal", 88, name.rlike(ORDINAL_NAME) | some(ORDINAL_VALUE)),
+        ("categorical_ordinal", 88, name.rlike(ORDINAL_NAME) | some("ordinal")),
         ("text_free", 80, (F.col("cardinality_pct") > 60) & (total > 50)),
         ("categorical_nominal", 90, F.lit(True)),
     ]
@@ -110,7 +108,7 @@ def unit_of(name: Column) -> Column:
 
 def schema_sheet(p: Profile) -> DataFrame:
     """Type, nullability, cardinality tier, semantic role, unit and key score of every column."""
-    rows = sample_columns(p)
+    rows = with_shares(p)
     lower = F.regexp_replace(F.lower("column"), "[^a-z0-9]", "_")
     total, distinct = F.col("total"), F.col("distinct")
     unique = F.coalesce(100.0 * distinct / F.nullif(F.col("valid"), F.lit(0)), F.lit(0.0))
@@ -132,7 +130,7 @@ def schema_sheet(p: Profile) -> DataFrame:
         .when((distinct <= 20) | (distinct / total <= 0.15), "CATEGORICAL")
         .when(distinct / total <= 0.6, "DIMENSION").otherwise("TEXT")
     )
-    unit = F.when((unit_of(F.col("column")) == "UNKNOWN") & F.exists("samples", lambda s: F.contains(s, F.lit("%"))), "PERCENT")
+    unit = F.when((unit_of(F.col("column")) == "UNKNOWN") & some("percent"), "PERCENT")
     return rows.select(
         "column", data_type.alias("data_type"), (F.col("missing") > 0).alias("nullable"), F.col("missing").alias("null_count"),
         half_up(100.0 * F.col("missing") / F.nullif(total, F.lit(0)), 1).alias("null_pct"), F.col("distinct"),

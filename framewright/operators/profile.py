@@ -27,6 +27,11 @@ ID_NAME = "(?i)id|uuid|key|code|guid|ssn|identifier|token"
 UUID_SHAPE = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 CODE_SHAPE = "^[a-z]{2,4}[-_]?[0-9]{2,8}$"
 
+# How cells of a kind read.
+GEO_VALUE = "(?i)^(usa|united states|uk|canada|germany|france|india|china|japan|brazil|california|texas|new york|london|tokyo|paris|north america|europe|asia)$"
+ORDINAL_VALUE = "(?i)^(low|medium|high|critical|tier [1-5]|grade [a-f]|[1-5] stars?)$"
+VALUE_KINDS = {"money": "[$€£¥₹]", "percent": "%", "geo": GEO_VALUE, "ordinal": ORDINAL_VALUE}
+
 # Fixed value: how a cell of an identifier reads. A column is one if more than this share of its cells does.
 ID_VALUE = "id|^[a-z0-9_-]{6,}$"
 ID_SHARE = 0.8
@@ -206,6 +211,16 @@ def column_facts(counts: DataFrame, columns: list[str], tops: DataFrame | None =
     )
 
 
+def value_shares(counts: DataFrame) -> DataFrame:
+    """Per column the share of its filled cells that read as each kind of value, over all distinct values."""
+    folded = F.lower(F.col("value"))
+    filled = F.col("value").isNotNull() | F.col("num").isNotNull() | F.col("at").isNotNull()
+    live = counts.where(filled & ~F.coalesce(folded.isin(["", *PROFILE_WORDS]), F.lit(False)))
+    text = F.when(F.col("kind").isin("text", "bool"), F.trim("value"))
+    return live.groupBy("column").agg(*[
+        (F.sum(F.when(text.rlike(pattern), F.col("n")).otherwise(0)) / F.sum("n")).alias(f"share_{kind}") for kind, pattern in VALUE_KINDS.items()])
+
+
 def shown(value: Column, num: Column, at: Column) -> Column:
     """A cell as display text."""
     return F.coalesce(value, plain_text(num), at.cast("string"))
@@ -306,16 +321,17 @@ class Profile:
         self.names = profiled_columns(df)
 
     @cached_property
-    def _counted(self) -> tuple[list, list]:
+    def _counted(self) -> tuple[list, list, list]:
         counts = value_counts(self.df, self.names).persist()
         try:
             best = top_values(counts)
             tops = [tuple(r) for r in best.collect()]
+            shares = [tuple(r) for r in value_shares(counts).collect()]
             known = self.df.sparkSession.createDataFrame(tops, best.schema)
             facts = [r.asDict() for r in column_facts(counts, self.names, known).collect()]
         finally:
             counts.unpersist()
-        return sorted(facts, key=lambda r: r["position"]), tops
+        return sorted(facts, key=lambda r: r["position"]), tops, shares
 
     @property
     def facts_rows(self) -> list[dict]:
@@ -343,6 +359,10 @@ class Profile:
     def top(self) -> DataFrame:
         return self.df.sparkSession.createDataFrame(self._counted[1], "column string, rank long, value string, count long")
 
+    def shares(self) -> DataFrame:
+        """Per column the share of cells of each kind of value."""
+        return self.df.sparkSession.createDataFrame(self._counted[2], "column string" + "".join(f", share_{k} double" for k in VALUE_KINDS))
+
     def columns(self) -> DataFrame:
         """Facts with the numeric part joined on: one row per column."""
         return self.facts().join(F.broadcast(self.numeric()), "column", "left")
