@@ -39,10 +39,10 @@ def safe_join(
     full join is the left join plus the right rows without a partner.
     """
     lk, rk = key_pair(left, left_key, right, right_key)
-    shared = set(left.columns) & set(right.columns)
-    one_key = left_key == right_key
-    l_names = {c: f"{prefixes[0]}_{c}" if c in shared and not (one_key and c == left_key) else c for c in left.columns}
-    r_names = {c: f"{prefixes[1]}_{c}" if c in shared else c for c in right.columns}
+    shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}  # names meet whatever their case
+    one_key = left_key.lower() == right_key.lower()
+    l_names = {c: f"{prefixes[0]}_{c}" if c.lower() in shared and not (one_key and c == left_key) else c for c in left.columns}
+    r_names = {c: f"{prefixes[1]}_{c}" if c.lower() in shared else c for c in right.columns}
     l_side = left.select(lk.alias("_key"), *[F.col(f"`{c}`").alias(n) for c, n in l_names.items()])
     r_side = right.select(rk.alias("_key"), *[F.col(f"`{c}`").alias(n) for c, n in r_names.items()])
     if how == "full":
@@ -56,7 +56,7 @@ def safe_join(
     for c, n in l_names.items():
         column = F.col(f"`{n}`")
         if one_key and c == left_key:
-            column = F.coalesce(column, F.col(f"`{r_names[c]}`"))
+            column = F.coalesce(column, F.col(f"`{r_names[right_key]}`"))
         out.append(column.alias(n))
     out += [F.col(f"`{n}`") for c, n in r_names.items() if not (one_key and c == right_key)]
     return joined.select(*out)

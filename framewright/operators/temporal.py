@@ -223,20 +223,33 @@ def daily_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     )
 
 
+# Words in metric names and the symbols of currencies.
+MONEY_NAME = "revenue|sales|profit|cost|price|income|salary|spend|mrr|arr|gmv"
+SHARE_NAME = "rate|percentage|pct|margin|ratio|growth|discount"
+COUNT_NAME = "count|orders|items|users|sessions|quantity|qty"
+CURRENCIES = (("inr|rupee|₹", "₹"), ("eur|euro|€", "€"), ("gbp|pound|£", "£"))
+
+
 def metric_unit(name: str) -> dict:
     """Unit of a metric from its name."""
     import re
 
     lower = name.lower()
-    if re.search(r"revenue|sales|profit|cost|price|income|salary|spend|mrr|arr|gmv", lower):
-        for words, symbol in (("inr|rupee|₹", "₹"), ("eur|euro|€", "€"), ("gbp|pound|£", "£")):
-            if re.search(words, lower):
-                return {"type": "currency", "prefix": symbol, "suffix": ""}
-        return {"type": "currency", "prefix": "$", "suffix": ""}
-    if re.search(r"rate|percentage|pct|margin|ratio|growth|discount", lower):
+    if re.search(MONEY_NAME, lower):
+        symbol = next((s for words, s in CURRENCIES if re.search(words, lower)), "$")
+        return {"type": "currency", "prefix": symbol, "suffix": ""}
+    if re.search(SHARE_NAME, lower):
         return {"type": "percentage", "prefix": "", "suffix": "%"}
-    if re.search(r"count|orders|items|users|sessions|quantity|qty", lower):
-        return {"type": "count", "prefix": "", "suffix": ""}
-    return {"type": "number", "prefix": "", "suffix": ""}
+    return {"type": "count" if re.search(COUNT_NAME, lower) else "number", "prefix": "", "suffix": ""}
+
+
+def unit_of_metric(name: Column) -> Column:
+    """The same for a column of metric names: a struct of type, prefix and suffix."""
+    lower = F.lower(name)
+    symbol = F.coalesce(*[F.when(lower.rlike(words), F.lit(s)) for words, s in CURRENCIES], F.lit("$"))
+    kind = F.when(lower.rlike(MONEY_NAME), "currency").when(lower.rlike(SHARE_NAME), "percentage").when(
+        lower.rlike(COUNT_NAME), "count").otherwise("number")
+    return F.struct(kind.alias("type"), F.when(kind == "currency", symbol).otherwise("").alias("prefix"),
+                    F.when(kind == "percentage", "%").otherwise("").alias("suffix"))
 
 

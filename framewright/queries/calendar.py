@@ -1,5 +1,7 @@
 """Calendar periods, growth and trends."""
 
+from pyspark.sql import functions as F
+
 from framewright.operators import charts as c, temporal as p
 from framewright.queries.registry import Tables, hu, query
 
@@ -192,3 +194,30 @@ def _(t: Tables):
     peak_value, low_period, low_value from a""")
 def _(t: Tables):
     return c.trend_headline(p.periods(t.orders, "o_orderdate", "o_totalprice", "sum", "yearly"))
+
+
+@query("prev_period_by_key", f"""with m as (select o_orderpriority, strftime(o_orderdate, '%Y-%m') as period,
+    date_trunc('month', min(o_orderdate))::date as start, {hu('sum(o_totalprice)', 2)} as value from orders group by 1, 2)
+  select a.o_orderpriority, a.period, a.value, b.value as base_value, {hu('a.value-b.value', 2)} as delta,
+    {hu('(a.value-b.value)/abs(b.value)*100', 1)} as change_pct
+  from m a left join m b on b.start = (a.start - interval 1 month)::date and b.o_orderpriority = a.o_orderpriority""")
+def _(t: Tables):
+    """Every series against its own previous month."""
+    keys = ["o_orderpriority"]
+    points = p.periods(t.orders, "o_orderdate", "o_totalprice", "sum", "monthly", keys)
+    return p.compare_periods(points, "monthly", keys=keys).drop("period_start")
+
+
+NAMES = "concat_ws('_', case p_size % 5 when 0 then 'Net' when 1 then 'discount' when 2 then 'orders' when 3 then 'price' else p_brand end, " \
+        "case p_partkey % 4 when 0 then 'EUR' when 1 then 'rate' when 2 then 'gbp' else p_type end)"
+
+
+@query("metric_units", f"""with n as (select p_partkey, {NAMES} as name, lower({NAMES}) as l from part),
+  k as (select *, case when regexp_matches(l, '{p.MONEY_NAME}') then 'currency' when regexp_matches(l, '{p.SHARE_NAME}') then 'percentage'
+    when regexp_matches(l, '{p.COUNT_NAME}') then 'count' else 'number' end as type from n)
+  select p_partkey, name, type, case when type <> 'currency' then '' when regexp_matches(l, 'inr|rupee|₹') then '₹'
+    when regexp_matches(l, 'eur|euro|€') then '€' when regexp_matches(l, 'gbp|pound|£') then '£' else '$' end as prefix,
+    case when type = 'percentage' then '%' else '' end as suffix from k""")
+def _(t: Tables):
+    names = t.part.select("p_partkey", F.expr(NAMES).alias("name"))
+    return names.select("p_partkey", "name", p.unit_of_metric(F.col("name")).alias("u")).select("p_partkey", "name", "u.*")

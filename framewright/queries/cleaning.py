@@ -33,6 +33,15 @@ for _keep, _dir in (("first", ""), ("last", "desc")):
     )
 
 
+@query("clean_dedup_id_missing", """with d as (select case when customer_id % 7 = 0 then null else customer_id end as id, customer_name, age
+    from dirty_customer), r as (select *, row_number() over (partition by id order by customer_name, age) as n from d)
+  select id, customer_name, age from r where n = 1 or id is null""")
+def _(t: Tables):
+    """Rows without an id are no duplicates of each other."""
+    rows = t.dirty_customer.selectExpr("case when customer_id % 7 = 0 then null else customer_id end as id", "customer_name", "age")
+    return cl.RemoveDuplicateIds("id", ("customer_name",)).apply(rows)
+
+
 @query("clean_drop_missing", "select order_id, price from dirty_orders where price is not null")
 def _(t: Tables):
     return cl.DropMissing("price").apply(t.dirty_orders).select("order_id", "price")

@@ -81,3 +81,13 @@ def _(t: Tables):
     return j.matched(t.customer, t.orders.where("o_totalprice > 200000"), "c_custkey", "o_custkey").select(
         "c_custkey", "c_name"
     )
+
+
+@query("join_by_name", """select o_orderkey, o_custkey as custkey, c_name from orders left join customer on o_custkey = c_custkey""")
+def _(t: Tables):
+    """Without a stored relationship: the join that the column names suggest."""
+    left = t.orders.select("o_orderkey", F.col("o_custkey").alias("custkey"))
+    right = t.customer.select(F.col("c_custkey").alias("CustKey"), "c_name")
+    found = j.recommend_by_name(left, right)
+    return j.safe_join(left, right, found["left_key"], found["right_key"], found["join_type"].lower()).select(
+        "o_orderkey", "custkey", "c_name")

@@ -223,6 +223,16 @@ def _(t: Tables):
     return cells.groupBy("planted").agg(F.sum("n").alias("records"), F.max("n").alias("in_cluster"))
 
 
+@query("ml_planted_inertia", f"""with c as (select c_nationkey % 3 as g, c_nationkey % 3 * 1e6 + c_acctbal as x,
+    case when c_nationkey % 3 = 1 then 1e6 else 0.0 end as y from customer),
+  s as (select var_samp(x) as vx, var_samp(y) as vy from c), w as (select g, count(*) as n, var_pop(x) as x, var_pop(y) as y from c group by 1)
+  select 3::bigint as k, {hu('sum(n*x/vx + n*y/vy)', 6)} as inertia from w, s""")
+def _(t: Tables):
+    rows = t.customer.select((F.col("c_nationkey") % 3 * 1e6 + F.col("c_acctbal")).alias("x"),
+                             F.when(F.col("c_nationkey") % 3 == 1, 1e6).otherwise(0.0).alias("y"))
+    return ml.kmeans(rows, ["x", "y"], 3)["facts"].select("k", half_up(F.col("inertia"), 6).alias("inertia"))
+
+
 # One class per product of brand and size: thousands of classes, each with its own mean.
 MANY = f"""with s as (select p_partkey, concat(p_brand, '/', p_size) as actual, p_retailprice as a, p_size::double as b,
     {hash_sql('p_partkey')} < 20 as is_test from part),

@@ -274,3 +274,10 @@ def _(t: Tables):
     path = work_folder(t.spark, "statistics")
     write_csv(table, path)
     return read_csv_like(t.spark, path, table)
+
+
+@query("contingency", """with o as (select o_orderpriority as r, o_orderstatus as c, count(*) as observed from orders group by 1, 2)
+  select r, c, observed, sum(observed) over (partition by r)::bigint as row_total, sum(observed) over (partition by c)::bigint as column_total
+  from o""")
+def _(t: Tables):
+    return s.contingency(t.orders, "o_orderpriority", "o_orderstatus")
