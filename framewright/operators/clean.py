@@ -14,6 +14,7 @@ from framewright.functions.text import INTEGRAL, cased, is_number, is_text
 from framewright.operators.filters import fences, parsed_dates
 from framewright.operators.profile import duplicate_count, missing_counts, numbers_long, profiled_columns
 from framewright.operators.scale import exact_quantiles, join_keys, one_row, ordered_blocks
+from framewright.operators.state import TableState, exchanged, stored
 
 # Words read as a boolean when a column is converted.
 TRUE_WORDS = ["true", "yes", "y", "t", "1"]
@@ -448,12 +449,27 @@ class History:
         return reduce(lambda df, a: a.apply(df), self.actions, self.source)
 
     def log(self) -> DataFrame:
-        """One audit row per applied action."""
-        df, rows = self.source, None
-        for i, action in enumerate(self.actions, start=1):
-            entry = log_entry(df, action, i)
-            rows = entry if rows is None else rows.unionByName(entry)
-            df = action.apply(df)
-        return rows
-
+        """One audit row per applied action, with rows, missing cells and duplicates on both sides.
 
+        Every step is applied once to the stored result of the one before; the statistics follow by what it changed (see ``state``).
+        """
+        df, rows = self.source, []
+        state = TableState.of(df) if self.actions else None
+        for i, action in enumerate(self.actions, start=1):
+            test = action.changed(df)
+            names = list(df.columns)
+            after = action.apply(df.withColumn("before", F.struct(*[_col(n) for n in names])) if test is not None else df)
+            kept = stored(after, "clean-step")
+            same = test is not None and [(f.name, f.dataType) for f in after.schema.fields if f.name in names] == [
+                (f.name, f.dataType) for f in df.schema.fields]
+            clean_rows = kept.drop("before") if test is not None else kept
+            now = state.changed(exchanged(df, kept, names)) if same else TableState.of(clean_rows)
+            touched = df.agg(F.count_if(F.coalesce(test, F.lit(False))).alias("n")).first()["n"] if test is not None else state.rows - now.rows
+            rows.append((i, type(action).__name__, getattr(action, "column", None), state.rows, now.rows, touched, state.missing, now.missing,
+                         state.duplicates, now.duplicates))
+            df, state = clean_rows, now
+        return self.source.sparkSession.createDataFrame(rows, LOGGED)
+
+
+LOGGED = """step long, action string, column string, rows_before long, rows_after long, affected_rows long, missing_before long,
+ missing_after long, duplicates_before long, duplicates_after long"""

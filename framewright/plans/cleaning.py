@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from framewright.operators import clean
-from framewright.operators.profile import Profile
-from framewright.operators.quality import cleaning_plan
+from framewright.operators.profile import Profile, dataset_stats, profile
+from framewright.operators.quality import cleaning_plan, score
 
 
 def to_action(step, order_by: tuple[str, ...]) -> list[clean.Action]:
@@ -42,3 +42,12 @@ def plan_history(p: Profile, order_by: tuple[str, ...]) -> clean.History:
 def clean_by_plan(p: Profile, order_by: tuple[str, ...]) -> DataFrame:
     """The table after the whole plan."""
     return plan_history(p, order_by).current()
+
+
+def preview_statistics(df: DataFrame, action: clean.Action) -> DataFrame:
+    """Rows, columns, missing cells, duplicates and quality score of the table before and after an action, one row a side."""
+    parts = []
+    for side, table in (("before", df), ("after", action.apply(df))):
+        p = profile(table)
+        parts.append(dataset_stats(p, score(p).first()["score"]).withColumn("side", F.lit(side)))
+    return parts[0].unionByName(parts[1])

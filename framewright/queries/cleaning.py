@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from framewright.operators import clean as cl, profile as p
-from framewright.plans.cleaning import clean_by_plan, plan_history
+from framewright.plans.cleaning import clean_by_plan, plan_history, preview_statistics
 from framewright.queries.profile_sql import SCHEMAS, number_sql
 from framewright.queries.registry import Tables, hu, query
 
@@ -234,6 +234,15 @@ def _(t: Tables):
     return cl.History(t.dirty_orders).do(cl.RemoveDuplicates()).do(cl.Trim()).log()
 
 
+@query("clean_preview_statistics", """with d as (select distinct * from dirty_orders),
+  m as (select sum((price is null)::int + (note is null)::int)::bigint as m, count(*) as r from dirty_orders),
+  n as (select sum((price is null)::int + (note is null)::int)::bigint as m, count(*) as r from d)
+  select 'before' as side, m.r as rows, 8::bigint as columns, m.m as missing_cells, m.r - n.r as duplicate_rows from m, n
+  union all select 'after', n.r, 8, n.m, 0 from n""")
+def _(t: Tables):
+    return preview_statistics(t.dirty_orders, cl.RemoveDuplicates()).drop("score")
+
+
 @query("clean_undo", "select order_id, trim(priority) as priority from dirty_orders")
 def _(t: Tables):
     h = cl.History(t.dirty_orders).do(cl.Trim("priority")).do(cl.DropMissing("price")).undo()
