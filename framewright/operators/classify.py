@@ -19,7 +19,7 @@ MONEY_WORD = "(?i)sales|revenue|profit|cost|spend|price|amount"
 RATE_WORD = "(?i)rate|ratio|margin|pct|pct_"
 BOUNDED_WORD = "(?i)rate|ratio|margin|discount"
 #: Share of a column's cells from which a kind of value tells something about the column.
-SOME = 0.2
+SOME = 0.1
 
 
 def with_shares(p: Profile) -> DataFrame:
@@ -28,7 +28,7 @@ def with_shares(p: Profile) -> DataFrame:
 
 
 def some(kind: str) -> Column:
-    """Whether at least one cell in five reads as that kind, judged on all cells."""
+    """Whether at least one cell in ten reads as that kind, judged on all cells."""
     return F.coalesce(F.col(f"share_{kind}") >= SOME, F.lit(False))
 
 

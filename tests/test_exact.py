@@ -54,3 +54,12 @@ def test_keyed_series_are_compared_with_themselves(spark):
     points = spark.createDataFrame(rows, "k string, d string, value double").selectExpr("k", "cast(d as timestamp) as period_start", "d as period", "value")
     got = {(r.k, r.period): r.base_value for r in temporal.compare_periods(points, "monthly", keys=["k"]).collect()}
     assert got["a", "2024-02-01"] == 1.0 and got["b", "2024-02-01"] == 10.0 and got[None, "2024-02-01"] is None
+
+
+@pytest.mark.parametrize("rows,distinct", [(0, 1), (3, 3), (1000, 1), (60_000, 60_000), (60_000, 7), (5000, 400)])
+def test_systematic_samples_are_every_kth_row(spark, rows, distinct):
+    df = spark.range(rows).select(F.when(F.col("id") % 13 != 0, (F.col("id") * 7919) % distinct).alias("k"), F.md5(F.col("id").cast("string")).alias("w"), "id")
+    want = sorted(([(r.k is not None, r.k or 0), r.w, r.id] for r in df.collect()))
+    step = max(1, rows // 50)
+    got = filters.systematic_sample(df.repartition(5), ["k"], 50).collect()
+    assert sorted(r.id for r in got) == sorted(r[2] for r in want[::step])
