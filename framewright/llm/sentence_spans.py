@@ -1,10 +1,12 @@
 """Repeated sentence spans: exact duplicates of passages across and inside documents.
 
-A text is cut into sentences: after . ! ? and at line ends. A sentence of more than LONG words, as in text without punctuation,
-is cut further after words chosen by their own hash, so equal passages are cut alike wherever they stand. From every sentence a
-span runs over several consecutive sentences, at least two, until it has at least MIN_WORDS words. The spans' 128-bit hashes
-are joined globally; the document of the smallest id keeps a repeated span, all others (and later repeats in the same document)
-lose its sentences. Case and white space do not count.
+A text is cut into sentences: after words that end in . ! ? and at line ends. Sentences of more than GAP words are cut further by
+winnowing: of every GAP consecutive words the last sentence end, or else the word of the smallest hash, is a cut. So no piece has
+more than GAP words, and a cut depends on the words around it alone: a passage is cut alike in any surroundings, from the first
+cut among its first GAP words to the last one among its last GAP words. From every piece a span runs over the following pieces until it has
+MIN_WORDS words; each passage of 2 * GAP + MIN_WORDS words or more holds a whole span wherever it stands. The spans' 128-bit
+hashes are joined globally; the document of the smallest id keeps a repeated span, all others (and later repeats in the same document)
+lose its pieces. Case and white space do not count.
 
 Hot passages: the first document of a hash is a minimum, summed up before the shuffle; the join back is by hash and can be split.
 Edge cases: null and empty texts have no spans; null ids are nobody's first document and left out; rows that repeat an id are
@@ -15,56 +17,51 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.shared import slot_filter, written
 
-MIN_SENTENCES, MIN_WORDS, LONG, CUT = 2, 20, 30, 8
-END = re.compile(r"[.!?]+(?=\s)\s*|\n\s*")
+MIN_WORDS, GAP = 20, 12
 WORD = re.compile(r"\S+")
+END = re.compile(r"[.!?][\"'\u2019\u201d)\]]*\Z")
+MARKS = frozenset(".!?\"'\u2019\u201d)]")
 
 
-def sentences(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of each sentence of a text, in order; blank ones are left out."""
-    out = []
-    at = 0
-    cuts = [m.end() for m in END.finditer(text)]
-    if not cuts or cuts[-1] < len(text):
-        cuts.append(len(text))
-    for stop in cuts:
-        found = text[at:stop].lower().split()
-        if len(found) > LONG:
-            begin, held = at, []
-            for m in WORD.finditer(text, at, stop):
-                word = m.group().lower()
-                held.append(word)
-                if xxhash.xxh3_64_intdigest(word) % CUT == 0:
-                    out.append((begin, m.end(), len(held), xxhash.xxh3_128_digest(" ".join(held))))
-                    begin, held = m.end(), []
-            if held:
-                out.append((begin, stop, len(held), xxhash.xxh3_128_digest(" ".join(held))))
-        elif found:
-            out.append((at, stop, len(found), xxhash.xxh3_128_digest(" ".join(found))))
-        at = stop
-    return out
+def cuts(keys: np.ndarray) -> np.ndarray:
+    """Places of the last smallest key of every GAP consecutive ones, ascending."""
+    width = min(GAP, len(keys))
+    windows = sliding_window_view(keys[::-1], width)
+    return np.unique(len(keys) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1)))
 
 
 def spans(text: str) -> list[tuple[bytes, int, int]]:
-    """(hash, start, end) of the span that starts at each sentence; none where too few words follow."""
-    cut = sentences(text)
-    out, stop, held = [], 0, 0
-    for i in range(len(cut)):
-        while stop < len(cut) and (stop - i < MIN_SENTENCES or held < MIN_WORDS):
-            held += cut[stop][2]
-            stop += 1
-        if stop - i < MIN_SENTENCES or held < MIN_WORDS:
-            break
-        out.append((xxhash.xxh3_128_digest(b"".join(c[3] for c in cut[i:stop])), cut[i][0], cut[stop - 1][1]))
-        held -= cut[i][2]
-    return out
+    """(hash, start, end) of the span that starts at each piece; none where too few words follow."""
+    at = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    n = len(at)
+    if n < MIN_WORDS:
+        return []
+    found = text.lower().split()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, n)
+    keys = hashes | np.uint64(1)
+    keys[[i for i, w in enumerate(found) if w[-1] in MARKS and END.search(w)]] = 0
+    lines = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+    if len(lines):
+        before = np.searchsorted(at[:, 0], lines) - 1
+        keys[before[before >= 0]] = 0
+    stops = cuts(keys) + 1
+    if stops[-1] < n:
+        stops = np.append(stops, n)
+    starts = np.concatenate([[0], stops[:-1]])
+    last = np.searchsorted(stops, starts + MIN_WORDS)
+    last = last[last < len(stops)]
+    raw = memoryview(hashes.tobytes())
+    return [(xxhash.xxh3_128_digest(raw[8 * i:8 * j]), a, b) for i, j, a, b in zip(
+        starts[:len(last)].tolist(), stops[last].tolist(), at[starts[:len(last)], 0].tolist(), at[stops[last] - 1, 1].tolist())]
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
