@@ -1,15 +1,22 @@
 """Benchmark decontamination by canonical templates.
 
-Numbers, units behind numbers and names (capitalised words inside a sentence) become typed placeholders; what remains is lower
-case words. Windows of eight such words are hashed on both sides and joined, so a question whose numbers or names were exchanged
-still matches. A document is contaminated by an item if at least half of the item's windows occur in it and the slots agree: on
-the best alignment each value of the item stands for one value of the document wherever it occurs.
+Numbers, units behind numbers and names (words that begin with a capital and go on in lower case, wherever they stand) become typed
+placeholders; the rest is lower-case words, white space and punctuation do not count. Windows of eight words are hashed on both sides
+in two forms: one with all placeholders, so that a question whose numbers or names were exchanged still matches, and one
+with names as lower-case words, so that a copy matches in any case. A window with fewer than three plain words in eight is hashed with
+its values, so tables of numbers and headings match exact copies only.
+
+First the distinct hashes of each document meet those of the items; documents with at least half of an item's windows are
+read again. Their hits are dealt to alignments: a band of shifts (place in the document less place in the item) as wide as the
+item is long, so words put in or taken out leave a copy in one band and two copies never share one. Every band that holds half of the
+item's windows is judged on the placeholders inside its matched windows: the document is contaminated if in nine of ten places each value
+of the item stands for one value of the document.
 
 Only DataFrame functions are used. The windows of the documents stream through the join; a benchmark of at most BROADCAST_ROWS
-windows is broadcast, a larger one is joined by a shuffle, with the same result. Only documents with hits are read again for the
-slots. Edge cases: null or empty texts and items without words match nothing; an item of fewer than eight words is one window of
-all its words; repeated rows give repeated hits of one document, counted once; null ids are left out of the result, as nothing
-could be done with them.
+windows is broadcast, a larger one is joined by a shuffle, with the same result. Texts are told apart by digest, so copies are judged once.
+Edge cases: null or empty texts and items without words match nothing; an item of fewer than eight words is one window of
+all its words; null item ids are left out; repeated rows count once; documents without an id are left out of the pairs, but their
+texts are judged and ``keep_clean`` drops them; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,85 +27,153 @@ from pyspark.sql import functions as F
 from framewright.llm.shared import once, settled, slot_filter, written
 
 WINDOW = 8
-SHARE = 0.5
+SHARE, AGREE = 0.5, 0.9
+#: Plain words that a window hashed by its types has at least, in eighths of its size.
+PLAIN = 3
 BROADCAST_ROWS = 500_000
-#: Units that count as such right behind a number.
+#: Units that count as such behind a number and a blank; letters that follow a number directly always do.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years",
-         "miles", "feet", "inches", "pounds", "dollars", "euros", "percent", "meters", "metres", "liters", "litres", "kilometers")
+         "miles", "feet", "inches", "pounds", "dollars", "euros", "percent", "meters", "metres", "liters", "litres", "kilometers",
+         "horas", "minutos", "segundos", "días", "años", "metros", "litros", "kilómetros", "heures", "secondes", "jours", "ans",
+         "mètres", "kilomètres", "stunden", "minuten", "sekunden", "tage", "jahre", "meter", "liter", "kilometer", "euro", "prozent")
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 
 
 def tokens(text: Column) -> Column:
     """The words of a text; placeholders keep their value behind a mark of their type."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", NAME + "$0")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}\x01-\x03]+", " ")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?=\p{Lu}+\p{Ll})", NAME)
     t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*", NUMBER + "$0")
-    t = F.regexp_replace(t, rf"({NUMBER}[0-9.,]*[0-9]) ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    t = F.regexp_replace(F.lower(t), rf"({NUMBER}[0-9.,]*[0-9])(?: {NAME}?({'|'.join(UNITS)})|(\p{{L}}{{1,12}}))(?![\p{{L}}\p{{N}}])",
+                         f"$1 {UNIT}$2$3")
     gaps = r"(?:[^\p{L}\p{N}\x01-\x03.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
-    return F.filter(F.split(F.lower(t), gaps), lambda w: w != "")
+    return F.filter(F.split(t, gaps), lambda w: w != "")
 
 
-def _hashes(toks: Column) -> Column:
-    return F.transform(toks, lambda w: F.xxhash64(F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w)))
+def _value(word: Column) -> Column:
+    return F.when(word < "\x04", F.substring(word, 2, 1 << 30)).otherwise(word)
 
 
-def _windows(toks: Column, size: int) -> Column:
-    """The hashes of all windows of a size; null where the text is shorter."""
-    return once(_hashes(toks), lambda h: _hashed_windows(h, size))
+def _runs(items: Column, size: int, join) -> Column:
+    """``join`` of every ``size`` consecutive elements; eight are joined by halves."""
+    if size == 8:
+        for step in (1, 2, 4):
+            items = once(items, _paired(step, join))
+        return items
+    return once(items, lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - size), lambda i: _folded([F.get(x, i + j) for j in range(size)], join)))
 
 
-def _hashed_windows(hashes: Column, size: int) -> Column:
-    hashed = F.transform(F.sequence(F.lit(0), F.size(hashes) - size),
-                         lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)]))
-    return F.when(F.size(hashes) >= size, hashed)
+def _paired(step: int, join):
+    """A function that joins each element with the one ``step`` places on."""
+    def body(x: Column) -> Column:
+        rest = F.greatest(F.size(x) - step, F.lit(0))
+        return F.zip_with(F.slice(x, 1, rest), F.slice(x, 1 + step, rest), join)
+    return body
+
+
+def _folded(parts: list[Column], join) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = join(out, p)
+    return out
+
+
+def windows(toks: Column, size: int) -> Column:
+    """Per window an array of its one or two hashes; null where the text is shorter than a window."""
+    def made(t: Column) -> Column:
+        kind = F.transform(t, lambda w: F.when(w >= "\x04", 0).when(F.substring(w, 1, 1) == NAME, 17).otherwise(1))
+        typed = F.transform(t, lambda w: F.xxhash64(F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w)))
+        named = F.transform(t, lambda w: F.xxhash64(F.when(F.substring(w, 1, 1) == NAME, _value(w)).when(
+            w < "\x04", F.substring(w, 1, 1)).otherwise(w)))
+        whole = F.transform(t, lambda w: F.xxhash64(_value(w)))
+        few = lambda s: (size - s % 16) * 8 < PLAIN * size
+        few_named = lambda s: (size - s % 16 + F.floor(s / 16)) * 8 < PLAIN * size
+        add, mix = (lambda a, b: a + b), (lambda a, b: F.xxhash64(a, b))
+        marks = _runs(kind, size, add)
+        values = F.when(F.exists(marks, few), _runs(whole, size, mix))
+        return once(F.struct(marks.alias("s"), values.alias("v"), _runs(typed, size, mix).alias("t"), _runs(named, size, mix).alias("n")),
+                    lambda x: F.transform(x["s"], lambda s, i: F.array_distinct(F.array(
+                        F.when(few(s), F.get(x["v"], i)).otherwise(F.get(x["t"], i)),
+                        F.when(few_named(s), F.get(x["v"], i)).otherwise(F.get(x["n"], i))))))
+    return once(toks, lambda t: F.when(F.size(t) >= size, made(t)))
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """A row per item: its tokens, window size, and the hashes of its windows."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("item"))
     rows = rows.where(F.size("item") > 0).withColumn("size", F.least(F.size("item"), F.lit(WINDOW)))
-    sized = F.lit(None).cast("array<bigint>")
+    sized = F.lit(None).cast("array<array<bigint>>")
     for n in range(1, WINDOW + 1):
-        sized = F.when(F.col("size") == n, _windows(F.col("item"), n)).otherwise(sized)
-    return rows.select("item_id", "item", "size", sized.alias("wins"))
+        sized = F.when(F.col("size") == n, windows(F.col("item"), n)).otherwise(sized)
+    return rows.select("item_id", "item", "size", sized.alias("wins")).dropDuplicates(["item_id", "item"])
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """(digest, item_id, n_windows, item_windows, n_slots, n_changed_slots) of the contaminated texts, by the MD5 of the text."""
+    items = written(_item_windows(benchmark).withColumn("item_key", F.xxhash64("item_id", "item")), "benchmark-windows")
+    flat = items.select("item_key", "size", F.posexplode("wins").alias("ipos", "hs")).select("item_key", "size", "ipos", F.explode("hs").alias("h"))
+    facts = {r["size"]: r["count"] for r in flat.groupBy("size").count().collect()}  # at most eight rows
+    rows = docs.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+
+    def met(wins: DataFrame, size: int) -> DataFrame:
+        side = flat.where(F.col("size") == size).drop("size")
+        return wins.join(F.broadcast(side) if facts[size] <= BROADCAST_ROWS else side, "h").drop("h")
+
+    def every(found: list[DataFrame], empty: str) -> DataFrame:
+        out = docs.sparkSession.createDataFrame([], empty)
+        for f in found:
+            out = out.unionByName(f)
+        return out
+
+    sizes = sorted(facts)
+    found = [met(rows.select("digest", F.explode(F.array_distinct(F.flatten(windows(tokens(F.col("text")), n)))).alias("h")), n) for n in sizes]
+    hits = written(every(found, "digest string, item_key long, ipos int").distinct(), "benchmark-hits")
+    total = items.select("item_key", F.size("wins").alias("item_windows"), F.size("item").alias("words"))
+    counts = hits.groupBy("digest", "item_key").agg(F.count("*").alias("n")).join(total, "item_key")
+    likely = written(counts.where(F.col("n") >= share * F.col("item_windows")).drop("n"), "benchmark-likely")
+    texts = slot_filter(rows, "digest", likely.select("digest")).join(likely.select("digest").distinct(), "digest", "left_semi")
+    texts = written(settled(texts.groupBy("digest").agg(F.first("text").alias("text")), ["digest"], toks=tokens(F.col("text"))), "benchmark-texts")
+    placed = [met(texts.select("digest", F.posexplode(windows(F.col("toks"), n)).alias("pos", "hs")).select(
+        "digest", "pos", F.explode("hs").alias("h")), n) for n in sizes]
+    placed = every(placed, "digest string, pos int, item_key long, ipos int").join(likely, ["digest", "item_key"])
+    half = F.ceil(F.col("words") / 2).cast("long")
+    shift = F.col("pos") - F.col("ipos")
+    band = F.floor(shift / half)
+    banded = placed.select("digest", "item_key", "item_windows", F.explode(F.array(band, band - 1)).alias("band"), "ipos", shift.alias("shift"))
+    groups = banded.groupBy("digest", "item_key", "band").agg(
+        F.max("item_windows").alias("item_windows"), F.collect_set(F.struct("ipos", "shift")).alias("hits"))
+    groups = groups.withColumn("n_windows", F.size(F.array_distinct("hits.ipos")).cast("long"))
+    groups = groups.where(F.col("n_windows") >= share * F.col("item_windows"))
+    read = groups.join(texts, "digest").join(items.select("item_key", "item", "size"), "item_key")
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(
+        F.sequence(x["ipos"], x["ipos"] + F.col("size") - 1), lambda i: F.struct(i.alias("at"), x["shift"].alias("shift"))))))
+    slots = F.transform(F.filter(places, lambda p: F.get("item", p["at"]) < "\x04"), lambda p: F.struct(
+        p["at"].alias("at"), p["shift"].alias("shift"), _value(F.get("item", p["at"])).alias("ours"),
+        _value(F.get("toks", p["at"] + p["shift"])).alias("theirs")))
+    keys = ["digest", "item_key", "band", "n_windows", "item_windows"]
+    judged = settled(read, keys, slots=slots)
+    pairs = judged.select(*keys, F.explode_outer("slots").alias("s")).groupBy(*keys, "s.ours", "s.theirs").agg(F.count("s").alias("c"))
+    values = pairs.groupBy(*keys, "ours").agg(F.sum("c").alias("c"), F.max("c").alias("most"),
+                                              F.sum(F.when(F.col("ours") != F.col("theirs"), F.col("c")).otherwise(0)).alias("changed"))
+    bands = values.groupBy(*keys).agg(F.sum("c").alias("n_slots"), F.sum("most").alias("most"), F.sum("changed").alias("n_changed_slots"))
+    good = bands.where(F.col("most") >= AGREE * F.col("n_slots"))
+    best = good.groupBy("digest", "item_key").agg(F.max(F.struct(
+        "n_windows", -F.col("n_changed_slots"), "n_slots", "n_changed_slots", F.col("item_windows").cast("long").alias("item_windows"))).alias("b"))
+    return best.join(items.select("item_key", "item_id"), "item_key").select(
+        "digest", "item_id", *[f"b.{c}" for c in ("n_windows", "item_windows", "n_slots", "n_changed_slots")])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Pairs (doc_id, item_id) of contaminated documents with the windows found, the item's windows and its slots."""
-    items = written(_item_windows(benchmark), "benchmark-windows")
-    flat = items.select("item_id", "size", F.posexplode("wins").alias("ipos", "h"))
-    facts = flat.groupBy("size").count().collect()  # at most eight rows
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found = None
-    for size, n in sorted((r["size"], r["count"]) for r in facts):
-        wins = rows.select("doc_id", F.posexplode(_windows(tokens(F.col("text")), size)).alias("pos", "h"))
-        side = flat.where(F.col("size") == size).drop("size")
-        hits = wins.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "h").select("doc_id", "item_id", "pos", "ipos")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = rows.select("doc_id", F.lit(0).cast(benchmark.schema["item_id"].dataType).alias("item_id"),
-                            F.lit(0).alias("pos"), F.lit(0).alias("ipos")).where(F.lit(False))
-    hits = written(found.distinct(), "benchmark-hits")
-    total = items.select("item_id", F.size("wins").alias("item_windows"))
-    counts = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_windows")).join(total, "item_id")
-    enough = counts.where(F.col("n_windows") >= share * F.col("item_windows"))
-    lines = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("n"))
-    best = lines.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", -F.abs("shift"), "shift")).alias("b"))
-    likely = written(enough.join(best.select("doc_id", "item_id", "b.shift"), ["doc_id", "item_id"]), "benchmark-likely")
-    texts = slot_filter(rows, "doc_id", likely.select("doc_id"))
-    read = likely.join(texts, "doc_id").join(items.select("item_id", "item"), "item_id")
-    slots = once(tokens(F.col("text")), lambda words: F.filter(
-        F.transform("item", lambda w, i: F.struct(w.alias("ours"), F.get(words, i + F.col("shift")).alias("theirs"))),
-        lambda x: (x["ours"] < "\x04") & (F.substring(x["theirs"], 1, 1) == F.substring(x["ours"], 1, 1))))
-    judged = settled(read, ["doc_id", "item_id", "n_windows", "item_windows"], slots=slots)
-    agree = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda x: x["ours"])))
-    changed = F.size(F.filter("slots", lambda x: x["ours"] != x["theirs"]))
-    return judged.where(agree).groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"),
-        F.max(F.size("slots")).cast("long").alias("n_slots"), F.max(changed).cast("long").alias("n_changed_slots"))
+    bad = written(contaminated_texts(docs, benchmark, share), "benchmark-bad")
+    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    numbers = ("n_windows", "item_windows", "n_slots", "n_changed_slots")
+    both = slot_filter(ids, "digest", bad.select("digest")).distinct().join(bad, "digest")
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct(*numbers)).alias("b"))
+    return best.select("doc_id", "item_id", *[f"b.{c}" for c in numbers])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that no item contaminates, all columns unchanged."""
-    bad = written(contaminated(docs, benchmark, share).select("doc_id").distinct(), "benchmark-bad")
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = written(contaminated_texts(docs, benchmark, share).select(F.col("digest").alias("__digest")).distinct(), "benchmark-bad")
+    return docs.join(bad, F.md5(F.col("text").cast("binary")) == F.col("__digest"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
