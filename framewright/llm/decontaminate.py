@@ -126,7 +126,9 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHA
         return out
 
     sizes = sorted(facts)
-    found = [met(rows.select("digest", F.explode(F.array_distinct(F.flatten(windows(tokens(F.col("text")), n)))).alias("h")), n) for n in sizes]
+    # the windows are made once, outside the generator that deals them out; an outer one gets no filter that makes them again
+    own = {n: settled(rows, ["digest"], hs=windows(tokens(F.col("text")), n)) for n in sizes}
+    found = [met(own[n].select("digest", F.explode_outer(F.array_distinct(F.flatten("hs"))).alias("h")), n) for n in sizes]
     hits = written(every(found, "digest string, item_key long, ipos int").distinct(), "benchmark-hits")
     total = items.select("item_key", F.size("wins").alias("item_windows"), F.size("item").alias("words"))
     counts = hits.groupBy("digest", "item_key").agg(F.count("*").alias("n")).join(total, "item_key")
