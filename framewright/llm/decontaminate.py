@@ -41,9 +41,11 @@ NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 
 def tokens(text: Column) -> Column:
     """The words of a text; placeholders keep their value behind a mark of their type."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}\x01-\x03]+", " ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(?=\p{Lu}+\p{Ll})", NAME)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])[0-9]+(?:[.,][0-9]+)*", NUMBER + "$0")
+    # each pattern begins with what it looks for, so that it passes over all else quickly; single blanks are left alone
+    blank = r"\s\p{Z}\x01-\x03"
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{blank}&&[^ ]][{blank}]*| [{blank}]+", " ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Lu}*\p{Ll}", NAME + "$0")
+    t = F.regexp_replace(t, r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*(?:[.,][0-9]+)*", NUMBER + "$0")
     t = F.regexp_replace(F.lower(t), rf"({NUMBER}[0-9.,]*[0-9])(?: {NAME}?({'|'.join(UNITS)})|(\p{{L}}{{1,12}}))(?![\p{{L}}\p{{N}}])",
                          f"$1 {UNIT}$2$3")
     gaps = r"(?:[^\p{L}\p{N}\x01-\x03.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
@@ -81,10 +83,10 @@ def _folded(parts: list[Column], join) -> Column:
 def windows(toks: Column, size: int) -> Column:
     """Per window an array of its one or two hashes; null where the text is shorter than a window."""
     def made(t: Column) -> Column:
-        kind = F.transform(t, lambda w: F.when(w >= "\x04", 0).when(F.substring(w, 1, 1) == NAME, 17).otherwise(1))
-        typed = F.transform(t, lambda w: F.xxhash64(F.when(w < "\x04", F.substring(w, 1, 1)).otherwise(w)))
-        named = F.transform(t, lambda w: F.xxhash64(F.when(F.substring(w, 1, 1) == NAME, _value(w)).when(
-            w < "\x04", F.substring(w, 1, 1)).otherwise(w)))
+        kind = F.transform(t, lambda w: F.when(w >= "\x04", 0).when(w.startswith(NAME), 17).otherwise(1))
+        mark = lambda w: F.xxhash64(F.substring(w, 1, 1))
+        typed = F.transform(t, lambda w: F.when(w >= "\x04", F.xxhash64(w)).otherwise(mark(w)))
+        named = F.transform(t, lambda w: F.when(w >= "\x04", F.xxhash64(w)).when(w.startswith(NAME), F.xxhash64(_value(w))).otherwise(mark(w)))
         whole = F.transform(t, lambda w: F.xxhash64(_value(w)))
         few = lambda s: (size - s % 16) * 8 < PLAIN * size
         few_named = lambda s: (size - s % 16 + F.floor(s / 16)) * 8 < PLAIN * size
