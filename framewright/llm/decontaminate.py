@@ -81,7 +81,8 @@ def _folded(parts: list[Column], join) -> Column:
 
 
 def windows(toks: Column, size: int) -> Column:
-    """Per window an array of its one or two hashes; null where the text is shorter than a window."""
+    """The hashes of all windows by types (t), and with names as words (n, null for a window without names); null where the text is
+    shorter than a window."""
     def made(t: Column) -> Column:
         kind = F.transform(t, lambda w: F.when(w >= "\x04", 0).when(w.startswith(NAME), 17).otherwise(1))
         mark = lambda w: F.xxhash64(F.substring(w, 1, 1))
@@ -94,26 +95,33 @@ def windows(toks: Column, size: int) -> Column:
         marks = _runs(kind, size, add)
         values = F.when(F.exists(marks, few), _runs(whole, size, mix))
         return once(F.struct(marks.alias("s"), values.alias("v"), _runs(typed, size, mix).alias("t"), _runs(named, size, mix).alias("n")),
-                    lambda x: F.transform(x["s"], lambda s, i: F.array_distinct(F.array(
-                        F.when(few(s), F.get(x["v"], i)).otherwise(F.get(x["t"], i)),
-                        F.when(few_named(s), F.get(x["v"], i)).otherwise(F.get(x["n"], i))))))
+                    lambda x: F.struct(
+                        F.when(x["v"].isNull(), x["t"]).otherwise(F.transform(x["t"], lambda h, i: F.when(
+                            few(F.get(x["s"], i)), F.get(x["v"], i)).otherwise(h))).alias("t"),
+                        F.transform(x["n"], lambda h, i: F.when(F.get(x["s"], i) >= 16, F.when(
+                            few_named(F.get(x["s"], i)), F.get(x["v"], i)).otherwise(h))).alias("n")))
     return once(toks, lambda t: F.when(F.size(t) >= size, made(t)))
 
 
+def _both(wins: Column) -> Column:
+    """Per window an array of its two hashes."""
+    return F.transform(wins["t"], lambda h, i: F.array(h, F.get(wins["n"], i)))
+
+
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """A row per item: its tokens, window size, and the hashes of its windows."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("item"))
     rows = rows.where(F.size("item") > 0).withColumn("size", F.least(F.size("item"), F.lit(WINDOW)))
-    sized = F.lit(None).cast("array<array<bigint>>")
+    sized = F.lit(None).cast("struct<t:array<bigint>,n:array<bigint>>")
     for n in range(1, WINDOW + 1):
         sized = F.when(F.col("size") == n, windows(F.col("item"), n)).otherwise(sized)
-    return rows.select("item_id", "item", "size", sized.alias("wins")).dropDuplicates(["item_id", "item"])
+    return rows.select("item_id", "item", "size", once(sized, _both).alias("wins")).dropDuplicates(["item_id", "item"])
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(digest, item_id, n_windows, item_windows, n_slots, n_changed_slots) of the contaminated texts, by the MD5 of the text."""
     items = written(_item_windows(benchmark).withColumn("item_key", F.xxhash64("item_id", "item")), "benchmark-windows")
-    flat = items.select("item_key", "size", F.posexplode("wins").alias("ipos", "hs")).select("item_key", "size", "ipos", F.explode("hs").alias("h"))
+    flat = items.select("item_key", "size", F.posexplode("wins").alias("ipos", "hs")).select("item_key", "size", "ipos", F.explode("hs").alias("h")).where("h is not null").distinct()
     facts = {r["size"]: r["count"] for r in flat.groupBy("size").count().collect()}  # at most eight rows
     rows = docs.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("digest"), "text")
 
@@ -130,16 +138,16 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, share: float = SHA
     sizes = sorted(facts)
     # the windows are made once, outside the generator that deals them out; an outer one gets no filter that makes them again
     own = {n: settled(rows, ["digest"], hs=windows(tokens(F.col("text")), n)) for n in sizes}
-    found = [met(own[n].select("digest", F.explode_outer(F.array_distinct(F.flatten("hs"))).alias("h")), n) for n in sizes]
+    found = [met(own[n].select("digest", F.explode_outer(F.array_distinct(F.concat("hs.t", "hs.n"))).alias("h")), n) for n in sizes]
     hits = written(every(found, "digest string, item_key long, ipos int").distinct(), "benchmark-hits")
     total = items.select("item_key", F.size("wins").alias("item_windows"), F.size("item").alias("words"))
     counts = hits.groupBy("digest", "item_key").agg(F.count("*").alias("n")).join(total, "item_key")
     likely = written(counts.where(F.col("n") >= share * F.col("item_windows")).drop("n"), "benchmark-likely")
     texts = slot_filter(rows, "digest", likely.select("digest")).join(likely.select("digest").distinct(), "digest", "left_semi")
     texts = written(settled(texts.groupBy("digest").agg(F.first("text").alias("text")), ["digest"], toks=tokens(F.col("text"))), "benchmark-texts")
-    placed = [met(texts.select("digest", F.posexplode(windows(F.col("toks"), n)).alias("pos", "hs")).select(
+    placed = [met(texts.select("digest", F.posexplode(once(windows(F.col("toks"), n), _both)).alias("pos", "hs")).select(
         "digest", "pos", F.explode("hs").alias("h")), n) for n in sizes]
-    placed = every(placed, "digest string, pos int, item_key long, ipos int").join(likely, ["digest", "item_key"])
+    placed = every(placed, "digest string, pos int, item_key long, ipos int").distinct().join(likely, ["digest", "item_key"])
     half = F.ceil(F.col("words") / 2).cast("long")
     shift = F.col("pos") - F.col("ipos")
     band = F.floor(shift / half)
