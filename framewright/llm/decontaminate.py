@@ -92,14 +92,18 @@ def windows(toks: Column, size: int) -> Column:
         few = lambda s: (size - s % 16) * 8 < PLAIN * size
         few_named = lambda s: (size - s % 16 + F.floor(s / 16)) * 8 < PLAIN * size
         add, mix = (lambda a, b: a + b), (lambda a, b: F.xxhash64(a, b))
-        marks = _runs(kind, size, add)
-        values = F.when(F.exists(marks, few), _runs(whole, size, mix))
-        return once(F.struct(marks.alias("s"), values.alias("v"), _runs(typed, size, mix).alias("t"), _runs(named, size, mix).alias("n")),
-                    lambda x: F.struct(
-                        F.when(x["v"].isNull(), x["t"]).otherwise(F.transform(x["t"], lambda h, i: F.when(
-                            few(F.get(x["s"], i)), F.get(x["v"], i)).otherwise(h))).alias("t"),
-                        F.transform(x["n"], lambda h, i: F.when(F.get(x["s"], i) >= 16, F.when(
-                            few_named(F.get(x["s"], i)), F.get(x["v"], i)).otherwise(h))).alias("n")))
+        # sums of marks and hashes of values are needed only where so many marks stand within one window
+        need = size * (8 - PLAIN) // 8 + 1
+        spots = F.filter(F.transform(t, lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
+        dense = F.coalesce(once(spots, lambda p: F.exists(F.transform(
+            p, lambda x, j: F.coalesce(F.get(p, j + need - 1) - x < size, F.lit(False))), lambda d: d)), F.lit(False))
+        return once(F.struct(F.when(dense, F.struct(_runs(kind, size, add).alias("s"), _runs(whole, size, mix).alias("v"))).alias("m"),
+                             _runs(typed, size, mix).alias("t"), _runs(named, size, mix).alias("n")),
+                    lambda x: F.when(x["m"].isNull(), F.struct(x["t"].alias("t"), F.transform(
+                        x["n"], lambda h, i: F.when(h != F.get(x["t"], i), h)).alias("n"))).otherwise(F.struct(
+                            F.transform(x["t"], lambda h, i: F.when(few(F.get(x["m"]["s"], i)), F.get(x["m"]["v"], i)).otherwise(h)).alias("t"),
+                            F.transform(x["n"], lambda h, i: F.when(F.get(x["m"]["s"], i) >= 16, F.when(
+                                few_named(F.get(x["m"]["s"], i)), F.get(x["m"]["v"], i)).otherwise(h))).alias("n"))))
     return once(toks, lambda t: F.when(F.size(t) >= size, made(t)))
 
 
