@@ -74,7 +74,7 @@ class Block:
     which begin with the blank as pre-tokens do) and their frequencies; chunks are cut into pre-tokens once per block."""
 
     def __init__(self, path: str, unlike: str = ""):
-        self.odd = re.compile(f"[{re.escape(unlike)}]").search if unlike else None
+        self.plain = frozenset(unlike).isdisjoint  # thousands of characters: a pattern would try them one by one
         self.path, self.known, self.special = path, single_pieces(path), tokenizing.special_strings(path)
         self.find = _pattern().findall
         self.reset()
@@ -85,7 +85,7 @@ class Block:
 
     def add(self, doc_id, text: str) -> None:
         known, seen = 0, Counter()
-        strange = self.odd is not None and not text.isascii() and self.odd(text)
+        strange = not text.isascii() and not self.plain(text)
         if strange or any(s in text for s in self.special):
             known = len(tokenizing.library(self.path).encode(text, add_special_tokens=False).ids)
         elif text:
