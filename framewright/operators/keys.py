@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from framewright.functions.numbers import half_up
-from framewright.functions.text import bare, is_number, is_text, key_text
+from framewright.functions.text import bare, is_number, is_text
 from framewright.operators.joins import key_counts
-from framewright.operators.overlap import containments, family
+from framewright.operators.overlap import Place, cell_texts, containments, family, long_cells
 from framewright.operators.profile import Profile
+from framewright.session import work_folder
 
 # The columns that name entities.
 ENTITY_NAME = "(?i)name|customer|client|company|title|product"
@@ -50,22 +53,48 @@ def name_similarity(a: Column, b: Column, table_a: Column, table_b: Column) -> C
     )
 
 
-def distinct_cells(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """(table, column, family, value, n): distinct key text of the named columns of every table, counted map-side."""
+#: Columns per mask of a value: the bits of a long without its sign.
+MASK_BITS = 62
+
+
+def held_values(tables: dict[str, DataFrame], columns: list[Place]) -> DataFrame:
+    """(places, values): how many distinct values are held by exactly these columns, by the columns' numbers.
+
+    A value carries one bit per column, so equal values meet in one hash aggregate that also works before the shuffle."""
+    spots = {p.number: i for i, p in enumerate(columns)}
+    words = range(-(-len(columns) // MASK_BITS))
     parts = None
     for name, df in tables.items():
-        if not columns.get(name):
-            continue
-        cells = [F.struct(F.lit(family(df.schema[c].dataType)).alias("family"),
-                          key_text(F.col(f"`{c}`"), df.schema[c].dataType).alias("value")).alias(c) for c in columns[name]]
-        long = df.select(*cells).unpivot([], columns[name], "column", "cell")
-        part = long.select(F.lit(name).alias("table"), "column", "cell.*").where(F.col("value").isNotNull())
-        part = part.groupBy("table", "column", "family", "value").agg(F.count("*").alias("n"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        for kind in ("value", "other"):
+            mine = [p for p in columns if p.table == name and family(df.schema[p.column].dataType) == kind]
+            if not mine:
+                continue
+            cells = long_cells(cell_texts(df, [replace(p, number=spots[p.number]) for p in mine]), "value").where("value <> ''")
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(MASK_BITS)))
+            masks = [F.when(F.floor(F.col("place") / MASK_BITS) == w, bit).otherwise(F.lit(0).cast("long")).alias(f"m{w}") for w in words]
+            part = cells.select(F.lit(kind).alias("family"), "value", *masks)
+            parts = part if parts is None else parts.unionByName(part)
+    masks = [f"m{w}" for w in words]
+    by_value = parts.groupBy("family", "value").agg(*[F.bit_or(m).alias(m) for m in masks])
+    counts = by_value.groupBy(*masks).agg(F.count("*").alias("values"))
+    set_in = lambda i: F.getbit(f"m{i // MASK_BITS}", F.lit(i % MASK_BITS)) == 1
+    places = F.array_compact(F.array(*[F.when(set_in(i), F.lit(p.number)) for i, p in enumerate(columns)]))
+    return counts.select(places.alias("places"), "values")
+
+
+def filled_cells(tables: dict[str, DataFrame], columns: list[Place]) -> dict[int, int]:
+    """How many cells of each column are filled, by its number."""
+    out: dict[int, int] = {}
+    for name, df in tables.items():
+        mine = [p for p in columns if p.table == name]
+        if mine:
+            texts = cell_texts(df, mine)
+            row = texts.agg(*[F.count_if(F.col(c) != "").alias(c) for c in texts.columns]).first()
+            out |= {p.number: row[str(p.number)] for p in mine}
+    return out
 
 
-def promising_columns(tables: dict[str, DataFrame], minimum: float) -> dict[str, list[str]]:
+def promising_places(tables: dict[str, DataFrame], minimum: float) -> list[Place]:
     """The columns of pairs that can reach ``minimum`` by what their samples, names and a unique side allow at most."""
     spark = next(iter(tables.values())).sparkSession
     found, share = containments(tables)
@@ -77,9 +106,14 @@ def promising_columns(tables: dict[str, DataFrame], minimum: float) -> dict[str,
                          name_similarity(F.col("cb"), F.col("ca"), F.col("tb"), F.col("ta")))
     able = (F.col("most") >= 30) & (half_up(F.col("most") * 0.6 + similar * 0.25 + 15) >= minimum)
     numbers = {n for r in pairs.where(able).select("a", "b").collect() for n in r}
+    return [found[n] for n in sorted(numbers)]
+
+
+def promising_columns(tables: dict[str, DataFrame], minimum: float) -> dict[str, list[str]]:
+    """The names of these columns by table."""
     out: dict[str, list[str]] = {}
-    for n in sorted(numbers):
-        out.setdefault(found[n].table, []).append(found[n].column)
+    for p in promising_places(tables, minimum):
+        out.setdefault(p.table, []).append(p.column)
     return out
 
 
@@ -91,33 +125,32 @@ def discover_relationships(tables: dict[str, DataFrame], minimum: float = 55.0)
     """Foreign key candidates between all ordered table pairs over all flat columns, the stronger of two inverted ones kept.
 
     Samples of the distinct values first drop the columns that no pair can be made of (see ``overlap``); only the cells of
-    the others are shuffled. There each distinct value carries the list of columns it occurs in, which is at most the number of columns of
-    the workspace; column pairs are counted from those lists. No pair of values is ever formed.
+    the others are shuffled. There each distinct value carries a bit per column it occurs in; equal sets of columns are counted, and column
+    pairs are made from those counts. No pair of values is ever formed.
     """
-    columns = promising_columns(tables, minimum)
+    spark = next(iter(tables.values())).sparkSession
+    columns = promising_places(tables, minimum)
     if not columns:
-        return next(iter(tables.values())).sparkSession.createDataFrame([], FOUND)
-    cells = distinct_cells(tables, columns)
-    sizes = cells.groupBy("table", "column", "family").agg(F.count("*").alias("distinct"), F.sum("n").alias("filled"))
-    place = F.concat_ws("\u0001", "table", "column")
-    held = cells.groupBy("family", "value").agg(F.collect_list(place).alias("places"))
-    held = held.where(F.size("places") > 1).groupBy("family", F.array_sort("places").alias("places")).agg(
-        F.count("*").alias("values")
-    )
-    left = held.select("places", "values", F.explode("places").alias("a"))
-    both = left.select("a", F.explode("places").alias("b"), "values")
-    parts_a, parts_b = F.split("a", "\u0001"), F.split("b", "\u0001")
-    pairs = both.where(parts_a[0] != parts_b[0]).groupBy("a", "b").agg(F.sum("values").alias("matches"))
-    pairs = pairs.select(
-        parts_a[0].alias("source_table"), parts_a[1].alias("source_column"), parts_b[0].alias("target_table"),
-        parts_b[1].alias("target_column"), "matches",
-    )
+        return spark.createDataFrame([], FOUND)
+    held = held_values(tables, columns)
+    path = work_folder(spark, "held-values")  # a row per set of columns that occurs
+    held.write.parquet(path)
+    held = spark.read.schema(held.schema).parquet(path)
+    filled = filled_cells(tables, columns)
+    known = spark.createDataFrame([(p.number, p.table, p.column, filled[p.number]) for p in columns],
+                                  "place int, table string, column string, filled long")
+    sizes = held.select(F.explode("places").alias("place"), "values").groupBy("place").agg(F.sum("values").alias("distinct"))
+    sizes = sizes.join(known, "place")
+    left = held.where(F.size("places") > 1).select("places", "values", F.explode("places").alias("source"))
+    both = left.select("source", F.explode("places").alias("target"), "values").where("source <> target")
+    pairs = both.groupBy("source", "target").agg(F.sum("values").alias("matches"))
     for side in ("source", "target"):
         named = sizes.select(
-            F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"),
+            F.col("place").alias(side), F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"),
             F.col("distinct").alias(f"{side}_distinct"), (F.col("distinct") == F.col("filled")).alias(f"{side}_unique"),
         )
-        pairs = pairs.join(named, [f"{side}_table", f"{side}_column"])
+        pairs = pairs.join(named, side)
+    pairs = pairs.where("source_table <> target_table")
     s_pct = 100.0 * F.col("matches") / F.col("source_distinct")
     t_pct = 100.0 * F.col("matches") / F.col("target_distinct")
     similar = name_similarity(F.col("source_column"), F.col("target_column"), F.col("source_table"), F.col("target_table"))

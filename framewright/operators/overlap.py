@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framewright.functions.text import is_number, is_text, key_text
+from framewright.functions.text import INTEGRAL, is_number, is_text, is_time, key_text
 from framewright.operators.profile import profiled_columns
 from framewright.session import work_folder
 
@@ -39,11 +39,32 @@ def family(dtype) -> str:
     return "value" if is_number(dtype) or is_text(dtype) else "other"
 
 
-def cell_hash(df: DataFrame, column: str) -> Column:
-    """Hash of a cell's key text within its family; null where the cell is blank."""
-    dtype = df.schema[column].dataType
-    text = key_text(F.col(f"`{column}`"), dtype)
-    return F.when(text.isNotNull(), F.xxhash64(F.lit(family(dtype)), text))
+def cell_texts(df: DataFrame, mine: list[Place]) -> DataFrame:
+    """The key texts of the named columns, each column called by its number. Blank text is still empty here: what follows names a cell
+    more than once, and only a column of its own is evaluated once."""
+    def text(column: str) -> Column:
+        c, dtype = F.col(f"`{column}`"), df.schema[column].dataType
+        if is_text(dtype):
+            return F.lower(F.trim(c.cast("string")))
+        return c.cast("string") if is_time(dtype) or isinstance(dtype, INTEGRAL) else key_text(c, dtype)  # never blank, nothing to fold
+
+    return df.select(*[text(p.column).alias(str(p.number)) for p in mine])
+
+
+def cell_hashes(df: DataFrame, mine: list[Place], sampled: bool) -> DataFrame:
+    """The hash of each cell's key text within its family, all or those that the level of their column keeps; null where there is none."""
+    kinds = {p.number: family(df.schema[p.column].dataType) for p in mine}
+    rows = cell_texts(df, mine)
+    rows = rows.select(*[F.when(F.col(str(n)) != "", F.xxhash64(F.lit(kind), F.col(str(n)))).alias(str(n)) for n, kind in kinds.items()])
+    if sampled:
+        masks = {str(p.number): F.lit((1 << p.level) - 1).cast("long") for p in mine}
+        rows = rows.select(*[F.when(F.col(n).bitwiseAND(mask) == 0, F.col(n)).alias(n) for n, mask in masks.items()])
+    return rows
+
+
+def long_cells(wide: DataFrame, name: str) -> DataFrame:
+    """(place, ``name``) of the filled cells of columns that are called by their numbers."""
+    return wide.unpivot([], wide.columns, "place", name).where(F.col(name).isNotNull()).withColumn("place", F.col("place").cast("int"))
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -59,7 +80,8 @@ def places(tables: dict[str, DataFrame]) -> list[Place]:
         columns = profiled_columns(df)
         if not columns:
             continue
-        sizes = df.agg(*[F.approx_count_distinct(cell_hash(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        folded = lambda c: F.lower(F.trim(F.col(f"`{c}`"))) if is_text(df.schema[c].dataType) else F.col(f"`{c}`")  # noqa: B023, E731
+        sizes = df.agg(*[F.approx_count_distinct(folded(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
         for i, c in enumerate(columns):
             out.append(Place(len(out), name, c, max(0, math.ceil(math.log2(max(1, sizes[f"n{i}"]) / SAMPLE)))))
     return out
@@ -70,12 +92,8 @@ def _cells(tables: dict[str, DataFrame], found: list[Place], sampled: bool) -> D
     parts = []
     for name, df in tables.items():
         mine = [p for p in found if p.table == name]
-        if not mine:
-            continue
-        cells = F.array(*[F.struct(F.lit(p.number).alias("place"), cell_hash(df, p.column).alias("h"),
-                                   F.lit((1 << p.level) - 1).cast("long").alias("mask")) for p in mine])
-        keep = (lambda x: x["h"].isNotNull() & (x["h"].bitwiseAND(x["mask"]) == 0)) if sampled else (lambda x: x["h"].isNotNull())
-        parts.append(df.select(F.inline(F.filter(cells, keep))).select("place", "h"))
+        if mine:
+            parts.append(long_cells(cell_hashes(df, mine, sampled), "h"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -48,3 +48,32 @@ def test_nothing_in_common(spark):
     b = spark.createDataFrame([], "q int")
     assert keys.discover_relationships({"a": a, "b": b}).count() == 0
     assert keys.discover_relationships({"a": a, "b": a.select(F.array("k").alias("k"))}).count() == 0
+
+
+def test_a_cell_is_folded_once_per_pass(spark):
+    """The text of a cell is not made anew for each time that a condition names it, nor per element of an array."""
+    tables = workspace(spark)
+    found = overlap.places(tables)
+    texts = sum(dict(tables[p.table].dtypes)[p.column] == "string" for p in found)
+    for sampled in (True, False):
+        plan = overlap._cells(tables, found, sampled)._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("lower(trim(") <= texts and "lambda" not in plan
+
+
+def test_values_of_many_columns_meet_in_one_aggregate(spark):
+    """100 columns, more than a mask has bits, against plain sets; lists of columns are not collected per value."""
+    wide = spark.range(50).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(70)])
+    other = spark.range(40).select(*[(F.col("id") * (i + 1)).cast("string").alias(f"d{i}") for i in range(30)])
+    tables = {"wide": wide, "other": other}
+    found = overlap.places(tables)
+    held = keys.held_values(tables, found)
+    assert "collect_list" not in held._jdf.queryExecution().optimizedPlan().toString()
+    want, got = {}, {}
+    for p in found:
+        for (v,) in tables[p.table].select(p.column).distinct().collect():
+            want.setdefault(str(v), []).append(p.number)
+    for r in held.collect():
+        got[tuple(r.places)] = r["values"]
+    lists = [tuple(sorted(v)) for v in want.values()]
+    assert got == {k: lists.count(k) for k in lists}
+    assert keys.filled_cells(tables, found) == {p.number: tables[p.table].count() for p in found}
