@@ -10,19 +10,29 @@ from framewright.sources import files as fl, html_tables as ht, snapshots as sn
 CUSTOMER = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 
 
-def in_small_splits(t: Tables, read, split: str = "64k"):
-    """The rows that ``read`` gives while files are cut into small splits, written so that later settings do not matter."""
-    names = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1k"}
+#: Splits that files are cut into at least, once they are large enough for the smallest splits to be more than these.
+MANY_SPLITS = 1000
+
+
+def split_bytes(t: Tables, path: str, smallest: int) -> int:
+    """The smallest size, or that of one in ``MANY_SPLITS`` of larger files, so that the tasks' own cost does not grow with the input."""
+    total = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0] or 0
+    return max(smallest, total // MANY_SPLITS)
+
+
+def in_small_splits(t: Tables, path: str, read, smallest: int = 64 << 10):
+    """The rows that ``read`` gives while the files of a path are cut into many splits, written so that later settings do not matter."""
+    names = {"spark.sql.files.maxPartitionBytes": str(split_bytes(t, path, smallest)), "spark.sql.files.openCostInBytes": "1k"}
     before = {n: t.spark.conf.get(n) for n in names}
     try:
         for n, v in names.items():
             t.spark.conf.set(n, v)
-        path = work_folder(t.spark, "split-rows")
-        read().write.parquet(path)
+        out = work_folder(t.spark, "split-rows")
+        read().write.parquet(out)
     finally:
         for n, v in before.items():
             t.spark.conf.set(n, v)
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(out)
 
 
 def customers(t: Tables):
@@ -59,7 +69,7 @@ def _(t: Tables):
     t.documents.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).csv(path)
     types = "doc_id long, text string, lang string, source string, n_chars long"
-    return in_small_splits(t, lambda: fl.read_delimited(t.spark, path, schema=types))
+    return in_small_splits(t, path, lambda: fl.read_delimited(t.spark, path, schema=types))
 
 
 @query("txt_separator_found", """select conv_id, turn::bigint as turn, role, nullif(trim(text), '') as text from conversations
@@ -69,7 +79,7 @@ def _(t: Tables):
     path = work_folder(t.spark, "tabbed")
     rows = t.conversations.select("conv_id", "turn", "role", F.trim("text").alias("text"))
     rows.write.option("header", True).option("sep", "\t").option("escape", '"').csv(path)
-    back = in_small_splits(t, lambda: fl.read_delimited(t.spark, path))
+    back = in_small_splits(t, path, lambda: fl.read_delimited(t.spark, path))
     return back.withColumns({"conv_id": F.col("conv_id").cast(t.conversations.schema["conv_id"].dataType), "turn": F.col("turn").cast("long")})
 
 
@@ -81,7 +91,7 @@ def _(t: Tables):
     """Arrays of records whose texts are full of braces and quotes, over many splits."""
     path = work_folder(t.spark, "arrays")
     fl.write_json_arrays(t.pages, path)
-    back = in_small_splits(t, lambda: fl.read_json(t.spark, path, schema="page_id long, url string, html string"))
+    back = in_small_splits(t, path, lambda: fl.read_json(t.spark, path, schema="page_id long, url string, html string"))
     return back.select("page_id", "url", F.md5("html").alias("digest"), F.length("html").cast("long").alias("n"))
 
 
@@ -91,7 +101,7 @@ def _(t: Tables):
     path = work_folder(t.spark, "wrapped")
     rows = t.events.select("event_id", "event_type", F.from_json("props", "k long").alias("props"))
     fl.write_json_arrays(rows, path, head='{"meta": [{"event_id": -1}, "]}"],\n "data": [', tail="], \"more\": [{}]}")
-    back = in_small_splits(t, lambda: fl.read_json(t.spark, path))
+    back = in_small_splits(t, path, lambda: fl.read_json(t.spark, path))
     return back.select("event_id", "event_type", F.col("props.k").cast("long").alias("k"))
 
 

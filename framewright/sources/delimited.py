@@ -188,8 +188,9 @@ def read_records(spark: SparkSession, path: str, sep: str | None = None, schema:
     sep = sep or find_separator(lines)
     found = records(lines, sep).withColumn("text", F.regexp_replace("text", r"\r$", ""))
     top = (F.col("block") == 0) & (F.col("ordinal") == 0)
-    header = found.where(top).orderBy("file").select("text").first()
-    names = _names(header["text"], sep) if header else []
+    if schema is None:  # a given schema names the columns, so no pass is made for the header
+        header = found.where(top).orderBy("file").select("text").first()
+        names = _names(header["text"], sep) if header else []
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxColumns": "100000"}
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -85,3 +85,28 @@ def test_small_json(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "none.json"), schema="a int").count() == 0
     (tmp_path / "odata.json").write_text('{"@odata.count": 2, "value": [{"x": 1}, {"x": 2}]}')
     assert sorted(r.x for r in files.read_odata(spark, str(tmp_path / "odata.json")).collect()) == [1, 2]
+
+
+def test_splits_grow_with_the_files(spark, tmp_path):
+    """4 MB in splits of at least a kilobyte: some thousand splits, not four thousand, and the same rows."""
+    from pyspark.sql import functions as F
+
+    from framewright.queries import files as queries, registry
+
+    path, seen = str(tmp_path / "lines"), []
+    spark.range(500_000).select(F.format_string("%07d", "id").alias("value")).coalesce(1).write.text(path)
+
+    def read():
+        rows = spark.read.text(path)
+        seen.append(rows.rdd.getNumPartitions())
+        return rows
+
+    back = queries.in_small_splits(registry.Tables(spark, ""), path, read, 1 << 10)
+    assert 1000 <= seen[0] <= 1100 and back.agg(F.countDistinct("value")).first()[0] == 500_000
+
+
+def test_a_given_schema_needs_no_pass_for_the_header(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text('id,"t\nu"\n1,"x\ny"\n2,z\n')
+    monkeypatch.setattr(delimited, "_names", lambda *_: pytest.fail("the header was read"))
+    got = files.read_delimited(spark, str(tmp_path / "a.csv"), ",", "id long, t string").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "x\ny"), (2, "z")]
