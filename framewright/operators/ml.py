@@ -116,6 +116,16 @@ def regression_metrics(predictions: DataFrame, features: int) -> DataFrame:
     )
 
 
+#: Training rows of a partition at most: files are read by their compressed bytes, and a few of these are very many vectors.
+ROWS_PER_TASK = 100_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over partitions of at most ``ROWS_PER_TASK`` rows; fewer rows stay as they are read."""
+    parts = -(-rows.count() // ROWS_PER_TASK)
+    return rows.repartition(parts) if parts > 1 else rows
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once and read again, so that the passes of a fit do not repeat what made it."""
     path = work_folder(df.sparkSession, name)
@@ -135,7 +145,7 @@ def train_regression(df: DataFrame, target: str, features: list[str], key: str,
     """Fit on the training part, judge on the rest. Rows without a numeric target are left out."""
     parts = prepared(df, finite(F.col(f"`{target}`")), features, key, "_y", test_pct, seed) if parts is None else parts
     train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test")).drop(FOLD)
-    model = Pipeline(stages=[*feature_stages(parts, features), regressor(kind, seed)]).fit(train)
+    model = Pipeline(stages=[*feature_stages(parts, features), regressor(kind, seed)]).fit(spread(train))
     predictions = model.transform(test).select(F.col(KEY).alias(key), "_y", "prediction")
     return Trained(model, predictions, regression_metrics(predictions, len(features)), features, layout(parts, features))
 
@@ -188,7 +198,7 @@ def train_classification(df: DataFrame, target: str, features: list[str], key: s
     train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test")).drop(FOLD)
     names = class_numbers(train)
     many = names.count()
-    model = Pipeline(stages=[*feature_stages(parts, features, many), classifier(kind, seed, many)]).fit(train.join(names, "_label"))
+    model = Pipeline(stages=[*feature_stages(parts, features, many), classifier(kind, seed, many)]).fit(spread(train).join(names, "_label"))
     scored = model.transform(test)
     cols = [F.col(KEY).alias(key), F.col("_label").alias("actual"), "prediction"]
     if "probability" in scored.columns:
@@ -238,12 +248,12 @@ def kfold(df: DataFrame, target: str, features: list[str], key: str, kind: str =
     for i in range(folds):
         train, test = rows.where(F.col("_part") != i), rows.where(F.col("_part") == i).drop(FOLD)
         if regression:
-            model = Pipeline(stages=[*feature_stages(rows, features), regressor(kind, seed)]).fit(train)
+            model = Pipeline(stages=[*feature_stages(rows, features), regressor(kind, seed)]).fit(spread(train))
             score = regression_metrics(model.transform(test), len(features)).select(F.col("r2").alias("score"))
         else:
             names = class_numbers(train)
             many = names.count()
-            model = Pipeline(stages=[*feature_stages(rows, features, many), classifier(kind, seed, many)]).fit(train.join(names, "_label"))
+            model = Pipeline(stages=[*feature_stages(rows, features, many), classifier(kind, seed, many)]).fit(spread(train).join(names, "_label"))
             done = model.transform(test).join(names, "_label")
             score = done.agg(half_up(F.avg((F.col("prediction") == F.col("_y")).cast("double")), 4).alias("score"))
         part = score.select(F.lit(i).cast("long").alias("fold"), "score")
@@ -255,7 +265,7 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> di
     """K-means on standardised features: assignments, sizes, centres in original units, inertia and silhouette."""
     if k < 2:
         raise ValueError("k-means wants at least two clusters")
-    rows = _stored(typed(df, features), "cluster-rows")
+    rows = spread(_stored(typed(df, features), "cluster-rows"))
     model = Pipeline(stages=[*feature_stages(rows, features, 0), KMeans(k=k, maxIter=12, seed=seed, featuresCol="_x",
                                                                     predictionCol="cluster")]).fit(rows)
     assigned = model.transform(rows)

@@ -70,3 +70,36 @@ def test_many_classes_are_joined(spark):
     trained = ml.train_classification(rows, "c", ["x"], "id", "decision_tree")
     assert trained.predictions.count() > 0 and trained.metrics.first()["accuracy"] > 0.8
     assert ml.nearest_centroid(rows, "c", ["x"], "id").where("actual <> predicted").count() == 0
+
+
+def test_training_rows_are_dealt_by_number(spark, monkeypatch):
+    """1,000 rows in one small file: the model is fitted on partitions of at most some 100 rows, none left out."""
+    from pyspark.sql import functions as F
+
+    from framewright.operators import ml
+
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    class Line:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, train):
+            seen.extend(r["n"] for r in train.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+            raise Fitted
+
+    monkeypatch.setattr(ml, "ROWS_PER_TASK", 100, raising=False)
+    monkeypatch.setattr(ml, "Pipeline", Line)
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("x"), (F.col("id") * 2.0).alias("y")).coalesce(1)
+    for run in (lambda: ml.train_regression(rows, "y", ["x"], "id", "gradient_boosting", test_pct=0),
+                lambda: ml.train_classification(rows, "x", ["y"], "id", "decision_tree", test_pct=0),
+                lambda: ml.kmeans(rows, ["x", "y"])):
+        seen.clear()
+        try:
+            run()
+        except Fitted:
+            pass
+        assert sum(seen) == 1000 and max(seen) <= 150
