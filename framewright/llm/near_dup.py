@@ -322,16 +322,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, null ids last, then the first row.
 
-    Groups are made of texts, not of ids, so one id with two texts is decided for each text, repeated rows and copies without an
+    Groups are made of rows, not of ids, so one id with two texts is decided for each text, repeated rows and copies without an
     id leave one row, and texts without words all stay. ``docs`` is read more than once and must come in the same order each time, as a
-    table that is read does. A text stands by its 64-bit hash until its set is known.
+    table that is read does. Rows stand by their number: by a hash of the text every copy of one would meet every copy of the other.
     """
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = near_duplicates(docs.select(text.alias("doc_id"), "text"), size, similarity)
-    group = written(found.where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component")), "groups")
-    rows = numbered.select("__row", text.alias("hash"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    rows = written(rows.join(group.withColumnRenamed("doc_id", "hash"), "hash"), "grouped-rows")
+    found = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), size, similarity)
+    group = written(found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")), "groups")
+    rows = numbered.select("__row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    rows = written(rows.join(group, "__row"), "grouped-rows")
     first = rows.groupBy("component").agg(F.min(F.struct("none", "id", "__row"))["__row"].alias("first"))
     gone = written(rows.join(first, "component").where("__row <> first").select("__row"), "duplicates")
     return numbered.join(gone, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
