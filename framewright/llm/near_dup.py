@@ -12,7 +12,8 @@ then every pair whose ends are not yet connected. Confirmed pairs are the links;
 The forest is only a fast start. What it leaves apart is settled exactly: two sets of the wanted similarity share at least
 ``SHARED`` (or all) of their rarest shingles, whatever the order of rarity, as long as the order is one for all. The rarest shingles
 of all classes are joined and only pairs of different components are made: the classes of small components by one join of these
-shingles with themselves, the members of components of ``LARGE`` classes and more against these, and, salted, against each other.
+shingles with themselves. A component of ``LARGE`` classes and more meets them as one row a shingle; the classes, and members of other
+large components, that share enough with it are compared with its members in blocks, on full sets, and no pair is a row.
 The likeliest pair of every class is confirmed first, so that a region falls together before its other pairs are looked at. The
 order of rarity comes from a sample and affects the speed alone.
 
@@ -35,8 +36,8 @@ from framewright.llm.shared import slot_filter, written
 
 HASHES, TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 128, 16, 8, 3, 3
 #: Rare shingles two similar sets share at least; documents, and shingles of each, that the order of rarity is taken from; classes
-#: of a large component; rows of one shingle per salt; rounds of likeliest pairs before all others.
-SHARED, SAMPLE, SAMPLE_SHINGLES, LARGE, SALT_ROWS, ROUNDS = 3, 20_000, 1024, 100, 500, 2
+#: of a large component; sets of a block, and shingles after which one ends; rounds of likeliest pairs before all others.
+SHARED, SAMPLE, SAMPLE_SHINGLES, LARGE, BLOCK_ROWS, BLOCK_ITEMS, ROUNDS = 3, 20_000, 1024, 100, 256, 1 << 16, 2
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.Generator(np.random.PCG64(20260131))
 MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,7 +184,7 @@ def _region_pairs(least_score: int):
 def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a < b) of class representatives that the forest finds, with their sketch agreement."""
     expected = (1 + similarity) / 2
-    least = int(HASHES * (expected - 5 * (expected * (1 - expected) / HASHES) ** 0.5))
+    least = int(HASHES * (expected - 2 * (expected * (1 - expected) / HASHES) ** 0.5))
     forest = reps.select("rep", "bits", F.posexplode(F.array(*[
         F.substring("prefixes", 2 * DEPTH * t + 1, 2 * DEPTH) for t in range(TREES)])).alias("tree", "prefix"))
     order = ["tree", "prefix", "rep"]
@@ -242,25 +243,14 @@ def _posts(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int
 
 
 def missed(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a < b) of classes of different components that can have the similarity, with the agreement of their hashes."""
-    posts = _posts(sketched, reps, linked, percent)
-    small, large = posts.where("not large").drop("large"), posts.where("large").drop("large")
-    other = lambda rows: rows.withColumnsRenamed({"rep": "r", "comp": "c", "code": "k"})
-    met = [small.join(other(small), "item").where("rep < r and not coalesce(comp = c, false)"), small.join(other(large), "item")]
-    # between large components: those of a shingle's smaller ones against all, so that the members of the largest are not paired
-    mixed = large.groupBy("item").agg(F.count("*").alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    many = written(large.join(mixed.where("lo < hi").select("item", "times"), "item"), "rare-shingles")
-    major = many.groupBy("item", "comp").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"))
-    many = many.join(major, "item").withColumn("salts", F.ceil(F.col("times") / SALT_ROWS))
-    minor = many.where("comp <> major").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts"))
-    every = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    every = other(every.select("item", "salt", "rep", "comp", "code"))
-    met.append(minor.join(every, ["item", "salt"]).where("comp <> c and (c = major or rep < r)"))
+    """Every pair (a < b) of classes of different small components that can have the similarity, with the agreement of their hashes."""
+    small = _posts(sketched, reps, linked, percent).where("not large").drop("large")
+    met = small.join(small.withColumnsRenamed({"rep": "r", "comp": "c", "code": "k"}), "item").where("rep < r and not coalesce(comp = c, false)")
     n, k = F.expr("code div 2"), F.expr("k div 2")
     near = (100 * F.least(n, k) >= percent * F.greatest(n, k)) & (F.when(n <= k, F.col("code")).otherwise(F.col("k")) % 2 == 1)
     need = F.least(F.lit(SHARED), F.ceil(percent * (n + k) / (100 + percent)))
-    pairs = [m.where(near).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"), need.cast("byte").alias("need")) for m in met]
-    pairs = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).groupBy("a", "b").agg(F.count("*").alias("m"), F.min("need").alias("need"))
+    pairs = met.where(near).select(F.col("rep").alias("a"), F.col("r").alias("b"), need.cast("byte").alias("need"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.min("need").alias("need"))
     pairs = written(pairs.where("m >= need").select("a", "b"), "rare-pairs")
 
     def run(batches):
@@ -274,6 +264,80 @@ def missed(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int
     return written(both.mapInArrow(run, "a long, b long, score int"), "rare-scored")
 
 
+def _blocks(rows: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The sets of ``rows`` (rep, comp), with a few hundred of one component to a row: comp, reps, lens, items."""
+    texts = slot_filter(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), "rep", rows.select("rep"))
+    salts = rows.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("salts"))
+    dealt = rows.join(salts, "comp").withColumn("salt", F.pmod(F.xxhash64("rep"), "salts")).join(texts, "rep")
+    dealt = dealt.select("comp", "salt", "rep", "text").repartition("comp", "salt").sortWithinPartitions("comp", "salt")
+
+    def packed(comp, reps, sets):
+        lens = np.array([len(x) for x in sets], np.int32)
+        row = [comp], [np.array(reps, np.int64).tobytes()], [lens.tobytes()], [np.concatenate(sets).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), *[pa.binary()] * 3))], ["comp", "reps", "lens", "items"])
+
+    def run(batches):
+        at, reps, sets, held = None, [], [], 0
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("comp", "salt", "rep"))
+            for comp, salt, rep, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist()):
+                if reps and (at != (comp, salt) or held >= BLOCK_ITEMS):
+                    yield packed(at[0], reps, sets)
+                    reps, sets, held = [], [], 0
+                at = (comp, salt)
+                reps.append(rep)
+                sets.append(shingles(text, size))
+                held += len(sets[-1])
+        if reps:
+            yield packed(at[0], reps, sets)
+
+    return dealt.mapInArrow(run, "comp long, reps binary, lens binary, items binary")
+
+
+def _block_links(percent: int):
+    """For each set of one block the first of the other block that has the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for reps, lens, items, r, k, other in zip(*[batch.column(c).to_pylist() for c in ("reps", "lens", "items", "r", "k", "other")]):
+                reps, r = np.frombuffer(reps, np.int64), np.frombuffer(r, np.int64)
+                lens, k = np.frombuffer(lens, np.int32).astype(np.int64), np.frombuffer(k, np.int32).astype(np.int64)
+                items, other = np.frombuffer(items, np.uint64), np.frombuffer(other, np.uint64)
+                order = np.argsort(other, kind="stable")
+                held, owner = other[order], np.repeat(np.arange(len(k)), k)[order]
+                for one, mine in zip(reps.tolist(), np.split(items, np.cumsum(lens)[:-1])):
+                    lo, hi = np.searchsorted(held, mine, "left"), np.searchsorted(held, mine, "right")
+                    times = hi - lo
+                    at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    common = np.bincount(owner[at], minlength=len(k))
+                    good = np.flatnonzero((common > 0) & (100 * common >= percent * (len(mine) + k - common)))
+                    if len(good):
+                        found.append((min(one, int(r[good[0]])), max(one, int(r[good[0]]))))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def large_links(sketched: DataFrame, reps: DataFrame, linked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join classes, and large components, to large components: at least one of each that has any.
+
+    A class is looked at if it shares enough rare shingles with the members of a component taken together; such classes and the
+    members meet in blocks, so the rows that are moved are the blocks' pairs, not the classes' pairs.
+    """
+    posts = _posts(sketched, reps, linked, percent)
+    n, short = F.expr("code div 2"), F.col("code") % 2
+    held = posts.where("large").groupBy("item", F.col("comp").alias("c")).agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.max(short).alias("some"))
+    met = posts.join(held, "item").where("not coalesce(comp = c, false) and (not large or comp < c)")
+    met = met.where((100 * F.col("hi") >= percent * n) & (100 * n >= percent * F.col("lo")) & (short + F.col("some") > 0))
+    need = F.least(F.lit(SHARED), F.ceil(percent * (n + F.greatest("lo", F.ceil(percent * n / 100))) / (100 + percent)))
+    near = met.groupBy("rep", F.col("c").alias("comp")).agg(F.count("*").alias("m"), F.min(need).alias("need"))
+    near = written(near.where("m >= need").select("rep", "comp"), "near-large")
+    members = linked.select(F.col("node").alias("rep"), F.col("component").alias("comp")).join(near.select("comp").distinct(), "comp", "left_semi")
+    blocks = _blocks(near, docs, size).join(_blocks(members, docs, size).toDF("comp", "r", "k", "other"), "comp")
+    return written(blocks.mapInArrow(_block_links(percent), "a long, b long"), "links")
+
+
 def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     ca, cb = linked.toDF("a", "ca"), linked.toDF("b", "cb")
@@ -298,6 +362,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     linked = components(sure)
     apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), linked)
     linked = _joined(linked, written(confirmed(written(apart, "apart"), docs, size, similarity), "links"))
+    if linked.groupBy("component").count().where(F.col("count") >= LARGE).take(1):
+        linked = written(_joined(linked, large_links(full, reps, linked, docs, size, percent)), "linked")
     # the forest's pairs that were looked at and are no links need no second look
     rest = written(_apart(missed(full, reps, linked, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), linked), "apart")
     for turn in range(ROUNDS + 1):
