@@ -14,8 +14,12 @@ The forest is only a fast start. What it leaves apart is settled exactly: two se
 of all classes are joined and only pairs of different components are made: the classes of small components by one join of these
 shingles with themselves. A component of ``LARGE`` classes and more meets them as one row a shingle; the classes, and members of other
 large components, that share enough with it are compared with its members in blocks, on full sets, and no pair is a row.
-The likeliest pair of every class is confirmed first, so that a region falls together before its other pairs are looked at. The
-order of rarity comes from a sample and affects the speed alone.
+The likeliest pair of every class is confirmed first, so that a region falls together before its other pairs are looked at.
+
+The order of rarity follows the counts of all shingles in all texts: every batch of texts asks the buckets of the shingles for the
+counts of its own, and reads the answers, four bits each, from the shared folder. A shingle that occurs once comes first and is never
+joined. With an order from a sample of fixed size nearly all shingles of a larger table stand level, and the rarest of two texts of
+a region are then those that all its texts share. The order affects the speed alone.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle is one shingle;
 a null id is linked with nothing, its component is null and it is kept; repeated rows of one id are one document and share its
@@ -32,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.llm.graph import components
-from framewright.llm.shared import slot_filter, written
+from framewright.llm.shared import group_rows, slot_filter, written
+from framewright.session import work_folder
 
 HASHES, TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 128, 16, 8, 3, 3
-#: Rare shingles two similar sets share at least; documents, and shingles of each, that the order of rarity is taken from; classes
-#: of a large component; sets of a block, and shingles after which one ends; rounds of likeliest pairs before all others.
-SHARED, SAMPLE, SAMPLE_SHINGLES, LARGE, BLOCK_ROWS, BLOCK_ITEMS, ROUNDS = 3, 20_000, 1024, 100, 256, 1 << 16, 2
+#: Rare shingles two similar sets share at least; classes of a large component; sets of a block, and shingles after which one
+#: ends; rounds of likeliest pairs before all others.
+SHARED, LARGE, BLOCK_ROWS, BLOCK_ITEMS, ROUNDS = 3, 100, 256, 1 << 16, 2
+#: Bytes of a shingle where shingles are counted; shingles after which a batch of texts asks; least bits of a bucket's number.
+SHORT, ASKED, BUCKET_BITS = 5, 1 << 20, 8
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _RNG = np.random.Generator(np.random.PCG64(20260131))
 MULTIPLY = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,61 +77,153 @@ def signature(items: np.ndarray) -> np.ndarray:
     return low
 
 
-def rarity(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts holds three times or more, sorted, with their counts; its size is bounded by the sample."""
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-
-    def run(batches):
-        for batch in batches:
-            held = [shingles(t, size)[:SAMPLE_SHINGLES] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["item"])
-
-    seen = sample.mapInArrow(run, "item long").groupBy("item").agg(F.count("*").alias("n")).where("n > 2").toArrow()
-    items, counts = (seen.column(c).to_numpy() for c in ("item", "n"))
-    items = items.view(np.uint64)
-    order = np.argsort(items)
-    return items[order], counts[order]
-
-
-def rarest(items: np.ndarray, seen: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of a set, rarest first, of which every set similar enough shares at least SHARED, or all that they share."""
-    count = np.zeros(len(items), np.int64)
-    if len(seen):
-        at = np.minimum(np.searchsorted(seen, items), len(seen) - 1)
-        count = np.where(seen[at] == items, times[at], 0)
-    n = len(items)
-    return items[np.lexsort((items, count))[:n + percent * n // -100 + SHARED]]
-
-
-SKETCH = "doc_id long, n_shingles long, print binary, prefixes binary, bits binary, rare array<long>"
+SKETCH = ("doc_id long, n_shingles long, print binary, prefixes binary, bits binary, block long, ids binary, lens binary, items binary")
 
 
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per document: size and 128-bit print of its set, 16-bit hash prefixes of the trees, one-bit sketch, rarest shingles."""
-    seen, times = rarity(docs, size)
+    """Per document: size and 128-bit print of its set, 16-bit hash prefixes of the trees, one-bit sketch.
+
+    The last document of some also has the sets of all of them, with shortened shingles: block, ids, lens, items.
+    """
 
     def run(batches):
+        names = [c.split()[0] for c in SKETCH.split(", ")]
+        kinds = [{"long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in SKETCH.split(", ")]
         for batch in batches:
-            out = []
+            out, ids, lens, sets, last = [], [], [], [], None
+
+            def end():
+                items, named = b"".join(sets), np.array(ids, np.int64).tobytes()
+                block = xxhash.xxh3_64_intdigest(named + items) >> 1
+                out[last] = (*out[last][:5], block, named, np.array(lens, np.int64).tobytes(), items)
+                for held in (ids, lens, sets):
+                    held.clear()
+
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
                 items = shingles(text, size)
                 if not len(items):
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((doc_id, 0, *[None] * 7))
                     continue
                 low = signature(items)
                 short = ((low >> np.uint64(16)) & np.uint64(0xFFFF)).astype(">u2").tobytes()
                 bits = np.packbits(((low >> np.uint64(36)) & np.uint64(1)).astype(np.uint8)).tobytes()
-                out.append((doc_id, len(items), xxhash.xxh3_128_digest(items.tobytes()), short, bits,
-                            rarest(items, seen, times, percent).view(np.int64)))
-            columns = list(zip(*out)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             ["doc_id", "n_shingles", "print", "prefixes", "bits", "rare"])
+                out.append((doc_id, len(items), xxhash.xxh3_128_digest(items.tobytes()), short, bits, *[None] * 4))
+                if doc_id is not None:
+                    last = len(out) - 1
+                    ids.append(doc_id)
+                    lens.append(len(items))
+                    sets.append(_shortened(items))
+                    if sum(lens) >= ASKED:
+                        end()
+            if ids:
+                end()
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
+def _shortened(items: np.ndarray) -> bytes:
+    """The first 40 bits of each hash."""
+    return (items >> np.uint64(64 - 8 * SHORT)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def _dealt(items: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shortened shingles as numbers; their order by bucket; the buckets that occur and where each begins in that order."""
+    wide = np.zeros((len(items) // SHORT, 8), np.uint8)
+    wide[:, :SHORT] = np.frombuffer(items, np.uint8).reshape(-1, SHORT)
+    values = wide.view("<u8").ravel()
+    bucket = (values & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    return values, order, found, starts
+
+
+def counted(blocks: DataFrame, bits: int, groups: int) -> str:
+    """The folder of how often each shingle of each block occurs in all blocks, as a power of two: group, block, bucket, powers."""
+
+    def ask(batches):
+        for batch in batches:
+            for block, items in zip(batch.column("block").to_pylist(), batch.column("items").to_pylist()):
+                values, order, found, starts = _dealt(items, bits)
+                parts = np.split((values[order] >> np.uint64(bits)).astype(np.uint32), starts[1:])
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([block] * n, pa.int64()),
+                                                  pa.array([x.tobytes() for x in parts], pa.binary())], ["bucket", "block", "items"])
+
+    def answered(bucket, blocks, asked):
+        each = [np.frombuffer(x, np.uint32) for x in asked]
+        items = np.concatenate(each)
+        _, at, times = np.unique(items, return_inverse=True, return_counts=True)
+        power = np.minimum(15, np.log2(times).astype(np.uint8))[at]
+        out = []
+        for part in np.split(power, np.cumsum([len(x) for x in each])[:-1]):
+            part = np.append(part, np.zeros(len(part) % 2, np.uint8))
+            out.append((part[::2] | part[1::2] << 4).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([b % groups for b in blocks], pa.int32()), pa.array(blocks, pa.int64()),
+                                           pa.array([bucket] * len(blocks), pa.int32()), pa.array(out, pa.binary())],
+                                          ["group", "block", "bucket", "powers"])
+
+    def answer(batches):
+        at, blocks, asked = None, [], []
+        for batch in batches:
+            for bucket, block, items in zip(*[batch.column(c).to_pylist() for c in ("bucket", "block", "items")]):
+                if blocks and bucket != at:
+                    yield answered(at, blocks, asked)
+                    blocks, asked = [], []
+                at = bucket
+                blocks.append(block)
+                asked.append(items)
+        if blocks:
+            yield answered(at, blocks, asked)
+
+    asked = blocks.select("block", "items").mapInArrow(ask, "bucket int, block long, items binary")
+    rows = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "group int, block long, bucket int, powers binary")
+    path = work_folder(blocks.sparkSession, "shingle-counts")
+    rows.repartition("group").write.partitionBy("group").option("compression", "zstd").parquet(path)
+    return path
+
+
+def rare_shingles(sketched: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """A row per class and rare shingle that occurs elsewhere: item, rep and code (twice the set's size, plus one if the shingle is
+    also among those that a set of this size shares with one of its size or larger).
+
+    The rarest shingles of a set are so many that every set similar enough shares at least SHARED of them, or all that they share.
+    """
+    blocks = sketched.where("block is not null").select("block", "ids", "lens", "items")
+    groups = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(BUCKET_BITS, groups.bit_length() + 2)
+    folder = counted(blocks, bits, groups)
+
+    def run(batches):
+        for batch in batches:
+            for block, ids, lens, items in zip(*[batch.column(c).to_pylist() for c in ("block", "ids", "lens", "items")]):
+                values, order, found, starts = _dealt(items, bits)
+                answers = group_rows(folder, "group", block % groups, ["bucket", "powers"], [("block", "=", block)])
+                known = dict(zip(answers.column("bucket").to_pylist(), answers.column("powers").to_pylist()))
+                power = np.empty(len(values), np.uint64)
+                for bucket, at in zip(found.tolist(), np.split(order, starts[1:])):
+                    pair = np.frombuffer(known[bucket], np.uint8)
+                    power[at] = np.stack([pair & 15, pair >> 4], axis=1).ravel()[:len(at)]
+                n = np.frombuffer(lens, np.int64)
+                own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                shift = np.uint64(8 * SHORT)
+                ranked = np.sort((own << (shift + np.uint64(4))) | (power << shift) | values)
+                pos = np.arange(len(ranked)) - np.repeat(np.cumsum(n) - n, n)
+                many = np.repeat(n, n)
+                joined = (pos < many + percent * many // -100 + SHARED) & ((ranked >> shift) & np.uint64(15) > 0)
+                pos, many, ranked = pos[joined], many[joined], ranked[joined]
+                code = 2 * many + (pos < many + 2 * percent * many // -(100 + percent) + SHARED)
+                reps = np.frombuffer(ids, np.int64)[(ranked >> (shift + np.uint64(4))).astype(np.int64)]
+                item = (ranked & np.uint64((1 << 8 * SHORT) - 1)).astype(np.int64)
+                for lo in range(0, len(item), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo:lo + (1 << 16)]) for c in (item, reps, code.astype(np.int32))],
+                                                     ["item", "rep", "code"])
+
+    rows = blocks.mapInArrow(run, "item long, rep long, code int").repartition("rep").distinct()
+    return written(rows.join(reps.select("rep"), "rep", "left_semi").select("item", "rep", "code"), "rare-shingles")
+
+
 PAIR = "a long, b long, score int, tree int, prefix binary, seam int"
 
 
@@ -229,22 +328,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def _posts(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """A row per class and rare shingle: item, rep, comp (null: alone), code (twice the set's size, plus one if the shingle is also
-    among those that a set of this size shares with one of its size or larger) and large."""
+def _posts(rare: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of ``rare_shingles`` with the class' component (null: alone) and whether it is large."""
     times = linked.groupBy("component").agg(F.count("*").alias("times"))
     comp = linked.join(times, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), (F.col("times") >= LARGE).alias("large"))
-    home = reps.select("rep", "print").join(comp, "rep", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    sets = sketched.select(F.col("doc_id").alias("rep"), "print", "n_shingles", "rare").groupBy("rep", "print").agg(
-        F.first("n_shingles").alias("n"), F.first("rare").alias("rare"))
-    rows = sets.join(home, ["rep", "print"]).select("rep", "comp", "large", "n", F.posexplode("rare").alias("pos", "item"))
-    short = F.col("pos") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + SHARED
-    return rows.select("item", "rep", "comp", (2 * F.col("n") + short.cast("int")).cast("int").alias("code"), "large")
+    return rare.join(comp, "rep", "left").select("item", "rep", "comp", "code", F.coalesce("large", F.lit(False)).alias("large"))
 
 
-def missed(sketched: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+def missed(rare: DataFrame, reps: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
     """Every pair (a < b) of classes of different small components that can have the similarity, with the agreement of their hashes."""
-    small = _posts(sketched, reps, linked, percent).where("not large").drop("large")
+    small = _posts(rare, linked).where("not large").drop("large")
     met = small.join(small.withColumnsRenamed({"rep": "r", "comp": "c", "code": "k"}), "item").where("rep < r and not coalesce(comp = c, false)")
     n, k = F.expr("code div 2"), F.expr("k div 2")
     near = (100 * F.least(n, k) >= percent * F.greatest(n, k)) & (F.when(n <= k, F.col("code")).otherwise(F.col("k")) % 2 == 1)
@@ -319,13 +412,14 @@ def _block_links(percent: int):
     return run
 
 
-def large_links(sketched: DataFrame, reps: DataFrame, linked: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def large_links(sketched: DataFrame, reps: DataFrame, linked: DataFrame, docs: DataFrame, size: int, percent: int,
+                rare: DataFrame | None = None) -> DataFrame:
     """Links that join classes, and large components, to large components: at least one of each that has any.
 
     A class is looked at if it shares enough rare shingles with the members of a component taken together; such classes and the
     members meet in blocks, so the rows that are moved are the blocks' pairs, not the classes' pairs.
     """
-    posts = _posts(sketched, reps, linked, percent)
+    posts = _posts(rare_shingles(sketched, reps, percent) if rare is None else rare, linked)
     n, short = F.expr("code div 2"), F.col("code") % 2
     held = posts.where("large").groupBy("item", F.col("comp").alias("c")).agg(F.min(n).alias("lo"), F.max(n).alias("hi"), F.max(short).alias("some"))
     met = posts.join(held, "item").where("not coalesce(comp = c, false) and (not large or comp < c)")
@@ -362,10 +456,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     linked = components(sure)
     apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), linked)
     linked = _joined(linked, written(confirmed(written(apart, "apart"), docs, size, similarity), "links"))
+    rare = rare_shingles(full, reps, percent)
     if linked.groupBy("component").count().where(F.col("count") >= LARGE).take(1):
-        linked = written(_joined(linked, large_links(full, reps, linked, docs, size, percent)), "linked")
+        linked = written(_joined(linked, large_links(full, reps, linked, docs, size, percent, rare)), "linked")
     # the forest's pairs that were looked at and are no links need no second look
-    rest = written(_apart(missed(full, reps, linked, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), linked), "apart")
+    rest = written(_apart(missed(rare, reps, linked, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), linked), "apart")
     for turn in range(ROUNDS + 1):
         if not rest.take(1):
             break

@@ -107,6 +107,14 @@ def file_batches(folder: str, columns: list[str], rows: int):
                     yield Table.from_batches([batch])
 
 
+def group_rows(folder: str, column: str, value: int, columns: list[str], filters: list):
+    """Some rows of one value's part of a shared folder that was written by that column, inside a task."""
+    import pyarrow.parquet as pq
+
+    store, at = _place(f"{folder}/{column}={value}")
+    return pq.read_table(at, filesystem=store, columns=columns, filters=filters, partitioning=None)
+
+
 def matrix(vectors):
     """A column of lists of whole numbers as a matrix of 64-bit numbers; shorter lists are padded with zeros."""
     import numpy as np
