@@ -20,7 +20,7 @@ from framewright.functions.text import is_number
 from framewright.operators.encoding import FOLD, FOLDS, feature_stages, layout, summed
 from framewright.operators.nearest import nearest
 from framewright.operators.profile import Profile
-from framewright.operators.scale import number_rows, one_row, running_total
+from framewright.operators.scale import number_rows, one_row, running_totals
 from framewright.session import work_folder
 
 REGRESSORS = ("ols", "ridge", "lasso", "random_forest", "gradient_boosting")
@@ -214,10 +214,8 @@ def roc_points(predictions: DataFrame, positive: Column, score: str = "score") -
     counts = predictions.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    order = [F.col("threshold").desc()]
-    tp = running_total(counts, [], order, F.col("pos"), "tp")
-    both = running_total(tp, [], order, F.col("neg"), "fp")
-    totals = one_row(counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    both = running_totals(counts, [], [F.col("threshold").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
+    totals = one_row(both.agg(F.max("tp").alias("p"), F.max("fp").alias("n")))
     rows = both.withColumn("_t", totals)
     return rows.select(
         "threshold", "tp", "fp", half_up(ratio(F.col("tp"), F.col("_t.p")), 6).alias("tpr"),

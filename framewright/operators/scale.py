@@ -130,17 +130,26 @@ def ordered_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.repartitionByRange(*order).withColumn("_block", F.spark_partition_id()).checkpoint()
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
-    """Running sum of ``amount`` per group in order, without one task per group."""
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], amounts: dict[str, Column]) -> DataFrame:
+    """Running sums of some amounts per group in one order, by name, without one task per group; the table is read once."""
+    places = range(len(amounts))
     blocks = ordered_blocks(
-        df.withColumn("_amount", amount), [*[F.col(k).asc_nulls_first() for k in keys], *order]
+        df.withColumns({f"_amount{i}": a for i, a in enumerate(amounts.values())}),
+        [*[F.col(k).asc_nulls_first() for k in keys], *order],
     )
-    sums = blocks.groupBy("_block", *keys).agg(F.sum("_amount").alias("_part"))
+    sums = blocks.groupBy("_block", *keys).agg(*[F.sum(f"_amount{i}").alias(f"_part{i}") for i in places])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_block", *keys, F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums.select("_block", *keys, *[F.coalesce(F.sum(f"_part{i}").over(before), F.lit(0)).alias(f"_offset{i}") for i in places])
     local = Window.partitionBy("_block", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = join_keys(blocks.withColumn("_local", F.sum("_amount").over(local)), offsets, ["_block", *keys])
-    return numbered.withColumn(name, F.col("_local") + F.col("_offset")).select(*df.columns, name)
+    within = blocks.withColumns({f"_local{i}": F.sum(f"_amount{i}").over(local) for i in places})
+    numbered = join_keys(within, offsets, ["_block", *keys])
+    totals = [(F.col(f"_local{i}") + F.col(f"_offset{i}")).alias(name) for i, name in enumerate(amounts)]
+    return numbered.select(*df.columns, *totals)
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """Running sum of ``amount`` per group in order, without one task per group."""
+    return running_totals(df, keys, order, {name: amount})
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", keys: list[str] | None = None) -> DataFrame:

@@ -42,12 +42,14 @@ FEATURES = ["letters", "n_chars", "blanks"]
 
 
 def texts(t: Tables):
-    """Labelled documents with text ratios over the whole text."""
-    rows = t.documents.join(t.labels, "doc_id")
+    """Labelled documents with text ratios over the whole text, which are made before the join, so that no text is moved.
+
+    The ratios of an empty text are NaN, as in the SQL.
+    """
     size = F.length("text").cast("double")
-    letters = F.length(F.regexp_replace("text", "[^a-zA-Z]", "")) / size
-    blanks = F.length(F.regexp_replace("text", "[^ ]", "")) / size
-    return rows.select("doc_id", "quality", "toxic", "n_chars", "lang", letters.alias("letters"), blanks.alias("blanks"))
+    share = lambda rest: F.when(size == 0, F.lit(float("nan"))).otherwise(F.length(F.regexp_replace("text", rest, "")) / size)
+    rows = t.documents.select("doc_id", "n_chars", "lang", share("[^a-zA-Z]+").alias("letters"), share("[^ ]+").alias("blanks"))
+    return rows.join(t.labels, "doc_id").select("doc_id", "quality", "toxic", "n_chars", "lang", "letters", "blanks")
 
 
 CENTROID = f"""with s as (select d.doc_id, quality::varchar as actual, length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))/length(text)::double as a,
