@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.llm.graph import components
-from framewright.llm.shared import group_rows, slot_filter, written
+from framewright.llm.shared import folder_of, group_rows, removed, slot_filter, written
 from framewright.session import work_folder
 
 HASHES, TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 128, 16, 8, 3, 3
@@ -221,7 +221,9 @@ def rare_shingles(sketched: DataFrame, reps: DataFrame, percent: int) -> DataFra
                                                      ["item", "rep", "code"])
 
     rows = blocks.mapInArrow(run, "item long, rep long, code int").repartition("rep").distinct()
-    return written(rows.join(reps.select("rep"), "rep", "left_semi").select("item", "rep", "code"), "rare-shingles")
+    rare = written(rows.join(reps.select("rep"), "rep", "left_semi").select("item", "rep", "code"), "rare-shingles")
+    removed(blocks.sparkSession, folder)
+    return rare
 
 
 PAIR = "a long, b long, score int, tree int, prefix binary, seam int"
@@ -457,8 +459,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     apart = _apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), linked)
     linked = _joined(linked, written(confirmed(written(apart, "apart"), docs, size, similarity), "links"))
     rare = rare_shingles(full, reps, percent)
+    # the shortened shingles are the larger part of what was written, and nothing reads them from here on
+    sets = written(sketched.select("doc_id", "n_shingles", "print"), "sets")
+    removed(docs.sparkSession, folder_of(sketched))
     if linked.groupBy("component").count().where(F.col("count") >= LARGE).take(1):
-        linked = written(_joined(linked, large_links(full, reps, linked, docs, size, percent, rare)), "linked")
+        linked = written(_joined(linked, large_links(sets, reps, linked, docs, size, percent, rare)), "linked")
     # the forest's pairs that were looked at and are no links need no second look
     rest = written(_apart(missed(rare, reps, linked, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), linked), "apart")
     for turn in range(ROUNDS + 1):
@@ -475,7 +480,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
             rest = written(_apart(rest.join(now, ["a", "b"], "left_anti"), linked), "apart")
     home = reps.select("print", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(
         "print", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(home, "print", "left")
+    out = sets.withColumn("print", F.when(F.col("doc_id").isNotNull(), F.col("print"))).join(home, "print", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -107,6 +107,13 @@ def file_batches(folder: str, columns: list[str], rows: int):
                     yield Table.from_batches([batch])
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Remove folders made by ``written`` or ``work_folder`` that nothing reads any more; an empty name is no folder."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for place in (hadoop.Path(folder) for folder in folders if folder):
+        place.getFileSystem(conf).delete(place, True)
+
+
 def group_rows(folder: str, column: str, value: int, columns: list[str], filters: list):
     """Some rows of one value's part of a shared folder that was written by that column, inside a task."""
     import pyarrow.parquet as pq
